@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lociflow.llm import mixing, sharding
+from lociflow.llm import decontamination, mixing, sharding
 
 QUERIES = {
     "op3_hash_threshold_mixing": mixing.query,
+    "op8_winnowing_decontamination": decontamination.query,
     "op9_virtual_slot_sharding": sharding.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_winnowing_decontamination": decontamination.SQL}
 
 
 def queries() -> dict:
