@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lociflow.llm import decontamination, mixing, sharding
+from lociflow.llm import decontamination, mixing, quality, sharding
 
 QUERIES = {
     "op3_hash_threshold_mixing": mixing.query,
     "op8_winnowing_decontamination": decontamination.query,
     "op9_virtual_slot_sharding": sharding.query,
+    "op10_ordinal_quality": quality.query,
 }
 SQL: dict[str, str] = {"op8_winnowing_decontamination": decontamination.SQL}
 
