@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lociflow.llm import decontamination, mixing, quality, sharding
+from lociflow.llm import decontamination, line_quality, mixing, pii, quality, sharding
 
 QUERIES = {
+    "op2_bilstm_crf_pii": pii.query,
     "op3_hash_threshold_mixing": mixing.query,
+    "op6_crf_line_quality": line_quality.query,
     "op8_winnowing_decontamination": decontamination.query,
     "op9_virtual_slot_sharding": sharding.query,
     "op10_ordinal_quality": quality.query,
