@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontamination, html_text, line_quality, mixing, pii, quality, sharding
+from lociflow.llm import chat, decontamination, html_text, line_quality, mixing, pii, quality, secrets, sharding
 
 QUERIES = {
+    "op1_randomness_secrets": secrets.query,
     "op2_bilstm_crf_pii": pii.query,
     "op3_hash_threshold_mixing": mixing.query,
     "op4_budgeted_chat_windows": chat.query,
