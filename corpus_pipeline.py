@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociflow.llm import mixing, sharding, storage
+from lociflow.llm import decontamination, jaccard, mixing, quality, sharding, storage
 
 STAGES = [
-    ("mixing sources", lambda spark, docs, sf_dir: mixing.stage(spark, docs, sf_dir)),
-    ("sharding", lambda spark, docs, sf_dir: sharding.stage(spark, docs, sf_dir)),
+    ("quality classifier", quality.stage),
+    ("n-gram Jaccard join", jaccard.stage),
+    ("benchmark decontamination", decontamination.stage),
+    ("mixing sources", mixing.stage),
+    ("sharding", sharding.stage),
 ]
 #: The stages hash, train and iterate, which SQL can't express; tests hold each against a brute-force version.
 ORACLE_SQL = None

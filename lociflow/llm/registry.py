@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontamination, html_text, line_quality, mixing, pii, quality, secrets, sharding
+from lociflow.llm import chat, decontamination, html_text, jaccard, line_quality, mixing, pii, quality, secrets, sharding
 
 QUERIES = {
     "op1_randomness_secrets": secrets.query,
     "op2_bilstm_crf_pii": pii.query,
     "op3_hash_threshold_mixing": mixing.query,
     "op4_budgeted_chat_windows": chat.query,
+    "op5_heavy_light_jaccard": jaccard.query,
     "op6_crf_line_quality": line_quality.query,
     "op7_gbdt_html_text": html_text.query,
     "op8_winnowing_decontamination": decontamination.query,
