@@ -21,7 +21,9 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS, LEVELS = 12, 4
+from lociflow.llm.storage import cut
+
+HASH_BITS, MOST_CELLS = 48, 1 << 22
 #: Sources up to which their table is broadcast: a row of it is a name and two numbers.
 BROADCAST_SOURCES = 10_000
 
@@ -50,19 +52,26 @@ def water_filled(sizes: list[int], weights: list[int], total: Fraction, most: in
     return [x if x is not None else Fraction(0) for x in out]
 
 
-def _bucket(h: Column, level: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+def _bucket(h: Column, level: int, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits * (level + 1)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def bits_for(sources: int) -> int:
+    """Bits of a level: a histogram of all sources stays within MOST_CELLS rows. Divides HASH_BITS."""
+    return next((b for b in (12, 8, 6, 4, 3, 2) if sources << b <= MOST_CELLS), 1)
 
 
 def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int, list[int]]:
-    """For each source number the hash prefixes (BITS * LEVELS bits) below which its sizes sum to at most each of its
+    """For each source number the hash prefixes (HASH_BITS bits) below which its sizes sum to at most each of its
     budgets, ascending: one histogram a level, the second and later ones over the boundary buckets alone.
 
-    sized has columns sid, size, h. A histogram has at most sources x budgets x 2^BITS rows."""
+    sized has columns sid, size, h. A histogram has at most sources x budgets x 2^bits rows, and at most MOST_CELLS."""
+    bits = bits_for(len(budgets))
+    levels = HASH_BITS // bits
     spark = sized.sparkSession
     state = {(s, k): (0, Fraction(b)) for s, bs in budgets.items() for k, b in enumerate(bs)}
-    prefixes = {key: 0 for key in state}
-    for level in range(LEVELS):
+    prefixes, depth = {key: 0 for key in state}, {key: 0 for key in state}
+    for level in range(levels):
         live = {key for key, (p, left) in state.items() if left > 0 and p >= 0}
         if not live:
             break
@@ -70,30 +79,27 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
         if level:
             wanted = spark.createDataFrame([(s, p) for s, p in {(s, prefixes[s, k]) for s, k in live}], "sid int, prefix long")
             small = F.broadcast(wanted) if len(live) <= BROADCAST_SOURCES else wanted
-            rows = sized.withColumn("prefix", F.shiftrightunsigned("h", 64 - BITS * level)).join(small, ["sid", "prefix"])
+            rows = sized.withColumn("prefix", F.shiftrightunsigned("h", 64 - bits * level)).join(small, ["sid", "prefix"])
         else:
             rows = sized.withColumn("prefix", F.lit(0).cast("long"))
         hist: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in rows.groupBy("sid", "prefix", _bucket(F.col("h"), level).alias("b")).agg(F.sum("size").alias("size")).collect():
+        for r in rows.groupBy("sid", "prefix", _bucket(F.col("h"), level, bits).alias("b")).agg(F.sum("size").alias("size")).collect():
             hist.setdefault((r["sid"], r["prefix"]), []).append((r["b"], r["size"]))
         for s, k in live:
-            left, at = state[s, k][1], 1 << BITS
+            left, at = state[s, k][1], 1 << bits
             for b, size in sorted(hist.get((s, prefixes[s, k] if level else 0), [])):
                 if size > left:
                     at = b
-                    if level == LEVELS - 1 and size - left < left:  # one hash value: in if that is nearer
+                    if level == levels - 1 and size - left < left:  # one hash value: in if that is nearer
                         at += 1
                     break
                 left -= size
             state[s, k] = (at, left)
-            if at == 1 << BITS:  # the budget holds all of it
-                prefixes[s, k] = (prefixes[s, k] << BITS) + at
-                for _ in range(level + 1, LEVELS):
-                    prefixes[s, k] <<= BITS
+            prefixes[s, k] = (prefixes[s, k] << bits) + at
+            depth[s, k] = level + 1
+            if at == 1 << bits:  # the budget holds all of it
                 state[s, k] = (-1, left)
-            else:
-                prefixes[s, k] = (prefixes[s, k] << BITS) + at
-    return {s: [prefixes[s, k] for k in range(len(bs))] for s, bs in budgets.items()}
+    return {s: [prefixes[s, k] << bits * (levels - depth[s, k]) for k in range(len(bs))] for s, bs in budgets.items()}
 
 
 def mix(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 3) -> DataFrame:
@@ -101,6 +107,7 @@ def mix(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...]
     weigh `weights` in turn and share `share` of all words."""
     spark = docs.sparkSession
     sized = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
+    sized, _ = cut(sized, "sizes")  # texts are read once; the passes below read four short columns
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     names, sizes = [r["source"] for r in found], [r["n"] for r in found]
@@ -113,7 +120,7 @@ def mix(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...]
     known = sized.join(small(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     limit = thresholds(known.select("sid", "size", "h"), {i: [r] for i, r in enumerate(rest) if r > 0})
     below = spark.createDataFrame([(i, limit[i][0] if i in limit else 0) for i in range(len(names))], "sid int, below long")
-    extra = (F.shiftrightunsigned("h", 64 - BITS * LEVELS) < F.col("below")).cast("int")
+    extra = (F.shiftrightunsigned("h", 64 - HASH_BITS) < F.col("below")).cast("int")
     return known.join(small(below), "sid").withColumn("copies", F.col("whole") + extra).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
