@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = ""
-_queries: dict[str, Callable] = {}
-_sql: dict[str, str] = {}
+from lociflow.plans import ancestry, codons, homologs, popstats, tracks
+
+FLAGSHIP = "pop_pairwise_divergence"
+FAMILIES = (popstats, tracks, ancestry, codons, homologs)
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_queries)
+    return {name: q for m in FAMILIES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return {name: q for m in FAMILIES for name, q in m.SQL.items()}
