@@ -8,8 +8,9 @@ sides, and sets that share one are candidates. Large sets (and small ones that m
 of the first shingles of each set in one global order, as many as must hold a common one if two sets link; the lists are
 scanned. The boundary between small and large minimizes the cost of both over the sizes found in the data.
 
-The global order puts frequent shingles last, so that shared passages do not make long lists; frequencies come from
-a table of 2^18 counters over all documents. Lists that stay long belong to large groups of near copies. Their members are
+The global order puts frequent shingles last, so that shared passages do not make long lists: first those that a table of
+2^20 counters over all documents shows to be frequent; then also all that two different sets list under that order, kept in a
+bitmap of fixed size. Sets that list no such shingle link with nothing and are left out. Lists that stay long belong to large groups of near copies. Their members are
 dealt into chunks of bounded size, twice with other salts; in a chunk, the components are found by scanning inverted
 lists and leaving out members that have been reached, which is linear where copies are close. What remains is made exact:
 members that are not in the main component of one of their lists are sent to all chunks that may hold partners of theirs.
@@ -37,7 +38,9 @@ from lociflow.llm import bytescan as bs
 from lociflow.llm.components import components
 from lociflow.llm.storage import cut
 
-COUNTER_BITS = 18
+COUNTER_BITS = 20
+#: Share of the range of hashes, from 0, that counters cover: first shingles of a set of some size have small hashes.
+COUNTED = 0.2
 SMALL_MOST = 32
 #: What a listed shingle costs beside an enumerated subset: it is shuffled twice, counted, joined and scanned.
 SCAN_COST = 8
@@ -45,6 +48,8 @@ SCAN_COST = 8
 LIST_MOST = 24
 #: Shingles of a chunk.
 CHUNK = 500_000
+FILTER_BITS = 24
+SHARED_BITS = 27
 U = np.uint64
 
 
@@ -53,6 +58,11 @@ def least_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def counter_of(s: np.ndarray) -> np.ndarray:
+    """The counter of each shingle; one past the last for hashes that none covers."""
+    return np.minimum((s >> U(64 - COUNTER_BITS - 8)).astype(np.float64) / 256 / COUNTED, float(1 << COUNTER_BITS)).astype(np.int64)
+
+
 def list_length(n: int, percent: int) -> int:
     """First shingles of which linked sets share one."""
     return n - -(-percent * n // 100) + 1
@@ -81,8 +91,8 @@ def boundary_by_cost(sizes: dict[int, int], percent: int) -> int:
     return min(range(SMALL_MOST + 1), key=lambda x: (cost(x), x))
 
 
-def set_keys(s: np.ndarray, levels: np.ndarray, percent: int, boundary: int) -> np.ndarray:
-    """Keys of a sorted set: subsets where it is small, first shingles where it may have a large partner."""
+def set_keys(s: np.ndarray, lv: np.ndarray, percent: int, boundary: int) -> np.ndarray:
+    """Keys of a sorted set: subsets where it is small, first shingles (by lv, then hash) where it may have a large partner."""
     n, out = len(s), []
     if n <= boundary:
         with np.errstate(over="ignore"):
@@ -93,7 +103,6 @@ def set_keys(s: np.ndarray, levels: np.ndarray, percent: int, boundary: int) ->
                 less = own[np.array(gone, np.int64)].sum(1, dtype=U) if n > c else np.zeros(1, U)
                 out.append(bs.mix((total - less) ^ (U(c) * U(0x9E3779B97F4A7C15))))
     if n > boundary or 100 * n // percent > boundary:
-        lv = levels[(s >> U(64 - COUNTER_BITS)).astype(np.int64)]
         p = list_length(n, percent)
         out.append(s[:p] if not lv.any() else s[np.argsort(lv, kind="stable")[:p]])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
@@ -102,13 +111,14 @@ def set_keys(s: np.ndarray, levels: np.ndarray, percent: int, boundary: int) ->
 def _counted(docs: DataFrame, k: int) -> DataFrame:
     """i, n: counters of shingles by their first bits, and after them counters of set sizes up to SMALL_MOST."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << COUNTER_BITS) + SMALL_MOST + 1, np.int64)
+        total = np.zeros((1 << COUNTER_BITS) + SMALL_MOST + 2, np.int64)
         for batch in batches:
             sets = list(bs.shingle_sets(batch.column("text"), k))
             if sets:
-                total[: 1 << COUNTER_BITS] += np.bincount((np.concatenate(sets) >> U(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+                at = counter_of(np.concatenate(sets))
+                total[: 1 << COUNTER_BITS] += np.bincount(at[at < 1 << COUNTER_BITS], minlength=1 << COUNTER_BITS)
                 sizes = np.array([len(s) for s in sets])
-                total[1 << COUNTER_BITS :] += np.bincount(sizes[sizes <= SMALL_MOST], minlength=SMALL_MOST + 1)
+                total[(1 << COUNTER_BITS) + 1 :] += np.bincount(sizes[sizes <= SMALL_MOST], minlength=SMALL_MOST + 1)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
 
@@ -118,19 +128,58 @@ def _counted(docs: DataFrame, k: int) -> DataFrame:
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
     """0 for counters that hold what chance gives, then one more for each doubling."""
     mean = counts.mean()
-    usual = mean + 6 * np.sqrt(mean) + 16
+    usual = mean + 6 * np.sqrt(mean) + 4
     return np.where(counts > usual, np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.int8)
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (of the set), keys."""
-    counts = np.zeros((1 << COUNTER_BITS) + SMALL_MOST + 1, np.int64)
+class Order:
+    """The global order of shingles: shared ones (by a bitmap of 2^SHARED_BITS hashed keys) and frequent ones (by counters) come last."""
+
+    def __init__(self, levels: np.ndarray, boundary: int, percent: int, shared: np.ndarray | None = None) -> None:
+        self.levels, self.boundary, self.percent, self.shared = levels, boundary, percent, shared
+
+    def is_shared(self, keys: np.ndarray) -> np.ndarray:
+        low = keys & U((1 << SHARED_BITS) - 1)
+        return (self.shared[(low >> U(6)).astype(np.int64)] >> (low & U(63))) & U(1) != 0
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Keys of a set. With a bitmap: none unless the keys of the order without it hold a shared one, since sets that link
+        share a key in either order."""
+        if not len(s):
+            return s
+        lv = self.levels[counter_of(s)]
+        first = set_keys(s, lv, self.percent, self.boundary)
+        if self.shared is None:
+            return first
+        if not self.is_shared(first).any():
+            return s[:0]
+        return set_keys(s, lv + self.is_shared(s), self.percent, self.boundary)
+
+
+def first_order(docs: DataFrame, k: int, percent: int) -> Order:
+    counts = np.zeros((1 << COUNTER_BITS) + SMALL_MOST + 2, np.int64)
     got = _counted(docs, k).toArrow()  # as many rows as counters, whatever the input
     counts[got["i"].to_numpy()] = got["n"].to_numpy()
-    levels = frequency_levels(counts[: 1 << COUNTER_BITS])
-    boundary = boundary_by_cost({i: int(c) for i, c in enumerate(counts[1 << COUNTER_BITS :]) if i and c}, percent)
+    levels = np.append(frequency_levels(counts[: 1 << COUNTER_BITS]), np.int8(0))
+    return Order(levels, boundary_by_cost({i: int(c) for i, c in enumerate(counts[(1 << COUNTER_BITS) + 1 :]) if i and c}, percent), percent)
+
+
+def second_order(first: Order, signed: DataFrame) -> Order:
+    """The order that also puts behind all keys which two different sets have in the first one."""
+    low = F.expr(f"key & {(1 << SHARED_BITS) - 1}L")
+    keys = signed.select("f1", F.explode("keys").alias("key")).groupBy("key").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).filter("a <> b").select(low.alias("low"))
+    words = keys.groupBy(F.shiftright("low", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()  # a bitmap of fixed size
+    shared = np.zeros(1 << (SHARED_BITS - 6), U)
+    shared[words["w"].to_numpy()] = words["bits"].to_numpy().view(U)
+    return Order(first.levels, first.boundary, first.percent, shared)
+
+
+def signatures(docs: DataFrame, k: int, order: Order) -> DataFrame:
+    """doc_id, n, f1, f2 (of the set), keys."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         for batch in batches:
             n, f1, f2, keys = [], [], [], []
             with np.errstate(over="ignore"):
@@ -138,7 +187,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     n.append(len(s))
                     f1.append(int(bs.mix(s).sum(dtype=U).view(np.int64)))
                     f2.append(int(bs.mix(s ^ U(0xD1B54A32D192ED03)).sum(dtype=U).view(np.int64)))
-                    keys.append(set_keys(s, levels, percent, boundary).view(np.int64) if len(s) else s.view(np.int64))
+                    keys.append(own.keys(s).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "f1", "f2", "keys"])
@@ -194,14 +243,25 @@ def _dealt(homes: DataFrame, salt: int) -> DataFrame:
     return homes.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")).cast("int"))
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids. A bitmap of FILTER_BITS hashed ids, of the same size for any input, is broadcast and
+    drops most other rows before the join, so that their texts don't move."""
+    at = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    words = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = docs.withColumn("_at", at).withColumn("_word", F.floor(F.col("_at") / 64))
+    near = marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+    return near.join(ids, "doc_id", "left_semi")
+
+
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links between representatives, as many as connect every component. reps: doc_id, n, keys."""
     kind = dict(docs.dtypes)["doc_id"]
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    texts = docs.select("doc_id", "text")
     entries = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     lists = entries.groupBy("key").count().filter("count > 1")
     multi, _ = cut(entries.join(lists, "key"), "lists")
+    texts, _ = cut(only(docs.select("doc_id", "text"), multi.select("doc_id").distinct()), "texts")  # all that later joins move
     hot = multi.filter(F.col("count") > LIST_MOST)
     homes0 = hot.groupBy("doc_id").agg(F.max("n").alias("n"), F.max(F.struct("count", "key"))["key"].alias("home"))
     per_home = homes0.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
@@ -274,13 +334,14 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id of an equal set; null if empty), component_id. One row for each row of docs."""
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    sig, _ = cut(signatures(base, k, percent), "signatures")
+    order = first_order(base, k, percent)
+    sig, _ = cut(signatures(base, k, order), "signatures")
     some = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     member, _ = cut(some.select("doc_id", "f1", "f2", "n").join(copies, ["f1", "f2", "n"]).select("doc_id", "class_id").distinct(), "members")
-    reps = some.select("doc_id", "n", "keys").join(member.filter("doc_id <> class_id"), "doc_id", "left_anti")
-    reps, _ = cut(reps, "reps")
-    found, _ = cut(links(base.join(reps.select("doc_id"), "doc_id", "left_semi"), reps, k, percent), "links")
+    again = signatures(base, k, second_order(order, some)).filter((F.size("keys") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "keys")
+    reps, _ = cut(again.join(member.filter("doc_id <> class_id"), "doc_id", "left_anti"), "reps")
+    found, _ = cut(links(base, reps, k, percent), "links")
     comp, _ = cut(components(found), "components")
     by_class = member.join(comp.select(F.col("id").alias("class_id"), F.col("component").alias("c")), "class_id", "left").select("doc_id", "class_id", F.coalesce("c", "class_id").alias("component"))
     alone = comp.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), "component").join(member.select("doc_id"), "doc_id", "left_anti")
