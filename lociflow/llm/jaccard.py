@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import bytescan as bs
+from lociflow.llm import storage
 from lociflow.llm.components import components
-from lociflow.llm.storage import cut
+from lociflow.llm.storage import cut, drop
 
 COUNTER_BITS = 20
 #: Share of the range of hashes, from 0, that counters cover: first shingles of a set of some size have small hashes.
@@ -254,8 +255,14 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "doc_id", "left_semi")
 
 
-def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links between representatives, as many as connect every component. reps: doc_id, n, keys."""
+def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, made: list[str]) -> DataFrame:
+    """a, b: links between representatives, as many as connect every component. reps: doc_id, n, keys. Paths of the tables that the
+    result reads are added to made."""
+    def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        table, path = storage.cut(df, name)
+        made.append(path)
+        return table, path
+
     kind = dict(docs.dtypes)["doc_id"]
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     entries = reps.select("doc_id", "n", F.explode("keys").alias("key"))
@@ -340,9 +347,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     copies = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     member, _ = cut(some.select("doc_id", "f1", "f2", "n").join(copies, ["f1", "f2", "n"]).select("doc_id", "class_id").distinct(), "members")
     again = signatures(base, k, second_order(order, some)).filter((F.size("keys") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "keys")
-    reps, _ = cut(again.join(member.filter("doc_id <> class_id"), "doc_id", "left_anti"), "reps")
-    found, _ = cut(links(base, reps, k, percent), "links")
+    reps, reps_path = cut(again.join(member.filter("doc_id <> class_id"), "doc_id", "left_anti"), "reps")
+    made = [reps_path]
+    found, found_path = cut(links(base, reps, k, percent, made), "links")
     comp, _ = cut(components(found), "components")
+    drop(base.sparkSession, *made, found_path)
     by_class = member.join(comp.select(F.col("id").alias("class_id"), F.col("component").alias("c")), "class_id", "left").select("doc_id", "class_id", F.coalesce("c", "class_id").alias("component"))
     alone = comp.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), "component").join(member.select("doc_id"), "doc_id", "left_anti")
     known = by_class.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component").alias("component"))
