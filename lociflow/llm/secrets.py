@@ -89,9 +89,13 @@ def battery(x: Column, size: Column) -> Column:
     var = F.greatest(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)), F.lit(1e-9))
     p_runs = F.when((n1 < 1) | (n2 < 1), 0.0).otherwise(2 * _upper_tail(F.abs((flips + 1 - mean) / F.sqrt(var))))
     centre = F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / n
-    squares = F.aggregate(x, F.lit(0.0), lambda a, y: a + (y - centre) * (y - centre))
-    products = F.aggregate(indices(F.size(x) - 1), F.lit(0.0), lambda a, i: a + (x[i] - centre) * (x[i + 1] - centre))
-    p_serial = F.when(squares <= 0, 0.0).otherwise(2 * _upper_tail(F.abs((products / squares + 1 / n) * F.sqrt(n))))
+
+    def serial(c: Column) -> Column:
+        squares = F.aggregate(x, F.lit(0.0), lambda a, y: a + (y - c) * (y - c))
+        products = F.aggregate(indices(F.size(x) - 1), F.lit(0.0), lambda a, i: a + (x[i] - c) * (x[i + 1] - c))
+        return F.when(squares <= 0, 0.0).otherwise(2 * _upper_tail(F.abs((products / squares + 1 / n) * F.sqrt(n))))
+
+    p_serial = let(centre, serial)  # the mean once, not for each symbol
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
