@@ -211,8 +211,8 @@ class Lists:
     def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Which sets link with s."""
         at = np.searchsorted(self.shingles, s)
-        at = at[at < len(self.shingles)]
-        hit = at[np.isin(self.shingles[at], s)]
+        there = np.flatnonzero(at < len(self.shingles))
+        hit = at[there][self.shingles[at[there]] == s[there]]
         if not len(hit):
             return np.zeros(0, np.int64)
         lists = [self.members[a:b] for a, b in zip(self.first[hit].tolist(), self.first[hit + 1].tolist(), strict=True)]
