@@ -124,44 +124,50 @@ def ehh_walk(pos: np.ndarray, g: np.ndarray, focal: int, decay: float = 0.05, re
     return total
 
 
-def _halo(gl: DataFrame, block: int, reach: int) -> DataFrame:
-    """Sites with their genotypes in an array, once for each block whose focal sites may reach them."""
+def _halo(gl: DataFrame, block: int, reach: int, every: int = 1) -> DataFrame:
+    """Sites with their genotypes in an array, once for each block whose focal sites may reach them; focal: whether the site is the
+    first of its chromosome or an every-th one after it."""
     t = F.col("gl0") + F.col("gl1") + F.col("gl2")
     site = gl.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(F.struct("sample_idx", *[(F.col(c) / t).cast("float").alias(c) for c in ("gl0", "gl1", "gl2")]))).alias("g"))
+    if every == 1:
+        site = site.withColumn("focal", F.lit(True))
+    else:
+        i = F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1
+        site = site.join(gl.select("chrom", "pos").distinct().select("chrom", "pos", (i % every == 0).alias("focal")), ["chrom", "pos"])
     return site.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("pos") - reach) / block).cast("long"), F.floor((F.col("pos") + reach) / block).cast("long"))))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
     pdf = pdf.sort_values("pos")
     ids = [r["sample_idx"] for r in pdf["g"].iloc[0]]
-    return pdf["pos"].to_numpy(), np.array([[(r["gl0"], r["gl1"], r["gl2"]) for r in row] for row in pdf["g"]]), ids
+    return pdf["pos"].to_numpy(), np.array([[(r["gl0"], r["gl1"], r["gl2"]) for r in row] for row in pdf["g"]]), ids, pdf["focal"].to_numpy()
 
 
 def xp_ehh(gl: DataFrame, test: list[int], ref: list[int], every: int = 1, decay: float = 0.05, reach: int = 1_000_000, block: int = 1_000_000, smallest: int = 20) -> DataFrame:
-    """Chrom, pos, ihh_test, ihh_ref, raw = ln(test / ref) at every n-th site of a block. Both cohorts need `smallest` individuals."""
+    """Chrom, pos, ihh_test, ihh_ref, raw = ln(test / ref) at every n-th site of a chromosome. Both cohorts need `smallest` individuals."""
     if len(test) < smallest or len(ref) < smallest:
         raise ValueError(f"cohorts need {smallest} individuals")
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, g, ids = _matrix(pdf)
+        pos, g, ids, focal = _matrix(pdf)
         t, r = [ids.index(i) for i in test], [ids.index(i) for i in ref]
         rows = []
         for k in range(0, len(pos)):
-            if pos[k] // block == key[1] and (pos[k] // 1000) % every == 0:
+            if pos[k] // block == key[1] and focal[k]:
                 x, y = ehh_walk(pos, g[:, t], k, decay, reach), ehh_walk(pos, g[:, r], k, decay, reach)
                 rows.append((key[0], int(pos[k]), x, y, float(np.log(x / y)) if x > 0 and y > 0 else None))
         return pd.DataFrame(rows, columns=["chrom", "pos", "ihh_test", "ihh_ref", "raw"])
 
-    return _halo(gl, block, reach).groupBy("chrom", "_block").applyInPandas(walk, "chrom string, pos long, ihh_test double, ihh_ref double, raw double")
+    return _halo(gl, block, reach, every).groupBy("chrom", "_block").applyInPandas(walk, "chrom string, pos long, ihh_test double, ihh_ref double, raw double")
 
 
 def ihs(gl: DataFrame, every: int = 1, decay: float = 0.05, reach: int = 1_000_000, block: int = 1_000_000, least_gl: float = 0.6, smallest: int = 8, maf: float = 0.05) -> DataFrame:
-    """Chrom, pos, freq, ihh_anc, ihh_der, raw = ln(anc / der) at every n-th site of a block with enough homozygotes of both kinds."""
+    """Chrom, pos, freq, ihh_anc, ihh_der, raw = ln(anc / der) at every n-th site of a chromosome, if it has enough homozygotes of both kinds."""
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, g, _ = _matrix(pdf)
+        pos, g, _, focal = _matrix(pdf)
         rows = []
         for k in range(0, len(pos)):
-            if pos[k] // block != key[1] or (pos[k] // 1000) % every:
+            if pos[k] // block != key[1] or not focal[k]:
                 continue
             sure = g[k].max(1) >= least_gl
             anc, der = np.flatnonzero(sure & (g[k].argmax(1) == 0)), np.flatnonzero(sure & (g[k].argmax(1) == 2))
@@ -172,7 +178,7 @@ def ihs(gl: DataFrame, every: int = 1, decay: float = 0.05, reach: int = 1_000_0
             rows.append((key[0], int(pos[k]), p, x, y, float(np.log(x / y)) if x > 0 and y > 0 else None))
         return pd.DataFrame(rows, columns=["chrom", "pos", "freq", "ihh_anc", "ihh_der", "raw"])
 
-    return _halo(gl, block, reach).groupBy("chrom", "_block").applyInPandas(walk, "chrom string, pos long, freq double, ihh_anc double, ihh_der double, raw double")
+    return _halo(gl, block, reach, every).groupBy("chrom", "_block").applyInPandas(walk, "chrom string, pos long, freq double, ihh_anc double, ihh_der double, raw double")
 
 
 def ehh_windows(scores: DataFrame, width: int, step: int, value: str) -> DataFrame:

@@ -76,9 +76,9 @@ QUERIES = {
     "rel_ld_blocks": lambda s, d: rounded(rel.ld_blocks(_ld(s, d)), 5),
     "rel_introgression": lambda s, d: rounded(rel.introgression(_terms(s, d), 50_000, 10_000)),
     "rel_introgression_jackknife": lambda s, d: rounded(scan.jackknife(rel.site_blocks(_terms(s, d), 20), "num", "den"), 5),
-    "rel_xp_ehh": lambda s, d: rounded(scan.z_scores(rel.xp_ehh(ad.gl(s, d), [0, 1, 2, 3], [6, 7, 8, 9], 5, smallest=4), "raw"), 5),
-    "rel_ihs": lambda s, d: rounded(scan.z_scores(rel.ihs(ad.gl(s, d), 5, smallest=2).withColumn("bin", rel.frequency_bin(F.col("freq"))), "raw", ["bin"]), 5),
-    "rel_ehh_windows": lambda s, d: rounded(rel.ehh_windows(scan.z_scores(rel.xp_ehh(ad.gl(s, d), [0, 1, 2, 3], [6, 7, 8, 9], 5, smallest=4), "raw"), 50_000, 10_000, "raw_norm"), 5),
+    "rel_xp_ehh": lambda s, d: rounded(scan.z_scores(rel.xp_ehh(ad.gl(s, d), [0, 1, 2, 3], [6, 7, 8, 9], smallest=4), "raw"), 5),
+    "rel_ihs": lambda s, d: rounded(scan.z_scores(rel.ihs(ad.gl(s, d), smallest=2).withColumn("bin", rel.frequency_bin(F.col("freq"))), "raw", ["bin"]), 5),
+    "rel_ehh_windows": lambda s, d: rounded(rel.ehh_windows(scan.z_scores(rel.xp_ehh(ad.gl(s, d), [0, 1, 2, 3], [6, 7, 8, 9], smallest=4), "raw"), 50_000, 10_000, "raw_norm"), 5),
 }
 
 _G = ad.with_ctes(ad.SQL_GL, ad.SQL_Q)

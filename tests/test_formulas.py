@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import expr
 from lociflow.operators import ancestry, codons, homologs, popstats, relations, scan, windows
-from lociflow.plans import dispatch
+from lociflow.plans import adapters, dispatch
 from lociflow.sources import readers, writers
 
 
@@ -153,6 +153,17 @@ def test_ehh_of_identical_haplotypes():
     assert relations.ehh_walk(pos, g, 2) == pytest.approx(400)
 
 
+def test_ehh_focal_sites(spark, sf):
+    from lociflow import registry
+
+    rows = [("c", p, i, 0.9, 0.06, 0.04) for p in range(300, 12300, 400) for i in range(4)]
+    gl = spark.createDataFrame(rows, "chrom string, pos long, sample_idx int, gl0 double, gl1 double, gl2 double")
+    at = lambda every: sorted(r["pos"] for r in relations.xp_ehh(gl, [0, 1], [2, 3], every, smallest=2).collect())
+    assert at(1) == list(range(300, 12300, 400)) and at(7) == list(range(300, 12300, 2800))
+    sites = {(r["chrom"], r["pos"]) for r in adapters.gl(spark, sf).select("chrom", "pos").distinct().collect()}
+    assert {(r["chrom"], r["pos"]) for r in registry.queries()["rel_xp_ehh"](spark, sf).collect()} == sites
+
+
 def test_structure_classes(spark):
     seqs = {"few": "ab", "same": "aaaa", "dom": "aaaaaaaaab", "two": "aaaabbbb", "frag": "abcabcabcabc", "grad": "aaaaaabbbbbccc"}
     rows = [(k, i, x) for k, s in seqs.items() for i, x in enumerate(s)]
