@@ -51,6 +51,8 @@ LIST_MOST = 24
 CHUNK = 500_000
 FILTER_BITS = 24
 SHARED_BITS = 27
+#: Hashes of repeated rows up to which they are broadcast.
+BROADCAST_HASHES = 100_000
 U = np.uint64
 
 
@@ -362,7 +364,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each set of equal rows. Only rows whose hash comes again are compared and moved."""
+    h = F.xxhash64(*docs.columns)
+    again, _ = cut(docs.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h"), "again")
+    n = again.count()
+    if not n:
+        return docs
+    small, marked = F.broadcast(again) if n <= BROADCAST_HASHES else again, docs.withColumn("_h", h)
+    return marked.join(small, "_h", "left_anti").unionByName(marked.join(small, "_h", "left_semi").dropDuplicates()).select(*docs.columns)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one of the least doc_id. Documents without words stay."""
+    """One document of each component: the one of the least doc_id. Documents without words stay, and so do those without a doc_id;
+    of equal rows, with or without a doc_id, one stays."""
+    docs = once(docs)
     gone = near_duplicates(docs, k, percent).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -102,11 +102,18 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
     return {s: [prefixes[s, k] << bits * (levels - depth[s, k]) for k in range(len(bs))] for s, bs in budgets.items()}
 
 
-def mix(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken. Sources in order of their code points, null last,
-    weigh `weights` in turn and share `share` of all words."""
+def _hash(key: str, seed: int) -> Column:
+    return F.xxhash64(F.col(key), F.lit(seed))
+
+
+def _copies(h: Column) -> Column:
+    return F.col("whole") + (F.shiftrightunsigned(h, 64 - HASH_BITS) < F.col("below")).cast("int")
+
+
+def _mixed(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The documents as doc_id, source, size, h, and one row for each source: name, source_size, target, whole, below."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _hash(key, seed).alias("h"))
     sized, _ = cut(sized, "sizes")  # texts are read once; the passes below read four short columns
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
@@ -115,20 +122,30 @@ def mix(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...]
     targets = water_filled(sizes, w, share * sum(sizes), most)
     whole = [int(t // n) if n else 0 for t, n in zip(targets, sizes, strict=True)]
     rest = [t - q * n for t, q, n in zip(targets, whole, sizes, strict=True)]
-    table = spark.createDataFrame([(i, s, n, float(t), q) for i, (s, n, t, q) in enumerate(zip(names, sizes, targets, whole, strict=True))], "sid int, name string, source_size long, target double, whole int")
     small = F.broadcast if len(names) <= BROADCAST_SOURCES else (lambda x: x)
-    known = sized.join(small(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    known = sized.join(small(spark.createDataFrame([(i, s) for i, s in enumerate(names)], "sid int, name string")), F.col("source").eqNullSafe(F.col("name")))
     limit = thresholds(known.select("sid", "size", "h"), {i: [r] for i, r in enumerate(rest) if r > 0})
-    below = spark.createDataFrame([(i, limit[i][0] if i in limit else 0) for i in range(len(names))], "sid int, below long")
-    extra = (F.shiftrightunsigned("h", 64 - HASH_BITS) < F.col("below")).cast("int")
-    return known.join(small(below), "sid").withColumn("copies", F.col("whole") + extra).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    table = spark.createDataFrame([(s, n, float(t), q, limit[i][0] if i in limit else 0) for i, (s, n, t, q) in enumerate(zip(names, sizes, targets, whole, strict=True))], "name string, source_size long, target double, whole int, below long")
+    return sized, small(table)
+
+
+def mix(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken. Sources in order of their code points, null last,
+    weigh `weights` in turn and share `share` of all words."""
+    sized, table = _mixed(docs, share, weights, most, key, text, source, seed)
+    known = sized.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumn("copies", _copies(F.col("h")))
+    return known.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mix(docs).select("doc_id", "copies").filter("copies > 0")
-    return docs.join(copies, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 3) -> DataFrame:
+    """Every row as often as the mix takes it. A row finds its copies by its own source and hash, so rows without a doc_id are taken like
+    others, and rows that share one each have their own copies."""
+    _, table = _mixed(docs, seed=seed)
+    row = F.struct(*docs.columns)  # names of docs and of the table may be the same
+    each = docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), _hash("doc_id", seed).alias("h"))
+    taken = each.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumn("copies", _copies(F.col("h")))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

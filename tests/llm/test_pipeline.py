@@ -1,5 +1,7 @@
 """Each stage on its own input against what it promises."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,15 @@ def test_mixing_stage(steps):
 def test_sharding_stage(steps):
     assert steps[5].count() == steps[4].count()
     assert steps[5].groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_null_and_repeated_ids(spark, sf):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, words(i, 20), "en", "ab"[i % 2], 1) for i in range(40)]
+    rows += [(None, words(100 + i, 20), "en", "b", 1) for i in range(3)] + [(7, words(200 + i, 20), "en", "b", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(df).collect()}
+    got = Counter(map(tuple, mixing.stage(spark, df, sf).collect()))
+    assert got == Counter({r: copies[r[0], r[3]] for r in rows if copies[r[0], r[3]]}) and any(r[0] is None for r in got)
+    again = df.unionByName(df.filter("doc_id is null or doc_id in (3, 7)")).unionByName(df.filter("doc_id is null"))
+    assert sorted(map(str, jaccard.stage(spark, again, sf).collect())) == sorted(map(str, df.collect()))
