@@ -46,7 +46,7 @@ QUERIES = {
     "codon_pair_k80": lambda s, d: rounded(_yn(s, d), 5),
     "codon_kappa": lambda s, d: rounded(_kappa(s, d), 5),
     "codon_diversity": lambda s, d: rounded(co.diversity(co.codon_diversity(haplotypes(s, d), ["locus"]), ["locus"], coverage(s)), 5),
-    "codon_bootstrap": lambda s, d: rounded(co.codon_bootstrap(co.codon_diversity(haplotypes(s, d), ["locus"]), ["locus"], 20), 5),
+    "codon_bootstrap": lambda s, d: rounded(co.codon_bootstrap(co.codon_diversity(haplotypes(s, d), ["locus"]), ["locus"]), 5),
 }
 
 

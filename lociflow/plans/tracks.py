@@ -73,7 +73,7 @@ QUERIES = {
     "scan_candidates_vs_flanks": lambda s, d: rounded(_flanks(s, d), 5),
     "scan_candidates_excluding_overlaps": lambda s, d: rounded(_flanks(s, d, True), 5),
     "scan_regions_vs_rest": lambda s, d: rounded(scan.regions_against_rest(ad.track(s, d), ["stat", "n_variants"], "chrom"), 5),
-    "scan_permutation_test": lambda s, d: rounded(scan.candidates_against_flanks(candidates(s), ad.track(s, d), ["stat"], 5 * DAY, permutations=200), 5),
+    "scan_permutation_test": lambda s, d: rounded(scan.candidates_against_flanks(candidates(s), ad.track(s, d), ["stat"], 5 * DAY, permutations=1000), 5),
     "scan_bootstrap_mean": lambda s, d: rounded(scan.bootstrap(ad.track(s, d).withColumn("v", F.col("stat")), ["chrom"], ["start"], replicates=200), 5),
     "scan_bootstrap_block_median": lambda s, d: rounded(scan.bootstrap(ad.track(s, d).withColumn("v", F.col("stat")), ["chrom"], ["start"], replicates=100, block=4, statistic="median"), 5),
     "scan_binned_z": lambda s, d: rounded(scan.z_scores(ad.track(s, d).withColumn("bin", F.floor(F.col("n_variants") / 10)), "stat", ["bin"]), 5),

@@ -121,6 +121,18 @@ def test_bootstrap_of_constant(spark):
     assert (r["observed"], r["boot_mean"], r["ci_low"], r["ci_high"], r["boot_sd"]) == (3, 3, 3, 3, 0)
 
 
+def test_queries_resample_by_default(spark, sf, monkeypatch):
+    from lociflow.plans import codons as codon_plans
+    from lociflow.plans import tracks
+
+    seen = []
+    monkeypatch.setattr(codon_plans.co, "codon_bootstrap", lambda df, by, replicates=1000: seen.append(replicates) or df.select(*by))
+    codon_plans.QUERIES["codon_bootstrap"](spark, sf)
+    monkeypatch.setattr(tracks.scan, "candidates_against_flanks", lambda *a, permutations, **k: seen.append(permutations) or a[0])
+    tracks.QUERIES["scan_permutation_test"](spark, sf)
+    assert seen == [1000, 1000]
+
+
 def test_nearest_gene(spark):
     g = spark.createDataFrame([("c", 100, 200, "g1", 1), ("c", 400, 500, "g2", 2), ("c", 150, 160, "g3", 3)], "chrom string, start long, end long, gene_id string, ord long")
     r = spark.createDataFrame([("c", 1, 290, 310), ("c", 2, 140, 170), ("c", 3, 800, 810), ("d", 4, 1, 2), ("c", 5, 0, 2)], "chrom string, region int, start long, end long")
