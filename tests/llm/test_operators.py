@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -74,6 +75,40 @@ def test_false_discovery_bins():
     assert secrets.rejection_bin({}, 0.05) == secrets.BINS + 1
 
 
+def test_secrets_reported_by_length(spark):
+    """Planted random keys among ordinary long tokens: found by length, and few others are."""
+    r = np.random.default_rng(11)
+    ordinary = "Donaudampfschifffahrtsgesellschaft getElementsByTagNameAndAttribute /usr/share/lib/python/packages some-long-name-with-dashes internationalization_of_names AN_UPPER_CASE_CONSTANT_NAME aaaaaaaaaaaaaaaaaaaaaaaaa 20240101120000999999999".split()
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    rows, keys = [], {}
+    for i in range(300):
+        n = (20, 28, 40)[i % 3]
+        keys[i] = "".join(r.choice(letters, n))
+        rows.append((i, " ".join(r.choice(ordinary, 6)) + [" ", " AUTH_KEY=", " a_b/", " é𝒳 sig="][i % 4] + keys[i] + " " + " ".join(r.choice(ordinary, 6)), "s"))
+    hit, wrong = Counter(), 0
+    for x in secrets.secrets(frame(spark, rows)).collect():
+        t = rows[x["doc_id"]][1]
+        for a in x["added"]:
+            v = t[a["start"] : a["end"]]
+            hit[len(keys[x["doc_id"]])] += v == keys[x["doc_id"]]
+            wrong += v != keys[x["doc_id"]]
+    assert hit[20] >= 60 and hit[28] >= 85 and hit[40] >= 90, hit
+    assert wrong <= 0.1 * sum(hit.values())
+
+
+def test_secrets_take_linear_time(spark):
+    r = np.random.default_rng(12)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    took = []
+    for n in (1_000, 20_000):
+        df = frame(spark, [(1, " ".join("".join(x) for x in r.choice(letters, (n, 22))), "s")])
+        began = time.time()
+        assert secrets.spans_of(F.col("text"), secrets.TOKEN, "random") is not None and df.select(F.size(secrets.spans_of(F.col("text"), secrets.TOKEN, "random"))).first()[0] == n
+        took.append(time.time() - began)
+    assert took[1] < 20
+    assert [r["start"] for r in spark.sql("select array(3, 1, 4, 1, 5, 9, 2) as x").select(F.explode(secrets.running_sums(F.col("x"))).alias("start")).collect()] == [3, 4, 8, 9, 14, 23, 25]
+
+
 # ---- 2
 
 def test_pii_base_linear_and_equal():
