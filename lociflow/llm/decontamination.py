@@ -1,14 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-Words are lower-cased runs of letters and digits. Of each window of w neighbouring k-gram hashes the least is
-kept, on both sides; texts that share a span of w + k - 1 words share such a fingerprint. Fingerprints are
-joined, and each hit is extended: the words around it are held against the item's words, so that only spans
-that are equal word by word count. Items shorter than the span count as one window of their own length (k is
-that length and w is 1).
-
-Defined results: null and empty texts have no words, no hits and the digest of an empty list; items without
-words match nothing; equal rows get equal results; rows that share doc_id but not text are told apart by
-their text; an empty benchmark leaves every document clean; other columns are ignored.
+Words are lower-cased runs of letters and digits. Of each window of w neighbouring k-gram hashes the least is kept, on both sides;
+texts that share a span of w + k - 1 words share such a fingerprint. Documents are read once: their fingerprints meet the
+benchmark's, and a hit is extended to all spans of w + k - 1 words around it. These few spans alone leave the document, and only
+those that equal a span of an item word by word count. Items shorter than the span count as one window of their own length (k is
+that length and w is 1). A span's items are gathered before documents meet it, so that a passage of many items and many
+documents does not multiply rows.
+
+Defined results: null and empty texts have no words, no hits and the digest of an empty list; items without words match nothing;
+equal rows get equal results; rows that share doc_id but not text are told apart by their text, and a null doc_id is a value like
+any other; an empty benchmark leaves every document clean; other columns are ignored, and `stage` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.native import indices, let, lower_ascii, sha256_hex
+from lociflow.llm.native import free_names, indices, let, lower_ascii, sha256_hex
+from lociflow.llm.storage import cut, only
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word in either case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN, K = 10, 6
-#: Fingerprints of the benchmark up to which they are broadcast (about 200 bytes each with their windows); above, the join shuffles.
+#: Rows of a benchmark table up to which it is broadcast (a hash, or ten words); above, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
@@ -28,66 +32,111 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), SEPARATORS), "")
 
 
-def _grams(w: Column, k: int) -> Column:
-    """Hashes of all k-grams of the words w, by position."""
-    return F.transform(indices(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))
+def _grams(h: Column, k: int) -> Column:
+    """Hashes of all k-grams of words with the hashes h, by position."""
+    return F.transform(indices(F.size(h) - (k - 1)), lambda i: F.xxhash64(*[h[i + j] for j in range(k)]))
 
 
-def fingerprints(w: Column, k: int, window: int) -> Column:
-    """The least of each `window` neighbouring k-gram hashes, each once."""
-    return let(_grams(w, k), lambda g: g if window == 1 else F.array_distinct(F.transform(indices(F.size(g) - (window - 1)), lambda i: F.array_min(F.slice(g, i + 1, window)))))
+def _least_somewhere(g: Column, p: Column, window: int) -> Column:
+    """Whether the gram at p is the least of one of the windows that hold it."""
+    starts = F.filter(F.sequence(F.greatest(F.lit(0), p - (window - 1)), p), lambda i: i + window <= F.size(g))
+    return F.exists(starts, lambda i: F.array_min(F.slice(g, i + 1, window)) == g[p])
 
 
-def _item_fingerprints(items: DataFrame, k: int, length: int) -> DataFrame:
-    """h, item_id and the windows of `length` words that contain the k-gram: offset of the k-gram in it, and its words."""
-    window = length - k + 1
-    placed = items.withColumn("g", _grams(F.col("w"), k)).select("item_id", "w", F.explode(F.transform(indices(F.size("g") - (window - 1)), lambda i: let(F.slice("g", i + 1, window), lambda s: let(F.array_min(s), lambda m: F.struct(m.alias("h"), (i + F.array_position(s, m) - 1).cast("int").alias("q")))))).alias("f")).select("item_id", "w", "f.h", "f.q").distinct()
-    around = F.transform(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: (F.col("q") - d >= 0) & (F.col("q") - d + length <= F.size("w"))), lambda d: F.struct(d.alias("d"), F.slice("w", F.col("q") - d + 1, length).alias("words")))
-    return placed.select("h", "item_id", around.alias("windows"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, text_hash, start, length, item_id: every place in a document where a window of an item stands."""
-    items = benchmark.select(F.col(item).alias("item_id"), words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
+def _benchmark(benchmark: DataFrame, span: int, k: int, item: str, item_text: str) -> tuple[list[int], DataFrame, DataFrame]:
+    """Lengths of the items shorter than span; fingerprints h; and every window (its words) with the items that hold it."""
+    items, _ = cut(benchmark.select(F.col(item).cast("string").alias("item_id"), words(F.col(item_text)).alias("w")).filter(F.size("w") > 0), "items")
     short = sorted(r[0] for r in items.filter(F.size("w") < span).select(F.size("w")).distinct().collect())  # at most span - 1 numbers
-    keyed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("w"))
-    found = None
-    for length in [*short, span]:
-        gram = k if length == span else length
-        own = items.filter(F.size("w") >= span) if length == span else items.filter(F.size("w") == length)
-        table = _item_fingerprints(own, gram, length)
-        small = F.broadcast if table.count() <= BROADCAST_ROWS else (lambda x: x)
-        marks = table.select("h").distinct()
-        own_marks = keyed.filter(F.size("w") >= length).select("doc_id", "text_hash", F.explode(fingerprints(F.col("w"), gram, length - gram + 1)).alias("h"))
-        hit = own_marks.join(small(marks), "h").groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("hs"))
-        again = keyed.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_t").join(hit, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_hash"))).drop("_d", "_t")
-        at = let(_grams(F.col("w"), gram), lambda g: F.transform(F.filter(indices(F.size(g)), lambda i: F.array_contains(F.col("hs"), g[i])), lambda i: F.struct(i.alias("p"), g[i].alias("h"))))
-        places = again.select("doc_id", "text_hash", "w", F.explode(at).alias("x")).select("doc_id", "text_hash", "w", "x.p", "x.h")
-        starts = F.transform(F.filter("windows", lambda x: (F.col("p") - x["d"] >= 0) & (F.slice("w", F.greatest(F.col("p") - x["d"], F.lit(0)) + 1, F.lit(length)) == x["words"])), lambda x: F.col("p") - x["d"])
-        extended = places.join(small(table), "h").select("doc_id", "text_hash", "item_id", F.explode(starts).alias("start")).withColumn("length", F.lit(length))
-        found = extended if found is None else found.unionByName(extended)
-    return found.distinct()
+    marks = None
+    for n in [*short, span]:
+        own = items.filter(F.size("w") >= span) if n == span else items.filter(F.size("w") == n)
+        gram = k if n == span else n
+        size = n - gram + 1
+        h = let(F.transform("w", lambda x: F.xxhash64(x)), lambda x: let(_grams(x, gram), lambda g: F.transform(indices(F.size(g) - (size - 1)), lambda i: F.array_min(F.slice(g, i + 1, size)))))
+        one = own.select(F.explode(h).alias("h"))
+        marks = one if marks is None else marks.unionByName(one)
+    at = F.transform(indices(F.greatest(F.size("w") - (span - 1), F.lit(1))), lambda i: F.slice("w", i + 1, span))
+    windows = items.select("item_id", F.explode(at).alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return short, cut(marks.distinct(), "marks")[0], cut(windows.withColumn("owners", F.xxhash64("items")), "windows")[0]
+
+
+def _places(docs: DataFrame, short: list[int], marks: DataFrame, span: int, k: int) -> DataFrame:
+    """doc_id, text_hash and the places (length of the window, first word of the gram) of all grams of a document that are fingerprints
+    of the benchmark. Rows that leave the scan hold no words."""
+    def made(w: Column) -> Column:
+        long = lambda h: F.when(F.size(h) >= span, _grams(h, k)).otherwise(F.array().cast("array<bigint>"))
+        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(F.size(w).alias("n"), F.concat(long(h), *[_grams(h, n) for n in short]).alias("all")))
+
+    # bound by let and exploded with outer: predicates that the optimizer pushes down would copy what they name into lambdas
+    row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), let(words(F.col("text")), made).alias("x")).select("doc_id", "text_hash", "x.n", "x.all")
+    met = row.select("doc_id", "text_hash", "n", F.posexplode_outer("all").alias("p", "h")).join(_small(marks), "h")
+    # the place in `all` tells the length and the first word
+    own = F.when(F.col("n") >= span, F.col("n") - (k - 1)).otherwise(0)
+    length, place, first = F.when(F.col("p") < own, F.lit(span)), F.when(F.col("p") < own, F.col("p")), own
+    for n in short:
+        after = first + F.greatest(F.col("n") - (n - 1), F.lit(0))
+        length, place, first = length.when(F.col("p") < after, F.lit(n)), place.when(F.col("p") < after, F.col("p") - first), after
+    return met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct(length.cast("int").alias("length"), place.cast("int").alias("p")))).alias("places"))
+
+
+def _hits(docs: DataFrame, short: list[int], marks: DataFrame, windows: DataFrame, span: int, k: int) -> DataFrame:
+    """doc_id, text_hash, start, length, owners of every place in a document where a window of an item stands. docs: doc_id, text. Only
+    documents that share a fingerprint are tokenized again, and only their texts move."""
+    places, _ = cut(_places(docs, short, marks, span, k), "places")
+    hashed = only(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), places.select("text_hash"), "text_hash", BROADCAST_ROWS).distinct()
+    near = hashed.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))).select("d.doc_id", "d.text_hash", "text", "places")
+
+    def around(w: Column) -> Column:
+        """start and words of the windows around the places."""
+        def of(x: Column, g: Column) -> Column:
+            long = x["length"] == span
+            starts = F.filter(F.sequence(F.when(long, F.greatest(F.lit(0), x["p"] - (span - k))).otherwise(x["p"]), x["p"]), lambda i: i + x["length"] <= F.size(w))
+            return F.when(~long | _least_somewhere(g, x["p"], span - k + 1), F.transform(starts, lambda i: F.struct(i.alias("start"), x["length"].alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
+
+        grams = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _grams(h, k))
+        return let(grams, lambda g: F.transform(F.array_distinct(F.flatten(F.transform("places", lambda x: of(x, g)))), lambda x: F.struct(x["start"].alias("start"), F.slice(w, x["start"] + 1, x["length"]).alias("words"))))
+
+    each = near.select("doc_id", "text_hash", let(words(F.col("text")), around).alias("x")).select("doc_id", "text_hash", F.explode_outer("x").alias("x")).select("doc_id", "text_hash", "x.start", "x.words")
+    return each.join(_small(windows.select("words", "owners")), "words").select("doc_id", "text_hash", "start", F.size("words").alias("length"), "owners")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, text_hash, start, length, owners: the places of windows of items, and a number for the set of items that hold the window."""
+    short, marks, windows = _benchmark(benchmark, span, k, item, item_text)
+    return _hits(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), short, marks, windows, span, k).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items (ids as strings, sorted), spans (starts and lengths in words), contaminated."""
-    got = matches(docs, benchmark, span, k, key, text, item, item_text).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    short, marks, windows = _benchmark(benchmark, span, k, item, item_text)
+    base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    found = _hits(base, short, marks, windows, span, k).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("owners").alias("owners"))
+    found, _ = cut(found, "hits")
+    owners = windows.groupBy("owners").agg(F.first("items").alias("items"))
+    items = found.select("doc_id", "text_hash", F.explode("owners").alias("owners")).join(owners, "owners").groupBy("doc_id", "text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(a["reach"], x["start"]))).alias("n"), F.greatest(a["reach"], x["start"] + x["length"]).alias("reach")))["n"]
-    got = got.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "spans", "items", covered.alias("n_hit"))
-    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    got = found.alias("f").join(items.alias("i"), same("f", "i")).select("f.doc_id", "f.text_hash", "spans", "items", covered.alias("n_hit"))
+    counted = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return base.join(got, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_hash")), "left").select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), "spans", F.col("n_hit").isNotNull().alias("contaminated"))
+    return counted.alias("d").join(got.alias("g"), same("d", "g"), "left").select("d.doc_id", "d.text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), "spans", F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return got.select("doc_id", "n_words", "n_hit", F.greatest("n_items", F.lit(0)).cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+    return got.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no window of the benchmark stands."""
-    hits = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_t")), "left_anti")
+    """The documents in which no window of the benchmark stands, as they are: rows without text, without a doc_id and repeated rows too;
+    rows that share a doc_id are judged each by its own text; columns may have any names."""
+    d, t = free_names(docs, 2)
+    hits = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(t)), "left_anti")
 
 
 _W = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lociflow.llm import bytescan as bs
 from lociflow.llm import storage
 from lociflow.llm.components import components
-from lociflow.llm.storage import cut, drop
+from lociflow.llm.storage import cut, drop, only
 
 COUNTER_BITS = 20
 #: Share of the range of hashes, from 0, that counters cover: first shingles of a set of some size have small hashes.
@@ -49,7 +49,6 @@ SCAN_COST = 8
 LIST_MOST = 24
 #: Shingles of a chunk.
 CHUNK = 500_000
-FILTER_BITS = 24
 SHARED_BITS = 27
 #: Hashes of repeated rows up to which they are broadcast.
 BROADCAST_HASHES = 100_000
@@ -246,17 +245,6 @@ def _dealt(homes: DataFrame, salt: int) -> DataFrame:
     return homes.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")).cast("int"))
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids. A bitmap of FILTER_BITS hashed ids, of the same size for any input, is broadcast and
-    drops most other rows before the join, so that their texts don't move."""
-    at = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
-    words = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    marked = docs.withColumn("_at", at).withColumn("_word", F.floor(F.col("_at") / 64))
-    near = marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
-    return near.join(ids, "doc_id", "left_semi")
-
-
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, made: list[str]) -> DataFrame:
     """a, b: links between representatives, as many as connect every component. reps: doc_id, n, keys. Paths of the tables that the
     result reads are added to made."""

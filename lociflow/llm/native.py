@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,7 +21,20 @@ def indices(n: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """A-Z in lower case; texts of ASCII alone take the short way."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out, i = [], 0
+    while len(out) < n:
+        if f"_c{i}_" not in taken:
+            out.append(f"_c{i}_")
+        i += 1
+    return out
 
 
 def sha256_hex(text: Column) -> Column:

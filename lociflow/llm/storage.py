@@ -8,8 +8,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Bits of the bitmap of only(): 2 MB.
+FILTER_BITS = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +41,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 0) -> DataFrame:
+    """The rows whose key is in ids, nulls in neither. Up to `most` ids are broadcast. Of more, a bitmap of FILTER_BITS hashed ids, of the
+    same size for any input, is broadcast and drops most other rows before the join, so that these don't move."""
+    ids = ids.select(key).distinct()
+    if most and ids.count() <= most:
+        return rows.join(F.broadcast(ids), key, "left_semi")
+    at = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    words = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_at", at).withColumn("_word", F.floor(F.col("_at") / 64))
+    near = marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    return near.join(ids, key, "left_semi")
