@@ -4,9 +4,11 @@ A page is parsed into a tree of elements. Each element has features (its own and
 density, attribute tokens, depth, siblings, what stands above it), and boosted trees give its log-odds of holding
 main text. A pass up and down the tree then picks the best labels of all elements together: outside (may hold the
 article), article, or cut out of the article (all below is cut too). So nothing outside hangs below a cut element and no
-cut element holds text that is kept. The text of article elements is returned in page order.
+cut element holds text that is kept. Inline elements without a telling name have no say of their own: they go with what they
+stand in, formulas and drawings too. The text of article elements is returned in page order.
 
-The trees are trained on pages composed by rule (`composed`), with the labels that the rule gives.
+The trees are trained on pages composed by rule (`composed`), with the labels that the rule gives: articles in elements of any
+kind, in layout tables, in divs without a name, straight in the body and in pages without one, with and without anything beside them.
 
 Defined results: null and empty html give an empty text; character references are decoded by the rules of HTML 5;
 runs of white space become one space, between blocks too; broken markup is read as far as it goes, text of any length is
@@ -25,18 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import gbdt
+from lociflow.llm import gbdt, models
 
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object canvas".split())
+#: Scripts, styles, forms' fields and what is not shown: never text of an article.
+RAW = frozenset("script style noscript template textarea title iframe select option button label legend".split())
 TEXT_ONLY = frozenset("script style textarea title".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements that begin and end a block; all others are inline.
+BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
 #: Fixed cue words in class, id and role.
 GOOD = frozenset("article content main post entry story body text page single hentry prose read copy blog news".split())
 BAD = frozenset("nav menu sidebar side footer foot header head ad ads advert advertisement adv banner cookie cookies consent notice alert comment comments respond reply discussion disqus promo promotion related recommended recommend share sharing social popup modal newsletter subscribe signup login breadcrumb breadcrumbs widget form search sponsor sponsored tags meta pagination pager toolbar topbar masthead legal copyright navbar links skip hidden overlay gdpr".split())
+#: Fixed cue words of notices in texts.
+CUES = re.compile(r"(?i)\u00a9|&copy;|copyright|all rights reserved|cookies?\\b|advertisement|sponsored|subscribe|newsletter|log ?in\\b|sign (?:up|in)\\b|share this|privacy policy|terms of")
 GROUPS = ("article main section", "div", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "nav menu", "header", "footer", "aside", "form fieldset input label select button textarea", "ul ol dl", "li dt dd", "a", "table tbody thead tr td th", "html body", "head meta link", "script style noscript template iframe svg title", "figure figcaption")
 _group = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 
@@ -62,7 +68,7 @@ class Tree:
             while len(stack) > 1:
                 t = self.tag[stack.pop()]
                 opened[t] -= 1
-                if t not in INLINE:
+                if t in BLOCK:
                     self.events.append((stack[-1], None))
                 if t == upto or t in one_of:
                     return
@@ -97,7 +103,7 @@ class Tree:
                 continue
             if name in CLOSES_P and opened.get("p"):
                 k = len(stack) - 1
-                while k > 0 and self.tag[stack[k]] in INLINE:
+                while k > 0 and self.tag[stack[k]] not in BLOCK:
                     k -= 1
                 if self.tag[stack[k]] == "p":
                     shut("p")
@@ -111,7 +117,7 @@ class Tree:
                     good += bool(own & GOOD)
                     bad += bool(own & BAD)
                 bad += bool(_hidden.search(attrs))
-            if name not in INLINE:
+            if name in BLOCK:
                 self.events.append((stack[-1], None))
             if name in VOID:
                 continue
@@ -132,24 +138,25 @@ class Tree:
                 opened[name] = opened.get(name, 0) + 1
 
 
-COLUMNS = 30
-
-
 def features(t: Tree) -> np.ndarray:
     n = len(t.tag)
     parent = np.array(t.parent)
-    text, punct = np.zeros(n), np.zeros(n)
+    text, punct, cue, here = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    last = 0.0
     for i, s in t.events:
         if s is not None:
             k = len(s) - s.count(" ")
             text[i] += k
             punct[i] += s.count(".") + s.count(",")
+            cue[i] += CUES.search(s) is not None
+            if not here[i]:
+                here[i] = last + 1
+            last += k
     group = np.array([_group.get(x, 17) for x in t.tag])
     link = np.where(group == 11, 1.0, 0.0)
     good, bad, depth = np.array(t.good, float), np.array(t.bad, float), np.array(t.depth, float)
     kids, index, tags, ptext = np.zeros(n), np.zeros(n), np.ones(n), np.zeros(n)
     sub, subl, subp, subpara = text.copy(), text * link, punct.copy(), np.where(group == 2, text, 0)
-    para = subpara.copy()
     p = t.parent
     for i in range(n - 1, 0, -1):  # children come after parents
         j = p[i]
@@ -159,6 +166,9 @@ def features(t: Tree) -> np.ndarray:
         subpara[j] += sub[i] if group[i] == 2 else subpara[i]
         tags[j] += tags[i]
         kids[j] += 1
+        cue[j] += cue[i]
+        if here[i] and (not here[j] or here[i] < here[j]):
+            here[j] = here[i]
         if group[i] == 2:
             ptext[j] += sub[i]
     in_good, in_bad, in_link, in_list = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
@@ -178,7 +188,7 @@ def features(t: Tree) -> np.ndarray:
     total = max(1.0, sub[0])
     par = np.maximum(parent, 0)
     log = np.log1p
-    x = np.stack([group, good, bad, depth, log(text), log(sub), subl / np.maximum(sub, 1), sub / tags, kids, index, kids[par], sub / total, sub / np.maximum(sub[par], 1), subp / np.maximum(sub, 1), log(ptext), in_good, in_bad, in_link, in_list, in_article, in_edge, in_form, group[par], log(sub[par]), subl[par] / np.maximum(sub[par], 1), good[par], bad[par], subpara / np.maximum(sub, 1), tags, np.full(n, log(total))], 1)
+    x = np.stack([group, good, bad, depth, log(text), log(sub), subl / np.maximum(sub, 1), sub / tags, kids, index, kids[par], sub / total, sub / np.maximum(sub[par], 1), subp / np.maximum(sub, 1), log(ptext), in_good, in_bad, in_link, in_list, in_article, in_edge, in_form, group[par], log(sub[par]), subl[par] / np.maximum(sub[par], 1), good[par], bad[par], subpara / np.maximum(sub, 1), tags, np.full(n, log(total)), cue, here / total, (here + sub) / total], 1)
     return x
 
 
@@ -187,12 +197,18 @@ OUT, IN, CUT = 0, 1, 2
 
 def decode(t: Tree, margin: np.ndarray) -> np.ndarray:
     """The labels of greatest sum: below outside stand outside and article, below article stand article and cut, below
-    cut stands cut."""
+    cut stands cut. Inline elements in running text, without a telling name, weigh nothing, so they get the label of what they stand in."""
     n = len(t.tag)
+    running, flows = [False] * n, [False] * n
+    for i, s in t.events:
+        running[i] |= s is not None and not s.isspace()
+    for i in range(1, n):
+        flows[i] = t.tag[i] not in BLOCK and not t.bad[i] and (running[t.parent[i]] or flows[t.parent[i]])
     yes = -np.logaddexp(0, -margin)
     no = -np.logaddexp(0, margin)
-    dead = [x in RAW for x in t.tag]
-    score = [[a, -1e6 if d else b, a] for a, b, d in zip(no.tolist(), yes.tolist(), dead, strict=True)]
+    score = []
+    for x, a, b, flow in zip(t.tag, no.tolist(), yes.tolist(), flows, strict=True):
+        score.append([a, -1e6, a] if x in RAW else [0.0, 0.0, 0.0] if flow else [a, b, a])
     p = t.parent
     for i in range(n - 1, 0, -1):
         o, k, c = score[i]
@@ -201,7 +217,7 @@ def decode(t: Tree, margin: np.ndarray) -> np.ndarray:
         up[IN] += max(k, c)
         up[CUT] += c
     out = [OUT] * n
-    out[0] = OUT
+    out[0] = IN if score[0][IN] > score[0][OUT] else OUT
     for i in range(1, n):
         o, k, c = score[i]
         above = out[p[i]]
@@ -213,29 +229,41 @@ def text_of(t: Tree, labels: np.ndarray) -> str:
     return " ".join("".join(" " if s is None else unescape(s) if labels[i] == IN else "" for i, s in t.events).split())
 
 
-def composed(n: int, seed: int) -> list[tuple[str, str]]:
-    """Pages made by rule: (html, main text). Articles stand in various elements, with and without telling names, beside
-    and around menus, headers, footers, asides, notices, adverts, forms and comments."""
+MARK = "\x01"
+
+
+def marked(n: int, seed: int) -> list[tuple[str, str]]:
+    """Pages made by rule: (html, main text). Every run of main text starts with MARK. Articles stand in elements of many kinds, with and
+    without telling names, and straight in the body, beside and around menus, headers, footers, asides, notices, adverts, forms and
+    comments; some pages hold the article alone."""
     r = np.random.default_rng(seed)
     pick = lambda s: s[int(r.integers(len(s)))]
     chance = lambda q: r.random() < q
     word = lambda: "".join(pick(["an", "er", "on", "th", "e", "in", "o", "re", "la", "sch", "qu", "é", "&"]) for _ in range(int(r.integers(1, 4)))) + pick(["", "", "", "", ".", ",", "###", "!!"])
     many = lambda a, b: " ".join(word() for _ in range(int(r.integers(a, b))))
+    esc = lambda s: escape(s, False)
     main: list[str] = []
 
     def keep(s: str) -> str:
         main.append(s)
-        return escape(s, False)
+        return MARK + esc(s)
 
     def links(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{word()}">{escape(many(1, 4), False)}</a></li>' for _ in range(k)) + "</ul>"
+        return "<ul>" + "".join(f'<li><a href="/{word()}">{esc(many(1, 4))}</a></li>' for _ in range(k)) + "</ul>"
 
     def cls(names: str) -> str:
         return f' {pick(["class", "id"])}="{pick(names.split())}"'
 
-    def junk(inside: bool) -> str:
-        k = int(r.integers(11))
-        t = escape(many(2, 25), False)
+    def plain() -> str:
+        """No name, or one that tells nothing."""
+        return cls("c1 x7 col row wrap left right inner box grid container page") if chance(0.4) else ""
+
+    def notice() -> str:
+        return pick(["&copy; 2020 {}", "Copyright 2021 {}", "{}. All rights reserved.", "Subscribe to our newsletter {}", "We use cookies {}", "About us {}", "Privacy policy {}", "Advertisement {}", "Log in {}"]).replace("{}", esc(many(0, 6)))
+
+    def junk() -> str:
+        k = int(r.integers(15))
+        t = esc(many(2, 25))
         if k == 0:
             return f"<nav{cls('nav menu top-nav') if chance(0.5) else ''}>{links(int(r.integers(2, 9)))}</nav>"
         if k == 1:
@@ -243,25 +271,40 @@ def composed(n: int, seed: int) -> list[tuple[str, str]]:
         if k == 2:
             return f"<div{cls('ad ads advert banner sponsored ad-slot promo')}>" + (f"<p>{t}</p>" if chance(0.4) else t) + "</div>"
         if k == 3:
-            return f"<aside{cls('sidebar side widget') if chance(0.6) else ''}><h3>{escape(many(1, 4), False)}</h3>" + (f"<p>{t}</p>" if chance(0.6) else links(4)) + "</aside>"
+            return f"<aside{cls('sidebar side widget') if chance(0.6) else ''}><h3>{esc(many(1, 4))}</h3>" + (f"<p>{t}</p>" if chance(0.6) else links(4)) + "</aside>"
         if k == 4:
             return f"<div{cls('cookie cookie-notice notice consent gdpr')}><p>{t}</p><button>OK</button></div>"
         if k == 5:
             return f'<form{cls("search signup newsletter login") if chance(0.6) else ""} action="/go"><label>{t}</label><input name="q"><button>{word()}</button></form>'
         if k == 6:
-            n_c = int(r.integers(1, 6))
-            tag = pick(["div", "section"])
-            return f"<{tag}{cls('comments comment-list discussion respond')}><h3>{escape(many(1, 4), False)}</h3>" + "".join(f"<div class=\"{pick(['comment', 'reply', 'c'])}\"><p>{escape(many(3, 40), False)}</p></div>" if chance(0.7) else f"<p>{escape(many(3, 40), False)}</p>" for _ in range(n_c)) + f"</{tag}>"
+            tag = pick(["div", "section", "ol", "ul"])
+            inner = "li" if tag in ("ol", "ul") else "div"
+            one = lambda: f"<{inner} class=\"{pick(['comment', 'reply', 'c'])}\"><p>{esc(many(3, 40))}</p></{inner}>" if chance(0.7) else f"<p>{esc(many(3, 40))}</p>"
+            return f"<{tag}{cls('comments comment-list discussion respond')}>" + (f"<h3>{esc(many(1, 4))}</h3>" if tag in ("div", "section") else "") + "".join(one() for _ in range(int(r.integers(1, 6)))) + f"</{tag}>"
         if k == 7:
             return f"<div{cls('related recommended share social tags')}>{links(3)}</div>"
         if k == 8:
             return f'<script>var x="</p>";{word()}</script><style>p{{margin:0}}</style>'
         if k == 9:
             return f"<!-- {t} --><noscript><p>{t}</p></noscript>"
-        return f"<div{cls('sidebar side-bar widget')}><p>{t}</p>{links(3)}</div>"
-
-    def block() -> str:
-        k = int(r.integers(12))
+        if k == 10:
+            return f"<div{cls('sidebar side-bar widget')}><p>{t}</p>{links(3)}</div>"
+        if k == 11:  # links in a row, without a name
+            return f"<{(tag := pick(['div', 'p', 'center']))}{plain()}>" + pick([" ", " | ", "<br>"]).join(f'<a href="/{i}">{esc(many(1, 3))}</a>' for i in range(int(r.integers(2, 9)))) + f"</{tag}>"
+        if k == 12:
+            return f"<div{plain()}>{links(int(r.integers(3, 9)))}</div>"
+        return f"<{(tag := pick(['div', 'p', 'small']))}{plain()}>{notice()}</{tag}>"
+
+    def formula() -> str:
+        a, b, c = many(3, 15), word(), many(3, 15)
+        inner = pick(["<math><mi>{}</mi></math>", "<math><mrow><mo>{}</mo></mrow></math>", "<svg viewBox='0 0 9 9'><text>{}</text></svg>", "<code>{}</code>", "<span>{}</span>", "<canvas>{}</canvas>", "<object>{}</object>", "<x-note>{}</x-note>"])
+        return f"<p>{keep(a)} {inner.replace('{}', keep(b))} {keep(c)}</p>"
+
+    def block(short: bool, wide: bool, inside: bool) -> str:
+        if inside and chance(0.06):  # articles may speak like notices
+            return f"<p>{pick(['', '<b>'])}{keep(unescape(notice()))}" + pick(["</p>", "<br>"])
+        k = int(r.integers(15))
+        long = (1, 12) if short else (30, 260) if wide else (5, 90)
         if k == 0:
             return f"<h2>{keep(many(1, 8))}</h2>"
         if k == 1:
@@ -271,80 +314,107 @@ def composed(n: int, seed: int) -> list[tuple[str, str]]:
         if k == 3:
             return f"<p><b>{keep(many(3, 20))}<br>"
         if k == 4:
-            a, b, c = many(2, 15), many(1, 3), many(2, 15)
-            main.append(f"{a} {b} {c}")
-            return f'<p>{escape(a, False)} <a href="/x">{escape(b, False)}</a> {escape(c, False)}</p>'
+            return f'<p>{keep(many(2, 15))} <a href="/x">{keep(many(1, 3))}</a> {keep(many(2, 15))}</p>'
         if k == 5:
-            return "<table><tr>" + "".join(f"<td>{keep(many(1, 5))}</td>" for _ in range(3)) + "</tr></table>"
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{keep(many(1, 5))}</td>" for _ in range(3)) + "</tr>" for _ in range(int(r.integers(1, 5)))) + "</table>"
         if k == 6:
             return f"<div><p>{keep(many(5, 50))}</p></div>"
-        return f"<p>{keep(many(1, 70))}" + ("</p>" if chance(0.8) else "")
+        if k == 7:
+            return formula()
+        if k == 8:
+            return f"<pre>{keep(many(3, 30))}</pre>"
+        if k == 9:
+            return f"<figure><img src='a.png'><figcaption>{keep(many(2, 12))}</figcaption></figure>"
+        return f"<p>{keep(many(*long))}" + ("</p>" if chance(0.8) else "")
+
+    def article(loose: bool, inside: bool) -> str:
+        """A title and blocks; loose: text with line breaks, without paragraphs."""
+        if loose:
+            head = f"<h1>{keep(many(1, 8))}</h1>" if chance(0.5) else ""
+            return head + pick(["<br>", "<br><br>"]).join(keep(many(5, 80)) for _ in range(int(r.integers(1, 7))))
+        body = [f"<h1>{keep(many(1, 8))}</h1>"] if chance(0.75) else []
+        if body and chance(0.15):
+            body = [f"<header>{body[0]}</header>"]
+        short, wide = chance(0.25), chance(0.15)
+        for _ in range(int(r.integers(1, 9)) if chance(0.9) else 1):
+            if chance(0.1):
+                body.append(junk())
+            body.append(block(short, wide, inside))
+        if chance(0.15):
+            body.append(junk())
+        if inside and chance(0.15):
+            body.append(f"<p>{keep(unescape(notice()))}</p>")
+        return "".join(body)
 
     out = []
     for _ in range(n):
         main.clear()
-        shell = pick(["<article>", "<article>", "<article{}>", "<main>", "<main><article>", "<div{}>", "<div{}>", '<div role="main">', "<section{}>", "<div{}><div>"]).replace("{}", cls("content article post entry post-body main-content story article-text"))
+        named = cls("content article post entry post-body main-content story article-text")
+        shell = pick(["<article>", "<article{}>", "<main>", "<main><article>", "<div{}>", "<div{}>", '<div role="main">', "<section{}>", "<div{}><div>", "<div>", "<div>", "<div><div>", "<section>", "<center>", "", "", "", ""]).replace("{}", named if chance(0.7) else plain())
         close = "".join(f"</{re.match('[a-z]+', x)[0]}>" for x in reversed(shell.split("<")[1:]))
-        head = [junk(False) for _ in range(int(r.integers(0, 5)))]
+        head = [junk() for _ in range(int(r.integers(0, 5)))]
         if chance(0.5):
-            head.insert(0, f"<header{cls('header top site-header') if chance(0.5) else ''}><h1>{escape(many(1, 4), False)}</h1>" + (junk(False) if chance(0.5) else f"<p>{escape(many(2, 9), False)}</p>") + "</header>")
-        title = many(1, 8)
-        body = [f"<h1>{keep(title)}</h1>"] if chance(0.8) else []
-        if body and chance(0.15):
-            body = [f"<header>{body[0]}</header>"]
-        for _ in range(int(r.integers(1, 9)) if chance(0.9) else 1):
-            if chance(0.07):
-                body.append(junk(True))
-            body.append(block())
-        if chance(0.1):
-            body.append(junk(True))
-        foot = [junk(False) for _ in range(int(r.integers(0, 4)))]
-        if chance(0.8):
-            foot.append(f"<footer{cls('footer site-footer') if chance(0.4) else ''}>&copy; {escape(many(2, 20), False)}</footer>")
+            head.insert(0, f"<header{cls('header top site-header') if chance(0.5) else ''}><h1>{esc(many(1, 4))}</h1>" + (junk() if chance(0.5) else f"<p>{esc(many(2, 9))}</p>") + "</header>")
+        inner = shell + article(chance(0.12), shell != "") + close
+        foot = [junk() for _ in range(int(r.integers(0, 4)))]
+        if chance(0.6):
+            foot.append(f"<footer{cls('footer site-footer') if chance(0.4) else ''}>&copy; {esc(many(2, 20))}</footer>")
+        elif chance(0.7):
+            foot.append(f"<div{cls('footer copyright legal') if chance(0.5) else plain()}>{notice()}</div>")
+        alone = chance(0.15)
+        if alone:
+            head, foot = [], []
+        if not alone and chance(0.12):  # a layout table
+            cells = ["".join(head), inner, "".join(foot)]
+            page = "<table>" + ("".join(f"<tr><td>{x}</td></tr>" for x in cells) if chance(0.5) else "<tr>" + "".join(f"<td>{x}</td>" for x in cells) + "</tr>") + "</table>"
+        else:
+            page = "".join(head) + inner + "".join(foot)
+        if chance(0.35):
+            page = f"<div{plain()}>{page}</div>"
+        if chance(0.85):
+            page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{esc(many(1, 8))}</title></head><body>{page}</body></html>"
         elif chance(0.5):
-            foot.append(f"<div{cls('footer copyright legal')}>{escape(many(2, 20), False)}</div>")
-        inner = "".join(head) + shell + "".join(body) + close + "".join(foot)
-        if chance(0.4):
-            inner = f"<div{cls('page wrapper container site') if chance(0.6) else ''}>{inner}</div>"
-        out.append((f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body>{inner}</body></html>", " ".join(" ".join(main).split())))
+            page = f"<body>{page}</body>"
+        out.append((page, " ".join(" ".join(main).split())))
     return out
 
 
-def _labels(t: Tree, main: str) -> tuple[np.ndarray, np.ndarray]:
-    """How many text runs below each element stand in the main text, and how many do not; by the order of the words."""
-    n, words = len(t.tag), main.split()
-    has, miss, at = np.zeros(n), np.zeros(n), 0
-    for i, s in t.events:
-        own = unescape(s).split() if s is not None else []
-        if not own:
-            continue
-        k = next((j for j in range(at, min(at + 1, len(words))) if words[j : j + len(own)] == own), None)
-        if k is None or t.tag[i] in RAW:
-            miss[i] += 1
-        else:
-            has[i], at = has[i] + 1, k + len(own)
-    for i in range(n - 1, 0, -1):
-        has[t.parent[i]] += has[i]
-        miss[t.parent[i]] += miss[i]
-    return has, miss
+def composed(n: int, seed: int) -> list[tuple[str, str]]:
+    return [(html.replace(MARK, ""), main) for html, main in marked(n, seed)]
 
 
 def train(pages: list[tuple[str, str]]) -> gbdt.Trees:
-    """An element counts as article if most of its text runs do and it is no wrapper around the whole page."""
-    xs, ys = [], []
-    for html, main in pages:
+    """Trees from marked pages. An element counts as article if most of its own text does, or else most of the text below it. Elements
+    with more text below weigh more, by the root of its length."""
+    xs, ys, ws = [], [], []
+    for html, _ in pages:
         t = Tree(html)
-        has, miss = _labels(t, main)
+        n = len(t.tag)
+        has, miss, own = np.zeros(n), np.zeros(n), np.zeros(n)
+        for i, s in t.events:
+            if s is not None and s.strip():
+                size = len(s.replace(MARK, "").strip())
+                (has if MARK in s else miss)[i] += size
+                own[i] += size if MARK in s else -size
+        for i in range(n - 1, 0, -1):
+            has[t.parent[i]] += has[i]
+            miss[t.parent[i]] += miss[i]
+        t.events = [(i, s if s is None else s.replace(MARK, "")) for i, s in t.events]
         xs.append(features(t))
-        top = has[0]
-        ys.append(((has > 0) & (has >= 2 * miss) & ~((has == top) & (miss > 0) & np.isin(np.array(t.tag), ["body", "html", "#"]))).astype(float))
-    return gbdt.fit(np.concatenate(xs), np.concatenate(ys))
+        ys.append(np.where(own > 0, True, (own == 0) & (has > 0) & (has >= 2 * miss)).astype(float))
+        ws.append(1 + np.sqrt(has + miss) / 16)
+    return gbdt.fit(np.concatenate(xs), np.concatenate(ys), trees=60, depth=5, weight=np.concatenate(ws))
+
+
+def trained(n: int = 1600, seed: int = 7) -> gbdt.Trees:
+    return train(marked(n, seed))
 
 
-@lru_cache(maxsize=2)
-def default_trees(n: int = 500, seed: int = 7) -> gbdt.Trees:
-    """Trained once a process; the same trees each time."""
-    return train(composed(n, seed))
+@lru_cache(maxsize=1)
+def default_trees() -> gbdt.Trees:
+    """The stored trees of trained()."""
+    got = models.load("html_text")
+    return gbdt.Trees(got["feature"], got["cut"], got["value"], float(got["base"]))
 
 
 def extract(htmls: list[str], trees: gbdt.Trees) -> list[str]:

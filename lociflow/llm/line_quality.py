@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.llm import models
+
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
 LEAST_SHARE = 0.5
@@ -201,10 +203,14 @@ def composed(n: int, seed: int) -> list[tuple[bytes, list[int]]]:
     return out
 
 
-@lru_cache(maxsize=2)
-def default_weights(n: int = 700, seed: int = 6) -> tuple[float, ...]:
-    """Trained once a process; the same weights each time."""
-    return tuple(train([(lines_of(raw)[0], labels) for raw, labels in composed(n, seed)], seed=seed))
+def trained(n: int = 700, seed: int = 6) -> np.ndarray:
+    return train([(lines_of(raw)[0], labels) for raw, labels in composed(n, seed)], seed=seed)
+
+
+@lru_cache(maxsize=1)
+def default_weights() -> tuple[float, ...]:
+    """The stored weights of trained()."""
+    return tuple(models.load("line_quality")["weights"])
 
 
 def rules(docs: DataFrame, least_share: float = LEAST_SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,8 +4,9 @@ Rules find base spans in whole texts. Beside them a bidirectional LSTM over char
 labelled spans, gives each character scores for the tags O, B-kind and I-kind. A span must hold a digit or an @, so
 only stretches around those characters are scored: every one of them, in windows of WINDOW characters that overlap
 by half. Scores of overlapping windows are averaged with weights that fall off towards a window's edges, and one
-Viterbi pass over the whole stretch, with the learned transitions, reconciles all windows. Decoded spans that pass
-the kind's check and touch no base span of their kind are added; base spans are never changed.
+Viterbi pass over the whole stretch, with the learned transitions, reconciles all windows. A decoded span is extended to the ends of
+the words it touches, however long, so that neither a stretch's edge nor a window's cuts it. Spans that pass the kind's check and
+touch no base span of their kind are added; base spans are never changed. The trained weights lie in the package (`models`).
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; equal rows get equal
 results; texts of any length are processed whole, in bounded batches of windows; an empty table gives an empty
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.llm import models
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE, HIDDEN, VOCAB = 64, 32, 20, 131
@@ -259,12 +262,16 @@ def labelled_spans(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     return out
 
 
-@lru_cache(maxsize=2)
-def default_tagger(n: int = 2400, seed: int = 2) -> Tagger:
-    """Trained once a process; the same weights each time."""
+def trained(n: int = 2400, seed: int = 2) -> Tagger:
     return train(labelled_spans(n, seed), seed)
 
 
+@lru_cache(maxsize=1)
+def default_tagger() -> Tagger:
+    """The stored weights of trained()."""
+    return Tagger(**models.load("pii"))
+
+
 # ---- decoding
 
 def stretches(text: str) -> list[tuple[int, int]]:
@@ -346,11 +353,24 @@ def viterbi(model: Tagger, emissions: list[np.ndarray], at_once: int = 256) -> l
     return out
 
 
+def _snapped(text: str, kind: str, s: int, t: int, floor: int) -> tuple[int, int]:
+    """The span with its last sign of punctuation left off, extended to the ends of the words it touches, not below floor."""
+    while t > s and not text[t - 1].isalnum():
+        t -= 1
+    inside = (lambda c: _local.match(c) or c.isalnum()) if kind == "email" else str.isalnum
+    while floor < s < len(text) and inside(text[s - 1]) and inside(text[s]):
+        s -= 1
+    while 0 < t < len(text) and text[t].isalnum() and text[t - 1].isalnum():
+        t += 1
+    return s, t
+
+
 def find(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
     base = [base_spans(t) for t in texts]
     where = [(n, a, b) for n, t in enumerate(texts) for a, b in stretches(t)]
     added: list[list[Span]] = [[] for _ in texts]
+    ends = [0] * len(texts)
     for k in range(0, len(where), 4096):
         own = where[k : k + 4096]
         e = list(scored(model, [encode(texts[n][a:b]) for n, a, b in own]))
@@ -363,9 +383,9 @@ def find(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]
                 j = i + 1
                 while j < len(tags) and tags[j] == tags[i] + 1:
                     j += 1
-                kind, s, t = KINDS[(tags[i] - 1) // 2], a + i, a + j
-                while t > s and not texts[n][t - 1].isalnum():
-                    t -= 1
+                kind = KINDS[(tags[i] - 1) // 2]
+                s, t = _snapped(texts[n], kind, a + i, a + j, ends[n])
+                ends[n] = max(ends[n], t)
                 if plausible(kind, texts[n][s:t]) and not any(q == kind and x < t and s < y for q, x, y in base[n]):
                     added[n].append((kind, s, t))
                 i = j
