@@ -4,17 +4,19 @@ Grades are ordered (0 toxic, 1 poor, 2 good). All grades share the weights w; or
 score: P(grade >= j) = 1 / (1 + exp(t_j - w.x)). The model gives the expected grade and the tail probability of the
 best grade, on which documents are selected.
 
-Features are 64-bit hashes of words, of the first bytes of words, and of steps of shape shares (words in capitals,
-words that end in a symbol, words that repeat their neighbour, digits, length). A feature counts once in a document.
-Features are screened by their association with the grades over the fitting rows; at most MAX_FEATURES get weights.
+Features are hashes, to one of 2^BITS weights, of words, of the first bytes of words, and of steps of shape shares (words in
+capitals, words that end in a symbol, words that repeat their neighbour, digits, length). A feature counts once in a document. All
+of them have a weight; weights and thresholds maximize the likelihood less an L1 penalty (dual averaging with AdaGrad's steps),
+which leaves at zero what the labels don't support.
 
-The model is fitted on a bounded sample of labelled rows (`max_rows`, taken by hash); every document is scored over
-its whole text.
+The model is fitted on a bounded sample: the labels of about `max_rows` documents, taken by a hash of doc_id, with the counts of
+each grade as weights; every document is scored over its whole text.
 
 Defined results: null and empty texts have only length features and are scored like any other; equal texts get
-equal scores; rows of one document in `labels` count as several observations, labels without a document or with a
-null are left out; without labels of two grades every document gets the middle of the scale and is kept; an empty
-table gives an empty result; other columns are ignored.
+equal scores; rows of one document in `labels` count as several observations; of documents that share a labelled doc_id one is
+fitted, the one of the least text hash, and all are scored; labels without a document or with a null are left out; without
+labels of two grades every document gets the middle of the scale and is kept; an empty table gives an empty result; rows without a
+doc_id and repeated rows are scored like others; other columns are ignored by `score` and kept by `stage`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import bytescan as bs
 
-MAX_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 20_000, 300, 8, 5.0
+MAX_ROWS, BITS = 20_000, 18
 PREFIXES = (4, 5, 6, 7, 8, 10)
 SHARES = (0.01, 0.03, 0.1, 0.3, 0.6)
 LENGTHS = (1, 3, 10, 30)
@@ -92,145 +94,123 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(feats)
 
 
+def places(raw: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, place of a weight) without repeats, in order; only places that are used, if given."""
+    doc, f = features(raw, offsets)
+    at = (f >> U(64 - BITS)).astype(np.int64)
+    if used is not None:
+        some = np.flatnonzero(used[at])
+        doc, at = doc[some], at[some]
+    pairs = np.sort((doc << BITS) | at)
+    new = np.ones(len(pairs), bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    pairs = pairs[new]
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
 @dataclass(frozen=True)
 class Model:
-    """features ascending, a weight for each; thresholds ascending."""
+    """2^BITS weights; thresholds ascending."""
 
-    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def sieve(self) -> np.ndarray:
-        out = np.zeros(1 << 16, bool)
-        out[(self.features & U(0xFFFF)).astype(np.int64)] = True
-        return out
-
-    def chosen(self, raw: np.ndarray, offsets: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, place of the feature) without repeats."""
-        doc, f = features(raw, offsets)
-        some = np.flatnonzero(sieve[(f & U(0xFFFF)).astype(np.int64)])
-        doc, f = doc[some], f[some]
-        if not len(self.features):
-            return doc[:0], doc[:0]
-        at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
-        hit = self.features[at] == f
-        pairs = np.unique(doc[hit] * len(self.features) + at[hit])
-        return pairs // len(self.features), pairs % len(self.features)
-
-    def scores(self, column: pa.Array, sieve: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(column))
+    def scores(self, column: pa.Array) -> np.ndarray:
+        out, used = np.zeros(len(column)), self.weights != 0
         for i, raw, offsets in bs.text_slices(column):
-            doc, at = self.chosen(raw, offsets, sieve)
+            doc, at = places(raw, offsets, used)
             out[i : i + len(offsets) - 1] = np.bincount(doc, self.weights[at], minlength=len(offsets) - 1)
         return out
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest penalized likelihood. x: rows x features, y: grades. Thresholds stay in order:
-    they are the first one and positive gaps."""
-    n, m = x.shape
-    below = [np.clip((y <= j).mean(), 0.01, 0.99) for j in range(grades - 1)]
-    t = np.log(np.array(below) / (1 - np.array(below)))
-    p = np.concatenate([np.zeros(m), t[:1], np.log(np.maximum(np.diff(t), 0.05))])
-    m1, m2 = np.zeros_like(p), np.zeros_like(p)
-    x = x.astype(np.float32)
-    for step in range(1, steps + 1):
-        w, gaps = p[:m], np.exp(p[m + 1 :])
-        t = p[m] + np.concatenate([[0], np.cumsum(gaps)])
-        s = x @ w.astype(np.float32)
-        cdf = 1 / (1 + np.exp(-np.clip(t[None, :] - s[:, None], -30, 30)))
-        edge = np.concatenate([np.zeros((n, 1)), cdf, np.ones((n, 1))], 1)
-        slope = np.concatenate([np.zeros((n, 1)), cdf * (1 - cdf), np.zeros((n, 1))], 1)
-        i = np.arange(n)
-        like = np.maximum(edge[i, y + 1] - edge[i, y], 1e-9)
-        hi, lo = slope[i, y + 1] / like, slope[i, y] / like
-        by_t = np.array([(hi[y == j].sum() - lo[y == j + 1].sum()) for j in range(grades - 1)]) / n
-        by_s = -(hi - lo) / n
-        g = np.concatenate([x.T @ by_s.astype(np.float32) - ridge * w, [by_t.sum()], np.array([by_t[j + 1 :].sum() for j in range(grades - 2)]) * gaps])
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        p = p + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    return p[:m], p[m] + np.concatenate([[0], np.cumsum(np.exp(p[m + 1 :]))])
-
-
-def _screen(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, np.ndarray] = {}
-    for batch in pairs:
-        grade = batch.column("grade").to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, raw, offsets in bs.text_slices(batch.column("text")):
-            doc, f = features(raw, offsets)
-            order = np.lexsort((doc, f))
-            doc, f = doc[order], f[order]
-            new = np.ones(len(f), bool)
-            new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
-            doc, f = doc[new], f[new]
-            u, inv = np.unique(f, return_inverse=True)
-            n = np.bincount(inv * GRADES + grade[i + doc], minlength=len(u) * GRADES).reshape(-1, GRADES)
-            yield pa.record_batch([pa.array(u.view(np.int64)), *[pa.array(n[:, j].astype(np.int64)) for j in range(GRADES)]], ["f", *[f"n{j}" for j in range(GRADES)]])
+def fit_weights(at: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, grades: int = GRADES, steps: int = 600, epochs: int = 8, batch: int = 256, rate: float = 0.15, l1: float = 0.03, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from sparse rows of ones: row i has the features at[offsets[i]:offsets[i + 1]], the grade y[i] and counts
+    weight[i] times. There are `steps` steps at least and `epochs` passes at least; the penalty is l1 over the root of the number of rows.
+    Thresholds stay in order: they are the first one and positive gaps."""
+    n, r = len(y), np.random.default_rng(seed)
+    l1, epochs = l1 / np.sqrt(n), max(epochs, -(-steps * batch // n))
+    weight = weight / weight.mean()
+    below = np.array([np.clip((weight * (y <= j)).sum() / weight.sum(), 0.01, 0.99) for j in range(grades - 1)])
+    t = np.log(below / (1 - below))
+    q = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 0.05))])
+    u, squares, w = np.zeros(size), np.full(size, 1e-8), np.zeros(size)
+    q_squares, step = np.full(len(q), 1e-2), 0
+    for _ in range(epochs):
+        order = r.permutation(n)
+        for k in range(0, n, batch):
+            own = order[k : k + batch]
+            step += 1
+            count = offsets[own + 1] - offsets[own]
+            row = np.repeat(np.arange(len(own)), count)
+            feats = at[np.repeat(offsets[own] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+            s = np.bincount(row, w[feats], minlength=len(own))
+            gaps = np.exp(q[1:])
+            t = q[0] + np.concatenate([[0], np.cumsum(gaps)])
+            cdf = 1 / (1 + np.exp(-np.clip(t[None, :] - s[:, None], -30, 30)))
+            edge = np.concatenate([np.zeros((len(own), 1)), cdf, np.ones((len(own), 1))], 1)
+            slope = np.concatenate([np.zeros((len(own), 1)), cdf * (1 - cdf), np.zeros((len(own), 1))], 1)
+            i, z, v = np.arange(len(own)), y[own], weight[own] / len(own)
+            like = np.maximum(edge[i, z + 1] - edge[i, z], 1e-9)
+            hi, lo = v * slope[i, z + 1] / like, v * slope[i, z] / like
+            by_t = np.array([lo[z == j + 1].sum() - hi[z == j].sum() for j in range(grades - 1)])
+            g = np.bincount(feats, (hi - lo)[row], minlength=size)  # of the loss: scores go down as thresholds go up
+            u += g
+            squares += g * g
+            w = -np.sign(u) * np.maximum(np.abs(u) - l1 * step, 0) * rate / np.sqrt(squares)
+            gq = np.concatenate([[by_t.sum()], np.array([by_t[j + 1 :].sum() for j in range(grades - 2)]) * gaps])
+            q_squares += gq * gq
+            q -= rate * gq / np.sqrt(q_squares)
+    return w, q[0] + np.concatenate([[0], np.cumsum(np.exp(q[1:]))])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """text and grade of at most about max_rows labelled rows, taken by a hash of doc_id; they are broadcast to the
-    documents, so that no text moves."""
-    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2).cast("int")
-    rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull()).select("doc_id", grade.alias("grade"))
+    """doc_id, text and how often each grade is given (n0, n1, ...), of about max_rows labelled documents at most, taken by a hash of
+    doc_id. The labels are broadcast to the documents, so that no text moves."""
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull()).select("doc_id", grade.alias("grade"))
+    rows = known.groupBy("doc_id").agg(*[F.count(F.when(F.col("grade") == j, 1)).alias(f"n{j}") for j in range(GRADES)])
     n = rows.count()
     if n > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "grade")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """Counts features by grade on the executors, screens them, and fits the weights on the driver from rows that
-    hold only screened features."""
-    none = Model(np.zeros(0, U), np.zeros(0), np.array([-30.0, -30.0]))
-    rows = labelled(docs, labels, max_rows)
-    totals = np.zeros(GRADES)
-    for r in rows.groupBy("grade").count().collect():
-        totals[r["grade"]] = r["count"]
-    if (totals > 0).sum() < 2:
-        return none
-    n = totals.sum()
-    counts = rows.mapInArrow(_screen, "f long, n0 long, n1 long, n2 long").groupBy("f").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(GRADES)])
-    have = F.col("n0") + F.col("n1") + F.col("n2")
-
-    def z(own: Column, total: float) -> Column:
-        """Root of chi-squared, two by two."""
-        if not 0 < total < n:
-            return F.lit(0.0)
-        return F.abs(own * n - have * total) * F.sqrt(F.lit(n)) / F.sqrt(have * (F.lit(n) - have) * total * (n - total) + 1e-9)
-
-    strength = F.greatest(z(F.col("n0"), totals[0]), z(F.col("n2"), totals[2]), z(F.col("n1"), totals[1]))
-    best = counts.filter(have >= min(MIN_DOCS, max(2, n / 50))).withColumn("z", strength).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "f").limit(max_features).select("f").collect()
-    if not best:
-        return none
-    chosen = np.sort(np.array([r["f"] for r in best], np.int64).view(U))
-    probe = Model(chosen, np.zeros(len(chosen)), np.zeros(GRADES - 1))
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = probe.sieve()
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """The features of the fitting rows are found on the executors; the driver gets the places of their weights (four bytes each)."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw, offsets in bs.text_slices(batch.column("text")):
                 k = len(offsets) - 1
-                x = np.zeros((k, len(chosen)), bool)
-                x[probe.chosen(raw, offsets, sieve)] = True
-                packed = np.packbits(x, axis=1)
-                yield pa.record_batch([pa.array([r.tobytes() for r in packed], pa.binary()), batch.column("grade").slice(i, k)], ["x", "grade"])
-
-    got = rows.mapInArrow(bits, "x binary, grade int").toArrow()
-    x = np.unpackbits(np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(len(got), -1), axis=1)[:, : len(chosen)]
-    y = got["grade"].to_numpy().astype(np.int64)
-    order = np.lexsort((*x.T[:8], y))  # the same sums whatever the order of tasks
-    w, t = fit_weights(x[order], y[order])
-    return Model(chosen, w, t)
+                doc, at = places(raw, offsets)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=k))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+                yield pa.record_batch([*[batch.column(c).slice(i, k) for c in ("h", "t", *counts)], lists], ["h", "t", *counts, "at"])
+
+    counts = [f"n{j}" for j in range(GRADES)]
+    rows = labelled(docs, labels, max_rows).withColumns({"h": F.xxhash64("doc_id"), "t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    coded = rows.select("h", "t", "text", *counts).mapInArrow(encode, "h long, t long, " + ", ".join(f"{c} long" for c in counts) + ", at array<int>")
+    got = coded.groupBy("h").agg(F.min(F.struct("t", *counts, "at")).alias("x")).select("h", "x.*").toArrow().combine_chunks()
+    none = Model(np.zeros(1 << BITS), np.full(GRADES - 1, -30.0))
+    number = np.stack([got[c].to_numpy() for c in counts]) if len(got) else np.zeros((GRADES, 0))
+    if (number.sum(1) > 0).sum() < 2:
+        return none
+    lists = got["at"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    order = np.argsort(got["h"].to_numpy(), kind="stable")  # the same sums whatever the order of tasks
+    grade, place = np.nonzero(number[:, order])
+    place = order[place]
+    size = ends[place + 1] - ends[place]
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = flat[np.repeat(ends[place] - first[:-1], size) + np.arange(first[-1])] if len(np.unique(place)) < len(place) or not np.array_equal(place, np.arange(len(place))) else flat
+    return Model(*fit_weights(at, first, grade, number[grade, place].astype(float), 1 << BITS))
 
 
 def score(docs: DataFrame, model: Model, least_tail: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, expected_grade, tail (probability of the best grade), kept (tail >= least_tail)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = model.sieve()
         for batch in batches:
-            s = model.scores(batch.column("text"), sieve)
+            s = model.scores(batch.column("text"))
             above = [1 / (1 + np.exp(np.clip(t - s, -60, 60))) for t in model.thresholds]
             yield pa.record_batch([batch.column("doc_id"), pa.array(s), pa.array(sum(above)), pa.array(above[-1]), pa.array(above[-1] >= least_tail)], ["doc_id", "score", "expected_grade", "tail", "kept"])
 
@@ -248,15 +228,14 @@ def select_rows(docs: DataFrame, model: Model, least_tail: float = 0.5) -> DataF
     """The rows of docs that are kept, whole; texts pass through the scorer once and nothing is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = model.sieve()
         for batch in batches:
-            s = model.scores(batch.column("text"), sieve)
+            s = model.scores(batch.column("text"))
             yield batch.filter(pa.array(1 / (1 + np.exp(np.clip(model.thresholds[-1] - s, -60, 60))) >= least_tail))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the model keeps."""
+    """The documents that the model keeps, as they are: rows without text or doc_id and repeated rows are scored like others."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return select_rows(docs, model)
