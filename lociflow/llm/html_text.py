@@ -447,3 +447,12 @@ def main_text(pages: DataFrame, trees: gbdt.Trees | None = None, key: str = "pag
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The given pages hold their main text in one element `article` of paragraphs, so that SQL can say what their text is.
+SQL = """
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(replace(replace(t, '<b>', ''), '</b>', ''), '</?(?:p|h1|br)>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM b)
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM c
+"""

@@ -10,7 +10,7 @@ scanned. The boundary between small and large minimizes the cost of both over th
 
 The global order puts frequent shingles last, so that shared passages do not make long lists: first those that a table of
 2^20 counters over all documents shows to be frequent; then also all that two different sets list under that order, kept in a
-bitmap of fixed size. Sets that list no such shingle link with nothing and are left out. Lists that stay long belong to large groups of near copies. Their members are
+bitmap of 64 MB at most. Sets that list no such shingle link with nothing and are left out. Lists that stay long belong to large groups of near copies. Their members are
 dealt into chunks of bounded size, twice with other salts; in a chunk, the components are found by scanning inverted
 lists and leaving out members that have been reached, which is linear where copies are close. What remains is made exact:
 members that are not in the main component of one of their lists are sent to all chunks that may hold partners of theirs.
@@ -31,12 +31,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import bytescan as bs
 from lociflow.llm import storage
 from lociflow.llm.components import components
+from lociflow.llm.native import free_names
 from lociflow.llm.storage import cut, drop, only
 
 COUNTER_BITS = 20
@@ -47,9 +49,13 @@ SMALL_MOST = 32
 SCAN_COST = 8
 #: Members up to which a list's pairs are candidates as they are.
 LIST_MOST = 24
-#: Shingles of a chunk.
-CHUNK = 500_000
-SHARED_BITS = 27
+#: Size of a chunk: a text counts its shingles, or a sixteenth of its bytes where that is more.
+CHUNK = 300_000
+#: Members from which a list is hot: joins on its key bring the other side to its rows instead of its rows to one task.
+HOT = 2_000
+#: Rows of the other side up to which that is done by a broadcast.
+HOT_ROWS = 200_000
+SHARED_BITS = (20, 29)
 #: Hashes of repeated rows up to which they are broadcast.
 BROADCAST_HASHES = 100_000
 U = np.uint64
@@ -135,13 +141,13 @@ def frequency_levels(counts: np.ndarray) -> np.ndarray:
 
 
 class Order:
-    """The global order of shingles: shared ones (by a bitmap of 2^SHARED_BITS hashed keys) and frequent ones (by counters) come last."""
+    """The global order of shingles: shared ones (by a bitmap of 2^bits hashed keys) and frequent ones (by counters) come last."""
 
-    def __init__(self, levels: np.ndarray, boundary: int, percent: int, shared: np.ndarray | None = None) -> None:
-        self.levels, self.boundary, self.percent, self.shared = levels, boundary, percent, shared
+    def __init__(self, levels: np.ndarray, boundary: int, percent: int, shared: np.ndarray | None = None, bits: int = 0) -> None:
+        self.levels, self.boundary, self.percent, self.shared, self.bits = levels, boundary, percent, shared, bits
 
     def is_shared(self, keys: np.ndarray) -> np.ndarray:
-        low = keys & U((1 << SHARED_BITS) - 1)
+        low = keys & U((1 << self.bits) - 1)
         return (self.shared[(low >> U(6)).astype(np.int64)] >> (low & U(63))) & U(1) != 0
 
     def keys(self, s: np.ndarray) -> np.ndarray:
@@ -168,16 +174,18 @@ def first_order(docs: DataFrame, k: int, percent: int) -> Order:
 
 def second_order(first: Order, signed: DataFrame) -> Order:
     """The order that also puts behind all keys which two different sets have in the first one."""
-    low = F.expr(f"key & {(1 << SHARED_BITS) - 1}L")
+    total = signed.agg(F.sum(F.size("keys"))).first()[0] or 1
+    bits = min(max(int(8 * total).bit_length(), SHARED_BITS[0]), SHARED_BITS[1])
+    low = F.expr(f"key & {(1 << bits) - 1}L")
     keys = signed.select("f1", F.explode("keys").alias("key")).groupBy("key").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).filter("a <> b").select(low.alias("low"))
-    words = keys.groupBy(F.shiftright("low", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()  # a bitmap of fixed size
-    shared = np.zeros(1 << (SHARED_BITS - 6), U)
+    words = keys.groupBy(F.shiftright("low", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()  # a bitmap of bounded size
+    shared = np.zeros(1 << (bits - 6), U)
     shared[words["w"].to_numpy()] = words["bits"].to_numpy().view(U)
-    return Order(first.levels, first.boundary, first.percent, shared)
+    return Order(first.levels, first.boundary, first.percent, shared, bits)
 
 
 def signatures(docs: DataFrame, k: int, order: Order) -> DataFrame:
-    """doc_id, n, f1, f2 (of the set), keys."""
+    """doc_id, n, size (what the text counts in a chunk), f1, f2 (of the set), keys."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +200,10 @@ def signatures(docs: DataFrame, k: int, order: Order) -> DataFrame:
                     keys.append(own.keys(s).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "f1", "f2", "keys"])
+            size = np.maximum(np.array(n, np.int64), pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 16)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(size), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "size", "f1", "f2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n int, f1 long, f2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n int, size long, f1 long, f2 long, keys array<long>")
 
 
 class Lists:
@@ -245,8 +254,20 @@ def _dealt(homes: DataFrame, salt: int) -> DataFrame:
     return homes.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("chunks")).cast("int"))
 
 
+def spread(rows: DataFrame, other: DataFrame, hot_keys: DataFrame, few: bool) -> DataFrame:
+    """rows joined with other on key. What other has of hot keys is broadcast, as long as that is few rows, so that the many rows of a hot
+    key stay where they are; all other keys meet in a shuffle."""
+    if not few:
+        return rows.join(other, "key")
+    there = other.join(F.broadcast(hot_keys), "key", "left_semi")
+    if there.count() > HOT_ROWS:
+        return rows.join(other, "key")
+    cold = rows.join(F.broadcast(hot_keys), "key", "left_anti").join(other.join(F.broadcast(hot_keys), "key", "left_anti"), "key")
+    return cold.unionByName(rows.join(F.broadcast(there), "key"))
+
+
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, made: list[str]) -> DataFrame:
-    """a, b: links between representatives, as many as connect every component. reps: doc_id, n, keys. Paths of the tables that the
+    """a, b: links between representatives, as many as connect every component. reps: doc_id, n, size, keys. Paths of the tables that the
     result reads are added to made."""
     def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         table, path = storage.cut(df, name)
@@ -255,13 +276,15 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, made: list[str
 
     kind = dict(docs.dtypes)["doc_id"]
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    entries = reps.select("doc_id", "n", F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").count().filter("count > 1")
-    multi, _ = cut(entries.join(lists, "key"), "lists")
+    entries = reps.select("doc_id", "n", "size", F.explode("keys").alias("key"))
+    lists, _ = cut(entries.groupBy("key").count().filter("count > 1"), "keys")
+    hot_keys = lists.filter(F.col("count") > HOT).select("key")
+    few = hot_keys.count() <= HOT_ROWS
+    multi, _ = cut(spread(entries, lists, hot_keys, few), "lists")
     texts, _ = cut(only(docs.select("doc_id", "text"), multi.select("doc_id").distinct()), "texts")  # all that later joins move
     hot = multi.filter(F.col("count") > LIST_MOST)
-    homes0 = hot.groupBy("doc_id").agg(F.max("n").alias("n"), F.max(F.struct("count", "key"))["key"].alias("home"))
-    per_home = homes0.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    homes0 = hot.groupBy("doc_id").agg(F.max("size").alias("size"), F.max(F.struct("count", "key"))["key"].alias("home"))
+    per_home = homes0.groupBy("home").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     homes, _ = cut(homes0.join(per_home, "home"), "homes")
 
     def in_chunk(table: pa.Table) -> pa.Table:
@@ -282,10 +305,11 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, made: list[str
     known = hot.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     of_list = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = of_list.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component"))["component"].alias("main")).filter("parts > 1")
-    guests, _ = cut(known.join(mixed, "key").filter("component <> main").select("doc_id", "component", "key", "n").distinct(), "guests")
-    key_homes = hot.join(homes.select("doc_id", "home", "chunks"), "doc_id").join(mixed.select("key"), "key").select("key", "home", "chunks").distinct()
-    visits, _ = cut(guests.join(key_homes, "key").select("doc_id", "component", "n", "home", "chunks").distinct(), "visits")
-    halls = visits.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("halls"))
+    mixed, _ = cut(mixed.select("key", "main"), "mixed")
+    guests, _ = cut(spread(known, mixed, hot_keys, few).filter("component <> main").select("doc_id", "component", "key", "size").distinct(), "guests")
+    key_homes, _ = cut(spread(hot.select("doc_id", "key").join(homes.select("doc_id", "home", "chunks"), "doc_id"), mixed.select("key"), hot_keys, few).select("key", "home", "chunks").distinct(), "key_homes")
+    visits, _ = cut(spread(guests, key_homes, hot_keys, few).select("doc_id", "component", "size", "home", "chunks").distinct(), "visits")
+    halls = visits.groupBy("home").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("halls"))
     hosts = _dealt(homes, 1).join(halls, "home").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).withColumn("hall", F.explode(F.sequence(F.lit(0), F.col("halls") - 1))).select("doc_id", "component", "home", "chunk", "hall", F.lit(False).alias("guest"))
     come = visits.join(halls, "home").withColumn("hall", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("halls")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("doc_id", "component", "home", "chunk", "hall", F.lit(True).alias("guest"))
 
@@ -336,7 +360,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     some = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     member, _ = cut(some.select("doc_id", "f1", "f2", "n").join(copies, ["f1", "f2", "n"]).select("doc_id", "class_id").distinct(), "members")
-    again = signatures(base, k, second_order(order, some)).filter((F.size("keys") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "keys")
+    again = signatures(base, k, second_order(order, some)).filter((F.size("keys") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "size", "keys")
     reps, reps_path = cut(again.join(member.filter("doc_id <> class_id"), "doc_id", "left_anti"), "reps")
     made = [reps_path]
     found, found_path = cut(links(base, reps, k, percent, made), "links")
@@ -352,20 +376,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
 
 
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM (SELECT doc_id, string_agg(s, '|' ORDER BY s) AS s FROM g GROUP BY doc_id)),
+r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, class_id, least(w.doc_id, coalesce(m.least_, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least_ FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def once(docs: DataFrame) -> DataFrame:
     """One row of each set of equal rows. Only rows whose hash comes again are compared and moved."""
+    (own,) = free_names(docs, 1)
     h = F.xxhash64(*docs.columns)
-    again, _ = cut(docs.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h"), "again")
+    again, _ = cut(docs.select(h.alias(own)).groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own), "again")
     n = again.count()
     if not n:
         return docs
-    small, marked = F.broadcast(again) if n <= BROADCAST_HASHES else again, docs.withColumn("_h", h)
-    return marked.join(small, "_h", "left_anti").unionByName(marked.join(small, "_h", "left_semi").dropDuplicates()).select(*docs.columns)
+    small, marked = F.broadcast(again) if n <= BROADCAST_HASHES else again, docs.withColumn(own, h)
+    return marked.join(small, own, "left_anti").unionByName(marked.join(small, own, "left_semi").dropDuplicates()).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one of the least doc_id. Documents without words stay, and so do those without a doc_id;
-    of equal rows, with or without a doc_id, one stays."""
+    of equal rows, with or without a doc_id, one stays; rows that share a doc_id but differ go or stay together; columns may have any names."""
     docs = once(docs)
     gone = near_duplicates(docs, k, percent).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 Every document has a hash. Sizes are summed by source and the first bits of that hash; for each source the
 bucket is found in which the running sum passes the budget; only the rows of that bucket are summed again by
-the next bits, until the bucket holds one hash value or nothing. What is left is one threshold for each
+the next bits, until the bucket holds one hash value or nothing; that one is taken if this comes nearer to the budget. What is left is one threshold for each
 source: a document is taken if its hash is below it. No rows are sorted, and thresholds of growing budgets
 are nested, so that a smaller mix is part of a larger one.
 
@@ -21,6 +21,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.llm.native import md5_bits
 from lociflow.llm.storage import cut
 
 HASH_BITS, MOST_CELLS = 48, 1 << 22
@@ -53,7 +54,7 @@ def water_filled(sizes: list[int], weights: list[int], total: Fraction, most: in
 
 
 def _bucket(h: Column, level: int, bits: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - bits * (level + 1)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return F.shiftright(h, HASH_BITS - bits * (level + 1)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
 def bits_for(sources: int) -> int:
@@ -65,7 +66,7 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
     """For each source number the hash prefixes (HASH_BITS bits) below which its sizes sum to at most each of its
     budgets, ascending: one histogram a level, the second and later ones over the boundary buckets alone.
 
-    sized has columns sid, size, h. A histogram has at most sources x budgets x 2^bits rows, and at most MOST_CELLS."""
+    sized has columns sid, size, h (HASH_BITS bits). A histogram has at most sources x budgets x 2^bits rows, and at most MOST_CELLS."""
     bits = bits_for(len(budgets))
     levels = HASH_BITS // bits
     spark = sized.sparkSession
@@ -79,7 +80,7 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
         if level:
             wanted = spark.createDataFrame([(s, p) for s, p in {(s, prefixes[s, k]) for s, k in live}], "sid int, prefix long")
             small = F.broadcast(wanted) if len(live) <= BROADCAST_SOURCES else wanted
-            rows = sized.withColumn("prefix", F.shiftrightunsigned("h", 64 - bits * level)).join(small, ["sid", "prefix"])
+            rows = sized.withColumn("prefix", F.shiftright("h", HASH_BITS - bits * level)).join(small, ["sid", "prefix"])
         else:
             rows = sized.withColumn("prefix", F.lit(0).cast("long"))
         hist: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -103,11 +104,12 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
 
 
 def _hash(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """HASH_BITS bits."""
+    return md5_bits(F.col(key), str(seed), HASH_BITS // 4)
 
 
 def _copies(h: Column) -> Column:
-    return F.col("whole") + (F.shiftrightunsigned(h, 64 - HASH_BITS) < F.col("below")).cast("int")
+    return F.col("whole") + (h < F.col("below")).cast("int")
 
 
 def _mixed(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -149,3 +151,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 3) -> D
     each = docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), _hash("doc_id", seed).alias("h"))
     taken = each.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumn("copies", _copies(F.col("h")))
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::HUGEINT AS size, ('0x' || substr(md5('3:' || doc_id), 1, 12))::BIGINT AS h FROM documents),
+s AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM (SELECT source, sum(size)::HUGEINT AS n FROM d GROUP BY source)),
+a AS (SELECT sum(n)::HUGEINT AS t, sum(w)::HUGEINT AS ws FROM s),
+o AS (SELECT *, coalesce(sum(n) OVER q, 0)::HUGEINT AS nb, coalesce(sum(w) OVER q, 0)::HUGEINT AS wb FROM s WINDOW q AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT o.*, (t - 3 * nb) * w >= 3 * n * (ws - wb) AS full_ FROM o, a),
+c AS (SELECT t - 3 * coalesce(sum(n) FILTER (full_), 0)::HUGEINT AS left_, ws - coalesce(sum(w) FILTER (full_), 0)::HUGEINT AS wl FROM f, a GROUP BY t, ws),
+g AS (SELECT source, n, CASE WHEN full_ THEN 3 * n ELSE left_ * w END AS num, CASE WHEN full_ THEN 1 ELSE wl END AS den FROM f, c),
+b AS (SELECT *, CASE WHEN n > 0 THEN num // (den * n) ELSE 0 END AS whole FROM g),
+hs AS (SELECT source, h, sum(size)::HUGEINT AS m, sum(sum(size)) OVER (PARTITION BY source ORDER BY h)::HUGEINT AS upto FROM d GROUP BY source, h),
+tk AS (SELECT hs.source, h, upto * den <= num - whole * n * den OR ((upto - m) * den < num - whole * n * den AND upto * den - (num - whole * n * den) < (num - whole * n * den) - (upto - m) * den) AS yes FROM hs JOIN b ON b.source IS NOT DISTINCT FROM hs.source)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, num::DOUBLE / den::DOUBLE AS target, (size * (whole + (yes AND num > whole * n * den)::INT))::BIGINT AS taken
+FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source JOIN tk ON tk.source IS NOT DISTINCT FROM d.source AND tk.h = d.h
+"""

@@ -39,3 +39,8 @@ def free_names(df: DataFrame, n: int) -> list[str]:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
+
+
+def md5_bits(key: Column, seed: str, digits: int) -> Column:
+    """The first 4 * digits bits of md5(seed:key) as a number: the same in other engines. Null hashes like the empty string."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, digits), 16, 10).cast("long")

@@ -16,7 +16,13 @@ QUERIES = {
     "op9_virtual_slot_sharding": sharding.query,
     "op10_ordinal_quality": quality.query,
 }
-SQL: dict[str, str] = {"op8_winnowing_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {
+    "op3_hash_threshold_mixing": mixing.SQL,
+    "op5_heavy_light_jaccard": jaccard.SQL,
+    "op7_gbdt_html_text": html_text.SQL,
+    "op8_winnowing_decontamination": decontamination.SQL,
+    "op9_virtual_slot_sharding": sharding.SQL,
+}
 
 
 def queries() -> dict:

@@ -12,12 +12,16 @@ empty result and an empty map; other columns of the input are ignored by `place`
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociflow.llm.native import free_names, md5_bits
+from lociflow.llm.storage import shared_dir
+
 SLOTS = 4096
 
 
@@ -37,19 +41,21 @@ class SlotMap:
         return spark.createDataFrame([(i, s, self.version) for i, s in enumerate(self.shard)], "vslot int, shard int, version int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at path; earlier versions stay readable."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Adds this version to the table at path; earlier versions stay readable, and a version that is written again is replaced."""
+        self.frame(spark).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         df = spark.read.parquet(path)
         v = version if version is not None else df.agg(F.max("version")).first()[0]
         rows = df.filter(F.col("version") == v).orderBy("vslot").collect()  # as many as there are slots
+        if not rows or [r["vslot"] for r in rows] != list(range(len(rows))):
+            raise ValueError(f"{path} holds no whole map of version {v}")
         return SlotMap(tuple(r["shard"] for r in rows), v)
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(20)), F.lit(slots)).cast("int")
+    return (md5_bits(key, "slot", 8) % slots).cast("int")
 
 
 def text_size(text: Column) -> Column:
@@ -132,10 +138,19 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, key: str = "doc_
     return place(docs, mapping, sizes, key, text), mapping
 
 
-def with_shard(docs: DataFrame, mapping: SlotMap, key: str = "doc_id") -> DataFrame:
-    """docs with a column shard, without a shuffle."""
-    table = mapping.frame(docs.sparkSession).select(F.col("vslot").alias("_vslot"), F.col("shard").alias("shard"))
-    return docs.drop("shard").withColumn("_vslot", virtual_slot(F.col(key), len(mapping.shard))).join(F.broadcast(table), "_vslot").drop("_vslot")
+def stored_map(spark: SparkSession, sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> SlotMap:
+    """A balanced map, written to the shared folder as version 1 and read back: what places records is the stored table."""
+    path = f"{shared_dir(spark)}/lociflow/slots-{uuid.uuid4().hex}"
+    balanced_map(sizes, shards, slots).save(spark, path)
+    return SlotMap.load(spark, path)
+
+
+def with_shard(docs: DataFrame, mapping: SlotMap, key: str = "doc_id", name: str = "shard") -> DataFrame:
+    """docs with its shard as a column `name`, without a shuffle. Where docs has such a column already, that one is replaced."""
+    at, own = free_names(docs, 2)
+    table = mapping.frame(docs.sparkSession).select(F.col("vslot").alias(at), F.col("shard").alias(own))
+    got = docs.withColumn(at, virtual_slot(F.col(key), len(mapping.shard))).join(F.broadcast(table), at)
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()], F.col(own).alias(name))
 
 
 def write_shards(docs: DataFrame, mapping: SlotMap, path: str, key: str = "doc_id", files_per_shard: int = 8) -> None:
@@ -145,12 +160,32 @@ def write_shards(docs: DataFrame, mapping: SlotMap, path: str, key: str = "doc_i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = slot_sizes(docs)
+    placed = place(docs, stored_map(spark, sizes, 8), sizes)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int = 8) -> DataFrame:
-    """The documents with their shard and place in it."""
-    sizes = slot_sizes(docs)
-    mapping = balanced_map(sizes, shards)
-    return with_shard(docs, mapping)
+    """The documents with their shard. Rows without a doc_id share one slot, and so do rows that share one; a column named shard is
+    replaced, other columns stay as they are."""
+    return with_shard(docs, stored_map(spark, slot_sizes(docs), shards))
+
+
+def _crc_table() -> str:
+    """The public table of CRC-32 (polynomial 0xEDB88320), made in SQL bit by bit."""
+    steps = ["c0 AS (SELECT i, i::UBIGINT AS c FROM range(256) AS r(i))"] + [f"c{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM c{k})" for k in range(8)]
+    return ", ".join(steps) + ", tab AS (SELECT list(c ORDER BY i) AS t FROM c8)"
+
+
+SQL = f"""
+WITH RECURSIVE {_crc_table()},
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, (('0x' || substr(md5('slot:' || doc_id), 1, 8))::BIGINT % {SLOTS})::INT AS v, list_prepend(4294967295::UBIGINT, [('0x' || x)::UBIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS b FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(b, lambda x, y: xor(x >> 8, t[((xor(x, y) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, tab),
+sz AS (SELECT v, sum(size)::BIGINT AS b, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, v) AS k FROM d GROUP BY v),
+g AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS have, NULL::INT AS v, NULL::INT AS shard
+      UNION ALL SELECT sz.k, [have[i] + CASE WHEN i = list_position(have, list_min(have)) THEN sz.b ELSE 0 END FOR i IN [1, 2, 3, 4, 5, 6, 7, 8]], sz.v, (list_position(have, list_min(have)) - 1)::INT FROM g JOIN sz ON sz.k = g.k + 1),
+m AS (SELECT g.v, g.shard, coalesce(sum(sz.n) OVER (PARTITION BY g.shard ORDER BY g.v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_ FROM g JOIN sz USING (v))
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (first_ + row_number() OVER (PARTITION BY v ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM d JOIN crc USING (doc_id) JOIN m USING (v)
+"""

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-#: Bits of the bitmap of only(): 2 MB.
-FILTER_BITS = 24
+#: Least and most bits of the bitmap of only(), as powers of two: eight for each id, 16 MB at most.
+FILTER_BITS = (16, 27)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lociflow-")
@@ -44,12 +46,13 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 0) -> DataFrame:
-    """The rows whose key is in ids, nulls in neither. Up to `most` ids are broadcast. Of more, a bitmap of FILTER_BITS hashed ids, of the
-    same size for any input, is broadcast and drops most other rows before the join, so that these don't move."""
+    """The rows whose key is in ids, nulls in neither. Up to `most` ids are broadcast. Of more, a bitmap of hashed ids, of bounded
+    size for any input, is broadcast and drops most other rows before the join, so that these don't move."""
     ids = ids.select(key).distinct()
-    if most and ids.count() <= most:
+    n = ids.count()
+    if n <= most:
         return rows.join(F.broadcast(ids), key, "left_semi")
-    at = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << FILTER_BITS))
+    at = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << min(max((8 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])))
     bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
     words = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     marked = rows.withColumn("_at", at).withColumn("_word", F.floor(F.col("_at") / 64))

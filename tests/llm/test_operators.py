@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import bytescan, chat, components, decontamination, gbdt, html_text, jaccard, line_quality, mixing, pii, quality, secrets, sharding
+from lociflow.llm import bytescan, chat, components, decontamination, gbdt, html_text, jaccard, line_quality, mixing, pii, quality, registry, secrets, sharding
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -258,12 +258,12 @@ def test_water_filling():
 
 
 def test_nested_budgets(spark):
-    df = spark.range(3000).select(F.lit(0).alias("sid"), (F.col("id") % 7).alias("size"), F.xxhash64("id").alias("h"))
+    df = spark.range(3000).select(F.lit(0).alias("sid"), (F.col("id") % 7).alias("size"), F.shiftrightunsigned(F.xxhash64("id"), 64 - mixing.HASH_BITS).alias("h"))
     total = df.agg(F.sum("size")).first()[0]
     cuts = mixing.thresholds(df, {0: [Fraction(total, 10), Fraction(total, 3), Fraction(total)]})[0]
     assert cuts == sorted(cuts)
     for c, part in zip(cuts, (10, 3, 1)):
-        have = df.filter(F.shiftrightunsigned("h", 64 - mixing.HASH_BITS) < c).agg(F.sum("size")).first()[0]
+        have = df.filter(F.col("h") < c).agg(F.sum("size")).first()[0]
         assert abs(have - total / part) <= 6
 
 
@@ -332,6 +332,8 @@ def test_jaccard(docs, k, percent):
 def test_jaccard_hot_group_and_small_sets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LIST_MOST", 4)
     monkeypatch.setattr(jaccard, "CHUNK", 400)
+    monkeypatch.setattr(jaccard, "HOT", 10)
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
     r = np.random.default_rng(2)
     words = np.array([f"w{i}" for i in range(300)])
     base = list(r.choice(words, 40))
@@ -367,7 +369,9 @@ def test_subsets_cover_all_links():
                         assert both >= c and c in jaccard.subset_sizes(n, percent, 12) and c in jaccard.subset_sizes(m, percent, 12)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
@@ -482,13 +486,15 @@ def test_boosting():
 
 # ---- 8
 
-def test_decontamination(spark, sf, docs, duck):
-    got = {r["doc_id"]: r for r in decontamination.query(spark, sf).collect()}
-    cur = duck.execute(decontamination.SQL)
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_queries_with_sql(name, spark, sf, duck):
+    """Whole tables against DuckDB, row by row."""
+    cur = duck.execute(registry.SQL[name])
     names = [c[0] for c in cur.description]
-    for row in cur.fetchall():
-        want = dict(zip(names, row))
-        assert got[want["doc_id"]].asDict() == want
+    df = registry.QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    want = sorted(map(str, (dict(sorted(zip(names, r))) for r in cur.fetchall())))
+    assert sorted(str(dict(sorted(r.asDict().items()))) for r in df.collect()) == want
 
 
 def test_decontamination_short_items(spark, edges):
@@ -527,7 +533,7 @@ def test_rebalance(spark, docs, tmp_path):
     assert all(a == b for i, (a, b) in enumerate(zip(old.shard, new.shard)) if i not in set(new.moved))
     fewer = sharding.rebalance(new, sizes, 7)
     assert max(fewer.shard) <= 6
-    for m in (old, new):
+    for m in (old, new, new):
         m.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")).shard == new.shard and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard == old.shard
     sharding.write_shards(docs, old, str(tmp_path / "out"))

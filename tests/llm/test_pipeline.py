@@ -64,3 +64,25 @@ def test_null_and_repeated_ids(spark, sf):
     assert got == Counter({r: copies[r[0], r[3]] for r in rows if copies[r[0], r[3]]}) and any(r[0] is None for r in got)
     again = df.unionByName(df.filter("doc_id is null or doc_id in (3, 7)")).unionByName(df.filter("doc_id is null"))
     assert sorted(map(str, jaccard.stage(spark, again, sf).collect())) == sorted(map(str, df.collect()))
+
+
+CLASHES = ("_d", "_t", "_h", "_c0_", "_vslot", "vslot", "copies", "row", "h", "n", "size", "keys", "key", "name", "whole", "below", "words", "w", "at", "start", "version")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_columns(spark, sf, name, stage):
+    """Nulls, empty and long texts, repeated rows and ids, an empty table, and columns with the names that stages use themselves."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, "no id at all", None, None, None), (None, None, None, None, None), (1, None, "en", "a", 0), (1, "", "en", "a", 0), (1, "another text under the same id", "en", "a", 0), (900_001, "x " * 50_000, "en", "b", None), (900_002, "y" * 60_000, None, "b", None)]
+    part = docs.filter("doc_id < 60").unionByName(spark.createDataFrame(odd + odd[:2], docs.schema)).withColumns({c: F.lit(c) for c in CLASHES})
+    got = stage(spark, part, sf)
+    assert set(part.columns) <= set(got.columns) and len(got.columns) == len(part.columns) + (name == "sharding")
+    rows = got.collect()
+    assert rows and all(r[c] == c for r in rows for c in CLASHES)
+    had = {str((r["doc_id"], r["text"])) for r in part.collect()}
+    assert {str((r["doc_id"], r["text"])) for r in rows} <= had
+    if name in ("n-gram Jaccard join", "benchmark decontamination", "sharding"):
+        assert sum(r["doc_id"] is None for r in rows) == (2 if name == "n-gram Jaccard join" else 4)
+    if name == "sharding":
+        assert len(rows) == part.count() and {r["shard"] for r in stage(spark, part.withColumn("shard", F.lit(99)), sf).collect()} <= set(range(8))
+    assert stage(spark, part.limit(0), sf).count() == 0
