@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.native import free_names, indices, let, lower_ascii, sha256_hex
-from lociflow.llm.storage import cut, only
+from lociflow.llm.native import indices, let, lower_ascii, sha256_hex
+from lociflow.llm.storage import cut, only, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word in either case.
@@ -134,9 +134,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no window of the benchmark stands, as they are: rows without text, without a doc_id and repeated rows too;
     rows that share a doc_id are judged each by its own text; columns may have any names."""
-    d, t = free_names(docs, 2)
-    hits = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(t)), "left_anti")
+    hits = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "text_hash")
+    return without(docs, hits, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))}, BROADCAST_ROWS)
 
 
 _W = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

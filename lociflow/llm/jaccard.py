@@ -39,7 +39,7 @@ from lociflow.llm import bytescan as bs
 from lociflow.llm import storage
 from lociflow.llm.components import components
 from lociflow.llm.native import free_names
-from lociflow.llm.storage import cut, drop, only
+from lociflow.llm.storage import cut, drop, only, without
 
 COUNTER_BITS = 20
 #: Share of the range of hashes, from 0, that counters cover: first shingles of a set of some size have small hashes.
@@ -405,5 +405,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = 5, percent
     """One document of each component: the one of the least doc_id. Documents without words stay, and so do those without a doc_id;
     of equal rows, with or without a doc_id, one stays; rows that share a doc_id but differ go or stay together; columns may have any names."""
     docs = once(docs)
-    gone = near_duplicates(docs, k, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, k, percent).filter("component_id <> doc_id").select("doc_id")
+    return without(docs, gone, {"doc_id": F.col("doc_id")}, HOT_ROWS)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import bytescan, chat, components, decontamination, gbdt, html_text, jaccard, line_quality, mixing, pii, quality, registry, secrets, sharding
+from lociflow.llm import bytescan, chat, components, decontamination, gbdt, html_text, jaccard, line_quality, mixing, pii, quality, registry, secrets, sharding, storage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -377,6 +377,16 @@ def test_components(spark, monkeypatch, local):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_rows_without_ids(spark, most):
+    rows = spark.createDataFrame([(i, f"t{i}", i) for i in range(300)] + [(None, "n", 1), (None, "m", 2)], "doc_id long, t string, _c0_ long")
+    ids = spark.createDataFrame([(i, f"t{i}") for i in range(0, 300, 3)] + [(1, "other"), (None, "n")], "i long, t string")
+    got = storage.without(rows, ids, {"i": F.col("doc_id"), "t": F.col("t")}, most)
+    assert got.columns == rows.columns
+    assert sorted(str(r["doc_id"]) + r["t"] for r in got.collect()) == sorted([f"{i}t{i}" for i in range(300) if i % 3] + ["Nonem"])
+    assert sorted(r["doc_id"] for r in storage.only(rows, ids.withColumnRenamed("i", "doc_id"), "doc_id", most).collect()) == sorted([*range(0, 300, 3), 1])
+
+
 def test_shingles():
     col = pa.array(["", None, "a b", "A  b\n", "x y z u v", "  ", "a b a b a b"])
     assert [len(s) for s in bytescan.shingle_sets(col, 4)] == [0, 0, 1, 1, 2, 0, 2]
