@@ -188,17 +188,38 @@ def diversity(codons: DataFrame, by: list[str], coverage: DataFrame | None = Non
 
 
 def codon_bootstrap(codons: DataFrame, by: list[str], replicates: int = 1000, seed: str = "codon") -> DataFrame:
-    """Intervals of piS, piN, pi4, pi0 over codons drawn again: every replicate draws as many codons of the group by hash."""
-    from pyspark.sql.window import Window
-
-    from lociflow.operators.scan import percentile_at
-
-    ix = codons.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("codon_no")) - 1)
-    n = ix.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    draw = n.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), *by, "_rep", "_d"), F.col("n")).cast("int"))
-    reps = draw.select(*by, "_rep", "_i").join(ix, [*by, "_i"]).groupBy(*by, "_rep").agg((F.sum("sd") / F.sum("s")).alias("pi_S"), (F.sum("nd") / (3 * F.count(F.lit(1)) - F.sum("s"))).alias("pi_N"), (F.sum("d4") / F.nullif(F.sum("n4"), F.lit(0.0))).alias("pi_4"), (F.sum("d0") / F.nullif(F.sum("n0"), F.lit(0.0))).alias("pi_0"))
-    out = n.select(*by)
-    for c in ("pi_S", "pi_N", "pi_4", "pi_0"):
-        for q, name in ((0.025, "lo"), (0.975, "hi")):
-            out = out.join(percentile_at(reps, c, q, by, True).withColumnRenamed("cut", f"{c}_{name}"), by, "left")
-    return out
+    """Intervals of piS, piN, pi4, pi0 over codons drawn again. Each codon has its own number of draws in each replicate (Poisson, mean
+    1, seeded by its group and place), so that replicates are sums, made where the codons lie; nothing is sorted or joined."""
+    sums = ("n", "s", "sd", "nd", "n4", "d4", "n0", "d0")
+    seeds = codons.withColumn("n", F.lit(1.0)).withColumn("_seed", F.xxhash64(F.lit(seed), *by, "codon_no"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        keys: dict[tuple, list] = {}
+        for f in frames:
+            for at in range(0, len(f), 2_000):  # weights of 2,000 codons at once
+                part = f.iloc[at : at + 2_000]
+                draws = np.stack([np.random.Generator(np.random.Philox(int(x) & 0xFFFFFFFFFFFFFFFF)).poisson(1.0, replicates) for x in part["_seed"]]).astype(float)
+                values = part[list(sums)].to_numpy(float)
+                for key, rows in part.groupby(by, sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    got = draws[rows].T @ values[rows]
+                    total[key] = total[key] + got if key in total else got
+                    keys.setdefault(key, [part[c].iloc[rows[0]] for c in by])
+            if len(total) > 500:  # as much as is kept at once
+                yield from _replicates(total, keys)
+        yield from _replicates(total, keys)
+
+    def _replicates(total: dict, keys: dict) -> Iterator[pd.DataFrame]:
+        for key, x in total.items():
+            yield pd.DataFrame({**dict(zip(by, ([v] * replicates for v in keys[key]), strict=True)), "_rep": np.arange(replicates), **{c: x[:, i] for i, c in enumerate(sums)}})
+        total.clear()
+
+    kinds = ", ".join(f"{c} {t}" for c, t in codons.dtypes if c in by)
+    drawn = seeds.select(*by, "_seed", *sums).mapInPandas(run, f"{kinds}, _rep long, " + ", ".join(f"{c} double" for c in sums))
+    whole = drawn.groupBy(*by, "_rep").agg(*[F.sum(c).alias(c) for c in sums])
+    share = lambda a, b: F.when(b > 0, a / b)
+    stats = {"pi_S": share(F.col("sd"), F.col("s")), "pi_N": share(F.col("nd"), 3 * F.col("n") - F.col("s")), "pi_4": share(F.col("d4"), F.col("n4")), "pi_0": share(F.col("d0"), F.col("n0"))}
+    lists = whole.groupBy(*by).agg(*[F.sort_array(F.collect_list(v)).alias(k) for k, v in stats.items()])  # as many values as replicates
+    place = lambda k, q: F.get(k, F.floor(q * (F.size(k) - 1) + 0.5).cast("int"))
+    return lists.select(*by, *[place(F.col(k), q).alias(f"{k}_{name}") for k in stats for q, name in ((0.025, "lo"), (0.975, "hi"))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.operators.scan import whole_median
 from lociflow.operators.windows import fixed_grid, overlap_join
 
 #: Fixed scales: name, width, step.
@@ -19,10 +20,12 @@ def heterozygosity(sites: DataFrame) -> DataFrame:
 
 def robust_limits(sites: DataFrame, mad_n: float = 3.0) -> DataFrame:
     """A10: one row: low and high limits of hobs and f, median +- mad_n * 1.4826 * MAD over all sites."""
-    med = sites.agg(F.median("hobs").alias("mh"), F.median("f").alias("mf"))
-    dev = sites.crossJoin(F.broadcast(med)).groupBy("mh", "mf").agg(F.median(F.abs(F.col("hobs") - F.col("mh"))).alias("dh"), F.median(F.abs(F.col("f") - F.col("mf"))).alias("df"))
-    k = mad_n * 1.4826
-    return dev.select((F.col("mh") - k * F.col("dh")).alias("h_low"), (F.col("mh") + k * F.col("dh")).alias("h_high"), (F.col("mf") - k * F.col("df")).alias("f_low"), (F.col("mf") + k * F.col("df")).alias("f_high"))
+    k, limits = mad_n * 1.4826, []
+    for c in ("hobs", "f"):
+        m = whole_median(sites, c)
+        far = whole_median(sites.select(F.abs(F.col(c) - F.lit(m)).alias("d")), "d")
+        limits += [None if m is None else m - k * far, None if m is None else m + k * far]
+    return sites.sparkSession.createDataFrame([tuple(limits)], "h_low double, h_high double, f_low double, f_high double")
 
 
 def windows(sites: DataFrame, scales: tuple = SCALES, mad_n: float = 3.0) -> DataFrame:
@@ -69,9 +72,10 @@ def overlay(candidates: DataFrame, windows_: DataFrame, flank: int = 500_000) ->
 
 
 def burden(windows_: DataFrame) -> DataFrame:
-    """Mean outlier shares by scale and chromosome, one row for each measure."""
+    """Mean outlier shares by scale and chromosome, one row for each measure. Shares are added as decimals, so that the mean does not
+    depend on the order of windows."""
     shares = [c for c in windows_.columns if c.startswith("frac_")]
-    return windows_.groupBy("scale", "chrom").agg(*[F.avg(c).alias(c) for c in shares]).unpivot(["scale", "chrom"], shares, "measure", "value")
+    return windows_.groupBy("scale", "chrom").agg(*[(F.sum(F.col(c).cast("decimal(20,12)")).cast("double") / F.count(c)).alias(c) for c in shares]).unpivot(["scale", "chrom"], shares, "measure", "value")
 
 
 def subset_summary(sites: DataFrame, by: str, value: str) -> DataFrame:

@@ -9,10 +9,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lociflow.functions import expr
-from lociflow.operators.windows import fixed_grid
+from lociflow.operators.windows import bucketed, fixed_grid, numbered, running
 
 MIN_SITES, MIN_INDIVIDUALS = 5, 5
 WIN = ["chrom", "start", "end"]
@@ -27,7 +26,7 @@ def dosages(gl: DataFrame) -> DataFrame:
 
 def downsample(sites: DataFrame, every: int, order: list[str]) -> DataFrame:
     """Every n-th site of a chromosome, by its number before other filters."""
-    return sites.withColumn("_i", F.row_number().over(Window.partitionBy("chrom").orderBy(*order)) - 1).filter(F.col("_i") % every == 0).drop("_i")
+    return numbered(sites, order).filter(F.col("_i") % every == 0).drop("_i", "_n")
 
 
 def site_frequencies(dos: DataFrame) -> DataFrame:
@@ -119,14 +118,11 @@ def karyotype_hwe(groups: DataFrame, low: str = "HOM_A", middle: str = "HET", hi
 
 
 def ranked(values: DataFrame, value: str = "fis") -> DataFrame:
-    """Values with their average rank over the whole table. Distinct values are counted first and their running count is
-    made from sums of hash-free value ranges, so that no task ranks all rows: the distinct values are sorted by range, each
-    range's total is carried forward, and ranks are joined back."""
+    """Values with their average rank over the whole table. Distinct values are counted and their running count is made by buckets of
+    values, so that no task ranks all rows; ranks are joined back."""
     some = values.filter(F.col(value).isNotNull())
-    d = some.groupBy(value).agg(F.count(F.lit(1)).alias("_t")).repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id()).persist()
-    part = d.groupBy("_p").agg(F.sum("_t").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = F.sum("_t").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    r = d.withColumn("_run", run).join(F.broadcast(part.select("_p", "_before")), "_p").select(F.col(value).alias("_v"), (F.col("_before") + F.col("_run") - F.col("_t") + (F.col("_t") + 1) / 2).alias("rank"), F.col("_t").alias("ties"))
+    d = some.groupBy(value).agg(F.count(F.lit(1)).alias("_t"))
+    r = running(bucketed(d, value), value, "_t").select(F.col(value).alias("_v"), (F.col("_run") - F.col("_t") + (F.col("_t") + 1) / 2).alias("rank"), F.col("_t").alias("ties"))
     return some.join(r, some[value] == F.col("_v")).drop("_v")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociflow.operators.windows import fixed_grid
+from lociflow.operators.windows import fixed_grid, numbered
 
 
 def rare_sharing(dos: DataFrame, bins: tuple[int, ...] = (2, 3, 4, 5), carrier: float = 0.5) -> DataFrame:
@@ -44,15 +44,13 @@ def ld_pairs(dos: DataFrame, groups: DataFrame, reach: int) -> DataFrame:
     g = dos.join(F.broadcast(groups), "sample_idx")
     med = g.groupBy("chrom", "pos", "group").agg(F.median("dosage").alias("_m"))
     site = g.join(med, ["chrom", "pos", "group"]).groupBy("chrom", "pos", "group").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", F.coalesce("dosage", "_m").alias("d")))), lambda x: x["d"]).alias("v"))
-    a = site.select("chrom", "group", F.col("pos").alias("pos_a"), F.col("v").alias("va"), F.explode(F.array(F.floor(F.col("pos") / reach), F.floor(F.col("pos") / reach) + 1)).alias("_b"))
-    b = site.select("chrom", "group", F.col("pos").alias("pos_b"), F.col("v").alias("vb"), F.floor(F.col("pos") / reach).alias("_b"))
-    p = a.join(b, ["chrom", "group", "_b"]).filter((F.col("pos_b") > F.col("pos_a")) & (F.col("pos_b") - F.col("pos_a") <= reach))
-    n = F.size("va").cast("double")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    sx, sy = total(F.col("va")), total(F.col("vb"))
-    dot = lambda x, y: total(F.zip_with(x, y, lambda u, v: u * v))
-    cov, vx, vy = dot("va", "vb") - sx * sy / n, dot("va", "va") - sx * sx / n, dot("vb", "vb") - sy * sy / n
-    return p.select("chrom", "group", "pos_a", "pos_b", F.when((vx > 1e-12) & (vy > 1e-12), cov * cov / (vx * vy)).otherwise(0.0).alias("r2"))
+    site = site.withColumn("sx", total(F.col("v"))).withColumn("vx", total(F.transform("v", lambda x: x * x)) - F.col("sx") * F.col("sx") / F.size("v"))
+    a = site.select("chrom", "group", F.col("pos").alias("pos_a"), F.col("v").alias("va"), F.col("sx").alias("sa"), F.col("vx").alias("qa"), F.explode(F.array(F.floor(F.col("pos") / reach), F.floor(F.col("pos") / reach) + 1)).alias("_b"))
+    b = site.select("chrom", "group", F.col("pos").alias("pos_b"), F.col("v").alias("vb"), F.col("sx").alias("sb"), F.col("vx").alias("qb"), F.floor(F.col("pos") / reach).alias("_b"))
+    p = a.join(b, ["chrom", "group", "_b"]).filter((F.col("pos_b") > F.col("pos_a")) & (F.col("pos_b") - F.col("pos_a") <= reach))
+    cov = total(F.zip_with("va", "vb", lambda u, v: u * v)) - F.col("sa") * F.col("sb") / F.size("va")
+    return p.select("chrom", "group", "pos_a", "pos_b", F.when((F.col("qa") > 1e-12) & (F.col("qb") > 1e-12), cov * cov / (F.col("qa") * F.col("qb"))).otherwise(0.0).alias("r2"))
 
 
 def ld_decomposition(pairs: DataFrame) -> DataFrame:
@@ -96,9 +94,9 @@ def site_blocks(terms: DataFrame, blocks: int) -> DataFrame:
     chromosome and numbers within one."""
     n = terms.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
     before = n.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    i = F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1 + F.col("_b")
+    i = F.col("_i") + F.col("_b")
     per = F.greatest(F.lit(1), F.floor(F.col("_all") / blocks))
-    return terms.join(F.broadcast(before), "chrom").withColumn("block", F.least(F.floor(i / per), F.lit(blocks - 1))).groupBy("block").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    return numbered(terms, ["pos"]).join(F.broadcast(before), "chrom").withColumn("block", F.least(F.floor(i / per), F.lit(blocks - 1))).groupBy("block").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
 def ehh_walk(pos: np.ndarray, g: np.ndarray, focal: int, decay: float = 0.05, reach: int = 1_000_000) -> float:
@@ -132,8 +130,7 @@ def _halo(gl: DataFrame, block: int, reach: int, every: int = 1) -> DataFrame:
     if every == 1:
         site = site.withColumn("focal", F.lit(True))
     else:
-        i = F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1
-        site = site.join(gl.select("chrom", "pos").distinct().select("chrom", "pos", (i % every == 0).alias("focal")), ["chrom", "pos"])
+        site = site.join(numbered(gl.select("chrom", "pos").distinct(), ["pos"]).select("chrom", "pos", (F.col("_i") % every == 0).alias("focal")), ["chrom", "pos"])
     return site.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("pos") - reach) / block).cast("long"), F.floor((F.col("pos") + reach) / block).cast("long"))))
 
 

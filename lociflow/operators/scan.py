@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociflow.functions import expr
-from lociflow.operators.windows import overlap_join
+from lociflow.operators.windows import bucketed, overlap_join, running
 
 
 def percentile_at(values: DataFrame, value: str, q: float, by: list[str] | None = None, half: bool = False) -> DataFrame:
     """The value at 0-based place floor(q * (n - 1)) in order, or floor(q * (n - 1) + 0.5) with half, as column `cut`.
 
-    Distinct values are counted, and the running count is made by value ranges (see ranked) where there is no `by`."""
+    Distinct values are counted; where there is no `by`, the running count is made by buckets of values (see bucketed)."""
     by = by or []
     d = values.filter(expr.finite(F.col(value)).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_t"))
     total = d.groupBy(*by).agg(F.sum("_t").alias("_n"))
     if by:
         run = d.withColumn("_run", F.sum("_t").over(Window.partitionBy(*by).orderBy(value))).join(total, by)
     else:
-        d = d.repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
-        part = d.groupBy("_p").agg(F.sum("_t").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-        run = d.withColumn("_run", F.sum("_t").over(Window.partitionBy("_p").orderBy(value))).join(F.broadcast(part), "_p").withColumn("_run", F.col("_run") + F.col("_b")).crossJoin(F.broadcast(total))
+        run = running(bucketed(d, value), value, "_t").crossJoin(F.broadcast(total))
     place = F.floor(q * (F.col("_n") - 1) + (0.5 if half else 0.0))
     return run.filter((F.col("_run") > place) & (F.col("_run") - F.col("_t") <= place)).select(*by, F.col(value).alias("cut"))
 
 
+def whole_median(values: DataFrame, value: str) -> float | None:
+    """The median of a whole table: the mean of the two middle places, found by running counts of buckets of values."""
+    d = values.filter(expr.finite(F.col(value)).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_t"))
+    run = running(bucketed(d, value), value, "_t").crossJoin(F.broadcast(d.agg(F.sum("_t").alias("_n"))))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    r = run.filter((F.col("_run") > low) & (F.col("_run") - F.col("_t") <= high)).agg(F.min(value), F.max(value)).first()
+    return None if r[0] is None else (r[0] + r[1]) / 2
+
+
 def top_threshold(track: DataFrame, percent: float, direction: str = "high") -> DataFrame:
     """The threshold that the most extreme percent of windows pass, as one row with column `cut`."""
     v = F.abs("stat") if direction in ("abs", "two_sided") else F.col("stat")
@@ -112,7 +119,8 @@ def two_sided_tests(rows: DataFrame, by: list[str], permutations: int = 0, seed:
     need = g.filter(enough).select(*by, F.col("n_inside").alias("_n1"), F.col("n_outside").alias("_n2"), F.abs(u - n1 * n2 / 2).alias("_seen"))
     keys = [F.col(c).cast("string") for c in by]
     reps = r.join(need, by).withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy("v", "inside"))).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    draw = reps.withColumn("_h", F.xxhash64(F.lit(seed), "_rep", "_row", *keys)).withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_rep").orderBy("_h", "_row"))).filter(F.col("_k") <= F.col("_n1"))
+    name = F.concat_ws("|", F.lit(str(seed)), *keys, F.col("_rep").cast("string"), F.col("_row").cast("string"))
+    draw = reps.withColumn("_h", expr.hash_int(name)).withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_rep").orderBy("_h", "_row"))).filter(F.col("_k") <= F.col("_n1"))
     each = draw.groupBy(*by, "_rep", "_n1", "_n2", "_seen").agg(F.sum("rank").alias("_r")).withColumn("_dev", F.abs(F.col("_r") - F.col("_n1") * (F.col("_n1") + 1) / 2 - F.col("_n1") * F.col("_n2") / 2))
     p = each.groupBy(*by).agg(((F.count(F.when(F.col("_dev") >= F.col("_seen"), 1)) + 1) / (permutations + 1.0)).alias("permutation_p"))
     return out.join(p, by, "left")

@@ -10,6 +10,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+BUCKETS = 200
+
+
+def bucketed(distinct: DataFrame, value: str) -> DataFrame:
+    """Rows of distinct numbers with `_p`: one of at most BUCKETS ranges of about as many rows each. The bounds are approximate percentiles,
+    so a row's bucket depends on its value alone, however often and wherever the plan is evaluated."""
+    at = [i / BUCKETS for i in range(1, BUCKETS)]
+    found = distinct.agg(F.percentile_approx(value, at, 10_000).alias("b")).first()
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found["b"] or []))]).cast(f"array<{dict(distinct.dtypes)[value]}>")
+    return distinct.withColumn("_p", F.size(F.filter(bounds, lambda b: b < F.col(value))))
+
+
+def running(parts: DataFrame, order: str, count: str, part: str = "_p") -> DataFrame:
+    """parts with `_run`: the running sum of count in order, own row included. Parts hold ranges in order; sums of whole parts (a few
+    rows) are carried forward."""
+    sums = parts.groupBy(part).agg(F.sum(count).alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    own = F.sum(count).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_run", own).join(F.broadcast(sums), part).withColumn("_run", F.col("_run") + F.col("_b")).drop("_b")
+
+
+def numbered(sites: DataFrame, order: list[str], by: str = "chrom", block: int = 1_000_000) -> DataFrame:
+    """sites with `_i`, their place in order within `by` from 0, and `_n`, how many there are. order starts with a position; sites are
+    numbered within blocks of positions, and counts of blocks (as many rows as the genome has blocks) are carried forward, so that
+    no task sorts a chromosome."""
+    at = sites.withColumn("_blk", F.floor(F.col(order[0]) / block))
+    sizes = at.groupBy(by, "_blk").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(by)
+    first = sizes.select(F.col(by).alias("_by"), F.col("_blk").alias("_bk"), F.coalesce(F.sum("_c").over(w.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"), F.sum("_c").over(w).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(by, "_blk").orderBy(*order)) - 1
+    return at.withColumn("_o", own).join(first, (F.col(by) == F.col("_by")) & (F.col("_blk") == F.col("_bk"))).withColumn("_i", F.col("_o") + F.col("_f")).drop("_blk", "_o", "_by", "_bk", "_f")
+
+
 def fixed_grid(points: DataFrame, width: int, step: int, origin: int = 0, pos: str = "pos") -> DataFrame:
     """points once for each window [start, start + width - 1] that holds them; windows start at origin + k * step, k >= 0."""
     p = F.col(pos) - origin
@@ -20,12 +52,10 @@ def fixed_grid(points: DataFrame, width: int, step: int, origin: int = 0, pos: s
 def site_windows(sites: DataFrame, width: int, step: int, order: list[str], by: str = "chrom") -> DataFrame:
     """sites once for each window of `width` consecutive sites that holds them; partial windows at the end are left out.
     Adds window_id, from 1 for each `by`. A chromosome with fewer sites than a window has one window of all."""
-    w = Window.partitionBy(by)
-    numbered = sites.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     last = F.greatest(F.lit(0), F.floor((F.col("_n") - width) / step))
     lo = F.greatest(F.lit(0), F.ceil((F.col("_i") - (width - 1)) / step))
     hi = F.least(last, F.floor(F.col("_i") / step))
-    return numbered.filter(lo <= hi).withColumn("window_id", F.explode(F.sequence((lo + 1).cast("long"), (hi + 1).cast("long")))).drop("_i", "_n")
+    return numbered(sites, order, by).filter(lo <= hi).withColumn("window_id", F.explode(F.sequence((lo + 1).cast("long"), (hi + 1).cast("long")))).drop("_i", "_n")
 
 
 def bins(start: Column, end: Column, size: int) -> Column:

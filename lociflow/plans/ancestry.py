@@ -58,7 +58,7 @@ def _ld(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "anc_q_metrics": lambda s, d: rounded(_metrics(s, d)),
-    "anc_residual_dosage": lambda s, d: rounded(an.residual_dosage(_dos(s, d), ad.f_matrix(ad.gl(s, d)), ad.q_matrix(s))),
+    "anc_residual_dosage": lambda s, d: an.residual_dosage(_dos(s, d), ad.f_matrix(ad.gl(s, d)), ad.q_matrix(s)).withColumn("residual", F.round("residual", 6) + F.lit(0.0)),
     "anc_q_support": lambda s, d: rounded(_spread(_support(s, d), "support", "support_q")),
     "anc_support_windows": lambda s, d: rounded(_spread(_support_windows(s, d), "mean_support", "mean_support_q")),
     "anc_candidate_support": lambda s, d: rounded(an.candidate_support(_site_candidates(s), _support_windows(s, d))),
@@ -111,7 +111,7 @@ _INT = """, pf AS (SELECT chrom, pos, avg(d) FILTER (g = 'P1') / 2 AS p1, avg(d)
 tm AS (SELECT chrom, pos, (1-p1)*p2*p3*(1-po) AS abba, p1*(1-p2)*p3*(1-po) AS baba, p3*(1-po)*(p2-p1) AS num, greatest(0, CASE WHEN p2 >= p1 THEN greatest(p2,p3)*(1-po)*(greatest(p2,p3)-p1) ELSE greatest(p1,p3)*(1-po)*(greatest(p1,p3)-p2) END) AS den FROM pf)"""
 SQL = {
     "anc_q_metrics": "WITH " + ad.SQL_Q + f" SELECT s AS sample_idx, round(list_max(q), 6) AS max_q, round(list_sort(q, 'DESC')[1] - list_sort(q, 'DESC')[2], 6) AS delta12, round({_ENT.format(q='q')}, 6) AS entropy, round(exp({_ENT.format(q='q')}), 6) AS ena, list_position(q, list_max(q))::INT AS assigned_pop, len([x FOR x IN q IF x > 0.05])::INT AS n_above_005, len([x FOR x IN q IF x > 0.1])::INT AS n_above_010, round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3 FROM ql",
-    "anc_residual_dosage": ad.with_ctes(ad.SQL_GL, ad.SQL_Q, ad.SQL_F) + ", mx AS (SELECT chrom, pos, s, sum(x * f) AS m FROM fm JOIN qm USING (k) GROUP BY ALL) SELECT chrom, pos, s AS sample_idx, round(d, 6) AS dosage, round(d - 2 * m, 6) + 0.0 AS residual FROM dos JOIN mx USING (chrom, pos, s)",
+    "anc_residual_dosage": ad.with_ctes(ad.SQL_GL, ad.SQL_Q, ad.SQL_F) + ", mx AS (SELECT chrom, pos, s, list_reduce(list(x * f ORDER BY k), lambda a, b: a + b) AS m FROM fm JOIN qm USING (k) GROUP BY ALL) SELECT chrom, pos, s AS sample_idx, d AS dosage, round(d - 2 * m, 6) + 0.0 AS residual FROM dos JOIN mx USING (chrom, pos, s)",
     "anc_q_support": _G + _SUP + " SELECT chrom, pos, best_q, round(best, 6) AS best, round(delta12, 6) AS delta12, round(delta13, 6) AS delta13, round(entropy, 6) AS entropy, round(exp(entropy), 6) AS ena, round(maf, 6) AS maf, CASE WHEN best >= 0.5 AND delta12 >= 0.2 THEN 'dominant_single_Q' WHEN best >= 0.5 THEN 'dominant_plus_secondary' WHEN best >= 0.3 THEN 'mixed_Q_support' WHEN entropy > 1.5 THEN 'diffuse' ELSE 'low_information' END AS marker_class, CASE WHEN best >= 0.5 THEN 'high' WHEN best >= 0.3 THEN 'moderate' ELSE 'low' END AS confidence, round(q[1], 6) AS support_q1, round(q[2], 6) AS support_q2, round(q[3], 6) AS support_q3 FROM sup",
     "anc_support_windows": _G + _SUP + _SW + ' SELECT chrom, window_id, start, "end", n_snps, round(mean_entropy, 6) AS mean_entropy, switches, dominant_q, round(dominant_share, 6) AS dominant_share, round(coherence, 6) AS coherence, mixed, round(ms[1], 6) AS mean_support_q1, round(ms[2], 6) AS mean_support_q2, round(ms[3], 6) AS mean_support_q3 FROM sw',
     "anc_candidate_support": _G + _SUP + _SW + _SC + """, j AS (SELECT candidate_id, w.*, row_number() OVER (PARTITION BY candidate_id ORDER BY w.start, w."end") AS o FROM cand c JOIN sw w ON w.chrom = c.chrom AND c.start < w."end" AND c."end" > w.start),

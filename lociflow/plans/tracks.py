@@ -147,13 +147,22 @@ SELECT chrom, region, start, "end", gene_id AS nearest_gene, dist AS gene_distan
     "scan_bootstrap_block_median": _T + _boot(100, 4, "median"),
     "scan_binned_z": _T + ", s AS (SELECT n_variants // 10 AS bin, avg(stat) AS m, stddev_samp(stat) AS sd FROM track GROUP BY 1) SELECT chrom, start, \"end\", round(stat, 5) AS stat, n_variants, bin, round((stat - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) + 0.0 AS stat_norm FROM track JOIN s ON s.bin = n_variants // 10",
     "hobs_windows": _HO + _hw(SCALES) + "SELECT * FROM hw",
-    "hobs_burden": _HO + _hw(SCALES) + " SELECT scale, chrom, measure, round(avg(v), 6) AS value FROM (UNPIVOT (SELECT scale, chrom, frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier FROM hw) ON frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier INTO NAME measure VALUE v) GROUP BY scale, chrom, measure",
+    "hobs_burden": _HO + _hw(SCALES).replace(", 6) AS frac", ", 15) AS frac") + " SELECT scale, chrom, measure, round(sum(v::DECIMAL(20, 12))::DOUBLE / count(*), 6) AS value FROM (UNPIVOT (SELECT scale, chrom, frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier FROM hw) ON frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier INTO NAME measure VALUE v) GROUP BY scale, chrom, measure",
     "hobs_subset_summary": _HO + ", m AS (SELECT chrom, median(hobs) AS md FROM ho GROUP BY chrom) SELECT chrom, round(md, 6) AS median, round(1.4826 * median(abs(hobs - md)), 6) AS mad FROM ho JOIN m USING (chrom) GROUP BY chrom, md",
     "hobs_subset_contrast": _HO + ", a AS (SELECT (round_even(pos / 1000.0, 0) * 1000)::BIGINT AS pos_bin, chrom, avg(hobs) AS h, avg(f) AS f FROM ho WHERE chrom IN ('1-URGENT', '5-LOW') GROUP BY 1, 2) SELECT x.pos_bin, round(x.h - y.h, 6) + 0.0 AS delta_hobs, round(x.f - y.f, 6) + 0.0 AS delta_f FROM a x JOIN a y ON x.pos_bin = y.pos_bin AND x.chrom = '1-URGENT' AND y.chrom = '5-LOW'",
     "hobs_binned_pivot": _HO + " SELECT (round_even(pos / 1000.0, 0) * 1000)::BIGINT AS pos_bin, round(avg(hobs) FILTER (chrom = '1-URGENT'), 6) AS urgent, round(avg(hobs) FILTER (chrom = '5-LOW'), 6) AS low FROM ho GROUP BY 1",
     "hobs_groups": ad.with_ctes(ad.SQL_GL) + """, x AS (SELECT chrom, pos, g, avg(h) AS h FROM dos JOIN grp USING (s) GROUP BY chrom, pos, g) SELECT chrom, start, start + 49999 AS "end", g AS "group", round(avg(h), 6) AS hobs, count(*) AS n_sites FROM (SELECT *, unnest(range(greatest(0, (pos - 1 - 49999 + 9999) // 10000), (pos - 1) // 10000 + 1)) * 10000 + 1 AS start FROM x) GROUP BY chrom, start, g""",
 }
 _HC = ", hc(candidate_id, chrom, start, \"end\") AS (VALUES " + ", ".join(f"('{c[0]}_{k}', '{c}', {k * 4000 + 1}, {k * 4000 + 3000})" for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for k in (0, 1, 2)) + ")"
+_PERM = """, po AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, stat_name ORDER BY v, inside) AS rw FROM rk),
+nd AS (SELECT candidate_id, stat_name, n1, n2, abs(u - n1 * n2 / 2) AS seen FROM u WHERE ok),
+dr AS (SELECT po.candidate_id, po.stat_name, rep, n1, n2, seen, rank, row_number() OVER (PARTITION BY po.candidate_id, po.stat_name, rep ORDER BY concat('0x', substr(md5('1|' || po.candidate_id || '|' || po.stat_name || '|' || rep || '|' || rw), 1, 8))::UBIGINT, rw) AS k FROM po JOIN nd USING (candidate_id, stat_name), range(1, 1001) AS r(rep)),
+ea AS (SELECT candidate_id, stat_name, rep, seen, abs(sum(rank) - n1 * (n1 + 1) / 2 - n1 * n2 / 2) AS dev FROM dr WHERE k <= n1 GROUP BY candidate_id, stat_name, rep, n1, n2, seen),
+pp AS (SELECT candidate_id, stat_name, (count(*) FILTER (dev >= seen) + 1) / 1001.0::DOUBLE AS permutation_p FROM ea GROUP BY candidate_id, stat_name)
+SELECT y.*, round(permutation_p, 5) AS permutation_p FROM ("""
+_plain = SQL["scan_candidates_vs_flanks"]
+_from = _plain.rindex("SELECT candidate_id, stat_name, n1::BIGINT")
+SQL["scan_permutation_test"] = _plain[:_from].replace(" UNION ALL SELECT chrom, start, \"end\", 'depth', n_variants::DOUBLE FROM track", "") + _PERM + _plain[_from:] + ") y LEFT JOIN pp USING (candidate_id, stat_name)"
 SQL["hobs_overlay"] = _HO + _hw((("1kb", 1_000, 200),)).replace("6) + 0.0 AS", "15) AS").replace(", 6) AS frac", ", 15) AS frac") + _HC + """, j AS (SELECT c.*, w.start < c."end" AND w."end" > c.start AS ins, (w.start >= c.start - 2000 AND w."end" <= c.start) OR (w.start >= c."end" AND w."end" <= c."end" + 2000) AS fl, w.mean_f, w.median_f, w.frac_high_f_outlier AS hf, w.frac_low_hobs_outlier AS lh FROM hc c LEFT JOIN hw w ON w.chrom = c.chrom),
 g AS (SELECT candidate_id, chrom, start, "end", count(*) FILTER (ins) AS n_inside, count(*) FILTER (fl) AS n_flank, avg(mean_f) FILTER (ins) AS mi, avg(median_f) FILTER (ins) AS me, avg(mean_f) FILTER (fl) AS mf, avg(hf) FILTER (ins) AS hf, avg(lh) FILTER (ins) AS lh FROM j GROUP BY ALL)
 SELECT candidate_id, chrom, start, "end", n_inside, n_flank, round(mi, 6) + 0.0 AS mean_f_inside, round(me, 6) + 0.0 AS median_f_inside, round(mf, 6) + 0.0 AS mean_f_flank, round(hf, 6) AS frac_high_f, round(lh, 6) AS frac_low_hobs,

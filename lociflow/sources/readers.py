@@ -184,9 +184,13 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Neighbouring records as pairs; unequal lengths and a last odd record are left out. The id loses _A, _B, _1 or _2."""
-    w = Window.orderBy("ord")
-    t = fasta(spark, path).withColumn("k", F.row_number().over(w)).withColumn("seq_b", F.lead("seq").over(w)).filter("k % 2 = 1 and seq_b is not null and length(seq) = length(seq_b)")
-    return t.select(F.regexp_replace("name", "_[AB12]$", "").alias("pair_id"), F.col("seq").alias("seq_a"), "seq_b")
+    t = fasta(spark, path).withColumn("_part", F.shiftright("ord", 33))
+    sizes = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # one row for each part of the file
+    first = sizes.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"))
+    k = F.col("_f") + F.row_number().over(Window.partitionBy("_part").orderBy("ord")) - 1
+    t = t.join(F.broadcast(first), "_part").withColumn("_k", k)
+    two = t.groupBy(F.floor(F.col("_k") / 2).alias("_pair")).agg(*[F.max(F.when(F.col("_k") % 2 == i, F.col(c))).alias(f"{c}_{i}") for c, i in (("name", 0), ("seq", 0), ("seq", 1))])
+    return two.filter("seq_1 is not null and length(seq_0) = length(seq_1)").select(F.regexp_replace("name_0", "_[AB12]$", "").alias("pair_id"), F.col("seq_0").alias("seq_a"), F.col("seq_1").alias("seq_b"))
 
 
 def cds_pairs(spark: SparkSession, path: str) -> DataFrame:
