@@ -92,3 +92,19 @@ def karyotype_state(text: Column) -> Column:
 def hash_int(text: Column) -> Column:
     """32 bits of md5: the same number in other engines."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def log10_1p(x: Column) -> Column:
+    """log10(x + 1), for counts on a colour scale."""
+    return F.log10(x + 1)
+
+
+def segment(mid: Column, start: Column, end: Column) -> Column:
+    """Where a midpoint stands to a candidate, rules in order."""
+    half = (start + end) / 2
+    return F.when(mid < start, "Left flank").when(mid < half, "Inv. left half").when(mid <= end, "Core").when(mid <= end + (end - start) * 0.5, "Inv. right half").otherwise("Right flank")
+
+
+def common_columns(a: list[str], b: list[str]) -> list[str]:
+    """The names of a that b has too, in the order of a."""
+    return [c for c in a if c in set(b)]

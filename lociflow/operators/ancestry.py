@@ -102,6 +102,15 @@ def q_support(dos: DataFrame, q: DataFrame) -> DataFrame:
     return out.withColumn("marker_class", marker_class(F.col("best"), F.col("delta12"), F.col("entropy"))).withColumn("confidence", F.when(F.col("best") >= 0.5, "high").when(F.col("best") >= 0.3, "moderate").otherwise("low")).drop("m", "raw")
 
 
+def with_membership(support: DataFrame, majmin: DataFrame, thin: DataFrame) -> DataFrame:
+    """Sites with major_allele and minor_allele of majmin (chrom, pos, major_allele, minor_allele; empty where it has none), and yes or
+    no for in_majmin and in_thin500 (thin: chrom, pos)."""
+    a = majmin.select("chrom", "pos", "major_allele", "minor_allele", F.lit("yes").alias("in_majmin")).dropDuplicates(["chrom", "pos"])
+    b = thin.select("chrom", "pos", F.lit("yes").alias("in_thin500")).distinct()
+    j = support.join(a, ["chrom", "pos"], "left").join(b, ["chrom", "pos"], "left")
+    return j.withColumns({c: F.coalesce(c, F.lit("")) for c in ("major_allele", "minor_allele")} | {c: F.coalesce(c, F.lit("no")) for c in ("in_majmin", "in_thin500")})
+
+
 def marker_class(best: Column, delta: Column, h: Column) -> Column:
     return F.when((best >= 0.5) & (delta >= 0.2), "dominant_single_Q").when(best >= 0.5, "dominant_plus_secondary").when(best >= 0.3, "mixed_Q_support").when(h > 1.5, "diffuse").otherwise("low_information")
 

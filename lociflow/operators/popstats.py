@@ -29,6 +29,11 @@ def downsample(sites: DataFrame, every: int, order: list[str]) -> DataFrame:
     return numbered(sites, order).filter(F.col("_i") % every == 0).drop("_i", "_n")
 
 
+def site_slice(sites: DataFrame, first: int, last: int, order: list[str]) -> DataFrame:
+    """The sites numbered first to last (both included, from 0) of each chromosome, after all other filters."""
+    return numbered(sites, order).filter(F.col("_i").between(first, last)).drop("_i", "_n")
+
+
 def site_frequencies(dos: DataFrame) -> DataFrame:
     """chrom, pos, n, p, fis: inbreeding at the site as a 32-bit number, null where no heterozygotes are expected."""
     s = dos.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("dosage").alias("d"), F.sum("het").alias("h"))

@@ -11,7 +11,11 @@ from lociflow.operators import relations as rel
 from lociflow.operators import scan
 from lociflow.operators.popstats import dosages
 from lociflow.plans import adapters as ad
+from lociflow.plans import popstats as pp
+from lociflow.plans.dispatch import batch_stats
 from lociflow.plans.popstats import rounded
+from lociflow.functions import expr
+from lociflow.sources import readers, scratch, writers
 
 
 def _dos(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +60,58 @@ def _ld(spark: SparkSession, d: str) -> DataFrame:
     return rel.ld_pairs(_dos(spark, d), ad.groups(spark), 20_000)
 
 
+def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Alleles of sites whose place in thousands is even, and every 500th place of these."""
+    s = ad.gl(spark, d).select("chrom", "pos").distinct().withColumn("k", F.floor(F.col("pos") / 1000))
+    return s.filter("k % 2 = 0").select("chrom", "pos", F.substring("chrom", -1, 1).alias("major_allele"), F.lit("T").alias("minor_allele")), s.filter("k % 5 = 0").select("chrom", "pos")
+
+
+def _membership(spark: SparkSession, d: str) -> DataFrame:
+    return an.with_membership(_support(spark, d).select("chrom", "pos", "best_q", "marker_class"), *_sets(spark, d))
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Sites with their segment of every candidate of their chromosome."""
+    j = ad.gl(spark, d).select("chrom", "pos").distinct().join(F.broadcast(_site_candidates(spark)), "chrom")
+    return j.select("candidate_id", expr.segment(F.col("pos"), F.col("start"), F.col("end")).alias("segment")).groupBy("candidate_id", "segment").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+def _beagle(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihoods written as text and read back."""
+    path = scratch.folder(spark, "beagle")
+    writers.write_beagle(ad.gl(spark, d), path)
+    return readers.beagle(spark, path).select("chrom", "pos", "sample_idx", "gl0", "gl1", "gl2")
+
+
+def _track_text(spark: SparkSession, d: str) -> DataFrame:
+    """The track written as text and read back, columns found by their names."""
+    path = scratch.folder(spark, "track")
+    writers.write_track(ad.track(spark, d).withColumnRenamed("stat", "fst"), path, text=True)
+    return readers.track(spark, path)
+
+
+def _cache(spark: SparkSession, d: str) -> DataFrame:
+    """Support of sites in the cache of results, written twice, read for one chromosome."""
+    path = scratch.folder(spark, "cache")
+    rows = _support(spark, d).select("chrom", "pos", "best_q", "marker_class")
+    writers.write_cache(rows, path, ad.K, "all")
+    writers.write_cache(rows.filter("chrom = 'chr2'"), path, ad.K, "all")
+    return readers_cache(spark, path)
+
+
+def readers_cache(spark: SparkSession, path: str) -> DataFrame:
+    return writers.read_cache(spark, path, ad.K, "all").select("chrom", "pos", "best_q", "marker_class")
+
+
 QUERIES = {
+    "pop_batch_candidates": lambda s, d: rounded(batch_stats(ad.gl(s, d), _site_candidates(s), F.broadcast(ad.groups(s)))),
+    "anc_membership": _membership,
+    "anc_segments": _segments,
+    "rel_sample_pc1": lambda s, d: rounded(rel.first_component(rel.sample_covariances(_dos(s, d))), 4),
+    "rel_rare_sharing_log": lambda s, d: rel.rare_sharing(_dos(s, d)).select("bin", "i", "j", F.round(expr.log10_1p(F.col("shared")), 6).alias("log_shared")),
+    "io_beagle": _beagle,
+    "io_track_text": _track_text,
+    "io_cache": _cache,
     "anc_q_metrics": lambda s, d: rounded(_metrics(s, d)),
     "anc_residual_dosage": lambda s, d: an.residual_dosage(_dos(s, d), ad.f_matrix(ad.gl(s, d)), ad.q_matrix(s)).withColumn("residual", F.round("residual", 6) + F.lit(0.0)),
     "anc_q_support": lambda s, d: rounded(_spread(_support(s, d), "support", "support_q")),
@@ -131,3 +186,21 @@ SELECT c.candidate_id, c.chrom, c.start, c."end", n_windows, round(md, 6) AS mea
     "rel_introgression": ad.with_ctes(ad.SQL_GL) + _INT + ", w AS (SELECT chrom, start, count(*) AS n_sites, count(*) FILTER (abs(num) > 1e-15) AS n_informative, sum(abba) AS a, sum(baba) AS b, sum(num) AS num, sum(den) AS den FROM (SELECT *, unnest(range(greatest(0, (pos - 49999 + 9999) // 10000), pos // 10000 + 1)) * 10000 AS start FROM tm) GROUP BY chrom, start) SELECT chrom, start, start + 49999 AS \"end\", n_sites, n_informative, CASE WHEN a + b > 1e-15 THEN round((a - b) / (a + b), 6) + 0.0 END AS D, CASE WHEN den > 1e-15 THEN round(num / den, 6) + 0.0 END AS fdM FROM w",
     "rel_introgression_jackknife": ad.with_ctes(ad.SQL_GL) + _INT + f", ix AS (SELECT *, row_number() OVER (ORDER BY chrom, pos) - 1 AS i, count(*) OVER () AS n FROM tm), bk AS (SELECT least(i // greatest(1, n // 20), 19) AS block, sum(num) AS num, sum(den) AS den FROM ix GROUP BY 1), tt AS (SELECT sum(num) AS n, sum(den) AS d, count(*) AS b FROM bk), jk AS (SELECT b, tt.n / tt.d AS est, sqrt((b - 1) * var_pop((tt.n - num) / (tt.d - den))) AS se FROM bk, tt GROUP BY b, tt.n, tt.d) SELECT b AS n_blocks, round(est, 5) AS estimate, round(se, 5) AS se, round(est / se, 5) AS z, round({sql_erfc('abs(est / se) / sqrt(2.0::double)')}, 5) AS p FROM jk",
 }
+_IN = _SC + """, dc AS (SELECT candidate_id AS chrom, pos, s, d, h FROM dos JOIN cand USING (chrom) WHERE pos BETWEEN start AND "end")"""
+_B = lambda t: t.replace("FROM dos", "FROM dc").replace("JOIN dos", "JOIN dc")
+_ONE = pp._COHORT.replace(pp._WIN + " AS start", "0 AS start")
+SQL |= {
+    "pop_batch_candidates": ad.with_ctes(ad.SQL_GL) + _IN + ", " + _B(pp._SITE) + ", " + _ONE + ", " + _B(pp._FREQ) + """, pr AS (SELECT a.chrom, a.g AS ga, b.g AS gb, count(*) AS n, sum((a.p-b.p)*(a.p-b.p) - a.p*(1-a.p)/(a.n-1) - b.p*(1-b.p)/(b.n-1)) AS num, sum(a.p*(1-b.p) + b.p*(1-a.p)) AS den FROM freq a JOIN freq b ON a.chrom = b.chrom AND a.pos = b.pos AND a.g < b.g GROUP BY ALL),
+fl AS (SELECT chrom, """ + ", ".join(f"max(CASE WHEN n >= 5 THEN {v} ELSE 0 END) FILTER (ga = '{a}' AND gb = '{b}') AS {n}_{a}_{b}" for n, v in (("Fst", "CASE WHEN den > 1e-15 THEN greatest(0, num / den) ELSE 0 END"), ("dXY", "den / n")) for a, b in (("HET", "HOM_A"), ("HET", "HOM_B"), ("HOM_A", "HOM_B"))) + """ FROM pr GROUP BY chrom), hb AS (SELECT chrom, avg(h) AS hobs FROM dc GROUP BY chrom)
+SELECT candidate_id, n_sites, """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")) + ", round(hobs, 6) AS Hobs, " + ", ".join(f"round({n}_{p}, 6) AS {n}_{p}" for n in ("Fst", "dXY") for p in ("HET_HOM_A", "HET_HOM_B", "HOM_A_HOM_B")) + ", CASE WHEN n_sites IS NOT NULL THEN round(coalesce(Fst_HOM_A_HOM_B, 0), 6) END AS arrangement_FST_like FROM cand LEFT JOIN coh ON coh.chrom = candidate_id LEFT JOIN hb ON hb.chrom = candidate_id LEFT JOIN fl ON fl.chrom = candidate_id",
+    "anc_membership": _G + _SUP + " SELECT chrom, pos, best_q, CASE WHEN best >= 0.5 AND delta12 >= 0.2 THEN 'dominant_single_Q' WHEN best >= 0.5 THEN 'dominant_plus_secondary' WHEN best >= 0.3 THEN 'mixed_Q_support' WHEN entropy > 1.5 THEN 'diffuse' ELSE 'low_information' END AS marker_class, CASE WHEN pos // 1000 % 2 = 0 THEN right(chrom, 1) ELSE '' END AS major_allele, CASE WHEN pos // 1000 % 2 = 0 THEN 'T' ELSE '' END AS minor_allele, CASE WHEN pos // 1000 % 2 = 0 THEN 'yes' ELSE 'no' END AS in_majmin, CASE WHEN pos // 1000 % 5 = 0 THEN 'yes' ELSE 'no' END AS in_thin500 FROM sup",
+    "anc_segments": ad.with_ctes(ad.SQL_GL) + _SC + """ SELECT candidate_id, CASE WHEN pos < start THEN 'Left flank' WHEN pos < (start + "end") / 2 THEN 'Inv. left half' WHEN pos <= "end" THEN 'Core' WHEN pos <= "end" + ("end" - start) * 0.5 THEN 'Inv. right half' ELSE 'Right flank' END AS segment, count(*) AS n_sites FROM (SELECT DISTINCT chrom, pos FROM gl) JOIN cand USING (chrom) GROUP BY ALL""",
+    "rel_sample_pc1": ad.with_ctes(ad.SQL_GL).replace("WITH ", "WITH RECURSIVE ", 1) + """, ce AS (SELECT chrom, pos, s, d - avg(d) OVER (PARTITION BY chrom, pos) AS x FROM dos), cv AS (SELECT a.s AS i, b.s AS j, avg(a.x * b.x) AS c FROM ce a JOIN ce b USING (chrom, pos) GROUP BY ALL),
+cr AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i), mt AS (SELECT list(r ORDER BY i) AS m, list(i ORDER BY i) AS ids, count(*) AS n FROM cr),
+it AS (SELECT 0 AS k, [z::DOUBLE FOR z IN range(1, n + 1)] AS v FROM mt UNION ALL SELECT k + 1, [z / sqrt(list_sum([y * y FOR y IN w])) FOR z IN w] FROM (SELECT k, [list_sum([r[q] * v[q] FOR q IN range(1, n + 1)]) FOR r IN m] AS w FROM it, mt WHERE k < 100)),
+pc AS (SELECT unnest(ids) AS sample_idx, unnest(v) AS pc1 FROM it, mt WHERE k = 100) SELECT sample_idx, round(pc1, 4) + 0.0 AS pc1, (row_number() OVER (ORDER BY pc1, sample_idx) - 1)::INT AS place FROM pc""",
+    "rel_rare_sharing_log": ad.with_ctes(ad.SQL_GL) + _RARE + " SELECT bin, i, j, round(log10(shared + 1), 6) AS log_shared FROM sh",
+    "io_beagle": ad.with_ctes(ad.SQL_GL) + " SELECT chrom, pos, s AS sample_idx, gl0, gl1, gl2 FROM gl",
+    "io_track_text": ad.with_ctes(ad.SQL_TRACK) + " SELECT chrom, start, \"end\", stat, n_variants FROM track",
+    "io_cache": _G + _SUP + " SELECT chrom, pos, best_q, CASE WHEN best >= 0.5 AND delta12 >= 0.2 THEN 'dominant_single_Q' WHEN best >= 0.5 THEN 'dominant_plus_secondary' WHEN best >= 0.3 THEN 'mixed_Q_support' WHEN entropy > 1.5 THEN 'diffuse' ELSE 'low_information' END AS marker_class FROM sup",
+}

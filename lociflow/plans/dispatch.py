@@ -39,13 +39,26 @@ def region_stats(gl: DataFrame, chrom: str, start: int, end: int, what: list[str
     return out
 
 
-def batch_stats(gl: DataFrame, candidates: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairwise statistics of all candidates at once: sites meet candidates by bins, then one aggregation by candidate."""
+def batch_stats(gl: DataFrame, candidates: DataFrame, groups: DataFrame, arrangements: tuple[str, str] = ("HOM_A", "HOM_B")) -> DataFrame:
+    """One row for each candidate: n_sites, theta_pi, theta_W, Tajima_D, Hp, Hobs (mean share of the middle genotype), Fst_a_b and
+    dXY_a_b of every pair of groups, and arrangement_FST_like, the Fst of the arrangements (0 without both). Sites meet candidates by bins, then
+    each candidate is a window of its own. Candidates without sites keep nulls."""
     from lociflow.operators.windows import points_in
 
-    dos = points_in(popstats.dosages(gl), candidates.select("candidate_id", "chrom", "start", "end"), 100_000)
-    s = dos.groupBy("candidate_id", "chrom", "pos").agg(F.count(F.lit(1)).alias("n"), (F.sum("dosage") / (2 * F.count(F.lit(1)))).alias("p"))
-    return s.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_sites"), F.avg(2 * F.col("p") * (1 - F.col("p")) * F.col("n") / (F.col("n") - 1)).alias("theta_pi"), F.avg("p").alias("mean_p"))
+    names = sorted(r[0] for r in groups.select("group").distinct().collect())  # a few
+    wide = 1 << 40
+    own = candidates.select(F.col("candidate_id").alias("_id"), "chrom", "start", "end")
+    dos = points_in(popstats.dosages(gl), own, 100_000).select(F.col("_id").alias("chrom"), "pos", "sample_idx", "dosage", "peak", "het")
+    cohort = popstats.cohort_diversity(popstats.site_frequencies(dos), wide, wide).drop("start", "end", "S")
+    het = dos.groupBy("chrom").agg(F.avg("het").alias("Hobs"))
+    pairs = popstats.pairwise_divergence(popstats.group_frequencies(dos, groups), wide, wide)
+    of = lambda a, b, c: F.max(F.when((F.col("group_a") == a) & (F.col("group_b") == b), F.col(c)))
+    both = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    flat = pairs.groupBy("chrom").agg(*[of(a, b, c).alias(f"{n}_{a}_{b}") for n, c in (("Fst", "FST"), ("dXY", "dXY")) for a, b in both]) if both else pairs.select("chrom").distinct()
+    a, b = sorted(arrangements)
+    like = F.coalesce(F.col(f"Fst_{a}_{b}"), F.lit(0.0)) if (a, b) in both else F.lit(0.0)
+    out = cohort.join(het, "chrom").join(flat, "chrom", "left").withColumn("arrangement_FST_like", like).withColumnRenamed("chrom", "candidate_id")
+    return candidates.select("candidate_id").join(out, "candidate_id", "left")
 
 
 Handler = Callable[[SparkSession, dict, dict[str, DataFrame]], DataFrame]
@@ -74,7 +87,17 @@ def _hobs(spark: SparkSession, q: dict, t: dict[str, DataFrame]) -> DataFrame:
     return hobs.windows(hobs.heterozygosity(t["hwe"]), tuple(map(tuple, q["scales"])) if "scales" in q else hobs.SCALES, q.get("mad_n", 3.0))
 
 
-HANDLERS: dict[str, Handler] = {"outlier_scan": _outliers, "candidate_vs_flanks": _flanks, "xpehh": _xpehh, "iHS": _ihs, "hobs_windows": _hobs}
+def _batch(spark: SparkSession, q: dict, t: dict[str, DataFrame]) -> DataFrame:
+    return batch_stats(t["gl"], t["candidates"], t["groups"])
+
+
+HANDLERS: dict[str, Handler] = {"batch_stats": _batch, "outlier_scan": _outliers, "candidate_vs_flanks": _flanks, "xpehh": _xpehh, "iHS": _ihs, "hobs_windows": _hobs}
+
+
+def score_metadata(scores: DataFrame) -> dict:
+    """What the normalisation of a scan used: n_focal, global_mean and global_sd of its raw scores."""
+    r = scores.agg(F.count("raw"), F.avg("raw"), F.stddev_samp("raw")).first()
+    return {"n_focal": r[0], "global_mean": r[1], "global_sd": r[2]}
 
 
 def answer(spark: SparkSession, request: str, tables: dict[str, DataFrame]) -> str:
@@ -85,6 +108,7 @@ def answer(spark: SparkSession, request: str, tables: dict[str, DataFrame]) -> s
         name, rid = q.get("statistic"), q.get("request_id")
         if name not in HANDLERS:
             raise ValueError(f"unknown statistic: {name}")
-        return writers.document(HANDLERS[name](spark, q.get("params", {}), tables), name, rid)
+        result = HANDLERS[name](spark, q.get("params", {}), tables)
+        return writers.document(result, name, rid, score_metadata(result) if name in ("xpehh", "iHS") else None)
     except (ValueError, KeyError, TypeError) as e:
         return json.dumps({"statistic": name, "request_id": rid, "status": "error", "error": str(e), "rows": []})

@@ -39,6 +39,7 @@ QUERIES = {
     "pop_inbreeding_windows": lambda s, d: rounded(ps.inbreeding_windows(_sites(s, d), W, S), 4),
     "pop_region_stats": lambda s, d: rounded(ps.region_stats(ps.dosages(ad.gl(s, d)), _sites(s, d), "chr2", 1, 200_000)),
     "pop_downsample": lambda s, d: rounded(ps.downsample(_sites(s, d).select("chrom", "pos", "n", "p"), 3, ["pos"])),
+    "pop_site_slice": lambda s, d: rounded(ps.site_slice(_sites(s, d).select("chrom", "pos", "n", "p"), 5, 24, ["pos"])),
     "pop_dispatcher_rollup": lambda s, d: rounded(ps.cohort_diversity(_sites(s, d), W, S).groupBy("chrom").agg(*[F.avg(c).alias(c) for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")])),
 }
 
@@ -81,5 +82,6 @@ SELECT chrom, start, start + {W - 1} AS "end", n, round(mean, 4) + 0.0 AS mean,
 h AS (SELECT avg((d BETWEEN 0.3 AND 1.7)::INT) AS h FROM dos WHERE chrom = 'chr2' AND pos BETWEEN 1 AND 200000 GROUP BY s)
 SELECT s.*, round((SELECT avg(h) FROM h), 6) AS hobs_mean, round((SELECT stddev_pop(h) FROM h), 6) AS hobs_sd FROM s""",
     "pop_downsample": ad.with_ctes(ad.SQL_GL, _SITE) + "SELECT chrom, pos, n, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM site) WHERE i % 3 = 0",
+    "pop_site_slice": ad.with_ctes(ad.SQL_GL, _SITE) + "SELECT chrom, pos, n, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM site) WHERE i BETWEEN 5 AND 24",
     "pop_dispatcher_rollup": ad.with_ctes(ad.SQL_GL, _SITE, _COHORT) + "SELECT chrom, " + ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")) + " FROM coh GROUP BY chrom",
 }

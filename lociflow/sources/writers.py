@@ -18,6 +18,16 @@ def write_track(df: DataFrame, path: str, meta: dict | None = None, text: bool =
         df.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").parquet(path.rstrip("/") + ".meta")
 
 
+def write_beagle(gl: DataFrame, path: str) -> None:
+    """Likelihoods (chrom, pos, sample_idx, gl0, gl1, gl2) as text in the likelihood format, a file for each chromosome, sites in order."""
+    names = [r[0] for r in gl.select("sample_idx").distinct().orderBy("sample_idx").collect()]  # as many as samples
+    head = "\t".join(["marker", "allele1", "allele2", *[f"Ind{i}_{k}" for i in names for k in range(3)]])
+    site = gl.groupBy("chrom", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "gl0", "gl1", "gl2"))), lambda x: F.concat_ws("\t", x["gl0"].cast("string"), x["gl1"].cast("string"), x["gl2"].cast("string"))).alias("g"))
+    rows = site.select("chrom", "pos", F.concat_ws("\t", F.concat_ws("_", "chrom", "pos"), F.lit("0"), F.lit("1"), F.concat_ws("\t", "g")).alias("value"))
+    heads = site.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("pos"), F.lit(head).alias("value"))
+    rows.unionByName(heads).repartition("chrom").sortWithinPartitions("chrom", "pos").select("chrom", "value").write.mode("overwrite").partitionBy("chrom").text(path)
+
+
 def write_cache(df: DataFrame, path: str, k: int, sample_set: str) -> None:
     """Results by K, sample set and chromosome; only the partitions that df holds are replaced."""
     df.withColumn("K", F.lit(k)).withColumn("sample_set", F.lit(sample_set)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("K", "sample_set", "chrom").parquet(path)

@@ -252,3 +252,46 @@ def test_streaming(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").count() == windowed(src).count() > 0
+
+
+def test_segment_and_names(spark):
+    from lociflow.functions import expr
+
+    df = spark.createDataFrame([(m,) for m in (5, 10, 14, 15, 20, 21, 25, 26)], "m long")
+    got = [r[0] for r in df.select(expr.segment(F.col("m"), F.lit(10), F.lit(20))).collect()]
+    assert got == ["Left flank", "Inv. left half", "Inv. left half", "Core", "Core", "Inv. right half", "Inv. right half", "Right flank"]
+    assert expr.common_columns(["a", "b", "c"], ["c", "a", "d"]) == ["a", "c"]
+    assert [round(r[0], 6) for r in spark.range(0, 100, 99).select(expr.log10_1p(F.col("id"))).collect()] == [0.0, 2.0]
+
+
+def test_numbers_and_medians_by_blocks(spark):
+    import numpy as np
+    from lociflow.operators import scan, windows
+
+    r = np.random.default_rng(3)
+    pos = sorted({int(x) for x in r.integers(0, 9_000_000, 500)})
+    df = spark.createDataFrame([("c1", p) for p in pos] + [("c2", p) for p in pos[:7]], "chrom string, pos long").repartition(5)
+    got = {(x["chrom"], x["pos"]): (x["_i"], x["_n"]) for x in windows.numbered(df, ["pos"]).collect()}
+    assert got == {**{("c1", p): (i, len(pos)) for i, p in enumerate(pos)}, **{("c2", p): (i, 7) for i, p in enumerate(pos[:7])}}
+    for n in (1, 2, 501, 1000):
+        v = [float(x) for x in r.integers(0, 40, n)]
+        assert scan.whole_median(spark.createDataFrame([(x,) for x in v], "v double"), "v") == float(np.median(v))
+    assert scan.whole_median(spark.createDataFrame([], "v double"), "v") is None
+
+
+def test_codon_bootstrap_intervals(spark):
+    """Intervals of the drawn ratios hold the whole ratio and shrink with the number of codons."""
+    import numpy as np
+    from lociflow.operators import codons as co
+
+    r = np.random.default_rng(8)
+    rows = [(g, i, 0.7, float(x), float(y), 1.0, float(x), 1.0, float(y)) for g, n in ((1, 200), (2, 5000)) for i, (x, y) in enumerate(r.random((n, 2)))]
+    df = spark.createDataFrame(rows, "locus long, codon_no long, s double, sd double, nd double, n4 double, d4 double, n0 double, d0 double")
+    got = {x["locus"]: x for x in co.codon_bootstrap(df, ["locus"], 400).collect()}
+    for g in (1, 2):
+        own = [x for x in rows if x[0] == g]
+        whole = sum(x[3] for x in own) / sum(x[2] for x in own)
+        assert got[g]["pi_S_lo"] < whole < got[g]["pi_S_hi"]
+    assert got[2]["pi_S_hi"] - got[2]["pi_S_lo"] < 0.4 * (got[1]["pi_S_hi"] - got[1]["pi_S_lo"])
+    again = {x["locus"]: x for x in co.codon_bootstrap(df.repartition(7), ["locus"], 400).collect()}
+    assert all(abs(again[g][c] - got[g][c]) < 1e-9 for g in got for c in ("pi_S_lo", "pi_N_hi", "pi_4_lo", "pi_0_hi"))
