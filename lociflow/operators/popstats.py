@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import expr
-from lociflow.operators.windows import bucketed, fixed_grid, numbered, running
+from lociflow.operators.windows import bucketed, fixed_grid, numbered, points_in, running
 
 MIN_SITES, MIN_INDIVIDUALS = 5, 5
 WIN = ["chrom", "start", "end"]
@@ -151,3 +151,18 @@ def region_stats(dos: DataFrame, sites: DataFrame, chrom: str, start: int, end:
     s = sites.filter(here).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(2 * F.col("p") * (1 - F.col("p")) * F.col("n") / (F.col("n") - 1)).alias("theta_pi"), F.avg((F.col("fis") < 0).cast("int")).alias("hwe_excess"))
     h = dos.filter(here).groupBy("sample_idx").agg(F.avg(F.col("dosage").between(0.3, 1.7).cast("int")).alias("h")).agg(F.avg("h").alias("hobs_mean"), F.stddev_pop("h").alias("hobs_sd"))
     return s.crossJoin(h)
+
+
+def region_table_stats(dos: DataFrame, sites: DataFrame, regions: DataFrame) -> DataFrame:
+    """A33 for a table of regions (chrom, start, end) at once: positions meet regions by bins, then one aggregation for each region."""
+    r = regions.select("chrom", "start", "end")
+    s = points_in(sites, r, 100_000).groupBy(*WIN).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(2 * F.col("p") * (1 - F.col("p")) * F.col("n") / (F.col("n") - 1)).alias("theta_pi"), F.avg((F.col("fis") < 0).cast("int")).alias("hwe_excess"))
+    h = points_in(dos, r, 100_000).groupBy(*WIN, "sample_idx").agg(F.avg(F.col("dosage").between(0.3, 1.7).cast("int")).alias("h")).groupBy(*WIN).agg(F.avg("h").alias("hobs_mean"), F.stddev_pop("h").alias("hobs_sd"))
+    return s.join(h, WIN)
+
+
+def rollup(windows: DataFrame, pairs: DataFrame, names: list[str]) -> DataFrame:
+    """Means over the windows of a chromosome: theta_pi, theta_W, Tajima_D, Hp, and Fst_a_b and dXY_a_b of every pair of the named groups."""
+    both = [(a, b) for i, a in enumerate(sorted(names)) for b in sorted(names)[i + 1 :]]
+    flat = pairs.groupBy("chrom").agg(*[F.avg(F.when((F.col("group_a") == a) & (F.col("group_b") == b), F.col(c))).alias(f"{n}_{a}_{b}") for n, c in (("Fst", "FST"), ("dXY", "dXY")) for a, b in both])
+    return windows.groupBy("chrom").agg(*[F.avg(c).alias(c) for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")]).join(flat, "chrom", "left")

@@ -21,8 +21,8 @@ def _letters(spark: SparkSession, d: str) -> DataFrame:
 def cds_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = _letters(spark, d)
     j = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("seq_b")), "doc_id")
-    n = F.least(F.length("seq"), F.length("seq_b"))
-    return j.select(F.col("doc_id").alias("pair_id"), F.substring("seq", F.lit(1), n).alias("seq_a"), F.substring("seq_b", F.lit(1), n).alias("seq_b"))
+    n = F.greatest(F.length("seq"), F.length("seq_b"))  # the shorter one is filled with gaps
+    return j.select(F.col("doc_id").alias("pair_id"), F.rpad("seq", n, F.lit("-")).alias("seq_a"), F.rpad("seq_b", n, F.lit("-")).alias("seq_b"))
 
 
 def haplotypes(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _pairs(kappa: float) -> str:
 
 
 _SEQ = f"sq AS (SELECT doc_id, upper(translate(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g'), '{_FROM}', '{_TO}')) AS seq FROM documents)"
-_AL = """pr AS (SELECT x.doc_id AS pair_id, least(length(x.seq), length(y.seq)) AS n_bp, x.seq AS sa, y.seq AS sb FROM sq x JOIN sq y ON y.doc_id = x.doc_id + 1),
+_AL = """pr AS (SELECT x.doc_id AS pair_id, greatest(length(x.seq), length(y.seq)) AS n_bp, rpad(x.seq, greatest(length(x.seq), length(y.seq))::INT, '-') AS sa, rpad(y.seq, greatest(length(x.seq), length(y.seq))::INT, '-') AS sb FROM sq x JOIN sq y ON y.doc_id = x.doc_id + 1),
 cd AS (SELECT pair_id, n_bp, unnest(regexp_extract_all(sa, '...')[1:n_bp // 3]) AS a, unnest(regexp_extract_all(sb, '...')[1:n_bp // 3]) AS b FROM pr),
 gs AS (SELECT pair_id, count(*) AS n_codons_total, count(*) FILTER (contains(a, '-') OR contains(b, '-')) AS n_codons_gap, count(s) AS n_codons_used, round(coalesce(sum(s), 0), 9) AS s, round(coalesce(sum(sd_ts), 0), 9) AS st, round(coalesce(sum(sd_tv), 0), 9) AS sv, round(coalesce(sum(nd_ts), 0), 9) AS nt, round(coalesce(sum(nd_tv), 0), 9) AS nv, coalesce(sum(f4), 0)::BIGINT AS f4, coalesce(sum(d4), 0)::BIGINT AS d4, coalesce(sum(ts4), 0)::BIGINT AS ts4 FROM cd LEFT JOIN ct USING (a, b) GROUP BY pair_id),
 g AS (SELECT pr.pair_id, pr.n_bp, coalesce(n_codons_total, 0) AS n_codons_total, coalesce(n_codons_gap, 0) AS n_codons_gap, coalesce(n_codons_used, 0) AS n_codons_used, coalesce(s, 0) AS s, coalesce(st, 0) AS st, coalesce(sv, 0) AS sv, coalesce(nt, 0) AS nt, coalesce(nv, 0) AS nv, coalesce(f4, 0) AS f4, coalesce(d4, 0) AS d4, coalesce(ts4, 0) AS ts4, 3.0 * coalesce(n_codons_used, 0) - coalesce(s, 0) AS n FROM pr LEFT JOIN gs USING (pair_id))"""

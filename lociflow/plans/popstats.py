@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions.expr import sql_erfc
 from lociflow.operators import popstats as ps
+from lociflow.operators.windows import grid
 from lociflow.plans import adapters as ad
 
 W, S = 50_000, 10_000
@@ -30,6 +31,15 @@ def fst_dxy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ps.pairwise_divergence(_freqs(spark, d), W, S))
 
 
+REGION = 200_000
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of REGION positions that cover every chromosome."""
+    last = ad.gl(spark, d).groupBy("chrom").agg(F.lit(1).cast("long").alias("start"), F.max("pos").alias("end"))
+    return grid(last, REGION, REGION)
+
+
 QUERIES = {
     "pop_pairwise_divergence": fst_dxy,
     "pop_cohort_diversity": lambda s, d: rounded(ps.cohort_diversity(_sites(s, d), W, S)),
@@ -37,10 +47,10 @@ QUERIES = {
     "pop_variant_groups": lambda s, d: rounded(ps.variant_groups(ps.dosages(ad.gl(s, d)), F.broadcast(ad.groups(s)), "HOM_A", "HET", "HOM_B")),
     "pop_karyotype_hwe": lambda s, d: rounded(ps.karyotype_hwe(ad.groups(s))),
     "pop_inbreeding_windows": lambda s, d: rounded(ps.inbreeding_windows(_sites(s, d), W, S), 4),
-    "pop_region_stats": lambda s, d: rounded(ps.region_stats(ps.dosages(ad.gl(s, d)), _sites(s, d), "chr2", 1, 200_000)),
+    "pop_region_stats": lambda s, d: rounded(ps.region_table_stats(ps.dosages(ad.gl(s, d)), _sites(s, d), _regions(s, d))),
     "pop_downsample": lambda s, d: rounded(ps.downsample(_sites(s, d).select("chrom", "pos", "n", "p"), 3, ["pos"])),
     "pop_site_slice": lambda s, d: rounded(ps.site_slice(_sites(s, d).select("chrom", "pos", "n", "p"), 5, 24, ["pos"])),
-    "pop_dispatcher_rollup": lambda s, d: rounded(ps.cohort_diversity(_sites(s, d), W, S).groupBy("chrom").agg(*[F.avg(c).alias(c) for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")])),
+    "pop_dispatcher_rollup": lambda s, d: rounded(ps.rollup(ps.cohort_diversity(_sites(s, d), W, S), ps.pairwise_divergence(_freqs(s, d), W, S), ["HOM_A", "HET", "HOM_B"])),
 }
 
 _SITE = """site AS (SELECT chrom, pos, count(*) AS n, sum(d) / (2 * count(*)) AS p, sum(h) / count(*) AS ho FROM dos GROUP BY chrom, pos),
@@ -78,10 +88,13 @@ w AS (SELECT chrom, start, count(*) AS n, avg(f::DOUBLE) AS mean, coalesce(stdde
 u AS (SELECT *, rs - n * (n + 1) / 2.0::DOUBLE AS u, n * (nn - n) / 12 * ((nn + 1) - tie / (nn * (nn - 1))) AS var, CASE WHEN sd > 0 THEN mean / (sd / sqrt(n)) END AS t FROM w, a),
 z AS (SELECT *, CASE WHEN var > 0 THEN (u - n * (nn - n) / 2) / sqrt(var) END AS z FROM u)
 SELECT chrom, start, start + {W - 1} AS "end", n, round(mean, 4) + 0.0 AS mean, round(sd, 4) AS sd, round(t, 4) + 0.0 AS t, n - 1 AS df, round(CASE WHEN t IS NOT NULL THEN {sql_erfc("abs(t)/sqrt(2.0::double)")} END, 4) AS t_p, CASE WHEN nn > n THEN round(u, 4) END AS U, CASE WHEN nn > n THEN round(z, 4) + 0.0 END AS z, CASE WHEN nn > n AND z IS NOT NULL THEN round({sql_erfc("abs(z)/sqrt(2.0::double)")}, 4) END AS u_p FROM z""",
-    "pop_region_stats": ad.with_ctes(ad.SQL_GL, _SITE) + """, s AS (SELECT count(*) AS n_sites, round(avg(2*p*(1-p)*n/(n-1)), 6) AS theta_pi, round(avg((f < 0)::INT), 6) AS hwe_excess FROM fis WHERE chrom = 'chr2' AND pos BETWEEN 1 AND 200000),
-h AS (SELECT avg((d BETWEEN 0.3 AND 1.7)::INT) AS h FROM dos WHERE chrom = 'chr2' AND pos BETWEEN 1 AND 200000 GROUP BY s)
-SELECT s.*, round((SELECT avg(h) FROM h), 6) AS hobs_mean, round((SELECT stddev_pop(h) FROM h), 6) AS hobs_sd FROM s""",
+    "pop_region_stats": ad.with_ctes(ad.SQL_GL, _SITE) + f""", s AS (SELECT chrom, (pos - 1) // {REGION} AS b, count(*) AS n_sites, round(avg(2*p*(1-p)*n/(n-1)), 6) AS theta_pi, round(avg((f < 0)::INT), 6) AS hwe_excess FROM fis GROUP BY ALL),
+h AS (SELECT chrom, (pos - 1) // {REGION} AS b, s, avg((d BETWEEN 0.3 AND 1.7)::INT) AS h FROM dos GROUP BY ALL), hh AS (SELECT chrom, b, round(avg(h), 6) AS hobs_mean, round(stddev_pop(h), 6) AS hobs_sd FROM h GROUP BY ALL)
+SELECT chrom, b * {REGION} + 1 AS start, (b + 1) * {REGION} AS "end", n_sites, theta_pi, hwe_excess, hobs_mean, hobs_sd FROM s JOIN hh USING (chrom, b)""",
     "pop_downsample": ad.with_ctes(ad.SQL_GL, _SITE) + "SELECT chrom, pos, n, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM site) WHERE i % 3 = 0",
     "pop_site_slice": ad.with_ctes(ad.SQL_GL, _SITE) + "SELECT chrom, pos, n, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM site) WHERE i BETWEEN 5 AND 24",
-    "pop_dispatcher_rollup": ad.with_ctes(ad.SQL_GL, _SITE, _COHORT) + "SELECT chrom, " + ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")) + " FROM coh GROUP BY chrom",
 }
+_ALL = SQL["pop_pairwise_divergence"]
+_at = _ALL.rindex("SELECT chrom, start, start +")
+SQL["pop_dispatcher_rollup"] = _ALL[:_at].rstrip().replace("\nw AS (", "\npw AS (") + ", " + _SITE + ", " + _COHORT + """, pm AS (SELECT chrom, group_a || '_' || group_b AS ab, avg(CASE WHEN n_sites >= 5 THEN greatest(0, num / den) ELSE 0 END) AS f, avg(CASE WHEN n_sites >= 5 THEN den / n_sites ELSE 0 END) AS x FROM pw GROUP BY ALL),
+cm AS (SELECT chrom, """ + ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")) + " FROM coh GROUP BY chrom) SELECT cm.*, " + ", ".join(f"(SELECT round({v}, 6) FROM pm WHERE pm.chrom = cm.chrom AND ab = '{p}') AS {n}_{p}" for n, v in (("Fst", "f"), ("dXY", "x")) for p in ("HET_HOM_A", "HET_HOM_B", "HOM_A_HOM_B")) + " FROM cm"
