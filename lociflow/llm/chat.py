@@ -110,3 +110,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = read_back(format_windows(with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha256_hex(said).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha256_hex(F.col("loss_text")).alias("loss_sha256"), "formatted_chars")
+
+
+_BACK = f"""coalesce(CASE WHEN i - {HISTORY} >= sys AND tb - coalesce((SELECT sum(x.t) FROM p x WHERE x.conv_id = p.conv_id AND x.i < p.i - {HISTORY}), 0) <= {HISTORY_BUDGET} THEN {HISTORY} END,
+ CASE WHEN i - 1 >= sys AND tb - coalesce((SELECT sum(x.t) FROM p x WHERE x.conv_id = p.conv_id AND x.i < p.i - 1), 0) <= {HISTORY_BUDGET} THEN 1 END, 0)"""
+SQL = f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(replace(text, chr(92), chr(92) || chr(92)), '{CONTROL}', '\\1\\\\\\2', 'g') AS body, replace(regexp_replace(replace(role, chr(92), chr(92) || chr(92)), '{CONTROL}', '\\1\\\\\\2', 'g'), chr(10), chr(92) || chr(10)) AS head FROM r),
+q AS (SELECT *, '{START}' || head || chr(10) || body || '<|im_end|>' || chr(10) AS piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM e),
+p AS (SELECT conv_id, i, role, text, ceil(octet_length(encode(piece)) / 4.0)::BIGINT AS t, length(piece) AS c, coalesce(sum(ceil(octet_length(encode(piece)) / 4.0)::BIGINT) OVER w, 0) AS tb, coalesce(sum(length(piece)) OVER w, 0) AS cb,
+  max(CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys, max(CASE WHEN i = 0 THEN ceil(octet_length(encode(piece)) / 4.0)::BIGINT END) OVER (PARTITION BY conv_id) AS t0, max(CASE WHEN i = 0 THEN length(piece) END) OVER (PARTITION BY conv_id) AS c0
+  FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, {_BACK} AS k FROM p),
+a AS (SELECT b.*, CASE WHEN sys = 1 THEN t0 ELSE 0 END + tb - (SELECT x.tb FROM p x WHERE x.conv_id = b.conv_id AND x.i = b.i - b.k) + t AS again FROM b),
+g AS (SELECT conv_id, i, t AS used, true AS fresh FROM a WHERE i = 0
+  UNION ALL SELECT a.conv_id, a.i, CASE WHEN g.used + a.t > {BUDGET} THEN a.again ELSE g.used + a.t END, g.used + a.t > {BUDGET} FROM g JOIN a ON a.conv_id IS NOT DISTINCT FROM g.conv_id AND a.i = g.i + 1),
+w AS (SELECT a.*, CASE WHEN a.i = 0 THEN 0 ELSE a.k END AS kk, lead(a.cb) OVER (PARTITION BY a.conv_id ORDER BY a.i) AS next_ FROM g JOIN a ON a.conv_id IS NOT DISTINCT FROM g.conv_id AND a.i = g.i WHERE fresh),
+z AS (SELECT conv_id, sum(c) AS total FROM p GROUP BY conv_id),
+f AS (SELECT w.conv_id, sum(CASE WHEN w.i - kk > 0 AND sys = 1 THEN c0 ELSE 0 END + coalesce(next_, total) - (SELECT x.cb FROM p x WHERE x.conv_id = w.conv_id AND x.i = w.i - kk))::BIGINT AS formatted_chars FROM w JOIN z ON z.conv_id = w.conv_id GROUP BY w.conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM d JOIN f USING (conv_id)
+"""

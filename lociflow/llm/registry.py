@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op3_hash_threshold_mixing": mixing.SQL,
+    "op4_budgeted_chat_windows": chat.SQL,
     "op5_heavy_light_jaccard": jaccard.SQL,
     "op7_gbdt_html_text": html_text.SQL,
     "op8_winnowing_decontamination": decontamination.SQL,
