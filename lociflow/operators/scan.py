@@ -147,11 +147,17 @@ def candidates_against_flanks(candidates: DataFrame, track: DataFrame, stats: li
     return two_sided_tests(rows.select("candidate_id", "stat_name", "v", "inside"), ["candidate_id", "stat_name"], permutations, seed)
 
 
+#: Regions that can be tested against all rows at once.
+MOST_REGIONS = 1_000
+
+
 def regions_against_rest(track: DataFrame, stats: list[str], region: str = "region", rest: str | None = None, skip: list[str] | None = None, permutations: int = 0, seed: int = 1) -> DataFrame:
     """Each region's values against all others, or against those of `rest`. Ranks are made over all rows of a statistic once for each
     region, since the rest differs by region only if it is named."""
     long = long_stats(track, stats).select(F.col(region).alias("region"), "stat_name", "v")
-    names = [r[0] for r in long.select("region").distinct().orderBy("region").collect() if r[0] not in (skip or []) and r[0] != rest]
+    names = [r[0] for r in long.select("region").distinct().orderBy("region").limit(2 * MOST_REGIONS).collect() if r[0] not in (skip or []) and r[0] != rest]
+    if len(names) > MOST_REGIONS:
+        raise ValueError(f"{len(names)} regions: every row is tested for each of them; ask for {MOST_REGIONS} at most")
     own = F.array(*[F.lit(x) for x in names])
     rows = long.withColumn("target", F.explode(own)).filter((F.col("region") == F.col("target")) | (F.lit(rest is None) | (F.col("region") == F.lit(rest))))
     return two_sided_tests(rows.select(F.col("target"), "stat_name", "v", (F.col("region") == F.col("target")).alias("inside")), ["target", "stat_name"], permutations, seed)
@@ -187,7 +193,7 @@ def jackknife(blocks: DataFrame, num: str, den: str) -> DataFrame:
 def z_scores(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(value - mean) / sample sd, over the table or within bins; sd counts as 1 where it is 0 or missing."""
     s = rows.groupBy(*(by or [])).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    j = rows.join(F.broadcast(s), by) if by else rows.crossJoin(F.broadcast(s))
+    j = rows.join(s, by) if by else rows.crossJoin(F.broadcast(s))
     return j.withColumn(value + "_norm", (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
 
 

@@ -101,7 +101,8 @@ def score_metadata(scores: DataFrame) -> dict:
 
 
 def answer(spark: SparkSession, request: str, tables: dict[str, DataFrame]) -> str:
-    """A JSON request {statistic, request_id, params} to its JSON document; errors make a document of status error."""
+    """A JSON request {statistic, request_id, params} to its JSON document; with a path, rows are written below it. Errors make a
+    document of status error."""
     name, rid = None, None
     try:
         q = json.loads(request)
@@ -109,6 +110,9 @@ def answer(spark: SparkSession, request: str, tables: dict[str, DataFrame]) -> s
         if name not in HANDLERS:
             raise ValueError(f"unknown statistic: {name}")
         result = HANDLERS[name](spark, q.get("params", {}), tables)
-        return writers.document(result, name, rid, score_metadata(result) if name in ("xpehh", "iHS") else None)
+        meta = score_metadata(result) if name in ("xpehh", "iHS") else None
+        if q.get("path"):
+            return writers.write_document(result, q["path"], name, rid, meta)
+        return writers.document(result, name, rid, meta)
     except (ValueError, KeyError, TypeError) as e:
         return json.dumps({"statistic": name, "request_id": rid, "status": "error", "error": str(e), "rows": []})

@@ -62,12 +62,27 @@ def wide(df: DataFrame, rows: list[str], column: str, names: list[str], value: s
     return df.groupBy(*rows).pivot(column, names).agg(F.first(value))
 
 
+#: Rows up to which a result is put into one document.
+MOST_ROWS = 100_000
+
+
 def document(df: DataFrame, statistic: str, request_id: str | None = None, meta: dict | None = None) -> str:
-    """A result as a JSON document with status ok or empty. For results that a caller reads, not for tables."""
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    """A result as a JSON document with status ok or empty, of at most MOST_ROWS rows; write_document takes larger ones."""
+    found = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: ask for a path")
+    rows = [json.loads(r[0]) for r in found]
     return json.dumps({"statistic": statistic, "request_id": request_id, "status": "ok" if rows else "empty", "meta": meta or {}, "rows": rows})
 
 
+def write_document(df: DataFrame, path: str, statistic: str, request_id: str | None = None, meta: dict | None = None) -> str:
+    """The same for results of any size: rows go to JSON lines below path, and the document says where."""
+    rows = f"{path.rstrip('/')}/rows"
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(rows)
+    status = "empty" if df.sparkSession.read.text(rows).isEmpty() else "ok"
+    return json.dumps({"statistic": statistic, "request_id": request_id, "status": status, "meta": meta or {}, "rows_path": rows})
+
+
 def strips(df: DataFrame, labels: list[str], label: str = "structure_class") -> DataFrame:
     """Rows with the colour of their label."""
     from lociflow.operators.ancestry import label_colour

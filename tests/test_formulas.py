@@ -295,3 +295,14 @@ def test_codon_bootstrap_intervals(spark):
     assert got[2]["pi_S_hi"] - got[2]["pi_S_lo"] < 0.4 * (got[1]["pi_S_hi"] - got[1]["pi_S_lo"])
     again = {x["locus"]: x for x in co.codon_bootstrap(df.repartition(7), ["locus"], 400).collect()}
     assert all(abs(again[g][c] - got[g][c]) < 1e-9 for g in got for c in ("pi_S_lo", "pi_N_hi", "pi_4_lo", "pi_0_hi"))
+
+
+def test_documents_with_a_path(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, None), (2, 0.5)], "a long, b double")
+    doc = json.loads(writers.write_document(df, str(tmp_path / "d"), "x", "r1", {"n": 2}))
+    assert doc["status"] == "ok" and doc["meta"] == {"n": 2}
+    assert sorted((r["a"], r["b"]) for r in spark.read.json(doc["rows_path"]).collect()) == [(1, None), (2, 0.5)]
+    assert json.loads(writers.write_document(df.limit(0), str(tmp_path / "e"), "x"))["status"] == "empty"
+    monkeypatch.setattr(writers, "MOST_ROWS", 1)
+    with pytest.raises(ValueError):
+        writers.document(df, "x")
