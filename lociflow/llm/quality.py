@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from lociflow.llm import bytescan as bs
 
-MAX_ROWS, BITS = 20_000, 18
+MAX_ROWS, BITS = 10_000, 18
+#: Least probability of the best grade with which a document is kept.
+LEAST_TAIL = 0.4
 PREFIXES = (4, 5, 6, 7, 8, 10)
 SHARES = (0.01, 0.03, 0.1, 0.3, 0.6)
 LENGTHS = (1, 3, 10, 30)
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return Model(*fit_weights(at, first, grade, number[grade, place].astype(float), 1 << BITS))
 
 
-def score(docs: DataFrame, model: Model, least_tail: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, expected_grade, tail (probability of the best grade), kept (tail >= least_tail)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).withColumns({c: F.round(c, 6) for c in ("score", "expected_grade", "tail")})
 
 
-def select_rows(docs: DataFrame, model: Model, least_tail: float = 0.5) -> DataFrame:
+def select_rows(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
     """The rows of docs that are kept, whole; texts pass through the scorer once and nothing is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
