@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontamination, html_text, jaccard, line_quality, mixing, pii, quality, secrets, sharding
+from lociflow.llm import chat, decontamination, html_text, jaccard, line_quality, mixing, pii, quality, secrets, sharding, variants
 
 QUERIES = {
     "op1_randomness_secrets": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_winnowing_decontamination": decontamination.query,
     "op9_virtual_slot_sharding": sharding.query,
     "op10_ordinal_quality": quality.query,
+    "op11_spelling_neighbourhoods": variants.query,
 }
 SQL: dict[str, str] = {
     "op3_hash_threshold_mixing": mixing.SQL,
@@ -23,6 +24,7 @@ SQL: dict[str, str] = {
     "op7_gbdt_html_text": html_text.SQL,
     "op8_winnowing_decontamination": decontamination.SQL,
     "op9_virtual_slot_sharding": sharding.SQL,
+    "op11_spelling_neighbourhoods": variants.SQL,
 }
 
 
