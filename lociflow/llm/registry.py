@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontamination, html_text, jaccard, line_quality, mixing, pii, quality, secrets, sharding, variants
+from lociflow.llm import chat, decontamination, html_text, jaccard, line_dedup, line_quality, mixing, pii, quality, secrets, sharding, variants
 
 QUERIES = {
     "op1_randomness_secrets": secrets.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_virtual_slot_sharding": sharding.query,
     "op10_ordinal_quality": quality.query,
     "op11_spelling_neighbourhoods": variants.query,
+    "op12_line_dedup": line_dedup.query,
 }
 SQL: dict[str, str] = {
     "op3_hash_threshold_mixing": mixing.SQL,
@@ -25,6 +26,7 @@ SQL: dict[str, str] = {
     "op8_winnowing_decontamination": decontamination.SQL,
     "op9_virtual_slot_sharding": sharding.SQL,
     "op11_spelling_neighbourhoods": variants.SQL,
+    "op12_line_dedup": line_dedup.SQL,
 }
 
 

@@ -72,6 +72,19 @@ def without(rows: DataFrame, ids: DataFrame, keys: dict[str, Column], most: int)
     return marked.filter(~known).select(*columns).unionByName(marked.filter(known).select(*columns).join(ids, on, "left_anti"))
 
 
+def sieved(rows: DataFrame, at: Column, hashes: DataFrame, flag: str) -> DataFrame:
+    """The rows with a boolean column `flag`: false where the hash `at` is surely none of those in the only column of `hashes`. A bitmap
+    of bounded size for any input is broadcast; nothing else moves."""
+    word, bits, own = free_names(rows, 3)
+    hashes = hashes.toDF(own)
+    n = _bits(hashes.count())
+    place = lambda h: F.pmod(h, F.lit(1 << n))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (place(h) % 64).cast("int"))
+    words = hashes.groupBy(F.floor(place(F.col(own)) / 64).alias(word)).agg(F.bit_or(bit(F.col(own))).alias(bits))
+    met = rows.withColumn(word, F.floor(place(at) / 64)).join(F.broadcast(words), word, "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col(bits).bitwiseAND(bit(at)) != 0, F.lit(False)).alias(flag))
+
+
 def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 0) -> DataFrame:
     """The rows whose key is in ids, nulls in neither. Up to `most` ids are broadcast. Of more, a bitmap of hashed ids, of bounded
     size for any input, is broadcast and drops most other rows before the join, so that these don't move."""
