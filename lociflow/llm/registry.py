@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontamination, html_text, jaccard, line_dedup, line_quality, mixing, pii, quality, secrets, sharding, variants
+from lociflow.llm import chat, decontamination, html_text, jaccard, line_dedup, line_quality, mixing, pii, prefix_trie, quality, secrets, sharding, variants
 
 QUERIES = {
     "op1_randomness_secrets": secrets.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ordinal_quality": quality.query,
     "op11_spelling_neighbourhoods": variants.query,
     "op12_line_dedup": line_dedup.query,
+    "op13_conversation_trie": prefix_trie.query,
 }
 SQL: dict[str, str] = {
     "op3_hash_threshold_mixing": mixing.SQL,
@@ -27,6 +28,7 @@ SQL: dict[str, str] = {
     "op9_virtual_slot_sharding": sharding.SQL,
     "op11_spelling_neighbourhoods": variants.SQL,
     "op12_line_dedup": line_dedup.SQL,
+    "op13_conversation_trie": prefix_trie.SQL,
 }
 
 
