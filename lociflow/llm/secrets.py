@@ -35,7 +35,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 _KEY = "A-Za-z0-9"
 #: A whole run that - and _ don't touch; a run of letters, digits, - and _; a run of letters, digits, + and / with none of these in it; and up to two = at its end.
-TOKEN = rf"(?:(?<![{_KEY}+/_-])[{_KEY}+/]{{20,}}+(?![_-])|(?<![{_KEY}_-])[{_KEY}_-]{{20,}}+|(?<![{_KEY}+/])(?!(?:[{_KEY}]*+[+/])+[{_KEY}_-]{{20}})[{_KEY}+/]{{20,}}+)(?:={{1,2}}(?![{_KEY}+/_=-]))?"
+TOKEN = rf"(?:(?<![{_KEY}+/_-])[{_KEY}+/]{{20,}}+(?![_-])|(?<![{_KEY}_-])[{_KEY}_-]{{20,}}+|(?<![{_KEY}+/])(?![{_KEY}+/]*[+/][{_KEY}_-]{{20}})[{_KEY}+/]{{20,}}+)(?:={{1,2}}(?![{_KEY}+/_=-]))?"
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings from the least alphabet on: name, pattern, symbols, and the excess of sum(p^2) * size over 1 in even ordinary text.
 ENCODINGS = (
