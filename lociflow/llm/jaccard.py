@@ -34,11 +34,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociflow.llm import bytescan as bs
 from lociflow.llm import storage
 from lociflow.llm.components import components
-from lociflow.llm.native import free_names
+from lociflow.llm.native import free_names, named
 from lociflow.llm.storage import cut, drop, only, without
 
 COUNTER_BITS = 20
@@ -391,14 +392,18 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT d
 
 def once(docs: DataFrame) -> DataFrame:
     """One row of each set of equal rows. Only rows whose hash comes again are compared and moved."""
-    (own,) = free_names(docs, 1)
-    h = F.xxhash64(*docs.columns)
+    own, same = free_names(docs, 2)
+    # maps are compared by their sorted entries
+    values = [F.array_sort(F.map_entries(named(f.name))) if isinstance(f.dataType, T.MapType) else named(f.name) for f in docs.schema]
+    h = F.xxhash64(*values)
     again, _ = cut(docs.select(h.alias(own)).groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own), "again")
     n = again.count()
     if not n:
         return docs
     small, marked = F.broadcast(again) if n <= BROADCAST_HASHES else again, docs.withColumn(own, h)
-    return marked.join(small, own, "left_anti").unionByName(marked.join(small, own, "left_semi").dropDuplicates()).select(*docs.columns)
+    columns = [named(c) for c in docs.columns]
+    repeated = marked.join(small, own, "left_semi").withColumn(same, F.struct(*values)).dropDuplicates([same])
+    return marked.join(small, own, "left_anti").select(*columns).unionByName(repeated.select(*columns))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = 5, percent: int = 80) -> DataFrame:

@@ -10,7 +10,8 @@ A source whose target is above its size takes each of its documents whole as oft
 source, and the rest by the threshold. A target never passes `most` times its source.
 
 Defined results: null text has size 0; the null source is a source of its own and comes last; a document of
-size 0 takes 0 words; equal rows share one hash and are taken together or not at all; an empty table gives an
+size 0 takes 0 words; a document hashes by its id and its text, so that rows without an id or with the same one go apart; rows
+equal in both are taken together or not at all; an empty table gives an
 empty result.
 """
 
@@ -21,10 +22,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.native import md5_bits
+from lociflow.llm.native import md5_bits, named, row_key
 from lociflow.llm.storage import cut
 
-HASH_BITS, MOST_CELLS = 48, 1 << 22
+HASH_BITS, MOST_CELLS = 48, 1 << 20
 #: Sources up to which their table is broadcast: a row of it is a name and two numbers.
 BROADCAST_SOURCES = 10_000
 
@@ -84,8 +85,9 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
         else:
             rows = sized.withColumn("prefix", F.lit(0).cast("long"))
         hist: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in rows.groupBy("sid", "prefix", _bucket(F.col("h"), level, bits).alias("b")).agg(F.sum("size").alias("size")).collect():
-            hist.setdefault((r["sid"], r["prefix"]), []).append((r["b"], r["size"]))
+        cells = rows.groupBy("sid", "prefix", _bucket(F.col("h"), level, bits).alias("b")).agg(F.sum("size").alias("size")).toArrow()
+        for sid, prefix, b, size in zip(*[cells.column(c).to_pylist() for c in ("sid", "prefix", "b", "size")], strict=True):
+            hist.setdefault((sid, prefix), []).append((b, size))
         for s, k in live:
             left, at = state[s, k][1], 1 << bits
             for b, size in sorted(hist.get((s, prefixes[s, k] if level else 0), [])):
@@ -103,9 +105,9 @@ def thresholds(sized: DataFrame, budgets: dict[int, list[Fraction]]) -> dict[int
     return {s: [prefixes[s, k] << bits * (levels - depth[s, k]) for k in range(len(bs))] for s, bs in budgets.items()}
 
 
-def _hash(key: str, seed: int) -> Column:
+def _hash(key: str, text: str, seed: int) -> Column:
     """HASH_BITS bits."""
-    return md5_bits(F.col(key), str(seed), HASH_BITS // 4)
+    return md5_bits(row_key(F.col(key), F.col(text)), str(seed), HASH_BITS // 4)
 
 
 def _copies(h: Column) -> Column:
@@ -115,7 +117,7 @@ def _copies(h: Column) -> Column:
 def _mixed(docs: DataFrame, share: Fraction = Fraction(1), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """The documents as doc_id, source, size, h, and one row for each source: name, source_size, target, whole, below."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _hash(key, seed).alias("h"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _hash(key, text, seed).alias("h"))
     sized, _ = cut(sized, "sizes")  # texts are read once; the passes below read four short columns
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
@@ -147,14 +149,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 3) -> D
     """Every row as often as the mix takes it. A row finds its copies by its own source and hash, so rows without a doc_id are taken like
     others, and rows that share one each have their own copies."""
     _, table = _mixed(docs, seed=seed)
-    row = F.struct(*docs.columns)  # names of docs and of the table may be the same
-    each = docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), _hash("doc_id", seed).alias("h"))
+    row = F.struct(*map(named, docs.columns))  # names of docs and of the table may be the same
+    each = docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), _hash("doc_id", "text", seed).alias("h"))
     taken = each.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumn("copies", _copies(F.col("h")))
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 SQL = """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::HUGEINT AS size, ('0x' || substr(md5('3:' || doc_id), 1, 12))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::HUGEINT AS size, ('0x' || substr(md5('3:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h FROM documents),
 s AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM (SELECT source, sum(size)::HUGEINT AS n FROM d GROUP BY source)),
 a AS (SELECT sum(n)::HUGEINT AS t, sum(w)::HUGEINT AS ws FROM s),
 o AS (SELECT *, coalesce(sum(n) OVER q, 0)::HUGEINT AS nb, coalesce(sum(w) OVER q, 0)::HUGEINT AS wb FROM s WINDOW q AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -37,6 +37,16 @@ def free_names(df: DataFrame, n: int) -> list[str]:
     return out
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever stands in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_key(key: Column, text: Column) -> Column:
+    """A row's name in hashes: its id and the digest of its text, so that rows without an id, or with the same one, go apart."""
+    return F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
 

@@ -229,12 +229,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_rows(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
     """The rows of docs that are kept, whole; texts pass through the scorer once and nothing is joined."""
 
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns may have any names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.scores(batch.column("text"))
+            s = model.scores(batch.column(at))
             yield batch.filter(pa.array(1 / (1 + np.exp(np.clip(model.thresholds[-1] - s, -60, 60))) >= least_tail))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Records hash into a fixed number of virtual slots. Bytes and rows are summed per
 is the number of slots, whatever the input), and a versioned map sends each slot to a shard. Rebalancing
 edits the map and leaves all slots that need not move where they are; the records are never hashed anew.
 
-Defined results: a null or empty text has size 1; a null doc_id hashes like any other value; rows that are
-equal in every used column are placed in turn and each keeps a place of its own; an empty table gives an
+Defined results: a null or empty text has size 1; a record hashes by its id and its text, so that rows without an
+id or with the same one go apart; rows that are equal in both share a slot and are placed in turn and each keeps a place of its own; an empty table gives an
 empty result and an empty map; other columns of the input are ignored by `place` and kept by `write_shards`.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociflow.llm.native import free_names, md5_bits
+from lociflow.llm.native import free_names, md5_bits, named, row_key
 from lociflow.llm.storage import shared_dir
 
 SLOTS = 4096
@@ -54,8 +54,8 @@ class SlotMap:
         return SlotMap(tuple(r["shard"] for r in rows), v)
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return (md5_bits(key, "slot", 8) % slots).cast("int")
+def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
+    return (md5_bits(row_key(key, text), "slot", 8) % slots).cast("int")
 
 
 def text_size(text: Column) -> Column:
@@ -65,7 +65,7 @@ def text_size(text: Column) -> Column:
 
 def slot_sizes(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> dict[int, tuple[int, int]]:
     """Bytes and rows by slot: at most `slots` rows reach the driver."""
-    got = docs.select(virtual_slot(F.col(key), slots).alias("vslot"), text_size(F.col(text)).alias("size")).groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    got = docs.select(virtual_slot(F.col(key), F.col(text), slots).alias("vslot"), text_size(F.col(text)).alias("size")).groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     return {r["vslot"]: (r["b"], r["n"]) for r in got.collect()}
 
 
@@ -124,7 +124,7 @@ def place(docs: DataFrame, mapping: SlotMap, sizes: dict[int, tuple[int, int]],
         first[i] = have[s]
         have[s] += sizes.get(i, (0, 0))[1]
     own = Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_last(), "crc", "size")
-    base = docs.select(F.col(key).alias("doc_id"), text_size(F.col(text)).alias("size"), F.crc32(F.coalesce(F.encode(F.col(text), "utf-8"), F.encode(F.lit(""), "utf-8"))).alias("crc"), virtual_slot(F.col(key), slots).alias("vslot"))
+    base = docs.select(F.col(key).alias("doc_id"), text_size(F.col(text)).alias("size"), F.crc32(F.coalesce(F.encode(F.col(text), "utf-8"), F.encode(F.lit(""), "utf-8"))).alias("crc"), virtual_slot(F.col(key), F.col(text), slots).alias("vslot"))
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, s, first[i]) for i, s in enumerate(mapping.shard)], "vslot int, shard int, first long")
     numbered = base.withColumn("n", F.row_number().over(own) - 1)
@@ -145,18 +145,18 @@ def stored_map(spark: SparkSession, sizes: dict[int, tuple[int, int]], shards: i
     return SlotMap.load(spark, path)
 
 
-def with_shard(docs: DataFrame, mapping: SlotMap, key: str = "doc_id", name: str = "shard") -> DataFrame:
+def with_shard(docs: DataFrame, mapping: SlotMap, key: str = "doc_id", text: str = "text", name: str = "shard") -> DataFrame:
     """docs with its shard as a column `name`, without a shuffle. Where docs has such a column already, that one is replaced."""
     at, own = free_names(docs, 2)
     table = mapping.frame(docs.sparkSession).select(F.col("vslot").alias(at), F.col("shard").alias(own))
-    got = docs.withColumn(at, virtual_slot(F.col(key), len(mapping.shard))).join(F.broadcast(table), at)
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()], F.col(own).alias(name))
+    got = docs.withColumn(at, virtual_slot(F.col(key), F.col(text), len(mapping.shard))).join(F.broadcast(table), at)
+    return got.select(*[named(c) for c in docs.columns if c.lower() != name.lower()], F.col(own).alias(name))
 
 
-def write_shards(docs: DataFrame, mapping: SlotMap, path: str, key: str = "doc_id", files_per_shard: int = 8) -> None:
+def write_shards(docs: DataFrame, mapping: SlotMap, path: str, key: str = "doc_id", text: str = "text", files_per_shard: int = 8) -> None:
     """One folder for each shard; every shard's slots are dealt over files_per_shard tasks."""
     spread = F.pmod(F.xxhash64(F.col(key), F.lit(21)), F.lit(files_per_shard))
-    with_shard(docs, mapping, key).repartition(mapping.shards * files_per_shard, "shard", spread).write.mode("overwrite").partitionBy("shard").parquet(path)
+    with_shard(docs, mapping, key, text).repartition(mapping.shards * files_per_shard, "shard", spread).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int = 8) -> DataFrame:
-    """The documents with their shard. Rows without a doc_id share one slot, and so do rows that share one; a column named shard is
+    """The documents with their shard. Rows without a doc_id, or with the same one, are told apart by their texts; a column named shard is
     replaced, other columns stay as they are."""
     return with_shard(docs, stored_map(spark, slot_sizes(docs), shards))
 
@@ -180,7 +180,7 @@ def _crc_table() -> str:
 
 SQL = f"""
 WITH RECURSIVE {_crc_table()},
-d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, (('0x' || substr(md5('slot:' || doc_id), 1, 8))::BIGINT % {SLOTS})::INT AS v, list_prepend(4294967295::UBIGINT, [('0x' || x)::UBIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS b FROM documents),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, (('0x' || substr(md5('slot:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT % {SLOTS})::INT AS v, list_prepend(4294967295::UBIGINT, [('0x' || x)::UBIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS b FROM documents),
 crc AS (SELECT doc_id, xor(list_reduce(b, lambda x, y: xor(x >> 8, t[((xor(x, y) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, tab),
 sz AS (SELECT v, sum(size)::BIGINT AS b, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, v) AS k FROM d GROUP BY v),
 g AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS have, NULL::INT AS v, NULL::INT AS shard

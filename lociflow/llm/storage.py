@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.native import free_names
+from lociflow.llm.native import free_names, named
 
 _own: dict[str, str] = {}
 #: Least and most bits of the bitmap of only(), as powers of two: eight for each id, 16 MB at most.
@@ -68,7 +68,7 @@ def without(rows: DataFrame, ids: DataFrame, keys: dict[str, Column], most: int)
     words = ids.groupBy(F.floor(place(map(F.col, own)) / 64).alias(word)).agg(F.bit_or(bit(map(F.col, own))).alias(bits))
     marked = rows.withColumn(word, F.floor(place(keys.values()) / 64)).join(F.broadcast(words), word, "left")
     known = F.coalesce(F.col(bits).bitwiseAND(bit(keys.values())) != 0, F.lit(False))
-    columns = [F.col(f"`{c}`") for c in rows.columns]
+    columns = [named(c) for c in rows.columns]
     return marked.filter(~known).select(*columns).unionByName(marked.filter(known).select(*columns).join(ids, on, "left_anti"))
 
 
@@ -82,7 +82,7 @@ def sieved(rows: DataFrame, at: Column, hashes: DataFrame, flag: str) -> DataFra
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (place(h) % 64).cast("int"))
     words = hashes.groupBy(F.floor(place(F.col(own)) / 64).alias(word)).agg(F.bit_or(bit(F.col(own))).alias(bits))
     met = rows.withColumn(word, F.floor(place(at) / 64)).join(F.broadcast(words), word, "left")
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col(bits).bitwiseAND(bit(at)) != 0, F.lit(False)).alias(flag))
+    return met.select(*[named(c) for c in rows.columns], F.coalesce(F.col(bits).bitwiseAND(bit(at)) != 0, F.lit(False)).alias(flag))
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 0) -> DataFrame:
@@ -96,5 +96,5 @@ def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 0) ->
     bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
     words = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     marked = rows.withColumn("_at", at).withColumn("_word", F.floor(F.col("_at") / 64))
-    near = marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    near = marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*map(named, rows.columns))
     return near.join(ids, key, "left_semi")

@@ -109,6 +109,19 @@ def test_secrets_take_linear_time(spark):
     assert [r["start"] for r in spark.sql("select array(3, 1, 4, 1, 5, 9, 2) as x").select(F.explode(secrets.running_sums(F.col("x"))).alias("start")).collect()] == [3, 4, 8, 9, 14, 23, 25]
 
 
+def test_secrets_of_separated_runs(spark):
+    """Long runs of every separator neither exhaust the matcher's stack nor take more than linear time."""
+    parts = ["a/", "a+", "a-", "a_", "AB=", "a1/", "Zz9/q+"]
+    for end in ("", "-", "--", " -x end"):
+        for n in (1_000, 2_000_000):
+            df = frame(spark, [(i, "see " + p * (n // len(p)) + end, "s") for i, p in enumerate(parts)])
+            began = time.time()
+            assert df.select(F.regexp_count("text", F.lit(secrets.TOKEN))).count() == len(parts) and df.agg(F.sum(F.regexp_count("text", F.lit(secrets.TOKEN)))).first()[0] >= 0
+            assert time.time() - began < 30
+    t = "see " + "a1/" * 2000 + "-x end"
+    assert secrets.secrets(frame(spark, [(1, t, "s"), (2, "x/" + "Ab3" * 60_000 + "--", "s")])).count() == 2
+
+
 # ---- 2
 
 def test_pii_base_linear_and_equal():
@@ -592,3 +605,24 @@ def test_quality_query_and_repeated_ids(spark, sf, docs):
     many = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 0)], labels.schema))
     assert quality.fit(docs, many).weights.any()
     assert quality.labelled(docs, labels, 20).count() <= 60
+
+
+# ---- ids that are null or repeated, and any column names
+
+def test_null_and_repeated_ids_go_apart(spark):
+    """Half of the ids are null or repeated: targets within one document's size, shards within a few documents."""
+    data = [(None if i % 4 == 0 else 7 if i % 4 == 1 else i, " ".join(f"w{i}" for _ in range(10 + i % 7)), "a" if i % 3 else "b") for i in range(4000)]
+    df = frame(spark, data)
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= r["most"] for r in got)
+    sizes = [r["b"] for r in sharding.shard(df)[0].groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8
+
+
+def test_any_columns(spark):
+    data = frame(spark, [(i // 2, f"one two three four five six seven {i // 2}" * 9, "a") for i in range(12)]).withColumn("meta.lang", F.lit("x")).withColumn("a`b", F.create_map(F.lit("k"), F.lit(1)))
+    once = jaccard.once(data)
+    assert once.columns == data.columns and once.count() == 6
+    assert mixing.stage(spark, data, "").columns == data.columns
+    assert sharding.stage(spark, data, "").columns == [*data.columns, "shard"]
+    assert storage.only(data, data.limit(2)).columns == data.columns
