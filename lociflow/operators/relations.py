@@ -187,37 +187,3 @@ def ehh_windows(scores: DataFrame, width: int, step: int, value: str) -> DataFra
 def frequency_bin(p: Column, bins: int = 20) -> Column:
     """Equal-width bins of a derived frequency."""
     return F.least(F.floor(p * bins), F.lit(bins - 1))
-
-
-#: Samples up to which their matrix of covariances is brought to the driver: 200 MB.
-MOST_SAMPLES = 5_000
-
-
-def sample_covariances(dos: DataFrame) -> DataFrame:
-    """i, j, value: the mean over sites of the products of two samples' dosages, less the site's mean."""
-    site = dos.groupBy("chrom", "pos").agg(F.avg("dosage").alias("m"), F.collect_list(F.struct("sample_idx", "dosage")).alias("v"))
-    one = site.select("m", "v", F.explode("v").alias("a")).select(F.col("a.sample_idx").alias("i"), (F.col("a.dosage") - F.col("m")).alias("x"), "m", F.explode("v").alias("b"))
-    return one.groupBy("i", F.col("b.sample_idx").alias("j")).agg(F.avg(F.col("x") * (F.col("b.dosage") - F.col("m"))).alias("value"))
-
-
-def first_component(covariances: DataFrame, iterations: int = 100) -> DataFrame:
-    """sample_idx, pc1 and place in its order, by power iteration. It starts from 1, 2, ... n, since equal shares are
-    lost where samples are centred by site. The matrix has a row for each pair of samples, of which there may be MOST_SAMPLES."""
-    spark = covariances.sparkSession
-    n = covariances.select("i").distinct().count()
-    if n > MOST_SAMPLES:
-        raise ValueError(f"{n} samples: more than {MOST_SAMPLES}")
-    got = covariances.toPandas()
-    ids = np.sort(got["i"].unique())
-    c = np.zeros((n, n))
-    c[np.searchsorted(ids, got["i"]), np.searchsorted(ids, got["j"])] = got["value"]
-    v = np.arange(1.0, n + 1)
-    for _ in range(iterations):
-        w = c @ v
-        size = np.sqrt((w * w).sum())
-        if not size:
-            break
-        v = w / size
-    place = np.empty(n, int)
-    place[np.argsort(v, kind="stable")] = np.arange(n)
-    return spark.createDataFrame([(int(i), float(x), int(k)) for i, x, k in zip(ids, v, place, strict=True)], "sample_idx int, pc1 double, place int")

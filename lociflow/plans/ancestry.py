@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions.expr import sql_erfc
 from lociflow.operators import ancestry as an
+from lociflow.operators import clusters, pca
 from lociflow.operators import relations as rel
 from lociflow.operators import scan
 from lociflow.operators.popstats import dosages
@@ -76,6 +77,12 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return j.select("candidate_id", expr.segment(F.col("pos"), F.col("start"), F.col("end")).alias("segment")).groupBy("candidate_id", "segment").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
+def _linkage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Samples clustered by the sites that they share, for each number of carriers."""
+    shared = rel.rare_sharing(_dos(spark, d))
+    return clusters.average_linkage(shared, shared.select("bin").distinct().crossJoin(F.broadcast(ad.groups(spark).select("sample_idx"))), ["bin"])
+
+
 def _beagle(spark: SparkSession, d: str) -> DataFrame:
     """Likelihoods written as text and read back."""
     path = scratch.folder(spark, "beagle")
@@ -107,7 +114,11 @@ QUERIES = {
     "pop_batch_candidates": lambda s, d: rounded(batch_stats(ad.gl(s, d), _site_candidates(s), F.broadcast(ad.groups(s)))),
     "anc_membership": _membership,
     "anc_segments": _segments,
-    "rel_sample_pc1": lambda s, d: rounded(rel.first_component(rel.sample_covariances(_dos(s, d))), 4),
+    "rel_sample_pc1": lambda s, d: rounded(pca.first_component(_dos(s, d)), 4),
+    "rel_local_pca": lambda s, d: rounded(pca.local_pca(_dos(s, d), 100_000, 50_000), 4),
+    "rel_sharing_clusters": lambda s, d: rounded(_linkage(s, d)[0]),
+    "rel_sharing_order": lambda s, d: _linkage(s, d)[1],
+    "anc_class_order": lambda s, d: rounded(clusters.class_order(_composition(s, d), "sample", "structure_class", "mean_delta12")),
     "rel_rare_sharing_log": lambda s, d: rel.rare_sharing(_dos(s, d)).select("bin", "i", "j", F.round(expr.log10_1p(F.col("shared")), 6).alias("log_shared")),
     "io_beagle": _beagle,
     "io_track_text": _track_text,
@@ -204,3 +215,13 @@ pc AS (SELECT unnest(ids) AS sample_idx, unnest(v) AS pc1 FROM it, mt WHERE k =
     "io_track_text": ad.with_ctes(ad.SQL_TRACK) + " SELECT chrom, start, \"end\", stat, n_variants FROM track",
     "io_cache": _G + _SUP + " SELECT chrom, pos, best_q, CASE WHEN best >= 0.5 AND delta12 >= 0.2 THEN 'dominant_single_Q' WHEN best >= 0.5 THEN 'dominant_plus_secondary' WHEN best >= 0.3 THEN 'mixed_Q_support' WHEN entropy > 1.5 THEN 'diffuse' ELSE 'low_information' END AS marker_class FROM sup",
 }
+_ITER = """ AS (SELECT chrom, cell, 0 AS k, [z::DOUBLE FOR z IN range(1, n + 1)] AS v FROM mt UNION ALL SELECT chrom, cell, k + 1, [z / greatest(sqrt(list_sum([y * y FOR y IN w])), 1e-300) FOR z IN w] FROM (SELECT chrom, cell, k, {free} AS w FROM (SELECT i.chrom, i.cell, k, {u}[list_sum([r[q] * i.v[q] FOR q IN range(1, n + 1)]) FOR r IN m] AS w FROM {it} i JOIN mt USING (chrom, cell){join} WHERE k < 100)))"""
+SQL["rel_local_pca"] = ad.with_ctes(ad.SQL_GL).replace("WITH ", "WITH RECURSIVE ", 1) + """, ce AS (SELECT chrom, pos, unnest(range(greatest(0, pos // 50000 - 1), pos // 50000 + 1)) AS cell, s, d - avg(d) OVER (PARTITION BY chrom, pos) AS x FROM dos),
+cv AS (SELECT chrom, a.cell, a.s AS i, b.s AS j, sum(a.x * b.x) AS c, count(*) AS ns FROM ce a JOIN ce b USING (chrom, pos, cell) GROUP BY ALL), cr AS (SELECT chrom, cell, i, max(ns) AS ns, list(c ORDER BY j) AS r FROM cv GROUP BY chrom, cell, i),
+mt AS (SELECT chrom, cell, max(ns) AS n_sites, list(r ORDER BY i) AS m, list(i ORDER BY i) AS ids, count(*) AS n FROM cr GROUP BY chrom, cell),
+i1""" + _ITER.format(free="w", u="", it="i1", join="") + ", p1 AS (SELECT chrom, cell, v AS u FROM i1 WHERE k = 100), i2" + _ITER.format(free="[w[q] - list_sum([u[z] * w[z] FOR z IN range(1, len(w) + 1)]) * u[q] FOR q IN range(1, len(w) + 1)]", u="u, ", it="i2", join=" JOIN p1 USING (chrom, cell)") + """,
+pc AS (SELECT chrom, cell, 1 AS j, u AS v FROM p1 UNION ALL SELECT chrom, cell, 2, v FROM i2 WHERE k = 100),
+sc AS (SELECT chrom, cell, n_sites, j, ids, v, CASE WHEN list_max(v) >= -list_min(v) THEN 1.0 ELSE -1.0 END * sqrt(greatest(0, list_sum([v[q] * list_sum([m[q][z] * v[z] FOR z IN range(1, n + 1)]) FOR q IN range(1, n + 1)]))) AS f FROM pc JOIN mt USING (chrom, cell)),
+ex AS (SELECT chrom, cell, n_sites, j, f, unnest(ids) AS s, unnest(v) AS x FROM sc)
+SELECT chrom, cell * 50000 AS start, cell * 50000 + 99999 AS "end", n_sites, s AS sample_idx, round(max(x * f) FILTER (j = 1), 4) + 0.0 AS pc1, round(max(x * f) FILTER (j = 2), 4) + 0.0 AS pc2 FROM ex GROUP BY chrom, cell, n_sites, s"""
+SQL["anc_class_order"] = _L + _COMP + " SELECT sample, structure_class, round(mean_delta12, 6) AS mean, (row_number() OVER (ORDER BY structure_class, mean_delta12, sample) - 1)::INT AS place FROM comp"
