@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lociflow.operators.scan import whole_median
 from lociflow.operators.windows import fixed_grid, overlap_join
@@ -28,20 +31,73 @@ def robust_limits(sites: DataFrame, mad_n: float = 3.0) -> DataFrame:
     return sites.sparkSession.createDataFrame([tuple(limits)], "h_low double, h_high double, f_low double, f_high double")
 
 
+#: Ranges of values in which sites are counted before a window's median is looked for in one or two of them.
+RANGES = 64
+_FLAGS = {"hl": "low_hobs", "hh": "high_hobs", "fl": "low_f", "fh": "high_f"}
+
+
+def _cells(df: DataFrame, scales: tuple, unit: int) -> DataFrame:
+    """df (cell of `unit`) once for each scale, with the cell `c` of the scale's own step."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("scale"), F.lit(step // unit).alias("per")) for name, _, step in scales]))
+    return df.withColumn("_x", each).select("*", F.col("_x.scale").alias("scale"), F.floor(F.col("cell") / F.col("_x.per")).cast("long").alias("c")).drop("_x", "cell")
+
+
+def _over(df: DataFrame, scales: tuple, back: bool = False) -> DataFrame:
+    """Cells once for each window w of their scale that holds them; with back, windows once for each of their cells."""
+    span = F.coalesce(*[F.when(F.col("scale") == name, F.lit(width // step - 1)) for name, width, step in scales])
+    if back:
+        return df.withColumn("c", F.explode(F.sequence(F.col("w"), F.col("w") + span)))
+    return df.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("c") - span), F.col("c"))))
+
+
+def _medians(sites: DataFrame, scales: tuple, unit: int) -> DataFrame:
+    """scale, chrom, w, median_hobs, median_f. Sites are counted by range of values in the smallest cells; counts add up to windows; a
+    window's middle places lie in one or two ranges, and only sites of these meet it."""
+    at = [i / RANGES for i in range(1, RANGES)]
+    bounds = sites.agg(*[F.array_distinct(F.percentile_approx(m, at, 10_000)).alias(m) for m in ("hobs", "f")]).first()  # 2 x RANGES numbers
+
+    def ranged(m: str) -> Column:
+        known = F.array(*[F.lit(x) for x in bounds[m] or []]).cast("array<double>")
+        return F.struct(F.lit(m).alias("m"), F.size(F.filter(known, lambda b: b < F.col(m))).alias("r"), F.col(m).alias("v"))
+
+    long = sites.select("chrom", "cell", F.explode(F.array(ranged("hobs"), ranged("f"))).alias("x")).select("chrom", "cell", "x.*").filter("v is not null")
+    key = ["scale", "chrom", "w", "m"]
+    cells = long.groupBy("chrom", "cell", "m", "r").agg(F.count(F.lit(1)).alias("n"))
+    counts = _over(_cells(cells, scales, unit).groupBy("scale", "chrom", "c", "m", "r").agg(F.sum("n").alias("n")), scales).groupBy(*key, "r").agg(F.sum("n").alias("n"))
+    run = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("r"))).withColumn("all", F.sum("n").over(Window.partitionBy(*key)))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    before = F.col("upto") - F.col("n")
+    need = run.filter((F.col("upto") > low) & (before <= high)).select(*key, "r", F.when(before <= low, low - before).alias("a"), F.when(F.col("upto") > high, high - before).alias("b"))
+    values = _cells(long, scales, unit).groupBy("scale", "chrom", "c", "m", "r", "v").agg(F.count(F.lit(1)).alias("k"))
+    met = _over(need, scales, back=True).join(values, ["scale", "chrom", "c", "m", "r"]).groupBy(*key, "r", "a", "b", "v").agg(F.sum("k").alias("k"))
+    own = met.withColumn("upto", F.sum("k").over(Window.partitionBy(*key, "r").orderBy("v")))
+    found = own.groupBy(*key).agg(F.min(F.when(F.col("upto") > F.col("a"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.col("b"), F.col("v"))).alias("y"))
+    return found.groupBy("scale", "chrom", "w").agg(*[F.max(F.when(F.col("m") == m, (F.col("x") + F.col("y")) / 2)).alias(f"median_{m}") for m in ("hobs", "f")])
+
+
 def windows(sites: DataFrame, scales: tuple = SCALES, mad_n: float = 3.0) -> DataFrame:
     """A09 for all scales: counts, mean, median, population sd, min and max of hobs and f, and outlier counts and shares.
-    Windows start at 1; the last of a chromosome ends at its last site; empty windows are left out."""
+    Windows start at 1; the last of a chromosome ends at its last site; empty windows are left out. A width is a multiple of its step.
+
+    Everything is summed in cells of the greatest common step first; cells, not sites, meet the windows that hold them."""
+    unit = math.gcd(*[step for _, _, step in scales])
+    if any(width % step for _, width, step in scales):
+        raise ValueError("widths must be multiples of their steps")
     lim = robust_limits(sites, mad_n)
     last = sites.groupBy("chrom").agg(F.max("pos").alias("_last"))
-    flagged = sites.crossJoin(F.broadcast(lim)).select("chrom", "pos", "hobs", "f", (F.col("hobs") < F.col("h_low")).cast("int").alias("hl"), (F.col("hobs") > F.col("h_high")).cast("int").alias("hh"), (F.col("f") < F.col("f_low")).cast("int").alias("fl"), (F.col("f") > F.col("f_high")).cast("int").alias("fh"))
-    out = None
-    for name, width, step in scales:
-        own = fixed_grid(flagged, width, step, 1).withColumn("scale", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-    stats = [g(c).alias(f"{k}_{c}") for c in ("hobs", "f") for k, g in (("mean", F.avg), ("median", F.median), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))]
-    names = {"hl": "low_hobs", "hh": "high_hobs", "fl": "low_f", "fh": "high_f"}
-    w = out.groupBy("scale", "chrom", "start", "end").agg(F.count(F.lit(1)).alias("n_sites"), *stats, *[F.sum(c).alias(f"n_{x}_outlier") for c, x in names.items()], *[F.avg(c).alias(f"frac_{x}_outlier") for c, x in names.items()])
-    return w.join(F.broadcast(last), "chrom").withColumn("end", F.least("end", "_last")).drop("_last")
+    own = sites.filter(F.col("pos") >= 1).select("chrom", F.floor((F.col("pos") - 1) / unit).cast("long").alias("cell"), "hobs", "f")
+    flags = {"hl": F.col("hobs") < F.col("h_low"), "hh": F.col("hobs") > F.col("h_high"), "fl": F.col("f") < F.col("f_low"), "fh": F.col("f") > F.col("f_high")}
+    sums = [F.sum(x).alias(f"{k}_{c}") for c in ("hobs", "f") for k, x in (("s", F.col(c)), ("q", F.col(c) * F.col(c)))] + [g(c).alias(f"{k}_{c}") for c in ("hobs", "f") for k, g in (("min", F.min), ("max", F.max), ("n", F.count))]
+    cells = own.crossJoin(F.broadcast(lim)).groupBy("chrom", "cell").agg(F.count(F.lit(1)).alias("n_sites"), *sums, *[F.sum(x.cast("int")).alias(c) for c, x in flags.items()])
+    added = [c for c in cells.columns if c not in ("chrom", "cell")]
+    merge = [(F.min if c.startswith("min_") else F.max if c.startswith("max_") else F.sum)(c).alias(c) for c in added]
+    w = _over(_cells(cells, scales, unit).groupBy("scale", "chrom", "c").agg(*merge), scales).groupBy("scale", "chrom", "w").agg(*merge).join(_medians(own, scales, unit), ["scale", "chrom", "w"], "left")
+    mean = lambda c: F.col(f"s_{c}") / F.nullif(F.col(f"n_{c}"), F.lit(0))
+    stats = [x.alias(f"{k}_{c}") for c in ("hobs", "f") for k, x in (("mean", mean(c)), ("median", F.col(f"median_{c}")), ("sd", F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{c}") / F.nullif(F.col(f"n_{c}"), F.lit(0)) - mean(c) * mean(c)))), ("min", F.col(f"min_{c}")), ("max", F.col(f"max_{c}")))]
+    width, step = [F.coalesce(*[F.when(F.col("scale") == s[0], F.lit(s[i])) for s in scales]) for i in (1, 2)]
+    start = F.col("w") * step + 1
+    out = w.join(F.broadcast(last), "chrom")
+    return out.select("chrom", "scale", start.alias("start"), F.least(start + width - 1, "_last").alias("end"), "n_sites", *stats, *[F.col(c).alias(f"n_{x}_outlier") for c, x in _FLAGS.items()], *[(F.col(c) / F.col("n_sites")).alias(f"frac_{x}_outlier") for c, x in _FLAGS.items()])
 
 
 def group_hobs(dos: DataFrame, groups: DataFrame, width: int, step: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociflow.functions import expr
+from lociflow.operators import ranks
 from lociflow.operators.windows import bucketed, overlap_join, running
 
 
@@ -147,20 +148,12 @@ def candidates_against_flanks(candidates: DataFrame, track: DataFrame, stats: li
     return two_sided_tests(rows.select("candidate_id", "stat_name", "v", "inside"), ["candidate_id", "stat_name"], permutations, seed)
 
 
-#: Regions that can be tested against all rows at once.
-MOST_REGIONS = 1_000
-
-
 def regions_against_rest(track: DataFrame, stats: list[str], region: str = "region", rest: str | None = None, skip: list[str] | None = None, permutations: int = 0, seed: int = 1) -> DataFrame:
-    """Each region's values against all others, or against those of `rest`. Ranks are made over all rows of a statistic once for each
-    region, since the rest differs by region only if it is named."""
-    long = long_stats(track, stats).select(F.col(region).alias("region"), "stat_name", "v")
-    names = [r[0] for r in long.select("region").distinct().orderBy("region").limit(2 * MOST_REGIONS).collect() if r[0] not in (skip or []) and r[0] != rest]
-    if len(names) > MOST_REGIONS:
-        raise ValueError(f"{len(names)} regions: every row is tested for each of them; ask for {MOST_REGIONS} at most")
-    own = F.array(*[F.lit(x) for x in names])
-    rows = long.withColumn("target", F.explode(own)).filter((F.col("region") == F.col("target")) | (F.lit(rest is None) | (F.col("region") == F.lit(rest))))
-    return two_sided_tests(rows.select(F.col("target"), "stat_name", "v", (F.col("region") == F.col("target")).alias("inside")), ["target", "stat_name"], permutations, seed)
+    """Each region's values against all others, or against those of `rest`; rows of the regions in skip take no part."""
+    long = long_stats(track, stats).select(F.col(region).alias("region"), "stat_name", "v").filter(F.col("region").isNotNull())
+    if skip:
+        long = long.filter(~F.col("region").isin(skip))
+    return ranks.region_tests(long, rest, permutations, seed)
 
 
 def bootstrap(values: DataFrame, by: list[str], order: list[str], value: str = "v", replicates: int = 1000, block: int = 1, statistic: str = "mean", seed: str = "boot", low: float = 0.025, high: float = 0.975) -> DataFrame:

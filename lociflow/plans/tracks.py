@@ -42,11 +42,8 @@ def _hobs(spark: SparkSession, d: str) -> DataFrame:
     return hobs.heterozygosity(ad.hwe_sites(spark, d))
 
 
-SCALES = (("10kb", 10_000, 2_000), ("50kb", 50_000, 10_000))
-
-
 def _hobs_windows(spark: SparkSession, d: str) -> DataFrame:
-    return hobs.windows(_hobs(spark, d), SCALES, 1.0)
+    return hobs.windows(_hobs(spark, d))
 
 
 def hobs_candidates(spark: SparkSession) -> DataFrame:
@@ -59,6 +56,11 @@ def _overlay(spark: SparkSession, d: str) -> DataFrame:
     return hobs.overlay(hobs_candidates(spark), small, 2_000)
 
 
+def _user_days(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rows of many small regions: one for each user."""
+    return ad.table(spark, d, "events").select(F.col("user_id").cast("string").alias("user"), F.col("value").alias("v"))
+
+
 def _values(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "events").select("event_type", "event_id", F.col("value").alias("v"))
 
@@ -73,9 +75,11 @@ QUERIES = {
     "scan_candidates_vs_flanks": lambda s, d: rounded(_flanks(s, d), 5),
     "scan_candidates_excluding_overlaps": lambda s, d: rounded(_flanks(s, d, True), 5),
     "scan_regions_vs_rest": lambda s, d: rounded(scan.regions_against_rest(ad.track(s, d), ["stat", "n_variants"], "chrom"), 5),
+    "scan_region_permutations": lambda s, d: rounded(scan.regions_against_rest(ad.track(s, d), ["stat", "n_variants"], "chrom", permutations=1000), 5),
+    "scan_users_vs_rest": lambda s, d: rounded(scan.regions_against_rest(_user_days(s, d), ["v"], "user"), 5),
     "scan_permutation_test": lambda s, d: rounded(scan.candidates_against_flanks(candidates(s), ad.track(s, d), ["stat"], 5 * DAY, permutations=1000), 5),
-    "scan_bootstrap_mean": lambda s, d: rounded(scan.bootstrap(ad.track(s, d).withColumn("v", F.col("stat")), ["chrom"], ["start"], replicates=200), 5),
-    "scan_bootstrap_block_median": lambda s, d: rounded(scan.bootstrap(ad.track(s, d).withColumn("v", F.col("stat")), ["chrom"], ["start"], replicates=100, block=4, statistic="median"), 5),
+    "scan_bootstrap_mean": lambda s, d: rounded(scan.bootstrap(ad.track(s, d).withColumn("v", F.col("stat")), ["chrom"], ["start"], replicates=1000), 5),
+    "scan_bootstrap_block_median": lambda s, d: rounded(scan.bootstrap(ad.track(s, d).withColumn("v", F.col("stat")), ["chrom"], ["start"], replicates=1000, block=4, statistic="median"), 5),
     "scan_binned_z": lambda s, d: rounded(scan.z_scores(ad.track(s, d).withColumn("bin", F.floor(F.col("n_variants") / 10)), "stat", ["bin"]), 5),
     "hobs_windows": lambda s, d: rounded(_hobs_windows(s, d)),
     "hobs_overlay": lambda s, d: rounded(_overlay(s, d)),
@@ -123,12 +127,12 @@ SELECT n.chrom, n, round(observed, 5) AS observed, round(avg(b), 5) AS boot_mean
 _HO = ad.with_ctes(ad.SQL_HWE) + ", ho AS (SELECT *, 2*freq*(1-freq) AS hexp, least(1, greatest(0, 2*freq*(1-freq)*(1-f))) AS hobs FROM hwe)"
 
 
-def _hw(scales: tuple) -> str:
+def _hw(scales: tuple, mads: float) -> str:
     stats = ", ".join(f"round({f}({c}), 6) + 0.0 AS {k}_{c}" for c in ("hobs", "f") for k, f in (("mean", "avg"), ("median", "median"), ("sd", "stddev_pop"), ("min", "min"), ("max", "max")))
     names = (("low_hobs", "hobs < hl"), ("high_hobs", "hobs > hh"), ("low_f", "f < fl"), ("high_f", "f > fh"))
     flags = ", ".join(f"count(*) FILTER ({c}) AS n_{x}_outlier, round(avg(({c})::INT), 6) AS frac_{x}_outlier" for x, c in names)
     sets = " UNION ALL ".join(f"SELECT '{n}' AS scale, {w} AS width, unnest(range(greatest(0, (pos - 1 - {w - 1} + {s - 1}) // {s}), (pos - 1) // {s} + 1)) * {s} + 1 AS start, ho.* FROM ho WHERE pos >= 1" for n, w, s in scales)
-    return f""", md AS (SELECT median(hobs) AS mh, median(f) AS mf FROM ho), dv AS (SELECT mh, mf, median(abs(hobs - mh)) * 1.4826 AS dh, median(abs(f - mf)) * 1.4826 AS df FROM ho, md GROUP BY ALL), lim AS (SELECT mh - dh AS hl, mh + dh AS hh, mf - df AS fl, mf + df AS fh FROM dv),
+    return f""", md AS (SELECT median(hobs) AS mh, median(f) AS mf FROM ho), dv AS (SELECT mh, mf, median(abs(hobs - mh)) * {mads} * 1.4826 AS dh, median(abs(f - mf)) * {mads} * 1.4826 AS df FROM ho, md GROUP BY ALL), lim AS (SELECT mh - dh AS hl, mh + dh AS hh, mf - df AS fl, mf + df AS fh FROM dv),
 lst AS (SELECT chrom, max(pos) AS lp FROM ho GROUP BY chrom), hw AS (SELECT scale, chrom, start, least(start + width - 1, lp) AS "end", count(*) AS n_sites, {stats}, {flags} FROM ({sets}) q JOIN lst USING (chrom), lim GROUP BY scale, chrom, start, width, lp)"""
 
 
@@ -143,11 +147,12 @@ SELECT chrom, region, start, "end", gene_id AS nearest_gene, dist AS gene_distan
     "scan_candidates_vs_flanks": _T + _CAND + _LONG.format("'depth'") + _FL.format("") + _tests("candidate_id, stat_name"),
     "scan_candidates_excluding_overlaps": _T + _CAND + _LONG.format("'depth'") + _FL.format('WHERE (l.start + l."end") // 2 BETWEEN c.start AND c."end" OR NOT EXISTS (SELECT 1 FROM cand q WHERE q.chrom = c.chrom AND q.candidate_id <> c.candidate_id AND l.start <= q."end" AND l."end" >= q.start)') + _tests("candidate_id, stat_name"),
     "scan_regions_vs_rest": _T + _LONG.format("'n_variants'") + ", x AS (SELECT t.chrom AS target, stat_name, v, l.chrom = t.chrom AS inside FROM lg l, (SELECT DISTINCT chrom FROM track) t)" + _tests("target, stat_name"),
-    "scan_bootstrap_mean": _T + _boot(200, 1, "avg"),
-    "scan_bootstrap_block_median": _T + _boot(100, 4, "median"),
+    "scan_users_vs_rest": "WITH lg AS (SELECT user_id::VARCHAR AS u, value AS v FROM events), x AS (SELECT t.u AS target, 'v' AS stat_name, v, lg.u = t.u AS inside FROM lg, (SELECT DISTINCT u FROM lg) t)" + _tests("target, stat_name"),
+    "scan_bootstrap_mean": _T + _boot(1000, 1, "avg"),
+    "scan_bootstrap_block_median": _T + _boot(1000, 4, "median"),
     "scan_binned_z": _T + ", s AS (SELECT n_variants // 10 AS bin, avg(stat) AS m, stddev_samp(stat) AS sd FROM track GROUP BY 1) SELECT chrom, start, \"end\", round(stat, 5) AS stat, n_variants, bin, round((stat - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) + 0.0 AS stat_norm FROM track JOIN s ON s.bin = n_variants // 10",
-    "hobs_windows": _HO + _hw(SCALES) + "SELECT * FROM hw",
-    "hobs_burden": _HO + _hw(SCALES).replace(", 6) AS frac", ", 15) AS frac") + " SELECT scale, chrom, measure, round(sum(v::DECIMAL(20, 12))::DOUBLE / count(*), 6) AS value FROM (UNPIVOT (SELECT scale, chrom, frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier FROM hw) ON frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier INTO NAME measure VALUE v) GROUP BY scale, chrom, measure",
+    "hobs_windows": _HO + _hw(hobs.SCALES, 3.0) + "SELECT * FROM hw",
+    "hobs_burden": _HO + _hw(hobs.SCALES, 3.0).replace(", 6) AS frac", ", 15) AS frac") + " SELECT scale, chrom, measure, round(sum(v::DECIMAL(20, 12))::DOUBLE / count(*), 6) AS value FROM (UNPIVOT (SELECT scale, chrom, frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier FROM hw) ON frac_low_hobs_outlier, frac_high_hobs_outlier, frac_low_f_outlier, frac_high_f_outlier INTO NAME measure VALUE v) GROUP BY scale, chrom, measure",
     "hobs_subset_summary": _HO + ", m AS (SELECT chrom, median(hobs) AS md FROM ho GROUP BY chrom) SELECT chrom, round(md, 6) AS median, round(1.4826 * median(abs(hobs - md)), 6) AS mad FROM ho JOIN m USING (chrom) GROUP BY chrom, md",
     "hobs_subset_contrast": _HO + ", a AS (SELECT (round_even(pos / 1000.0, 0) * 1000)::BIGINT AS pos_bin, chrom, avg(hobs) AS h, avg(f) AS f FROM ho WHERE chrom IN ('1-URGENT', '5-LOW') GROUP BY 1, 2) SELECT x.pos_bin, round(x.h - y.h, 6) + 0.0 AS delta_hobs, round(x.f - y.f, 6) + 0.0 AS delta_f FROM a x JOIN a y ON x.pos_bin = y.pos_bin AND x.chrom = '1-URGENT' AND y.chrom = '5-LOW'",
     "hobs_binned_pivot": _HO + " SELECT (round_even(pos / 1000.0, 0) * 1000)::BIGINT AS pos_bin, round(avg(hobs) FILTER (chrom = '1-URGENT'), 6) AS urgent, round(avg(hobs) FILTER (chrom = '5-LOW'), 6) AS low FROM ho GROUP BY 1",
@@ -163,7 +168,7 @@ SELECT y.*, round(permutation_p, 5) AS permutation_p FROM ("""
 _plain = SQL["scan_candidates_vs_flanks"]
 _from = _plain.rindex("SELECT candidate_id, stat_name, n1::BIGINT")
 SQL["scan_permutation_test"] = _plain[:_from].replace(" UNION ALL SELECT chrom, start, \"end\", 'depth', n_variants::DOUBLE FROM track", "") + _PERM + _plain[_from:] + ") y LEFT JOIN pp USING (candidate_id, stat_name)"
-SQL["hobs_overlay"] = _HO + _hw((("1kb", 1_000, 200),)).replace("6) + 0.0 AS", "15) AS").replace(", 6) AS frac", ", 15) AS frac") + _HC + """, j AS (SELECT c.*, w.start < c."end" AND w."end" > c.start AS ins, (w.start >= c.start - 2000 AND w."end" <= c.start) OR (w.start >= c."end" AND w."end" <= c."end" + 2000) AS fl, w.mean_f, w.median_f, w.frac_high_f_outlier AS hf, w.frac_low_hobs_outlier AS lh FROM hc c LEFT JOIN hw w ON w.chrom = c.chrom),
+SQL["hobs_overlay"] = _HO + _hw((("1kb", 1_000, 200),), 1.0).replace("6) + 0.0 AS", "15) AS").replace(", 6) AS frac", ", 15) AS frac") + _HC + """, j AS (SELECT c.*, w.start < c."end" AND w."end" > c.start AS ins, (w.start >= c.start - 2000 AND w."end" <= c.start) OR (w.start >= c."end" AND w."end" <= c."end" + 2000) AS fl, w.mean_f, w.median_f, w.frac_high_f_outlier AS hf, w.frac_low_hobs_outlier AS lh FROM hc c LEFT JOIN hw w ON w.chrom = c.chrom),
 g AS (SELECT candidate_id, chrom, start, "end", count(*) FILTER (ins) AS n_inside, count(*) FILTER (fl) AS n_flank, avg(mean_f) FILTER (ins) AS mi, avg(median_f) FILTER (ins) AS me, avg(mean_f) FILTER (fl) AS mf, avg(hf) FILTER (ins) AS hf, avg(lh) FILTER (ins) AS lh FROM j GROUP BY ALL)
 SELECT candidate_id, chrom, start, "end", n_inside, n_flank, round(mi, 6) + 0.0 AS mean_f_inside, round(me, 6) + 0.0 AS median_f_inside, round(mf, 6) + 0.0 AS mean_f_flank, round(hf, 6) AS frac_high_f, round(lh, 6) AS frac_low_hobs,
  CASE WHEN mi IS NULL OR mf IS NULL THEN 'insufficient_data' WHEN mi - mf > 0.05 AND hf > 0.2 THEN CASE WHEN abs(mi - me) < 0.02 THEN 'broad_localized_distortion' ELSE 'few_extreme_loci' END WHEN lh > 0.3 THEN 'regional_het_deficit' WHEN abs(mi - mf) < 0.02 THEN 'no_signal' ELSE 'weak_signal' END AS pattern FROM g"""
