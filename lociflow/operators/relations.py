@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,11 +124,72 @@ def ehh_walk(pos: np.ndarray, g: np.ndarray, focal: int, decay: float = 0.05, re
     return total
 
 
+#: Numbers of a block of pair products: 16 MB.
+PRODUCTS = 1 << 21
+
+
+class _Pairs:
+    """Chances of identical genotypes of all pairs of some individuals, by site. Blocks of sites are computed once and shared by all focal
+    sites that reach them; a few blocks are held."""
+
+    def __init__(self, g: np.ndarray, held: int = 6):
+        self.g, self.held = g, held
+        self.a, self.b = np.triu_indices(g.shape[1], 1)
+        self.rows = max(1, PRODUCTS // max(1, len(self.a)))
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def _block(self, i: int) -> np.ndarray:
+        if i not in self.blocks:
+            while len(self.blocks) >= self.held:
+                self.blocks.pop(next(iter(self.blocks)))
+            own = self.g[i * self.rows : (i + 1) * self.rows]
+            self.blocks[i] = sum(own[:, self.a, k] * own[:, self.b, k] for k in range(3))
+        return self.blocks[i]
+
+    def at(self, sites: np.ndarray) -> np.ndarray:
+        """The products of these sites, ascending and within a span of `rows`."""
+        first, last = int(sites[0]) // self.rows, int(sites[-1]) // self.rows
+        if first == last:
+            return self._block(first)[sites - first * self.rows]
+        two = np.concatenate([self._block(i) for i in range(first, last + 1)])
+        return two[sites - first * self.rows]
+
+
+def ehh_integrals(pos: np.ndarray, pairs: _Pairs, focal: np.ndarray, among: np.ndarray | None = None, decay: float = 0.05, reach: int = 1_000_000) -> np.ndarray:
+    """T02 for many focal sites at once (ascending places; positions distinct): the same numbers as ehh_walk. among: for each
+    focal site, which pairs count (all without). All focal sites of a chunk take a step together."""
+    out = np.zeros(len(focal))
+    for first in range(0, len(focal), pairs.rows):
+        chunk = focal[first : first + pairs.rows]
+        for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk // pairs.rows)) + 1):
+            own = chunk[part]
+            weight = None if among is None else among[first + part]
+            n = np.full(len(own), len(pairs.a)) if weight is None else weight.sum(axis=1)
+            start = pairs.at(own) if weight is None else pairs.at(own) * weight
+            for step in (-1, 1):
+                live, p = np.arange(len(own)), start.copy()
+                last, here = p.sum(axis=1) / n, pos[own].astype(np.int64)
+                d = step
+                while len(live):
+                    k = own[live] + d
+                    ok = (k >= 0) & (k < len(pos))
+                    ok[ok] = np.abs(pos[k[ok]] - pos[own[live[ok]]]) <= reach
+                    live, p, last, here, k = live[ok], p[ok], last[ok], here[ok], k[ok]
+                    if not len(live):
+                        break
+                    p *= pairs.at(k)
+                    now = p.sum(axis=1) / n[live]
+                    out[first + part[live]] += 0.5 * (last + now) * np.abs(pos[k] - here)
+                    stay = now >= decay
+                    live, p, last, here, d = live[stay], p[stay], now[stay], pos[k][stay], d + step
+    return out
+
+
 def _halo(gl: DataFrame, block: int, reach: int, every: int = 1) -> DataFrame:
-    """Sites with their genotypes in an array, once for each block whose focal sites may reach them; focal: whether the site is the
-    first of its chromosome or an every-th one after it."""
+    """Sites with their genotypes as one flat array (three numbers a sample, in order), in their own block and, as its seam, in those
+    whose focal sites may reach them; focal: whether the site is the first of its chromosome or an every-th one after it."""
     t = F.col("gl0") + F.col("gl1") + F.col("gl2")
-    site = gl.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(F.struct("sample_idx", *[(F.col(c) / t).cast("float").alias(c) for c in ("gl0", "gl1", "gl2")]))).alias("g"))
+    site = gl.groupBy("chrom", "pos").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", *[(F.col(c) / t).cast("float").alias(c) for c in ("gl0", "gl1", "gl2")]))), lambda x: F.array(x["gl0"], x["gl1"], x["gl2"]))).alias("g"))
     if every == 1:
         site = site.withColumn("focal", F.lit(True))
     else:
@@ -134,48 +197,55 @@ def _halo(gl: DataFrame, block: int, reach: int, every: int = 1) -> DataFrame:
     return site.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("pos") - reach) / block).cast("long"), F.floor((F.col("pos") + reach) / block).cast("long"))))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    pdf = pdf.sort_values("pos")
-    ids = [r["sample_idx"] for r in pdf["g"].iloc[0]]
-    return pdf["pos"].to_numpy(), np.array([[(r["gl0"], r["gl1"], r["gl2"]) for r in row] for row in pdf["g"]]), ids, pdf["focal"].to_numpy()
+def _matrix(key: tuple, batches: Iterator[pa.RecordBatch], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, genotypes (sites x samples x 3) and the places of the block's focal sites, from list buffers."""
+    t = pa.Table.from_batches(list(batches)).combine_chunks().sort_by("pos")
+    pos = t.column("pos").to_numpy()
+    g = t.column("g").combine_chunks()
+    g = g.flatten().to_numpy().astype(np.float64).reshape(len(pos), -1, 3)
+    return pos, g, np.flatnonzero((pos // block == key[1].as_py()) & t.column("focal").to_numpy())
 
 
-def xp_ehh(gl: DataFrame, test: list[int], ref: list[int], every: int = 1, decay: float = 0.05, reach: int = 1_000_000, block: int = 1_000_000, smallest: int = 20) -> DataFrame:
+def _ratio(x: np.ndarray, y: np.ndarray) -> list[float | None]:
+    return [float(np.log(a / b)) if a > 0 and b > 0 else None for a, b in zip(x, y, strict=True)]
+
+
+def xp_ehh(gl: DataFrame, test: list[int], ref: list[int], every: int = 1, decay: float = 0.05, reach: int = 1_000_000, block: int = 5_000_000, smallest: int = 20) -> DataFrame:
     """Chrom, pos, ihh_test, ihh_ref, raw = ln(test / ref) at every n-th site of a chromosome. Both cohorts need `smallest` individuals."""
     if len(test) < smallest or len(ref) < smallest:
         raise ValueError(f"cohorts need {smallest} individuals")
+    ids = sorted(r[0] for r in gl.select("sample_idx").distinct().collect())  # as many as samples
+    sides = [[ids.index(i) for i in side] for side in (test, ref)]
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, g, ids, focal = _matrix(pdf)
-        t, r = [ids.index(i) for i in test], [ids.index(i) for i in ref]
-        rows = []
-        for k in range(0, len(pos)):
-            if pos[k] // block == key[1] and focal[k]:
-                x, y = ehh_walk(pos, g[:, t], k, decay, reach), ehh_walk(pos, g[:, r], k, decay, reach)
-                rows.append((key[0], int(pos[k]), x, y, float(np.log(x / y)) if x > 0 and y > 0 else None))
-        return pd.DataFrame(rows, columns=["chrom", "pos", "ihh_test", "ihh_ref", "raw"])
+    def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, g, focal = _matrix(key, batches, block)
+        x, y = (ehh_integrals(pos, _Pairs(g[:, own]), focal, None, decay, reach) for own in sides)
+        yield pa.record_batch([pa.array([key[0].as_py()] * len(focal), pa.string()), pa.array(pos[focal]), pa.array(x), pa.array(y), pa.array(_ratio(x, y), pa.float64())], ["chrom", "pos", "ihh_test", "ihh_ref", "raw"])
 
-    return _halo(gl, block, reach, every).groupBy("chrom", "_block").applyInPandas(walk, "chrom string, pos long, ihh_test double, ihh_ref double, raw double")
+    return _halo(gl, block, reach, every).groupBy("chrom", "_block").applyInArrow(walk, "chrom string, pos long, ihh_test double, ihh_ref double, raw double")
 
 
-def ihs(gl: DataFrame, every: int = 1, decay: float = 0.05, reach: int = 1_000_000, block: int = 1_000_000, least_gl: float = 0.6, smallest: int = 8, maf: float = 0.05) -> DataFrame:
+def ihs(gl: DataFrame, every: int = 1, decay: float = 0.05, reach: int = 1_000_000, block: int = 5_000_000, least_gl: float = 0.6, smallest: int = 8, maf: float = 0.05) -> DataFrame:
     """Chrom, pos, freq, ihh_anc, ihh_der, raw = ln(anc / der) at every n-th site of a chromosome, if it has enough homozygotes of both kinds."""
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, g, _, focal = _matrix(pdf)
-        rows = []
-        for k in range(0, len(pos)):
-            if pos[k] // block != key[1] or not focal[k]:
-                continue
-            sure = g[k].max(1) >= least_gl
-            anc, der = np.flatnonzero(sure & (g[k].argmax(1) == 0)), np.flatnonzero(sure & (g[k].argmax(1) == 2))
-            p = float((g[k, :, 1] + 2 * g[k, :, 2]).mean() / 2)
-            if min(p, 1 - p) < maf or len(anc) < smallest or len(der) < smallest:
-                continue
-            x, y = ehh_walk(pos, g[:, anc], k, decay, reach), ehh_walk(pos, g[:, der], k, decay, reach)
-            rows.append((key[0], int(pos[k]), p, x, y, float(np.log(x / y)) if x > 0 and y > 0 else None))
-        return pd.DataFrame(rows, columns=["chrom", "pos", "freq", "ihh_anc", "ihh_der", "raw"])
-
-    return _halo(gl, block, reach, every).groupBy("chrom", "_block").applyInPandas(walk, "chrom string, pos long, freq double, ihh_anc double, ihh_der double, raw double")
+
+    def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, g, focal = _matrix(key, batches, block)
+        own = g[focal]
+        sure, call = own.max(axis=2) >= least_gl, own.argmax(axis=2)
+        anc, der = sure & (call == 0), sure & (call == 2)
+        p = (own[:, :, 1] + 2 * own[:, :, 2]).mean(axis=1) / 2
+        keep = (np.minimum(p, 1 - p) >= maf) & (anc.sum(axis=1) >= smallest) & (der.sum(axis=1) >= smallest)
+        focal, anc, der, p = focal[keep], anc[keep], der[keep], p[keep]
+        pairs, sums = _Pairs(g), []
+        for who in (anc, der):
+            parts = [np.zeros(0)]
+            for i in range(0, len(focal), pairs.rows):
+                rows = who[i : i + pairs.rows]
+                parts.append(ehh_integrals(pos, pairs, focal[i : i + pairs.rows], rows[:, pairs.a] & rows[:, pairs.b], decay, reach))
+            sums.append(np.concatenate(parts))
+        yield pa.record_batch([pa.array([key[0].as_py()] * len(focal), pa.string()), pa.array(pos[focal]), pa.array(p), pa.array(sums[0]), pa.array(sums[1]), pa.array(_ratio(*sums), pa.float64())], ["chrom", "pos", "freq", "ihh_anc", "ihh_der", "raw"])
+
+    return _halo(gl, block, reach, every).groupBy("chrom", "_block").applyInArrow(walk, "chrom string, pos long, freq double, ihh_anc double, ihh_der double, raw double")
 
 
 def ehh_windows(scores: DataFrame, width: int, step: int, value: str) -> DataFrame:

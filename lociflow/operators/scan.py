@@ -52,12 +52,19 @@ def flagged(track: DataFrame, threshold: float | None = None, direction: str = "
     return track.filter(expr.passes(F.col("stat"), threshold, direction))
 
 
-def merged(windows: DataFrame, gap: int = 10_000) -> DataFrame:
-    """Windows with the number of their region: a new one starts where a window begins more than gap after all that came before."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = windows.withColumn("_new", F.when(before.isNull() | (F.col("start") - before > gap), 1).otherwise(0))
-    return new.withColumn("region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def merged(windows: DataFrame, gap: int = 10_000, block: int = 1_000_000) -> DataFrame:
+    """Windows with the number of their region: a new one starts where a window begins more than gap after all that came before.
+
+    Windows are taken by blocks of positions. What a block needs from those before it is the furthest end and how many regions began
+    there: both are carried over one row a block, so that no task sees a chromosome."""
+    own, blocks = Window.partitionBy("chrom", "_blk").orderBy("start", "end"), Window.partitionBy("chrom").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    at = windows.withColumn("_blk", F.floor(F.col("start") / block))
+    reach = at.groupBy("chrom", "_blk").agg(F.max("end").alias("_top")).select("chrom", "_blk", F.max("_top").over(blocks).alias("_far"))
+    before = F.greatest(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), "_far")
+    new = at.join(reach, ["chrom", "_blk"]).withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") > gap), 1).otherwise(0))
+    begun = new.groupBy("chrom", "_blk").agg(F.sum("_new").alias("_b")).select("chrom", "_blk", F.coalesce(F.sum("_b").over(blocks), F.lit(0)).alias("_begun"))
+    numbered = new.withColumn("_own", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(begun, ["chrom", "_blk"])
+    return numbered.select(*[F.col(c) for c in windows.columns], (F.col("_own") + F.col("_begun")).alias("region"))
 
 
 def stronger_default(direction: str, threshold: float | None) -> float:

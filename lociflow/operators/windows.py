@@ -90,24 +90,41 @@ def points_in(points: DataFrame, windows: DataFrame, size: int, pos: str = "pos"
     return points.withColumn("_p", F.floor(F.col(pos) / size)).join(w, (F.col("chrom") == F.col("_c")) & (F.col("_p") == F.col("_b")) & F.col(pos).between(F.col("start"), F.col("end"))).drop("_p", "_b", "_c")
 
 
-def nearest(regions: DataFrame, genes: DataFrame, key: list[str]) -> DataFrame:
+def _beside(marks: DataFrame, genes: DataFrame, key: list[str], edge: str, back: bool, block: int) -> DataFrame:
+    """For every mark (chrom, at, key...) the gene whose `edge` is the last at or before it (back), or the first at or after it: key...,
+    at, ord, gene. The last seen in a block of positions is carried over one row a block."""
+    none = F.lit(None)
+    names = [f"k_{c}" for c in key]
+    found = F.when(F.col("kind") != 1, F.struct("at", "ord", "gene"))
+    ends = genes.select("chrom", F.col(edge).alias("at"), F.lit(0 if back else 2).alias("kind"), *[none.cast(t).alias(n) for n, t in zip(names, [dict(marks.dtypes)[c] for c in key], strict=True)], F.col("ord").cast("long").alias("ord"), F.col("gene_id").alias("gene"))
+    rows = marks.select("chrom", "at", F.lit(1).alias("kind"), *[F.col(c).alias(n) for c, n in zip(key, names, strict=True)], none.cast("long").alias("ord"), none.cast("string").alias("gene")).unionByName(ends).withColumn("_blk", F.floor(F.col("at") / block))
+    # ties in distance go to the least ord: of equal ends it is the last row before the mark, of equal starts the first after it
+    order = Window.partitionBy("chrom", "_blk").orderBy("at", "kind", F.desc("ord") if back else F.asc("ord"))
+    seen = F.last(found, True).over(order) if back else F.first(found, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    across = Window.partitionBy("chrom").orderBy("_blk")
+    best = F.max_by("x", F.struct(F.col("at"), -F.col("ord"))) if back else F.min("x")
+    sums = rows.withColumn("x", found).filter("kind <> 1").groupBy("chrom", "_blk").agg(best.alias("x"))
+    blocks = rows.select("chrom", "_blk").distinct().join(sums, ["chrom", "_blk"], "left")
+    carried = F.last("x", True).over(across.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("x", True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    got = rows.withColumn("_own", seen).filter("kind = 1").join(blocks.select("chrom", "_blk", carried.alias("_far")), ["chrom", "_blk"])
+    return got.select(*[F.col(n).alias(c) for c, n in zip(key, names, strict=True)], F.coalesce("_own", "_far").alias("found"))
+
+
+def nearest(regions: DataFrame, genes: DataFrame, key: list[str], block: int = 1_000_000) -> DataFrame:
     """regions with the gene nearest to their midpoint: distance 0 inside a gene, the first gene (ord) on ties, null where the
-    chromosome has none. One pass over regions and genes in order of position finds the neighbours on both sides; genes that hold the
-    midpoint come from an overlap join."""
+    chromosome has none. Neighbours on both sides are found in blocks of positions with carried seams; genes that hold the midpoint come
+    from an overlap join."""
     mid = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
     r = regions.withColumn("_mid", mid)
     inside = points_in(r.select("chrom", *[c for c in key if c != "chrom"], "_mid").withColumnRenamed("_mid", "pos"), genes, 50_000).groupBy("chrom", *[c for c in key if c != "chrom"]).agg(F.min_by("gene_id", "ord").alias("_in"))
-    none = F.lit(None)
-    marks = r.select("chrom", F.col("_mid").alias("at"), F.lit(1).alias("kind"), *[F.col(c).alias("k_" + c) for c in key], none.cast("string").alias("gene"), none.cast("long").alias("ord"))
-    ends = genes.select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), F.col("gene_id").alias("gene"), F.col("ord").cast("long").alias("ord"))
-    starts = genes.select("chrom", F.col("start").alias("at"), F.lit(2).alias("kind"), F.col("gene_id").alias("gene"), F.col("ord").cast("long").alias("ord"))
-    # ties in distance go to the least ord: of equal ends the last row before the mark, of equal starts the first after it
-    before = marks.unionByName(ends, allowMissingColumns=True).withColumn("p", F.last(F.when(F.col("kind") == 0, F.struct("at", "ord", "gene")), True).over(Window.partitionBy("chrom").orderBy("at", "kind", F.desc("ord")))).filter("kind = 1").select(*[F.col("k_" + c).alias(c) for c in key], F.col("p").alias("_p"))
-    after = marks.unionByName(starts, allowMissingColumns=True).withColumn("q", F.first(F.when(F.col("kind") == 2, F.struct("at", "ord", "gene")), True).over(Window.partitionBy("chrom").orderBy("at", "kind", "ord").rowsBetween(0, Window.unboundedFollowing))).filter("kind = 1").select(*[F.col("k_" + c).alias(c) for c in key], F.col("q").alias("_q"))
+    marks = r.select(F.col("chrom"), F.col("_mid").alias("at"), *[c for c in key if c != "chrom"])
+    before = _beside(marks, genes, key, "end", True, block).withColumnRenamed("found", "_p")
+    after = _beside(marks, genes, key, "start", False, block).withColumnRenamed("found", "_q")
     j = r.join(before, key, "left").join(after, key, "left").join(inside, key, "left")
     dp, dq = F.col("_mid") - F.col("_p.at"), F.col("_q.at") - F.col("_mid")
-    best = F.least(F.struct(dp.alias("d"), F.col("_p.ord").alias("o"), F.col("_p.gene").alias("g")), F.struct(dq.alias("d"), F.col("_q.ord").alias("o"), F.col("_q.gene").alias("g")))
-    pick = F.when(F.col("_p").isNull() & F.col("_q").isNull(), None).when(F.col("_p").isNull(), F.struct(dq.alias("d"), F.col("_q.ord").alias("o"), F.col("_q.gene").alias("g"))).when(F.col("_q").isNull(), F.struct(dp.alias("d"), F.col("_p.ord").alias("o"), F.col("_p.gene").alias("g"))).otherwise(best)
+    left = F.struct(dp.alias("d"), F.col("_p.ord").alias("o"), F.col("_p.gene").alias("g"))
+    right = F.struct(dq.alias("d"), F.col("_q.ord").alias("o"), F.col("_q.gene").alias("g"))
+    pick = F.when(F.col("_p").isNull() & F.col("_q").isNull(), None).when(F.col("_p").isNull(), right).when(F.col("_q").isNull(), left).otherwise(F.least(left, right))
     return j.withColumn("_n", pick).select(*regions.columns, F.coalesce("_in", F.col("_n.g")).alias("nearest_gene"), F.when(F.col("_in").isNotNull(), 0).otherwise(F.col("_n.d")).cast("long").alias("gene_distance"))
 
 
