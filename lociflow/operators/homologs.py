@@ -18,9 +18,37 @@ def gene_records(hits: DataFrame) -> DataFrame:
     return g.withColumn("_r", run).join(F.broadcast(part.select("_p", "_b")), "_p").select("query", (F.col("_b") + F.col("_r") - F.col("n_hits")).alias("first_hit"), "n_hits")
 
 
-def write_index(hits: DataFrame, path: str, buckets: int = 16) -> None:
-    """Hits dealt by gene and sorted by gene, bitscore and identity (O02), so that a lookup reads few row groups."""
-    hits.repartition(buckets, "query").sortWithinPartitions("query", F.desc("bitscore"), F.desc("identity")).write.mode("overwrite").parquet(path)
+def write_index(hits: DataFrame, path: str, files: int = 16) -> None:
+    """Hits in `files` ranges of gene names, sorted by gene, bitscore and identity (O02) with bloom filters of the names, and a manifest
+    of the files' first and last names. A gene with very many hits may lie in one range alone."""
+    data = f"{path.rstrip('/')}/data"
+    ranged = hits.repartitionByRange(files, "query").sortWithinPartitions("query", F.desc("bitscore"), F.desc("identity"))
+    ranged.write.mode("overwrite").option("parquet.bloom.filter.enabled#query", "true").option("parquet.bloom.filter.expected.ndv#query", "100000").parquet(data)
+    stored = hits.sparkSession.read.parquet(data)
+    stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("query").alias("first"), F.max("query").alias("last"), F.count(F.lit(1)).alias("n_hits")).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/manifest")
+
+
+def files_of(spark: SparkSession, path: str, genes: DataFrame) -> list[str]:
+    """The files of an index whose range of names holds one of the genes (query): at most as many as the index has."""
+    manifest = spark.read.parquet(f"{path.rstrip('/')}/manifest")
+    ranges = F.broadcast(manifest.agg(F.sort_array(F.collect_list(F.struct("first", "last", "file"))).alias("r")))
+    hit = genes.select("query").crossJoin(ranges).select(F.explode(F.filter("r", lambda x: (x["first"] <= F.col("query")) & (F.col("query") <= x["last"]))["file"]).alias("file"))
+    return sorted(r[0] for r in hit.distinct().collect())
+
+
+def lookup_many(spark: SparkSession, path: str, genes: DataFrame, limit: int | None = None, **filters) -> DataFrame:
+    """J23, K11 for a table of genes (query): query, found, n_hits_total, n_hits_emitted, and the best hits in order (rank, target, bitscore,
+    identity, source_type, hit_id; null where there is none). Only files whose names may hold a gene are opened."""
+    wanted = genes.select("query").distinct()
+    files = files_of(spark, path, wanted)
+    schema = spark.read.parquet(f"{path.rstrip('/')}/data").schema
+    own = (spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)).join(wanted, "query", "left_semi")
+    total = own.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits_total"))
+    best = top_hits(own, limit, **filters)
+    emitted = best.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits_emitted"))
+    known = wanted.join(total, "query", "left").join(emitted, "query", "left")
+    rows = known.select("query", F.col("n_hits_total").isNotNull().alias("found"), F.coalesce("n_hits_total", F.lit(0)).alias("n_hits_total"), F.coalesce("n_hits_emitted", F.lit(0)).alias("n_hits_emitted"))
+    return rows.join(best.select("query", "rank", "target", "bitscore", "identity", "source_type", "hit_id"), "query", "left")
 
 
 def top_hits(hits: DataFrame, limit: int | None = None, source: str | None = None, min_identity: float | None = None, min_bitscore: float | None = None) -> DataFrame:
@@ -80,28 +108,83 @@ def filter_samples(rows: DataFrame, keep: DataFrame | None = None, exclude: Data
 
 
 class Groups:
-    """Named groups of samples: given lists, a registry (group, sample_id), prefixes of registered names, or named strategies."""
+    """Named groups of samples. Names are looked up in turn: given lists; ids of a registry (group, sample_id), several parted by commas;
+    patterns of registered ids; strategies (functions of the session); and three strategies over tables: precomp_bands (values: sample_id,
+    value, perhaps chrom), C01i_decomposition (classes: sample_id, class, perhaps chrom; without them, registered ids inv_..._HOM_REF, HET or
+    HOM_INV) and ancestry_clusters (registered ids ancestry_K<k>_Q<i> if there are two, else the argmax of q: sample_id, q)."""
 
     PREFIXES = ("inv_", "ghsl_", "ancestry_")
 
-    def __init__(self, spark: SparkSession, registry: DataFrame, strategies: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession, registry: DataFrame, strategies: dict | None = None, values: DataFrame | None = None, classes: DataFrame | None = None, q: DataFrame | None = None) -> None:
         self.spark, self.registry, self.strategies = spark, registry, strategies or {}
-
-    def resolve(self, names: str | list[str] | dict[str, list[str]]) -> DataFrame:
+        self.values, self.classes, self.q = values, classes, q
+
+    def _here(self, df: DataFrame, chrom: str | None) -> DataFrame:
+        return df.filter(F.col("chrom") == chrom) if chrom is not None and "chrom" in df.columns else df
+
+    def _strategy(self, name: str, chrom: str | None, bands: int) -> DataFrame | None:
+        if name in self.strategies:
+            return self.strategies[name](self.spark)
+        if name == "precomp_bands" and self.values is not None:
+            return value_bands(self._here(self.values, chrom), bands, [])
+        if name == "C01i_decomposition":
+            if self.classes is not None:
+                return self._here(self.classes, chrom).filter("class is not null").select(F.col("class").alias("group"), "sample_id")
+            known = self.registry.filter(F.col("group").rlike("^inv_.*_(HOM_REF|HET|HOM_INV)$"))
+            return known if chrom is None else known.filter(F.col("group").contains(chrom))
+        if name == "ancestry_clusters":
+            known = self.registry.filter(F.col("group").rlike("^ancestry_K[0-9]+_Q[0-9]+$"))
+            if known.select("group").distinct().count() >= 2:
+                return known.select(F.regexp_extract("group", "Q[0-9]+$", 0).alias("group"), "sample_id")
+            if self.q is not None:
+                return clusters_of(self.q)
+        return None
+
+    def resolve(self, names: str | list[str] | dict[str, list[str]], chrom: str | None = None, bands: int = 3) -> DataFrame:
         """group, sample_id."""
         if isinstance(names, dict):
             return self.spark.createDataFrame([(g, s) for g, m in names.items() for s in m], "group string, sample_id string")
-        wanted = [names] if isinstance(names, str) else list(names)
+        wanted = [x.strip() for x in names.split(",")] if isinstance(names, str) else list(names)
         found = None
         for name in wanted:
-            if name in self.strategies:
-                part = self.strategies[name](self.spark)
-            elif name.startswith(self.PREFIXES) and name.endswith(tuple("_*")):
-                part = self.registry.filter(F.col("group").startswith(name.rstrip("*")))
-            else:
-                part = self.registry.filter(F.col("group") == name)
-            part = part.select("group", "sample_id")
+            part = self.registry.filter(F.col("group") == name)
+            if name.startswith(self.PREFIXES) and part.isEmpty():
+                pattern = name[:-1] + ".*" if name.endswith(("*", "_")) and not name.endswith(".*") else name
+                part = self.registry.filter(F.col("group").rlike(pattern))
+            special = self._strategy(name, chrom, bands)
+            part = (special if special is not None and part.isEmpty() else part).select("group", "sample_id")
             found = part if found is None else found.unionByName(part)
         if found is None or found.isEmpty():
             raise ValueError(f"no group of samples: {wanted}")
         return found.distinct()
+
+
+def value_bands(values: DataFrame, bands: int, by: list[str]) -> DataFrame:
+    """by..., group (band1, band2, ... from the lowest), sample_id: samples (by..., sample_id, value) parted at the bands - 1 widest gaps between
+    neighbouring values (ties: the lower gap). Samples without a value are in no band. Rows are samples, so their number bounds a window."""
+    order = Window.partitionBy(*by).orderBy("value", "sample_id") if by else Window.orderBy("value", "sample_id")
+    gaps = values.filter("value is not null").withColumn("_g", F.coalesce(F.col("value") - F.lag("value").over(order), F.lit(0.0))).withColumn("_i", F.row_number().over(order))
+    widest = Window.partitionBy(*by).orderBy(F.desc("_g"), "_i") if by else Window.orderBy(F.desc("_g"), "_i")
+    cut = gaps.withColumn("_c", ((F.row_number().over(widest) < bands) & (F.col("_g") > 0)).cast("int"))
+    return cut.select(*by, F.concat(F.lit("band"), (F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("string")).alias("group"), "sample_id")
+
+
+def clusters_of(q: DataFrame) -> DataFrame:
+    """group (Q1, Q2, ...; the argmax of q, the first on ties), sample_id."""
+    return q.select(F.concat(F.lit("Q"), F.array_position("q", F.array_max("q")).cast("string")).alias("group"), "sample_id")
+
+
+def likelihood_shares(gl: DataFrame) -> DataFrame:
+    """sample_idx, q: at which share of its sites each of the three genotypes is a sample's likeliest (the first on ties)."""
+    best = F.when((F.col("gl0") >= F.col("gl1")) & (F.col("gl0") >= F.col("gl2")), 0).when(F.col("gl1") >= F.col("gl2"), 1).otherwise(2)
+    n = F.count(F.lit(1))
+    return gl.withColumn("_k", best).groupBy("sample_idx").agg(F.array(*[F.sum((F.col("_k") == k).cast("int")) / n for k in range(3)]).alias("q"))
+
+
+def karyotypes(gl: DataFrame, width: int) -> DataFrame:
+    """chrom, start, sample_idx, group: in every window of `width` positions, which of HOM_A, HET and HOM_B (genotype 0, 1, 2 at all its sites) a
+    sample's likelihoods make likeliest, the first on ties."""
+    total = F.col("gl0") + F.col("gl1") + F.col("gl2")
+    sums = gl.groupBy("chrom", (F.floor(F.col("pos") / width) * width).alias("start"), "sample_idx").agg(*[F.round(F.sum(F.ln(F.greatest(F.col(f"gl{k}") / total, F.lit(1e-10)))), 6).alias(f"l{k}") for k in range(3)])
+    best = F.when((F.col("l0") >= F.col("l1")) & (F.col("l0") >= F.col("l2")), "HOM_A").when(F.col("l1") >= F.col("l2"), "HET").otherwise("HOM_B")
+    return sums.select("chrom", "start", "sample_idx", best.alias("group"))

@@ -110,16 +110,17 @@ def variant_groups(dos: DataFrame, groups: DataFrame, low: str, middle: str, hig
     return g.drop("_pass").join(known, ["chrom", "pos"])
 
 
-def karyotype_hwe(groups: DataFrame, low: str = "HOM_A", middle: str = "HET", high: str = "HOM_B", threshold: float = 0.10) -> DataFrame:
-    """One row: n, hobs, hexp, fis, chi2, p, label."""
-    c = groups.agg(*[F.sum((F.col("group") == g).cast("long")).cast("double").alias(x) for g, x in ((low, "a"), (middle, "h"), (high, "b"))])
+def karyotype_hwe(groups: DataFrame, low: str = "HOM_A", middle: str = "HET", high: str = "HOM_B", threshold: float = 0.10, by: list[str] | None = None) -> DataFrame:
+    """N, hobs, hexp, fis, chi2, p, label: one row, or one for each key of by."""
+    by = by or []
+    c = groups.groupBy(*by).agg(*[F.sum((F.col("group") == g).cast("long")).cast("double").alias(x) for g, x in ((low, "a"), (middle, "h"), (high, "b"))])
     n = F.col("a") + F.col("h") + F.col("b")
     p = (2 * F.col("a") + F.col("h")) / (2 * n)
     q = 1 - p
     part = lambda o, e: F.when(e > 0, (o - e) * (o - e) / e).otherwise(0.0)
     chi = part(F.col("a"), n * p * p) + part(F.col("h"), 2 * n * p * q) + part(F.col("b"), n * q * q)
     fis = F.when(2 * p * q > 0, 1 - F.col("h") / n / (2 * p * q)).otherwise(0.0)
-    return c.select(n.cast("long").alias("n"), (F.col("h") / n).alias("hobs"), (2 * p * q).alias("hexp"), fis.alias("fis"), chi.alias("chi2"), expr.chi2_p(chi).alias("p"), expr.fis_label(fis, threshold).alias("label"))
+    return c.select(*by, n.cast("long").alias("n"), (F.col("h") / n).alias("hobs"), (2 * p * q).alias("hexp"), fis.alias("fis"), chi.alias("chi2"), expr.chi2_p(chi).alias("p"), expr.fis_label(fis, threshold).alias("label"))
 
 
 def ranked(values: DataFrame, value: str = "fis") -> DataFrame:

@@ -119,3 +119,6 @@ def f_matrix(sites: DataFrame) -> DataFrame:
 _X = "concat('0x', substr(md5({0}), 1, 8))::UBIGINT::DOUBLE"
 SQL_Q = "qr AS (SELECT i::INT AS s, k::INT AS k, " + _X.format("'q-' || i || '-' || k") + " + 1.0 AS r FROM range(10) AS a(i), range(3) AS b(k)), qm AS (SELECT s, k, r / sum(r) OVER (PARTITION BY s) AS x FROM qr), ql AS (SELECT s, list(x ORDER BY k) AS q FROM qm GROUP BY s)"
 SQL_F = "fm AS (SELECT DISTINCT chrom, pos, k::INT AS k, (" + _X.format("'f-' || chrom || '-' || pos || '-' || k") + " + 0.5) / 4294967296.0 AS f FROM gl, range(3) AS b(k))"
+
+#: Shares of sites at which each genotype is a sample's likeliest: q as a list.
+SQL_SHARES = "sk AS (SELECT s, CASE WHEN gl0 >= gl1 AND gl0 >= gl2 THEN 0 WHEN gl1 >= gl2 THEN 1 ELSE 2 END AS k FROM gl), ql AS (SELECT s, [avg((k = 0)::INT), avg((k = 1)::INT), avg((k = 2)::INT)] AS q FROM sk GROUP BY s)"

@@ -9,7 +9,10 @@ from lociflow.functions.expr import sql_erfc
 from lociflow.operators import ancestry as an
 from lociflow.operators import clusters, pca
 from lociflow.operators import relations as rel
+from lociflow.operators import homologs as ho
 from lociflow.operators import scan
+from lociflow.operators.windows import numbered
+from lociflow.operators.homologs import likelihood_shares
 from lociflow.operators.popstats import dosages
 from lociflow.plans import adapters as ad
 from lociflow.plans import popstats as pp
@@ -17,6 +20,7 @@ from lociflow.plans.dispatch import batch_stats
 from lociflow.plans.popstats import rounded
 from lociflow.functions import expr
 from lociflow.sources import readers, scratch, writers
+from lociflow.sources.cache import Cache
 
 
 def _dos(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +33,7 @@ def _spread(df: DataFrame, column: str, names: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _spread(ad.q_matrix(spark).withColumns(an.q_metrics(F.col("q"))), "q", "q")
+    return _spread(likelihood_shares(ad.gl(spark, d)).withColumns(an.q_metrics(F.col("q"))), "q", "q")
 
 
 def _support(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +94,54 @@ def _beagle(spark: SparkSession, d: str) -> DataFrame:
     return readers.beagle(spark, path).select("chrom", "pos", "sample_idx", "gl0", "gl1", "gl2")
 
 
+def _f_text(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies written as bare rows of numbers, one file a chromosome, read back by line and joined to sites by their place."""
+    path = scratch.folder(spark, "frequencies")
+    f = ad.f_matrix(ad.gl(spark, d))
+    writers.write_matrix(f, path, "pos", "f")
+    rows = readers.lines(spark, path).select(F.regexp_extract("_file", "chrom=([^/]+)", 1).alias("chrom"), F.col("line").alias("_i"), F.transform(F.split("value", " "), lambda x: x.cast("double")).alias("f"))
+    return _spread(numbered(f.select("chrom", "pos"), ["pos"]).join(rows, ["chrom", "_i"]).select("chrom", "pos", "f"), "f", "f")
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """Support of sites asked for twice: first for three chromosomes, then for all, of which the cache computes the others alone."""
+    cache = Cache(spark, scratch.folder(spark, "kept"))
+    rows = _support(spark, d).select("chrom", "pos", "best_q", F.round("best", 6).alias("best"))
+    chroms = [f"chr{c}" for c in range(1, 8)]
+    compute = lambda own: rows.filter(F.col("chrom").isin(own))
+    cache.get(ad.K, "all", chroms[:3], compute)
+    return cache.get(ad.K, "all", chroms, compute)
+
+
+def _upserted(spark: SparkSession, d: str) -> DataFrame:
+    """A table of regions whose later version replaces rows by key and has a column more."""
+    path = scratch.folder(spark, "upsert")
+    sites = ad.gl(spark, d).groupBy("chrom", (F.floor(F.col("pos") / 100_000) * 100_000).alias("start")).agg(F.countDistinct("pos").alias("n_sites"))
+    sites.write.parquet(path)
+    new = sites.filter("start >= 100000").select("chrom", "start", (F.col("n_sites") * 2).alias("n_sites"), F.lit("second").alias("round"))
+    return writers.upsert(spark.read.parquet(path), new, ["chrom", "start"])
+
+
+def _merged_sharing(spark: SparkSession, d: str) -> DataFrame:
+    """Sharing of each chromosome by itself, and their sum."""
+    dos = _dos(spark, d)
+    return rel.merged_sharing([rel.rare_sharing(dos.filter(F.col("chrom") == f"chr{c}")) for c in range(1, 8)])
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """Samples grouped by bands of their mean dosage, by karyotypes of a chromosome's windows, and by their likeliest genotype."""
+    gl = ad.gl(spark, d)
+    name = F.col("sample_idx").cast("string").alias("sample_id")
+    values = _dos(spark, d).groupBy("chrom", "sample_idx").agg(F.round(F.avg("dosage"), 9).alias("value")).select("chrom", name, "value")
+    classes = ho.karyotypes(gl, 200_000).select("chrom", F.concat_ws("_", F.lit("inv"), "chrom", F.col("start").cast("string"), "group").alias("class"), name)
+    g = ho.Groups(spark, spark.createDataFrame([], "group string, sample_id string"), values=values, classes=classes, q=likelihood_shares(gl).select(name, "q"))
+    out = g.resolve("ancestry_clusters").withColumn("strategy", F.lit("ancestry_clusters")).withColumn("chrom", F.lit("all"))
+    for c in range(1, 8):
+        for s in ("precomp_bands", "C01i_decomposition"):
+            out = out.unionByName(g.resolve(s, f"chr{c}").withColumn("strategy", F.lit(s)).withColumn("chrom", F.lit(f"chr{c}")))
+    return out
+
+
 def _track_text(spark: SparkSession, d: str) -> DataFrame:
     """The track written as text and read back, columns found by their names."""
     path = scratch.folder(spark, "track")
@@ -123,6 +175,11 @@ QUERIES = {
     "io_beagle": _beagle,
     "io_track_text": _track_text,
     "io_cache": _cache,
+    "io_cache_twice": _kept,
+    "io_upsert": _upserted,
+    "io_f_matrix": lambda s, d: rounded(_f_text(s, d)),
+    "rel_sharing_merged": _merged_sharing,
+    "groups_strategies": _groups,
     "anc_q_metrics": lambda s, d: rounded(_metrics(s, d)),
     "anc_residual_dosage": lambda s, d: an.residual_dosage(_dos(s, d), ad.f_matrix(ad.gl(s, d)), ad.q_matrix(s)).withColumn("residual", F.round("residual", 6) + F.lit(0.0)),
     "anc_q_support": lambda s, d: rounded(_spread(_support(s, d), "support", "support_q")),
@@ -176,7 +233,7 @@ _LD = ", gd AS (SELECT chrom, pos, g, s, d FROM dos JOIN grp USING (s)), ld AS (
 _INT = """, pf AS (SELECT chrom, pos, avg(d) FILTER (g = 'P1') / 2 AS p1, avg(d) FILTER (g = 'P2') / 2 AS p2, avg(d) FILTER (g = 'P3') / 2 AS p3, avg(d) FILTER (g = 'O') / 2 AS po FROM dos JOIN pops USING (s) GROUP BY chrom, pos),
 tm AS (SELECT chrom, pos, (1-p1)*p2*p3*(1-po) AS abba, p1*(1-p2)*p3*(1-po) AS baba, p3*(1-po)*(p2-p1) AS num, greatest(0, CASE WHEN p2 >= p1 THEN greatest(p2,p3)*(1-po)*(greatest(p2,p3)-p1) ELSE greatest(p1,p3)*(1-po)*(greatest(p1,p3)-p2) END) AS den FROM pf)"""
 SQL = {
-    "anc_q_metrics": "WITH " + ad.SQL_Q + f" SELECT s AS sample_idx, round(list_max(q), 6) AS max_q, round(list_sort(q, 'DESC')[1] - list_sort(q, 'DESC')[2], 6) AS delta12, round({_ENT.format(q='q')}, 6) AS entropy, round(exp({_ENT.format(q='q')}), 6) AS ena, list_position(q, list_max(q))::INT AS assigned_pop, len([x FOR x IN q IF x > 0.05])::INT AS n_above_005, len([x FOR x IN q IF x > 0.1])::INT AS n_above_010, round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3 FROM ql",
+    "anc_q_metrics": ad.with_ctes(ad.SQL_GL, ad.SQL_SHARES) + f" SELECT s AS sample_idx, round(list_max(q), 6) AS max_q, round(list_sort(q, 'DESC')[1] - list_sort(q, 'DESC')[2], 6) AS delta12, round({_ENT.format(q='q')}, 6) AS entropy, round(exp({_ENT.format(q='q')}), 6) AS ena, list_position(q, list_max(q))::INT AS assigned_pop, len([x FOR x IN q IF x > 0.05])::INT AS n_above_005, len([x FOR x IN q IF x > 0.1])::INT AS n_above_010, round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3 FROM ql",
     "anc_residual_dosage": ad.with_ctes(ad.SQL_GL, ad.SQL_Q, ad.SQL_F) + ", mx AS (SELECT chrom, pos, s, list_reduce(list(x * f ORDER BY k), lambda a, b: a + b) AS m FROM fm JOIN qm USING (k) GROUP BY ALL) SELECT chrom, pos, s AS sample_idx, d AS dosage, round(d - 2 * m, 6) + 0.0 AS residual FROM dos JOIN mx USING (chrom, pos, s)",
     "anc_q_support": _G + _SUP + " SELECT chrom, pos, best_q, round(best, 6) AS best, round(delta12, 6) AS delta12, round(delta13, 6) AS delta13, round(entropy, 6) AS entropy, round(exp(entropy), 6) AS ena, round(maf, 6) AS maf, CASE WHEN best >= 0.5 AND delta12 >= 0.2 THEN 'dominant_single_Q' WHEN best >= 0.5 THEN 'dominant_plus_secondary' WHEN best >= 0.3 THEN 'mixed_Q_support' WHEN entropy > 1.5 THEN 'diffuse' ELSE 'low_information' END AS marker_class, CASE WHEN best >= 0.5 THEN 'high' WHEN best >= 0.3 THEN 'moderate' ELSE 'low' END AS confidence, round(q[1], 6) AS support_q1, round(q[2], 6) AS support_q2, round(q[3], 6) AS support_q3 FROM sup",
     "anc_support_windows": _G + _SUP + _SW + ' SELECT chrom, window_id, start, "end", n_snps, round(mean_entropy, 6) AS mean_entropy, switches, dominant_q, round(dominant_share, 6) AS dominant_share, round(coherence, 6) AS coherence, mixed, round(ms[1], 6) AS mean_support_q1, round(ms[2], 6) AS mean_support_q2, round(ms[3], 6) AS mean_support_q3 FROM sw',
@@ -225,3 +282,15 @@ sc AS (SELECT chrom, cell, n_sites, j, ids, v, CASE WHEN list_max(v) >= -list_mi
 ex AS (SELECT chrom, cell, n_sites, j, f, unnest(ids) AS s, unnest(v) AS x FROM sc)
 SELECT chrom, cell * 50000 AS start, cell * 50000 + 99999 AS "end", n_sites, s AS sample_idx, round(max(x * f) FILTER (j = 1), 4) + 0.0 AS pc1, round(max(x * f) FILTER (j = 2), 4) + 0.0 AS pc2 FROM ex GROUP BY chrom, cell, n_sites, s"""
 SQL["anc_class_order"] = _L + _COMP + " SELECT sample, structure_class, round(mean_delta12, 6) AS mean, (row_number() OVER (ORDER BY structure_class, mean_delta12, sample) - 1)::INT AS place FROM comp"
+SQL |= {
+    "io_cache_twice": _G + _SUP + " SELECT chrom, pos, best_q, round(best, 6) AS best, CASE WHEN chrom IN ('chr1', 'chr2', 'chr3') THEN 1 ELSE 2 END AS since FROM sup",
+    "io_upsert": ad.with_ctes(ad.SQL_GL) + " SELECT chrom, pos // 100000 * 100000 AS start, count(DISTINCT pos) * CASE WHEN pos // 100000 >= 1 THEN 2 ELSE 1 END AS n_sites, CASE WHEN pos // 100000 >= 1 THEN 'second' END AS round FROM gl GROUP BY chrom, pos // 100000",
+    "io_f_matrix": ad.with_ctes(ad.SQL_GL, ad.SQL_F) + " SELECT chrom, pos, round(max(f) FILTER (k = 0), 6) AS f1, round(max(f) FILTER (k = 1), 6) AS f2, round(max(f) FILTER (k = 2), 6) AS f3 FROM fm GROUP BY chrom, pos",
+    "rel_sharing_merged": ad.with_ctes(ad.SQL_GL) + _RARE + " SELECT * FROM sh",
+    "groups_strategies": ad.with_ctes(ad.SQL_GL, ad.SQL_SHARES) + """, mv AS (SELECT chrom, s::VARCHAR AS sample_id, round(avg(d), 9) AS value FROM dos GROUP BY ALL), gp AS (SELECT *, coalesce(value - lag(value) OVER w, 0) AS g, row_number() OVER w AS i FROM mv WINDOW w AS (PARTITION BY chrom ORDER BY value, sample_id)),
+ct AS (SELECT *, (row_number() OVER (PARTITION BY chrom ORDER BY g DESC, i) < 3 AND g > 0)::INT AS c FROM gp),
+ls AS (SELECT chrom, pos // 200000 * 200000 AS start, s, round(sum(ln(greatest(gl0 / (gl0 + gl1 + gl2), 1e-10))), 6) AS l0, round(sum(ln(greatest(gl1 / (gl0 + gl1 + gl2), 1e-10))), 6) AS l1, round(sum(ln(greatest(gl2 / (gl0 + gl1 + gl2), 1e-10))), 6) AS l2 FROM gl GROUP BY ALL)
+SELECT 'ancestry_clusters' AS strategy, 'all' AS chrom, 'Q' || list_position(q, list_max(q)) AS "group", s::VARCHAR AS sample_id FROM ql
+UNION ALL SELECT 'precomp_bands', chrom, 'band' || (sum(c) OVER (PARTITION BY chrom ORDER BY value, sample_id) + 1)::BIGINT, sample_id FROM ct
+UNION ALL SELECT 'C01i_decomposition', chrom, 'inv_' || chrom || '_' || start || '_' || CASE WHEN l0 >= l1 AND l0 >= l2 THEN 'HOM_A' WHEN l1 >= l2 THEN 'HET' ELSE 'HOM_B' END, s::VARCHAR FROM ls""",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociflow.operators import codons as co
 from lociflow.plans import adapters as ad
 from lociflow.plans.popstats import rounded
+from lociflow.sources import readers, scratch, writers
 
 _FROM = "abcdefghijklmnopqrstuvwxyz"
 _TO = "acgtacgtacgtacgtacgtac-tac"
@@ -25,6 +26,13 @@ def cds_pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("doc_id").alias("pair_id"), F.rpad("seq", n, F.lit("-")).alias("seq_a"), F.rpad("seq_b", n, F.lit("-")).alias("seq_b"))
 
 
+def _fasta(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences written as records of many lines and read back."""
+    path = scratch.folder(spark, "fasta")
+    writers.write_fasta(_letters(spark, d).select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(" a>b")).alias("name"), "seq"), path)
+    return readers.fasta(spark, path).select("name", F.length("seq").alias("length"), F.sha2(F.col("seq"), 256).alias("sha256"))
+
+
 def haplotypes(spark: SparkSession, d: str) -> DataFrame:
     return _letters(spark, d).select((F.col("doc_id") % 20).alias("locus"), F.col("doc_id").alias("hap_ord"), "seq")
 
@@ -42,6 +50,7 @@ def _yn(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "io_fasta": _fasta,
     "codon_pair_ng86": lambda s, d: rounded(co.pair_statistics(cds_pairs(s, d)), 5),
     "codon_pair_k80": lambda s, d: rounded(_yn(s, d), 5),
     "codon_kappa": lambda s, d: rounded(_kappa(s, d), 5),
@@ -92,6 +101,7 @@ lc AS (SELECT locus, count(*) AS n_codons, sum(ms) AS s, sum(sd / (n * (n - 1) /
 pi AS (SELECT locus, n_codons, sd / s AS a, nd / (3.0 * n_codons - s) AS b, d4 / n4 AS c, d0 / n0 AS d, CASE WHEN locus < 10 THEN 0.5 + locus / 10.0::DOUBLE ELSE 1.0 END AS factor FROM lc)
 SELECT locus, n_codons, round(a, 5) AS pi_S, round(b, 5) AS pi_N, round(c, 5) AS pi_4, round(d, 5) AS pi_0, round(b / a, 5) AS pi_NS, round(d / c, 5) AS pi_04, round(a / factor, 5) AS pi_S_corrected, round(b / factor, 5) AS pi_N_corrected, round(c / factor, 5) AS pi_4_corrected, round(d / factor, 5) AS pi_0_corrected, round(factor, 5) AS factor FROM pi"""
 SQL = {
+    "io_fasta": f"WITH {_SEQ} SELECT 'd' || doc_id AS name, length(seq)::INT AS length, sha256(seq) AS sha256 FROM sq",
     "codon_pair_ng86": _stats(1.0, False),
     "codon_pair_k80": _stats(2.0, True),
     "codon_kappa": f"WITH {_pairs(1.0)}, {_SEQ}, {_AL}, k AS (SELECT sum(ts) / (3.0 * count(*)) AS p, sum(tv) / (3.0 * count(*)) AS q FROM cd JOIN ct USING (a, b)) SELECT round(CASE WHEN 1 - 2*p - q <= 0 OR 1 - 2*q <= 0 THEN 2 WHEN (-0.5 * ln(1 - 2*p - q) + 0.25 * ln(1 - 2*q)) / (-0.25 * ln(1 - 2*q)) > 0 THEN (-0.5 * ln(1 - 2*p - q) + 0.25 * ln(1 - 2*q)) / (-0.25 * ln(1 - 2*q)) ELSE 2 END, 5) AS kappa FROM k",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociflow.functions.expr import sql_erfc
 from lociflow.operators import popstats as ps
 from lociflow.operators.windows import grid
+from lociflow.operators.homologs import karyotypes
 from lociflow.plans import adapters as ad
 
 W, S = 50_000, 10_000
@@ -45,7 +46,7 @@ QUERIES = {
     "pop_cohort_diversity": lambda s, d: rounded(ps.cohort_diversity(_sites(s, d), W, S)),
     "pop_group_theta": lambda s, d: rounded(ps.group_diversity(_freqs(s, d), W, S)),
     "pop_variant_groups": lambda s, d: rounded(ps.variant_groups(ps.dosages(ad.gl(s, d)), F.broadcast(ad.groups(s)), "HOM_A", "HET", "HOM_B")),
-    "pop_karyotype_hwe": lambda s, d: rounded(ps.karyotype_hwe(ad.groups(s))),
+    "pop_karyotype_hwe": lambda s, d: rounded(ps.karyotype_hwe(karyotypes(ad.gl(s, d), REGION), by=["chrom", "start"])),
     "pop_inbreeding_windows": lambda s, d: rounded(ps.inbreeding_windows(_sites(s, d), W, S), 4),
     "pop_region_stats": lambda s, d: rounded(ps.region_table_stats(ps.dosages(ad.gl(s, d)), _sites(s, d), _regions(s, d))),
     "pop_downsample": lambda s, d: rounded(ps.downsample(_sites(s, d).select("chrom", "pos", "n", "p"), 3, ["pos"])),
@@ -78,10 +79,13 @@ SELECT chrom, start, start + {W - 1} AS "end", group_a, group_b, n_sites, round(
     "pop_variant_groups": ad.with_ctes(ad.SQL_GL) + """, g AS (SELECT chrom, pos, g AS "group", count(*) AS n, sum(d) AS sum_dosage, sum(d) / (2 * count(*)) AS freq, avg(peak) AS mean_peak, avg((peak >= 0.85)::INT) AS pass FROM dos JOIN grp USING (s) GROUP BY chrom, pos, g),
 x AS (SELECT chrom, pos, max(freq) FILTER ("group" = 'HOM_A') AS fl, max(freq) FILTER ("group" = 'HET') AS fm, max(freq) FILTER ("group" = 'HOM_B') AS fh, min(pass) FILTER ("group" <> 'HET') AS mp FROM g GROUP BY chrom, pos)
 SELECT chrom, pos, "group", n, round(sum_dosage, 6) AS sum_dosage, round(freq, 6) AS freq, round(mean_peak, 6) AS mean_peak, round(abs(fl - fh), 6) AS polarisation, fm BETWEEN least(fl, fh) AND greatest(fl, fh) AS het_intermediate, mp >= 0.80 AS gl_peak_pass FROM g JOIN x USING (chrom, pos)""",
-    "pop_karyotype_hwe": ad.with_ctes(ad.SQL_GL) + f""",
-c AS (SELECT count(*) FILTER (g = 'HOM_A')::DOUBLE AS a, count(*) FILTER (g = 'HET')::DOUBLE AS h, count(*) FILTER (g = 'HOM_B')::DOUBLE AS b, count(*)::DOUBLE AS n FROM grp),
-e AS (SELECT *, (2*a+h)/(2*n) AS p FROM c), f AS (SELECT *, 2*p*(1-p) AS hexp, h/n AS hobs, (a-n*p*p)*(a-n*p*p)/(n*p*p) + (h-2*n*p*(1-p))*(h-2*n*p*(1-p))/(2*n*p*(1-p)) + (b-n*(1-p)*(1-p))*(b-n*(1-p)*(1-p))/(n*(1-p)*(1-p)) AS chi2 FROM e)
-SELECT n::BIGINT AS n, round(hobs, 6) AS hobs, round(hexp, 6) AS hexp, round(1-hobs/hexp, 6) AS fis, round(chi2, 6) AS chi2, round({sql_erfc("sqrt(chi2/2)")}, 6) AS p, CASE WHEN 1-hobs/hexp <= -0.1 THEN 'HET_excess' WHEN 1-hobs/hexp >= 0.1 THEN 'HET_deficit' ELSE 'HWE_like' END AS label FROM f""",
+    "pop_karyotype_hwe": ad.with_ctes(ad.SQL_GL) + f"""
+, ls AS (SELECT chrom, pos // {REGION} * {REGION} AS start, s, {", ".join(f"round(sum(ln(greatest(gl{k} / (gl0 + gl1 + gl2), 1e-10))), 6) AS l{k}" for k in range(3))} FROM gl GROUP BY ALL),
+ky AS (SELECT chrom, start, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 'HOM_A' WHEN l1 >= l2 THEN 'HET' ELSE 'HOM_B' END AS g FROM ls),
+c AS (SELECT chrom, start, count(*) FILTER (g = 'HOM_A')::DOUBLE AS a, count(*) FILTER (g = 'HET')::DOUBLE AS h, count(*) FILTER (g = 'HOM_B')::DOUBLE AS b, count(*)::DOUBLE AS n FROM ky GROUP BY ALL),
+e AS (SELECT *, (2*a+h)/(2*n) AS p FROM c), f AS (SELECT *, 2*p*(1-p) AS hexp, h/n AS hobs, CASE WHEN n*p*p > 0 THEN (a-n*p*p)*(a-n*p*p)/(n*p*p) ELSE 0 END + CASE WHEN 2*n*p*(1-p) > 0 THEN (h-2*n*p*(1-p))*(h-2*n*p*(1-p))/(2*n*p*(1-p)) ELSE 0 END + CASE WHEN n*(1-p)*(1-p) > 0 THEN (b-n*(1-p)*(1-p))*(b-n*(1-p)*(1-p))/(n*(1-p)*(1-p)) ELSE 0 END AS chi2 FROM e),
+i AS (SELECT *, CASE WHEN hexp > 0 THEN 1-hobs/hexp ELSE 0 END AS fis FROM f)
+SELECT chrom, start, n::BIGINT AS n, round(hobs, 6) AS hobs, round(hexp, 6) AS hexp, round(fis, 6) + 0.0 AS fis, round(chi2, 6) AS chi2, round({sql_erfc("sqrt(chi2/2)")}, 6) AS p, CASE WHEN fis <= -0.1 THEN 'HET_excess' WHEN fis >= 0.1 THEN 'HET_deficit' ELSE 'HWE_like' END AS label FROM i""",
     "pop_inbreeding_windows": ad.with_ctes(ad.SQL_GL, _SITE) + f""", r AS (SELECT chrom, pos, f, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY f) AS t FROM fis WHERE f IS NOT NULL),
 a AS (SELECT count(*)::DOUBLE AS nn, sum((t * t - 1)::DOUBLE) AS tie FROM r),
 w AS (SELECT chrom, start, count(*) AS n, avg(f::DOUBLE) AS mean, coalesce(stddev_samp(f::DOUBLE), 0) AS sd, sum(rk) AS rs FROM (SELECT *, {_WIN} AS start FROM r) GROUP BY chrom, start),

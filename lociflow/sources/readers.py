@@ -23,9 +23,13 @@ STAT_PREFIXES = ("fst_", "pi_", "dxy_", "da_", "fdm_")
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Value and line: the place of a line in its file, by a running count over the file's parts."""
-    t = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_m"))
-    return t.withColumn("line", F.row_number().over(Window.partitionBy("_file").orderBy("_m")) - 1).drop("_m")
+    """Value, _file and line: the place of a line in its file. Lines are numbered within the splits of a file, in their order; counts
+    of splits (a row each) are carried forward by their first byte, so that no task sees a whole file and numbers don't depend on how
+    splits were dealt."""
+    t = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
+    own = F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_m")) - 1
+    before = t.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n")).select("_file", "_at", F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return t.withColumn("_o", own).join(F.broadcast(before), ["_file", "_at"]).select("value", "_file", (F.col("_o") + F.col("_b")).alias("line"))
 
 
 def _marker(m: Column) -> tuple[Column, Column]:
@@ -176,19 +180,29 @@ def karyotypes(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(expr.sample_id(f[0]).alias("sample_id"), expr.karyotype_state(F.get(f, F.lit(1))).alias("state")).filter("state is not null")
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Ord, name (to the first blank), seq (white space removed)."""
-    t = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("ord"), "value")
-    return t.select("ord", F.regexp_extract("value", r"^(\S*)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Ord, name (to the first blank), seq (white space removed). A record begins at a line that starts with >; others may hold it. Its lines
+    may lie in several splits: headers are counted by blocks of lines and the counts carried. ord rises with the files' paths and the
+    records' places; lines before a file's first header are left out. A sequence must fit a row."""
+    t = lines(spark, path).withColumn("_h", F.col("value").startswith(">").cast("int")).withColumn("_k", F.floor(F.col("line") / LINES))
+    sums = t.groupBy("_file", "_k").agg(F.sum("_h").alias("_s"))
+    before = sums.select("_file", "_k", F.coalesce(F.sum("_s").over(Window.partitionBy("_file").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    files = sums.groupBy("_file").agg(F.sum("_s").alias("_s")).select("_file", F.coalesce(F.sum("_s").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"))  # a row for each file
+    own = F.sum("_h").over(Window.partitionBy("_file", "_k").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = t.withColumn("_r", own).join(before, ["_file", "_k"]).withColumn("_r", F.col("_r") + F.col("_b")).filter("_r > 0").join(F.broadcast(files), "_file")
+    head = F.max(F.when(F.col("_h") == 1, F.col("value")))
+    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("_h") == 0, F.struct("line", F.regexp_replace("value", r"\s", "").alias("s"))))), lambda x: x["s"])
+    got = numbered.groupBy((F.col("_f") + F.col("_r") - 1).alias("ord")).agg(head.alias("_n"), parts.alias("_p"))
+    return got.select("ord", F.regexp_extract(F.expr("substring(_n, 2)"), r"^(\S*)", 1).alias("name"), F.array_join("_p", "").alias("seq"))
+
+
+#: Lines of a block in which the headers of records are counted.
+LINES = 10_000
 
 
 def fasta_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Neighbouring records as pairs; unequal lengths and a last odd record are left out. The id loses _A, _B, _1 or _2."""
-    t = fasta(spark, path).withColumn("_part", F.shiftright("ord", 33))
-    sizes = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # one row for each part of the file
-    first = sizes.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"))
-    k = F.col("_f") + F.row_number().over(Window.partitionBy("_part").orderBy("ord")) - 1
-    t = t.join(F.broadcast(first), "_part").withColumn("_k", k)
+    t = fasta(spark, path).withColumnRenamed("ord", "_k")
     two = t.groupBy(F.floor(F.col("_k") / 2).alias("_pair")).agg(*[F.max(F.when(F.col("_k") % 2 == i, F.col(c))).alias(f"{c}_{i}") for c, i in (("name", 0), ("seq", 0), ("seq", 1))])
     return two.filter("seq_1 is not null and length(seq_0) = length(seq_1)").select(F.regexp_replace("name_0", "_[AB12]$", "").alias("pair_id"), F.col("seq_0").alias("seq_a"), F.col("seq_1").alias("seq_b"))
 

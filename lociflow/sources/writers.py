@@ -28,6 +28,18 @@ def write_beagle(gl: DataFrame, path: str) -> None:
     rows.unionByName(heads).repartition("chrom").sortWithinPartitions("chrom", "pos").select("chrom", "value").write.mode("overwrite").partitionBy("chrom").text(path)
 
 
+def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
+    """Sequences (name, seq) as records of lines of `width` letters."""
+    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    df.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), wrapped).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_matrix(df: DataFrame, path: str, order: str, values: str) -> None:
+    """Rows of numbers (chrom, an order, an array) as text without a header, a file for each chromosome, rows in order."""
+    rows = df.select("chrom", order, F.array_join(F.transform(values, lambda x: x.cast("string")), " ").alias("value"))
+    rows.repartition("chrom").sortWithinPartitions("chrom", order).select("chrom", "value").write.mode("overwrite").partitionBy("chrom").text(path)
+
+
 def write_cache(df: DataFrame, path: str, k: int, sample_set: str) -> None:
     """Results by K, sample set and chromosome; only the partitions that df holds are replaced."""
     df.withColumn("K", F.lit(k)).withColumn("sample_set", F.lit(sample_set)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("K", "sample_set", "chrom").parquet(path)
