@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,22 +50,28 @@ def local_q(gl: DataFrame, f: DataFrame, q0: DataFrame, width: int = 100, step:
     """T01 over windows of `width` sites: chrom, window_id, start, end, n_sites, sample_idx, q (array). f: chrom, pos, f (array) joined by
     site; sites without frequencies get default_f. q0: sample_idx, q (array); samples without get equal shares. A window's sites meet
     in one task: width x samples numbers."""
-    packed = gl.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(F.struct("sample_idx", *[F.greatest(c, F.lit(FLOOR)).alias(c) for c in ("gl0", "gl1", "gl2")]))).alias("g"))
-    sites = site_windows(packed.join(f, ["chrom", "pos"], "left"), width, step, ["pos"])
-    start = {r["sample_idx"]: list(r["q"]) for r in q0.collect()}  # as many rows as samples
+    g3 = F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", *[F.greatest(c, F.lit(FLOOR)).alias(c) for c in ("gl0", "gl1", "gl2")]))), lambda x: F.array(x["gl0"], x["gl1"], x["gl2"]))
+    packed = gl.groupBy("chrom", "pos").agg(F.flatten(g3).alias("g"))
+    got = q0.select("sample_idx", "q").toArrow()  # a row for each sample
+    start = dict(zip(got.column("sample_idx").to_pylist(), got.column("q").to_pylist(), strict=True))
     k = len(next(iter(start.values()))) if start else 2
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        if len(pdf) < min_sites:
-            return pd.DataFrame(columns=["chrom", "window_id", "start", "end", "n_sites", "sample_idx", "q", "iterations"])
-        ids = [r["sample_idx"] for r in pdf["g"].iloc[0]]
-        g = np.array([[(r["gl0"], r["gl1"], r["gl2"]) for r in row] for row in pdf["g"]])
-        fr = np.array([list(x) if x is not None else [default_f] * k for x in pdf["f"]], float)
-        q, trace = em_proportions(g, fr, np.array([start.get(i, [1 / k] * k) for i in ids], float), iterations, tol)
-        return pd.DataFrame({"chrom": key[0], "window_id": key[1], "start": int(pdf["pos"].iloc[0]), "end": int(pdf["pos"].iloc[-1]), "n_sites": len(pdf), "sample_idx": ids, "q": list(q), "iterations": len(trace)})
-
-    return sites.select("chrom", "window_id", "pos", "g", "f").groupBy("chrom", "window_id").applyInPandas(fit, "chrom string, window_id long, start long, end long, n_sites int, sample_idx int, q array<double>, iterations int")
+    ids = sorted(gl.select("sample_idx").distinct().toArrow().column(0).to_pylist())
+    first = np.array([start.get(i, [1 / k] * k) for i in ids], float)
+    default = F.array(*[F.lit(default_f)] * k)
+    sites = site_windows(packed.join(f.select("chrom", "pos", "f"), ["chrom", "pos"], "left").withColumn("f", F.coalesce("f", default)), width, step, ["pos"])
+
+    def fit(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("pos")
+        n = t.num_rows
+        if n < min_sites:
+            return
+        pos, g, fr = (t.column(c).combine_chunks() for c in ("pos", "g", "f"))
+        q, trace = em_proportions(g.flatten().to_numpy().reshape(n, len(ids), 3), fr.flatten().to_numpy().reshape(n, k), first, iterations, tol)
+        m = len(ids)
+        rows = {"chrom": pa.array([key[0].as_py()] * m, pa.string()), "window_id": pa.array([key[1].as_py()] * m, pa.int64()), "start": pa.array([pos[0].as_py()] * m, pa.int64()), "end": pa.array([pos[n - 1].as_py()] * m, pa.int64()), "n_sites": pa.array([n] * m, pa.int32()), "sample_idx": pa.array(ids, pa.int32()), "q": pa.ListArray.from_arrays(pa.array(np.arange(0, m * k + 1, k), pa.int32()), pa.array(q.ravel())), "iterations": pa.array([len(trace)] * m, pa.int32())}
+        yield pa.record_batch(list(rows.values()), list(rows))
+
+    return sites.select("chrom", "window_id", "pos", "g", "f").groupBy("chrom", "window_id").applyInArrow(fit, "chrom string, window_id long, start long, end long, n_sites int, sample_idx int, q array<double>, iterations int")
 
 
 def local_q_summary(samples: DataFrame) -> DataFrame:

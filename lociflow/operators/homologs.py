@@ -9,13 +9,20 @@ from pyspark.sql.window import Window
 from lociflow.operators.windows import points_in, site_windows
 
 
+#: Ranges of names in which genes are numbered, and names that their bounds are drawn from.
+RANGES, DRAWN = 200, 20_000
+
+
 def gene_records(hits: DataFrame) -> DataFrame:
-    """Genes in order of name with the place of their first hit and the number of hits. Places come from running counts by ranges of
-    names, so that no task sees all genes."""
-    g = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits")).repartitionByRange("query").sortWithinPartitions("query").withColumn("_p", F.spark_partition_id()).persist()
-    part = g.groupBy("_p").agg(F.sum("n_hits").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Genes in order of name with the place of their first hit and the number of hits. Names are dealt into ranges by bounds from a
+    bounded draw, so that a gene's range depends on its name alone, and hits are counted on through the ranges' totals."""
+    g = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"))
+    drawn = sorted(r[0] for r in g.filter("query is not null").select("query", F.xxhash64("query").alias("h")).orderBy("h").limit(DRAWN).select("query").collect())
+    bounds = F.array(*[F.lit(drawn[i * len(drawn) // RANGES]) for i in range(1, RANGES)] if len(drawn) >= RANGES else [F.lit(x) for x in drawn]).cast("array<string>")
+    at = g.withColumn("_p", F.size(F.filter(bounds, lambda b: b <= F.col("query"))))
+    before = at.groupBy("_p").agg(F.sum("n_hits").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each range
     run = F.sum("n_hits").over(Window.partitionBy("_p").orderBy("query"))
-    return g.withColumn("_r", run).join(F.broadcast(part.select("_p", "_b")), "_p").select("query", (F.col("_b") + F.col("_r") - F.col("n_hits")).alias("first_hit"), "n_hits")
+    return at.withColumn("_r", run).join(F.broadcast(before), "_p").select("query", (F.col("_b") + F.col("_r") - F.col("n_hits")).alias("first_hit"), "n_hits")
 
 
 def write_index(hits: DataFrame, path: str, files: int = 16) -> None:

@@ -11,7 +11,7 @@ from lociflow.operators import clusters, pca
 from lociflow.operators import relations as rel
 from lociflow.operators import homologs as ho
 from lociflow.operators import scan
-from lociflow.operators.windows import numbered
+from lociflow.operators.windows import numbered, points_in
 from lociflow.operators.homologs import likelihood_shares
 from lociflow.operators.popstats import dosages
 from lociflow.plans import adapters as ad
@@ -76,9 +76,10 @@ def _membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    """Sites with their segment of every candidate of their chromosome."""
-    j = ad.gl(spark, d).select("chrom", "pos").distinct().join(F.broadcast(_site_candidates(spark)), "chrom")
-    return j.select("candidate_id", expr.segment(F.col("pos"), F.col("start"), F.col("end")).alias("segment")).groupBy("candidate_id", "segment").agg(F.count(F.lit(1)).alias("n_sites"))
+    """Sites in every candidate and beside it, up to its length away, by segment."""
+    wide = _site_candidates(spark).select("candidate_id", "chrom", F.col("start").alias("from"), F.col("end").alias("to"), (2 * F.col("start") - F.col("end")).alias("start"), (2 * F.col("end") - F.col("start")).alias("end"))
+    j = points_in(ad.gl(spark, d).select("chrom", "pos").distinct(), wide, 100_000)
+    return j.select("candidate_id", expr.segment(F.col("pos"), F.col("from"), F.col("to")).alias("segment")).groupBy("candidate_id", "segment").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
 def _linkage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +263,7 @@ SQL |= {
 fl AS (SELECT chrom, """ + ", ".join(f"max(CASE WHEN n >= 5 THEN {v} ELSE 0 END) FILTER (ga = '{a}' AND gb = '{b}') AS {n}_{a}_{b}" for n, v in (("Fst", "CASE WHEN den > 1e-15 THEN greatest(0, num / den) ELSE 0 END"), ("dXY", "den / n")) for a, b in (("HET", "HOM_A"), ("HET", "HOM_B"), ("HOM_A", "HOM_B"))) + """ FROM pr GROUP BY chrom), hb AS (SELECT chrom, avg(h) AS hobs FROM dc GROUP BY chrom)
 SELECT candidate_id, n_sites, """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("theta_pi", "theta_W", "Tajima_D", "Hp")) + ", round(hobs, 6) AS Hobs, " + ", ".join(f"round({n}_{p}, 6) AS {n}_{p}" for n in ("Fst", "dXY") for p in ("HET_HOM_A", "HET_HOM_B", "HOM_A_HOM_B")) + ", CASE WHEN n_sites IS NOT NULL THEN round(coalesce(Fst_HOM_A_HOM_B, 0), 6) END AS arrangement_FST_like FROM cand LEFT JOIN coh ON coh.chrom = candidate_id LEFT JOIN hb ON hb.chrom = candidate_id LEFT JOIN fl ON fl.chrom = candidate_id",
     "anc_membership": _G + _SUP + " SELECT chrom, pos, best_q, CASE WHEN best >= 0.5 AND delta12 >= 0.2 THEN 'dominant_single_Q' WHEN best >= 0.5 THEN 'dominant_plus_secondary' WHEN best >= 0.3 THEN 'mixed_Q_support' WHEN entropy > 1.5 THEN 'diffuse' ELSE 'low_information' END AS marker_class, CASE WHEN pos // 1000 % 2 = 0 THEN right(chrom, 1) ELSE '' END AS major_allele, CASE WHEN pos // 1000 % 2 = 0 THEN 'T' ELSE '' END AS minor_allele, CASE WHEN pos // 1000 % 2 = 0 THEN 'yes' ELSE 'no' END AS in_majmin, CASE WHEN pos // 1000 % 5 = 0 THEN 'yes' ELSE 'no' END AS in_thin500 FROM sup",
-    "anc_segments": ad.with_ctes(ad.SQL_GL) + _SC + """ SELECT candidate_id, CASE WHEN pos < start THEN 'Left flank' WHEN pos < (start + "end") / 2 THEN 'Inv. left half' WHEN pos <= "end" THEN 'Core' WHEN pos <= "end" + ("end" - start) * 0.5 THEN 'Inv. right half' ELSE 'Right flank' END AS segment, count(*) AS n_sites FROM (SELECT DISTINCT chrom, pos FROM gl) JOIN cand USING (chrom) GROUP BY ALL""",
+    "anc_segments": ad.with_ctes(ad.SQL_GL) + _SC + """ SELECT candidate_id, CASE WHEN pos < start THEN 'Left flank' WHEN pos < (start + "end") / 2 THEN 'Inv. left half' WHEN pos <= "end" THEN 'Core' WHEN pos <= "end" + ("end" - start) * 0.5 THEN 'Inv. right half' ELSE 'Right flank' END AS segment, count(*) AS n_sites FROM (SELECT DISTINCT chrom, pos FROM gl) JOIN cand USING (chrom) WHERE pos BETWEEN 2 * start - "end" AND 2 * "end" - start GROUP BY ALL""",
     "rel_sample_pc1": ad.with_ctes(ad.SQL_GL).replace("WITH ", "WITH RECURSIVE ", 1) + """, ce AS (SELECT chrom, pos, s, d - avg(d) OVER (PARTITION BY chrom, pos) AS x FROM dos), cv AS (SELECT a.s AS i, b.s AS j, avg(a.x * b.x) AS c FROM ce a JOIN ce b USING (chrom, pos) GROUP BY ALL),
 cr AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i), mt AS (SELECT list(r ORDER BY i) AS m, list(i ORDER BY i) AS ids, count(*) AS n FROM cr),
 it AS (SELECT 0 AS k, [z::DOUBLE FOR z IN range(1, n + 1)] AS v FROM mt UNION ALL SELECT k + 1, [z / sqrt(list_sum([y * y FOR y IN w])) FOR z IN w] FROM (SELECT k, [list_sum([r[q] * v[q] FOR q IN range(1, n + 1)]) FOR r IN m] AS w FROM it, mt WHERE k < 100)),

@@ -73,3 +73,27 @@ def test_ehh_of_a_whole_table(spark, sf, monkeypatch, products, block):
                 assert x["ihh_anc"] == pytest.approx(relations.ehh_walk(pos, g[:, anc], k, reach=reach), rel=1e-6)
                 assert x["ihh_der"] == pytest.approx(relations.ehh_walk(pos, g[:, der], k, reach=reach), rel=1e-6)
     assert len(scores) == n > 0
+
+
+def test_local_ancestry_of_a_whole_table(spark, sf):
+    """Every window's proportions against the EM on its own sites; sites without frequencies, samples without a start."""
+    from lociflow.operators import ancestry
+
+    where, gl = sites_of(spark, sf), ad.gl(spark, sf)
+    f = ad.f_matrix(gl).filter("pos % 3000 <> 1")
+    q0 = ad.q_matrix(spark).filter("sample_idx <> 4")
+    got = {(r["chrom"], r["window_id"], r["sample_idx"]): r for r in ancestry.local_q(gl, f, q0, 12, 6).collect()}
+    known = {(r["chrom"], r["pos"]): r["f"] for r in f.collect()}
+    start = {r["sample_idx"]: r["q"] for r in q0.collect()}
+    q = np.array([start.get(i, [1 / 3] * 3) for i in range(ad.SAMPLES)])
+    n = 0
+    for c, (pos, _) in where.items():
+        raw = np.array([[r["gl0"], r["gl1"], r["gl2"]] for r in gl.filter(F.col("chrom") == c).orderBy("pos", "sample_idx").collect()]).reshape(-1, ad.SAMPLES, 3)
+        for w, i in enumerate(range(0, max(1, len(pos) - 11), 6)):
+            own = slice(i, i + 12)
+            want, _ = ancestry.em_proportions(raw[own], np.array([known.get((c, int(p)), [0.25] * 3) for p in pos[own]]), q)
+            for s in range(ad.SAMPLES):
+                r = got[c, w + 1, s]
+                assert np.allclose(r["q"], want[s], atol=1e-9) and r["n_sites"] == len(pos[own]) and r["start"] == pos[own][0] and r["end"] == pos[own][-1]
+                n += 1
+    assert n == len(got) > 0
