@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are scanned at once; a longer text is scanned alone.
 SLICE = 1 << 21
@@ -61,6 +62,16 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         i = j
 
 
+def pieces(batch: pa.RecordBatch, most: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about `most` bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word, and where each text's words begin (one more than texts)."""
     if not len(raw):

@@ -121,7 +121,7 @@ def _counted(docs: DataFrame, k: int) -> DataFrame:
     """i, n: counters of shingles by their first bits, and after them counters of set sizes up to SMALL_MOST."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << COUNTER_BITS) + SMALL_MOST + 2, np.int64)
-        for batch in batches:
+        for batch in (x for whole in batches for x in bs.pieces(whole)):
             sets = list(bs.shingle_sets(batch.column("text"), k))
             if sets:
                 at = counter_of(np.concatenate(sets))
@@ -191,7 +191,7 @@ def signatures(docs: DataFrame, k: int, order: Order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in bs.pieces(whole)):
             n, f1, f2, keys = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in bs.shingle_sets(batch.column("text"), k):
