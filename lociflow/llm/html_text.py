@@ -32,7 +32,7 @@ from lociflow.llm import gbdt, models
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Scripts, styles, forms' fields and what is not shown: never text of an article.
-RAW = frozenset("script style noscript template textarea title iframe select option button label legend".split())
+RAW = frozenset("script style noscript template textarea title iframe select option button".split())
 TEXT_ONLY = frozenset("script style textarea title".split())
 #: Elements that begin and end a block; all others are inline.
 BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -204,11 +204,14 @@ def decode(t: Tree, margin: np.ndarray) -> np.ndarray:
         running[i] |= s is not None and not s.isspace()
     for i in range(1, n):
         flows[i] = t.tag[i] not in BLOCK and not t.bad[i] and (running[t.parent[i]] or flows[t.parent[i]])
+    raw = [False] * n
+    for i in range(1, n):
+        raw[i] = t.tag[i] in RAW or raw[t.parent[i]]
     yes = -np.logaddexp(0, -margin)
     no = -np.logaddexp(0, margin)
     score = []
-    for x, a, b, flow in zip(t.tag, no.tolist(), yes.tolist(), flows, strict=True):
-        score.append([a, -1e6, a] if x in RAW else [0.0, 0.0, 0.0] if flow else [a, b, a])
+    for x, a, b, flow in zip(raw, no.tolist(), yes.tolist(), flows, strict=True):
+        score.append([a, -1e6, a] if x else [0.0, 0.0, 0.0] if flow else [a, b, a])
     p = t.parent
     for i in range(n - 1, 0, -1):
         o, k, c = score[i]
@@ -417,7 +420,21 @@ def default_trees() -> gbdt.Trees:
     return gbdt.Trees(got["feature"], got["cut"], got["value"], float(got["base"]))
 
 
+#: Characters of paragraphs outside menus, footers, asides and forms from which a page is taken to have a main text.
+PROSE = 120
+
+
+def _prose(t: Tree) -> int:
+    edge, para = [False] * len(t.tag), [False] * len(t.tag)
+    for i in range(1, len(t.tag)):
+        g = _group.get(t.tag[i], 17)
+        edge[i] = edge[t.parent[i]] or g in (4, 6, 7, 8, 11, 15)
+        para[i] = para[t.parent[i]] or g == 2
+    return sum(len(s.strip()) for i, s in t.events if s and para[i] and not edge[i])
+
+
 def extract(htmls: list[str], trees: gbdt.Trees) -> list[str]:
+    """The main texts. Where names leave nothing of a page with prose, it is read again without its names."""
     parsed = [Tree(h) for h in htmls]
     if not parsed:
         return []
@@ -425,7 +442,11 @@ def extract(htmls: list[str], trees: gbdt.Trees) -> list[str]:
     margins = trees.margin(np.concatenate(xs))
     out, at = [], 0
     for t, x in zip(parsed, xs, strict=True):
-        out.append(text_of(t, decode(t, margins[at : at + len(x)])))
+        text = text_of(t, decode(t, margins[at : at + len(x)]))
+        if not text and _prose(t) >= PROSE:
+            t.good, t.bad = [0] * len(t.tag), [0] * len(t.tag)
+            text = text_of(t, decode(t, trees.margin(features(t))))
+        out.append(text)
         at += len(x)
     return out
 
@@ -452,7 +473,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The given pages hold their main text in one element `article` of paragraphs, so that SQL can say what their text is.
 SQL = """
 WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
-b AS (SELECT page_id, url, regexp_replace(replace(replace(t, '<b>', ''), '</b>', ''), '</?(?:p|h1|br)>', ' ', 'g') AS t FROM a),
+b AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&amp<', '&amp;<'), '<b>', ''), '</b>', ''), '</?(?:p|h1|br)>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM b)
 SELECT page_id, url, t AS text, length(t) AS n_chars FROM c
 """

@@ -479,6 +479,25 @@ def test_pages_by_hand(name, html, want):
     assert html_text.extract([html], html_text.default_trees()) == [want]
 
 
+PARA = "The committee met on Tuesday to discuss the new plan for the river, and it heard from several people who live near the old bridge."
+ART, ART_TEXT = f"<h1>News from town</h1><p>{PARA}</p><p>{PARA}</p>", f"News from town {PARA} {PARA}"
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">About</a></li></ul></nav>'
+#: Names that publishing software gives to articles and bodies, and text of labels and hidden elements.
+NAMED_PAGES = [
+    *[(f'<body>{MENU}<article class="{c}">{ART}</article><footer>&copy; 2021 City</footer></body>', ART_TEXT) for c in ("post comments-open", "post has-sidebar", "post category-share", "entry single-ad-free")],
+    *[(f'<body><div class="{c}">{ART}</div></body>', ART_TEXT) for c in ("post comments-open", "post has-sidebar", "entry single-ad-free")],
+    *[(f'<html><body class="{c}"><header><h1>Site</h1></header><div class="content">{ART}</div><footer>bye</footer></body></html>', ART_TEXT) for c in ("page menu-open", "has-sidebar", "single comments-open")],
+    (f"<body><article>{ART}<p><label>Fig 1</label> shows the vote in each part of the town.</p></article></body>", ART_TEXT + " Fig 1 shows the vote in each part of the town."),
+    (f"<body><article>{ART}<noscript><p>Turn on your scripts to read this.</p></noscript><p>The end.</p></article></body>", ART_TEXT + " The end."),
+    (f"<body><form class='search'><label>Find</label><input></form><div>{ART}</div><p>&copy; 2021 City</p></body>", ART_TEXT),
+]
+
+
+@pytest.mark.parametrize("html,want", NAMED_PAGES, ids=range(len(NAMED_PAGES)))
+def test_pages_with_telling_names(html, want):
+    assert html_text.extract([html], html_text.default_trees()) == [want]
+
+
 def test_pages_held_out_and_edges(spark):
     held = html_text.composed(150, 4321)
     got = html_text.extract([h for h, _ in held], html_text.default_trees())
