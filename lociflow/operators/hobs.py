@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociflow.operators.ranks import cut
 from lociflow.operators.scan import whole_median
 from lociflow.operators.windows import fixed_grid, overlap_join
 
@@ -61,15 +62,18 @@ def _medians(sites: DataFrame, scales: tuple, unit: int) -> DataFrame:
         return F.struct(F.lit(m).alias("m"), F.size(F.filter(known, lambda b: b < F.col(m))).alias("r"), F.col(m).alias("v"))
 
     long = sites.select("chrom", "cell", F.explode(F.array(ranged("hobs"), ranged("f"))).alias("x")).select("chrom", "cell", "x.*").filter("v is not null")
+    long = cut(long.groupBy("chrom", "cell", "m", "r", "v").agg(F.count(F.lit(1)).alias("k")), "ranges")  # ranges are looked up once
     key = ["scale", "chrom", "w", "m"]
-    cells = long.groupBy("chrom", "cell", "m", "r").agg(F.count(F.lit(1)).alias("n"))
+    cells = long.groupBy("chrom", "cell", "m", "r").agg(F.sum("k").alias("n"))
     counts = _over(_cells(cells, scales, unit).groupBy("scale", "chrom", "c", "m", "r").agg(F.sum("n").alias("n")), scales).groupBy(*key, "r").agg(F.sum("n").alias("n"))
     run = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("r"))).withColumn("all", F.sum("n").over(Window.partitionBy(*key)))
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
     before = F.col("upto") - F.col("n")
     need = run.filter((F.col("upto") > low) & (before <= high)).select(*key, "r", F.when(before <= low, low - before).alias("a"), F.when(F.col("upto") > high, high - before).alias("b"))
-    values = _cells(long, scales, unit).groupBy("scale", "chrom", "c", "m", "r", "v").agg(F.count(F.lit(1)).alias("k"))
-    met = _over(need, scales, back=True).join(values, ["scale", "chrom", "c", "m", "r"]).groupBy(*key, "r", "a", "b", "v").agg(F.sum("k").alias("k"))
+    need = cut(need, "need")
+    asked = _over(need, scales, back=True)
+    values = _cells(long, scales, unit).join(asked.select("scale", "chrom", "c", "m", "r").distinct(), ["scale", "chrom", "c", "m", "r"], "left_semi").groupBy("scale", "chrom", "c", "m", "r", "v").agg(F.sum("k").alias("k"))
+    met = asked.join(values, ["scale", "chrom", "c", "m", "r"]).groupBy(*key, "r", "a", "b", "v").agg(F.sum("k").alias("k"))
     own = met.withColumn("upto", F.sum("k").over(Window.partitionBy(*key, "r").orderBy("v")))
     found = own.groupBy(*key).agg(F.min(F.when(F.col("upto") > F.col("a"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.col("b"), F.col("v"))).alias("y"))
     return found.groupBy("scale", "chrom", "w").agg(*[F.max(F.when(F.col("m") == m, (F.col("x") + F.col("y")) / 2)).alias(f"median_{m}") for m in ("hobs", "f")])
