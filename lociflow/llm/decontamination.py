@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
 Words are lower-cased runs of letters and digits. Of each window of w neighbouring k-gram hashes the least is kept, on both sides;
-texts that share a span of w + k - 1 words share such a fingerprint. Documents are read once: their fingerprints meet the
-benchmark's, and a hit is extended to all spans of w + k - 1 words around it. These few spans alone leave the document, and only
-those that equal a span of an item word by word count. Items shorter than the span count as one window of their own length (k is
+texts that share a span of w + k - 1 words share such a fingerprint. Texts are winnowed in their row, before anything is joined: a
+fingerprint is one row with the run of windows whose least hash it is. These rows meet the benchmark's, and a hit is extended to
+the spans of w + k - 1 words of its run. These few spans alone leave the document, and only those that equal a span of an item
+word by word count. Items shorter than the span count as one window of their own length (k is
 that length and w is 1). A span's items are gathered before documents meet it, so that a passage of many items and many
 documents does not multiply rows.
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm.native import indices, let, lower_ascii, sha256_hex
-from lociflow.llm.storage import cut, only, without
+from lociflow.llm.storage import cut, only, sieved, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word in either case.
@@ -37,10 +38,17 @@ def _grams(h: Column, k: int) -> Column:
     return F.transform(indices(F.size(h) - (k - 1)), lambda i: F.xxhash64(*[h[i + j] for j in range(k)]))
 
 
-def _least_somewhere(g: Column, p: Column, window: int) -> Column:
-    """Whether the gram at p is the least of one of the windows that hold it."""
-    starts = F.filter(F.sequence(F.greatest(F.lit(0), p - (window - 1)), p), lambda i: i + window <= F.size(g))
-    return F.exists(starts, lambda i: F.array_min(F.slice(g, i + 1, window)) == g[p])
+def _runs(h: Column, k: int, window: int) -> Column:
+    """Fingerprints h of a text with the word hashes given, each with the first and the last of the neighbouring windows of `window` k-grams
+    whose least hash it is, as numbers of their first words."""
+    def least(g: Column) -> Column:
+        return F.transform(indices(F.size(g) - (window - 1)), lambda i: F.least(*[g[i + j] for j in range(window)]) if window > 1 else g[i])
+
+    def runs(m: Column) -> Column:
+        begin = F.filter(indices(F.size(m)), lambda i: ~F.get(m, i - 1).eqNullSafe(m[i]))
+        return let(begin, lambda s: F.transform(indices(F.size(s)), lambda j: F.struct(m[s[j]].alias("h"), s[j].alias("first"), (F.coalesce(F.get(s, j + 1), F.size(m)) - 1).alias("last"))))
+
+    return let(let(_grams(h, k), least), runs)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -54,51 +62,47 @@ def _benchmark(benchmark: DataFrame, span: int, k: int, item: str, item_text: st
     marks = None
     for n in [*short, span]:
         own = items.filter(F.size("w") >= span) if n == span else items.filter(F.size("w") == n)
-        gram = k if n == span else n
-        size = n - gram + 1
-        h = let(F.transform("w", lambda x: F.xxhash64(x)), lambda x: let(_grams(x, gram), lambda g: F.transform(indices(F.size(g) - (size - 1)), lambda i: F.array_min(F.slice(g, i + 1, size)))))
-        one = own.select(F.explode(h).alias("h"))
+        h = let(F.transform("w", lambda x: F.xxhash64(x)), lambda x: _runs(x, k, span - k + 1)["h"] if n == span else F.array(F.xxhash64(*[x[j] for j in range(n)])))
+        one = own.select(F.explode_outer(h).alias("h"))
         marks = one if marks is None else marks.unionByName(one)
     at = F.transform(indices(F.greatest(F.size("w") - (span - 1), F.lit(1))), lambda i: F.slice("w", i + 1, span))
     windows = items.select("item_id", F.explode(at).alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     return short, cut(marks.distinct(), "marks")[0], cut(windows.withColumn("owners", F.xxhash64("items")), "windows")[0]
 
 
+def _known(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose h is a fingerprint of the benchmark. Few fingerprints are broadcast; of more, a bitmap of bounded size is, and only
+    rows that it knows move."""
+    if marks.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(marks), "h")
+    return sieved(rows, F.col("h"), marks, "_known").filter("_known").drop("_known").join(marks, "h")
+
+
 def _places(docs: DataFrame, short: list[int], marks: DataFrame, span: int, k: int) -> DataFrame:
-    """doc_id, text_hash and the places (length of the window, first word of the gram) of all grams of a document that are fingerprints
-    of the benchmark. Rows that leave the scan hold no words."""
+    """doc_id, text_hash and the places (length, first and last start of windows) at which a document has a fingerprint of the benchmark.
+    Texts are winnowed where they lie: rows that leave the scan are fingerprints, about one for three words, and hold no words."""
     def made(w: Column) -> Column:
-        long = lambda h: F.when(F.size(h) >= span, _grams(h, k)).otherwise(F.array().cast("array<bigint>"))
-        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(F.size(w).alias("n"), F.concat(long(h), *[_grams(h, n) for n in short]).alias("all")))
+        whole = lambda h, n: F.transform(indices(F.size(h) - (n - 1)), lambda i: F.struct(F.lit(n).alias("length"), F.xxhash64(*[h[i + j] for j in range(n)]).alias("h"), i.alias("first"), i.alias("last")))
+        long = lambda h: F.transform(_runs(h, k, span - k + 1), lambda x: F.struct(F.lit(span).alias("length"), x["h"].alias("h"), x["first"].alias("first"), x["last"].alias("last")))
+        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(long(h), *[whole(h, n) for n in short]))
 
     # bound by let and exploded with outer: predicates that the optimizer pushes down would copy what they name into lambdas
-    row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), let(words(F.col("text")), made).alias("x")).select("doc_id", "text_hash", "x.n", "x.all")
-    met = row.select("doc_id", "text_hash", "n", F.posexplode_outer("all").alias("p", "h")).join(_small(marks), "h")
-    # the place in `all` tells the length and the first word
-    own = F.when(F.col("n") >= span, F.col("n") - (k - 1)).otherwise(0)
-    length, place, first = F.when(F.col("p") < own, F.lit(span)), F.when(F.col("p") < own, F.col("p")), own
-    for n in short:
-        after = first + F.greatest(F.col("n") - (n - 1), F.lit(0))
-        length, place, first = length.when(F.col("p") < after, F.lit(n)), place.when(F.col("p") < after, F.col("p") - first), after
-    return met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct(length.cast("int").alias("length"), place.cast("int").alias("p")))).alias("places"))
+    row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), let(words(F.col("text")), made).alias("x"))
+    met = _known(row.select("doc_id", "text_hash", F.explode_outer("x").alias("x")).select("doc_id", "text_hash", "x.length", "x.h", "x.first", "x.last"), marks)
+    return met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("length", "first", "last"))).alias("places"))
 
 
 def _hits(docs: DataFrame, short: list[int], marks: DataFrame, windows: DataFrame, span: int, k: int) -> DataFrame:
     """doc_id, text_hash, start, length, owners of every place in a document where a window of an item stands. docs: doc_id, text. Only
-    documents that share a fingerprint are tokenized again, and only their texts move."""
+    documents that share a fingerprint are split again, and only their texts move."""
     places, _ = cut(_places(docs, short, marks, span, k), "places")
     hashed = only(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), places.select("text_hash"), "text_hash", BROADCAST_ROWS).distinct()
     near = hashed.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))).select("d.doc_id", "d.text_hash", "text", "places")
 
     def around(w: Column) -> Column:
-        """start and words of the windows around the places."""
-        def of(x: Column, g: Column) -> Column:
-            long = x["length"] == span
-            starts = F.filter(F.sequence(F.when(long, F.greatest(F.lit(0), x["p"] - (span - k))).otherwise(x["p"]), x["p"]), lambda i: i + x["length"] <= F.size(w))
-            return F.when(~long | _least_somewhere(g, x["p"], span - k + 1), F.transform(starts, lambda i: F.struct(i.alias("start"), x["length"].alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-
-        grams = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _grams(h, k))
-        return let(grams, lambda g: F.transform(F.array_distinct(F.flatten(F.transform("places", lambda x: of(x, g)))), lambda x: F.struct(x["start"].alias("start"), F.slice(w, x["start"] + 1, x["length"]).alias("words"))))
+        """start and words of the windows at the places."""
+        of = lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(i.alias("start"), F.slice(w, i + 1, x["length"]).alias("words")))
+        return F.flatten(F.transform("places", of))
 
     each = near.select("doc_id", "text_hash", let(words(F.col("text")), around).alias("x")).select("doc_id", "text_hash", F.explode_outer("x").alias("x")).select("doc_id", "text_hash", "x.start", "x.words")
     return each.join(_small(windows.select("words", "owners")), "words").select("doc_id", "text_hash", "start", F.size("words").alias("length"), "owners")

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips, planted cases and edge rows: nulls, empty and long texts, repeated rows, empty tables."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -548,6 +549,29 @@ def test_decontamination_short_items(spark, edges):
     assert decontamination.decontaminate(edges, bench.limit(0)).count() == len(EDGES) and decontamination.decontaminate(edges.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_of_repetitive_texts(spark, monkeypatch, most):
+    """Ties among fingerprints, texts of one word, every length around the span; with broadcast fingerprints and with the bitmap."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+    r = random.Random(8)
+    made = lambda kinds, n: " ".join(f"t{r.randrange(kinds)}" for _ in range(n))
+    items = [(i, made(r.choice([1, 2, 3, 40]), r.choice([1, 4, 9, 10, 11, 14, 15, 16, 60]))) for i in range(40)]
+    docs = [(i, made(r.choice([1, 2, 3, 40]), r.choice([0, 1, 5, 9, 10, 11, 15, 80])) + " " + r.choice(items)[1] + " " + made(40, r.choice([0, 3, 30]))) for i in range(60)]
+    got = decontamination.decontaminate(frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = []
+    for i, t in docs:
+        w, hit, owners = t.split(), set(), set()
+        for item, text in items:
+            q = text.split()
+            n = min(10, len(q))
+            spans = {tuple(q[j : j + n]) for j in range(len(q) - n + 1)}
+            at = [p for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in spans]
+            hit |= {p + j for p in at for j in range(n)}
+            owners |= {str(item)} if at else set()
+        want.append((i, len(w), len(hit), sorted(owners)))
+    assert sorted((x["doc_id"], x["n_words"], x["n_hit"], x["items"]) for x in got) == want
+
+
 # ---- 9
 
 def test_sharding(spark, sf, docs, edges):
