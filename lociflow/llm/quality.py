@@ -9,8 +9,8 @@ capitals, words that end in a symbol, words that repeat their neighbour, digits,
 of them have a weight; weights and thresholds maximize the likelihood less an L1 penalty (dual averaging with AdaGrad's steps),
 which leaves at zero what the labels don't support.
 
-The model is fitted on a bounded sample: the labels of about `max_rows` documents, taken by a hash of doc_id, with the counts of
-each grade as weights; every document is scored over its whole text.
+The model is fitted on a bounded sample: the labels of about `max_rows` documents, and of fewer if these hold more than `max_places`
+places of weights, taken by a hash of doc_id, with the counts of each grade as weights; every document is scored over its whole text.
 
 Defined results: null and empty texts have only length features and are scored like any other; equal texts get
 equal scores; rows of one document in `labels` count as several observations; of documents that share a labelled doc_id one is
@@ -30,8 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import bytescan as bs
+from lociflow.llm.storage import cut, drop
 
 MAX_ROWS, BITS = 10_000, 18
+#: Places of weights that the fitting rows bring to the driver at most (64 MB), and in how many parts rows are taken.
+MAX_PLACES, BUCKETS = 1 << 24, 1024
 #: Least probability of the best grade with which a document is kept.
 LEAST_TAIL = 0.4
 PREFIXES = (4, 5, 6, 7, 8, 10)
@@ -177,8 +180,9 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """The features of the fitting rows are found on the executors; the driver gets the places of their weights (four bytes each)."""
+def fitting_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_places: int = MAX_PLACES) -> pa.Table:
+    """h, t, n0, n1, ..., at (places of weights) of the fitting rows. They are coded on the executors into a table; the driver gets those
+    in the first BUCKETS-ths of the range of hashes that hold max_places places in all, so its memory is bounded whatever the texts' lengths."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw, offsets in bs.text_slices(batch.column("text")):
@@ -191,7 +195,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     counts = [f"n{j}" for j in range(GRADES)]
     rows = labelled(docs, labels, max_rows).withColumns({"h": F.xxhash64("doc_id"), "t": F.xxhash64(F.coalesce("text", F.lit("")))})
     coded = rows.select("h", "t", "text", *counts).mapInArrow(encode, "h long, t long, " + ", ".join(f"{c} long" for c in counts) + ", at array<int>")
-    got = coded.groupBy("h").agg(F.min(F.struct("t", *counts, "at")).alias("x")).select("h", "x.*").toArrow().combine_chunks()
+    table, path = cut(coded.groupBy("h").agg(F.min(F.struct("t", *counts, "at")).alias("x")).select("h", "x.*"), "coded")
+    bucket = F.pmod("h", F.lit(BUCKETS))
+    sizes = sorted(table.groupBy(bucket.alias("b")).agg(F.sum(F.size("at")).alias("n")).collect())  # at most BUCKETS rows
+    total, most = 0, BUCKETS
+    for b, n in sizes:
+        total += n
+        if total > max_places:
+            most = b
+            break
+    got = table.filter(bucket < most).toArrow().combine_chunks()
+    drop(docs.sparkSession, path)
+    return got
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_places: int = MAX_PLACES) -> Model:
+    """The model of the fitting rows: about max_rows documents at most, and max_places places of weights (four bytes each) at most."""
+    got = fitting_rows(docs, labels, max_rows, max_places)
+    counts = [f"n{j}" for j in range(GRADES)]
     none = Model(np.zeros(1 << BITS), np.full(GRADES - 1, -30.0))
     number = np.stack([got[c].to_numpy() for c in counts]) if len(got) else np.zeros((GRADES, 0))
     if (number.sum(1) > 0).sum() < 2:

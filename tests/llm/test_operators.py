@@ -652,6 +652,17 @@ def test_quality_query_and_repeated_ids(spark, sf, docs):
 
 # ---- ids that are null or repeated, and any column names
 
+def test_quality_rows_are_bounded_by_places(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    whole = {r["h"]: r["at"] for r in quality.fitting_rows(docs, labels).to_pylist()}
+    most = sum(map(len, whole.values())) // 3
+    part = {r["h"]: r["at"] for r in quality.fitting_rows(docs, labels, max_places=most).to_pylist()}
+    assert part and all(whole[h] == at for h, at in part.items())
+    assert most / 2 < sum(map(len, part.values())) <= most
+    model = quality.fit(docs, labels, max_places=most)
+    assert (model.weights != 0).any() and quality.score(docs, model).count() == docs.count()
+
+
 def test_null_and_repeated_ids_go_apart(spark):
     """Half of the ids are null or repeated: targets within one document's size, shards within a few documents."""
     data = [(None if i % 4 == 0 else 7 if i % 4 == 1 else i, " ".join(f"w{i}" for _ in range(10 + i % 7)), "a" if i % 3 else "b") for i in range(4000)]
