@@ -104,6 +104,25 @@ def _f_text(spark: SparkSession, d: str) -> DataFrame:
     return _spread(numbered(f.select("chrom", "pos"), ["pos"]).join(rows, ["chrom", "_i"]).select("chrom", "pos", "f"), "f", "f")
 
 
+def _sharing_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sharing written as a matrix of samples for each number of carriers and read back, pairs that share nothing as 0."""
+    path = scratch.folder(spark, "sharing")
+    writers.write_wide(rel.rare_sharing(_dos(spark, d)), path, "bin", "i", "j", "shared", "0")
+    return readers.wide(spark, path, "bin", "i", "j", "shared").select(*[F.col(c).cast("long").alias(c) for c in ("bin", "i", "j", "shared")])
+
+
+def _residuals(spark: SparkSession, d: str) -> DataFrame:
+    return an.residual_dosage(_dos(spark, d), ad.f_matrix(ad.gl(spark, d)), ad.q_matrix(spark)).withColumn("residual", F.round("residual", 6) + F.lit(0.0))
+
+
+def _residual_text(spark: SparkSession, d: str) -> DataFrame:
+    """Residual dosages written as a packed matrix of sites by samples for each chromosome and read back."""
+    path = scratch.folder(spark, "residuals")
+    writers.write_wide(_residuals(spark, d), path, "chrom", "pos", "sample_idx", "residual", compression="gzip")
+    got = readers.wide(spark, path, "chrom", "pos", "sample_idx", "residual")
+    return got.select("chrom", F.col("pos").cast("long").alias("pos"), F.col("sample_idx").cast("int").alias("sample_idx"), expr.number(F.col("residual")).alias("residual")).filter("residual is not null")
+
+
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     """Support of sites asked for twice: first for three chromosomes, then for all, of which the cache computes the others alone."""
     cache = Cache(spark, scratch.folder(spark, "kept"))
@@ -178,11 +197,13 @@ QUERIES = {
     "io_cache": _cache,
     "io_cache_twice": _kept,
     "io_upsert": _upserted,
+    "io_sharing_matrix": _sharing_text,
+    "io_residual_matrix": _residual_text,
     "io_f_matrix": lambda s, d: rounded(_f_text(s, d)),
     "rel_sharing_merged": _merged_sharing,
     "groups_strategies": _groups,
     "anc_q_metrics": lambda s, d: rounded(_metrics(s, d)),
-    "anc_residual_dosage": lambda s, d: an.residual_dosage(_dos(s, d), ad.f_matrix(ad.gl(s, d)), ad.q_matrix(s)).withColumn("residual", F.round("residual", 6) + F.lit(0.0)),
+    "anc_residual_dosage": _residuals,
     "anc_q_support": lambda s, d: rounded(_spread(_support(s, d), "support", "support_q")),
     "anc_support_windows": lambda s, d: rounded(_spread(_support_windows(s, d), "mean_support", "mean_support_q")),
     "anc_candidate_support": lambda s, d: rounded(an.candidate_support(_site_candidates(s), _support_windows(s, d))),
@@ -286,6 +307,8 @@ SQL["anc_class_order"] = _L + _COMP + " SELECT sample, structure_class, round(me
 SQL |= {
     "io_cache_twice": _G + _SUP + " SELECT chrom, pos, best_q, round(best, 6) AS best, CASE WHEN chrom IN ('chr1', 'chr2', 'chr3') THEN 1 ELSE 2 END AS since FROM sup",
     "io_upsert": ad.with_ctes(ad.SQL_GL) + " SELECT chrom, pos // 100000 * 100000 AS start, count(DISTINCT pos) * CASE WHEN pos // 100000 >= 1 THEN 2 ELSE 1 END AS n_sites, CASE WHEN pos // 100000 >= 1 THEN 'second' END AS round FROM gl GROUP BY chrom, pos // 100000",
+    "io_sharing_matrix": ad.with_ctes(ad.SQL_GL) + _RARE + " SELECT r.bin::BIGINT AS bin, r.i::BIGINT AS i, n.j::BIGINT AS j, coalesce(shared, 0)::BIGINT AS shared FROM (SELECT DISTINCT bin, i FROM sh) AS r CROSS JOIN (SELECT DISTINCT j FROM sh) AS n LEFT JOIN sh ON sh.bin = r.bin AND sh.i = r.i AND sh.j = n.j",
+    "io_residual_matrix": ad.with_ctes(ad.SQL_GL, ad.SQL_Q, ad.SQL_F) + ", mx AS (SELECT chrom, pos, s, list_reduce(list(x * f ORDER BY k), lambda a, b: a + b) AS m FROM fm JOIN qm USING (k) GROUP BY ALL) SELECT chrom, pos, s AS sample_idx, round(d - 2 * m, 6) + 0.0 AS residual FROM dos JOIN mx USING (chrom, pos, s)",
     "io_f_matrix": ad.with_ctes(ad.SQL_GL, ad.SQL_F) + " SELECT chrom, pos, round(max(f) FILTER (k = 0), 6) AS f1, round(max(f) FILTER (k = 1), 6) AS f2, round(max(f) FILTER (k = 2), 6) AS f3 FROM fm GROUP BY chrom, pos",
     "rel_sharing_merged": ad.with_ctes(ad.SQL_GL) + _RARE + " SELECT * FROM sh",
     "groups_strategies": ad.with_ctes(ad.SQL_GL, ad.SQL_SHARES) + """, mv AS (SELECT chrom, s::VARCHAR AS sample_id, round(avg(d), 9) AS value FROM dos GROUP BY ALL), gp AS (SELECT *, coalesce(value - lag(value) OVER w, 0) AS g, row_number() OVER w AS i FROM mv WINDOW w AS (PARTITION BY chrom ORDER BY value, sample_id)),

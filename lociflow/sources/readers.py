@@ -242,6 +242,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def wide(spark: SparkSession, path: str, part: str, row: str, column: str, value: str) -> DataFrame:
+    """Matrices of text (a folder part=... for each, a header of names) as a long table of strings part, row, column, value. The headers, one
+    line a file, are broadcast."""
+    f = F.split("value", "\t")
+    t = lines(spark, path).withColumn("_part", F.regexp_extract("_file", rf"/{re.escape(part)}=([^/]+)/", 1))
+    heads = t.filter("line = 0").select("_file", F.slice(f, 2, F.size(f) - 1).alias("_names"))
+    cells = F.explode(F.arrays_zip(F.col("_names").alias("n"), F.slice(f, 2, F.size(f) - 1).alias("c")))
+    long = t.filter("line > 0").join(F.broadcast(heads), "_file").select("_part", f[0].alias("_row"), cells.alias("_x"))
+    return long.select(F.col("_part").alias(part), F.col("_row").alias(row), F.col("_x.n").alias(column), F.col("_x.c").alias(value))
+
+
 def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
     """S25."""
     f = F.split("value", "\t")

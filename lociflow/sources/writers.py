@@ -74,6 +74,19 @@ def wide(df: DataFrame, rows: list[str], column: str, names: list[str], value: s
     return df.groupBy(*rows).pivot(column, names).agg(F.first(value))
 
 
+def write_wide(df: DataFrame, path: str, part: str, row: str, column: str, value: str, missing: str = "NA", compression: str = "none") -> None:
+    """A long table as matrices of text: a file for each `part`, a header with the names in `column`, which are found in the table, and
+    lines in the order of `row`. Cells without a row or with a null hold `missing`; rows without a name have no cell. An empty table writes no file."""
+    df = df.filter(F.col(column).isNotNull())
+    names = [r[0] for r in df.select(column).distinct().orderBy(column).collect()]  # as many as the matrix has columns
+    cells = [f"_{i}" for i in range(len(names))]
+    w = wide(df, [part, row], column, names, value).toDF("_part", "_row", *cells)
+    body = w.select("_part", F.lit(1).alias("_o"), "_row", F.concat_ws("\t", F.col("_row").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in cells]).alias("value"))
+    heads = df.select(F.col(part).alias("_part")).distinct().select("_part", F.lit(0).alias("_o"), F.lit(None).cast(dict(w.dtypes)["_row"]).alias("_row"), F.lit("\t".join([row, *map(str, names)])).alias("value"))
+    ordered = body.unionByName(heads).repartition("_part").sortWithinPartitions("_part", "_o", "_row")
+    ordered.select(F.col("_part").alias(part), "value").write.mode("overwrite").option("compression", compression).partitionBy(part).text(path)
+
+
 #: Rows up to which a result is put into one document.
 MOST_ROWS = 100_000
 

@@ -116,3 +116,18 @@ def test_groups_by_strategy(spark):
     assert sorted(tuple(r) for r in bare.resolve("ancestry_clusters").collect()) == [("Q1", "a"), ("Q2", "b")]
     with pytest.raises(ValueError):
         g.resolve("unknown")
+
+
+def test_wide_round_trip(spark, tmp_path):
+    rows = [("a", 10, "x y", 1.5), ("a", 9, "z", None), ("a", 9, "x y", 2.0), ("b", 1, "é", -0.25), ("b", 1, None, 7.0)]
+    df = spark.createDataFrame(rows, "part string, at long, who string, much double")
+    path = str(tmp_path / "wide")
+    writers.write_wide(df, path, "part", "at", "who", "much", compression="gzip")
+    got = readers.wide(spark, path, "part", "at", "who", "much").collect()
+    cells = {(p, str(a), w): "NA" for p, a in (("a", 9), ("a", 10), ("b", 1)) for w in ("x y", "z", "é")}
+    cells |= {(p, str(a), w): str(v) for p, a, w, v in rows if w is not None and v is not None}
+    assert len(got) == len(cells) and {tuple(r)[:3]: r["much"] for r in got} == cells
+    text = spark.read.text(f"{path}/part=a").collect()
+    assert [r[0].split("\t")[0] for r in text] == ["at", "9", "10"]
+    writers.write_wide(df.limit(0), str(tmp_path / "none"), "part", "at", "who", "much")
+    assert not list((tmp_path / "none").glob("part=*"))
