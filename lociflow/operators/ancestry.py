@@ -155,7 +155,11 @@ def composition(rows: DataFrame, by: list[str], order: list[str], label: str = "
     w = Window.partitionBy(*by)
     half = F.when(F.row_number().over(w.orderBy(*order)) <= F.floor(F.count(F.lit(1)).over(w) / 2), 0).otherwise(1)
     halves = rows.withColumn("_h", half).groupBy(*by, "_h", label).agg(F.count(F.lit(1)).alias("_c")).groupBy(*by, "_h").agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col(label).alias("l")))["l"].alias("_m")).groupBy(*by).agg((F.max(F.when(F.col("_h") == 0, F.col("_m"))) != F.max(F.when(F.col("_h") == 1, F.col("_m")))).alias("_differ"))
-    base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in numbers or []]).filter(F.col("n_windows") >= min_rows)
+    # numbers are added in the rows' order, so that a mean that lies between two roundings depends on no partitioning; round as SQL does
+    so_far = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    added = rows.select(*by, F.row_number().over(w.orderBy(*order)).alias("_at"), *[f(c).over(so_far).alias(f"_{k}_{c}") for c in numbers or [] for k, f in (("s", F.sum), ("n", F.count))])
+    whole = lambda x: F.max_by(x, "_at")
+    base = added.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[(F.round(whole(f"_s_{c}") / F.nullif(whole(f"_n_{c}"), F.lit(0)) * 10_000) / 10_000).alias(f"mean_{c}") for c in numbers or []]).filter(F.col("n_windows") >= min_rows)
     counts = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("c")).join(base.select(*by, "n_windows"), by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_labels"), F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col(label).alias("l")))).alias("_l"), F.sum(-(F.col("c") / F.col("n_windows")) * F.log(F.col("c") / F.col("n_windows"))).alias("label_entropy"))
     blocks = runs(rows, by, order, label).groupBy(*by).agg(F.count(F.lit(1)).alias("n_blocks"), F.sort_array(F.collect_list("length"), False).alias("_b"))
     j = base.join(counts, by).join(blocks, by).join(halves, by)

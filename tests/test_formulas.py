@@ -306,3 +306,20 @@ def test_documents_with_a_path(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(writers, "MOST_ROWS", 1)
     with pytest.raises(ValueError):
         writers.document(df, "x")
+
+
+def test_means_in_order_of_rows(spark):
+    """Means between two roundings: added in the rows' order on any partitioning, and rounded as SQL does."""
+    rng = np.random.default_rng(5)
+    values = np.round(rng.random((4000, 64)) * 120, 2)
+    values = values[np.rint(values * 100).sum(axis=1).astype(np.int64) * 100 % 64 == 32]
+    want = {}
+    for i, v in enumerate(values.tolist()):
+        total = 0.0
+        for x in v:
+            total += x
+        want[i] = math.floor(total / 64 * 10_000 + 0.5) / 10_000
+    rows = [(i, j, "a", x) for j in reversed(range(64)) for i, x in enumerate(values[:, j].tolist())]
+    df = spark.createDataFrame(rows, "s int, i int, label string, v double").repartition(7)
+    got = {r["s"]: r["mean_v"] for r in ancestry.composition(df, ["s"], ["i"], numbers=["v"]).collect()}
+    assert len(got) > 20 and got == want
