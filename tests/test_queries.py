@@ -39,3 +39,12 @@ def test_entry(spark):
 
     assert e.entry(spark).columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_segments_of_all_sites(spark, sf):
+    """Every site of a chromosome is counted for each of its candidates."""
+    from lociflow.plans import adapters
+
+    got = {r["candidate_id"]: r["n"] for r in QUERIES["anc_segments"](spark, sf).groupBy("candidate_id").agg({"n_sites": "sum"}).withColumnRenamed("sum(n_sites)", "n").collect()}
+    sites = {r["chrom"]: r["count"] for r in adapters.gl(spark, sf).select("chrom", "pos").distinct().groupBy("chrom").count().collect()}
+    assert got == {f"c{c}_{k}": sites[f"chr{c}"] for c in range(1, 8) for k in range(3)} | {"far": sites["chr1"]}
