@@ -24,6 +24,11 @@ def gl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.concat(F.lit("chr"), "ln").alias("chrom"), "pos", "sample_idx", F.when(swap, c).otherwise(12 * a).alias("gl0"), b.alias("gl1"), F.when(swap, 12 * a).otherwise(c).alias("gl2"))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of gl, once for each row of lineitem: chrom, pos."""
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("chr"), "l_linenumber").alias("chrom"), (F.floor(F.col("l_partkey") / 5) * 1000 + 1).cast("long").alias("pos"))
+
+
 SQL_GL = """cells AS (
   SELECT ln, pos, s, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(k) AS k FROM (
     SELECT l_linenumber AS ln, (l_partkey // 5) * 1000 + 1 AS pos, (l_suppkey % 10)::INT AS s, l_quantity AS a, round(100 * l_discount) AS b, round(100 * l_tax) AS c, 1 AS k FROM lineitem

@@ -22,6 +22,8 @@ from lociflow.functions import expr
 from lociflow.sources import readers, scratch, writers
 from lociflow.sources.cache import Cache
 
+LD_REACH = 20_000
+
 
 def _dos(spark: SparkSession, d: str) -> DataFrame:
     return dosages(ad.gl(spark, d))
@@ -62,7 +64,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ld(spark: SparkSession, d: str) -> DataFrame:
-    return rel.ld_pairs(_dos(spark, d), ad.groups(spark), 20_000)
+    return rel.ld_pairs(_dos(spark, d), ad.groups(spark), LD_REACH)
 
 
 def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +219,7 @@ QUERIES = {
     "rel_group_sharing": lambda s, d: rel.group_sharing(rel.rare_sharing(_dos(s, d)), ad.groups(s)),
     "rel_ld_pairs": lambda s, d: rounded(_ld(s, d), 5),
     "rel_ld_decomposition": lambda s, d: rounded(rel.ld_decomposition(_ld(s, d)), 5),
-    "rel_ld_blocks": lambda s, d: rounded(rel.ld_blocks(_ld(s, d)), 5),
+    "rel_ld_blocks": lambda s, d: rounded(rel.ld_blocks(_ld(s, d), span=rel.ld_span(ad.sites(s, d), LD_REACH)), 5),
     "rel_introgression": lambda s, d: rounded(rel.introgression(_terms(s, d), 50_000, 10_000)),
     "rel_introgression_jackknife": lambda s, d: rounded(scan.jackknife(rel.site_blocks(_terms(s, d), 20), "num", "den"), 5),
     "rel_xp_ehh": lambda s, d: rounded(scan.z_scores(rel.xp_ehh(ad.gl(s, d), [0, 1, 2, 3], [6, 7, 8, 9], smallest=4), "raw"), 5),
