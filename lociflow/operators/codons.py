@@ -10,7 +10,8 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import expr
@@ -85,28 +86,52 @@ def pair_rows(kappa: float = 1.0) -> list[tuple]:
     return out
 
 
-PAIR_SCHEMA = "a string, b string, s double, sd_ts double, sd_tv double, nd_ts double, nd_tv double, f4 int, d4 int, ts4 int, ts int, tv int"
-
-
-def pair_table(spark: SparkSession, kappa: float = 1.0) -> DataFrame:
-    return spark.createDataFrame(pair_rows(kappa), PAIR_SCHEMA)
-
-
 def codons_of(seq: Column) -> Column:
     """Codons of a sequence, upper case, U as T; a tail of one or two is dropped."""
     return F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s)..."), F.lit(0))
 
 
-def aligned(pairs: DataFrame) -> DataFrame:
-    """pair_id, n_bp and codon pairs a, b. Pairs of unequal length are left out."""
-    same = pairs.filter(F.length("seq_a") == F.length("seq_b"))
-    return same.select("pair_id", F.length("seq_a").alias("n_bp"), F.explode_outer(F.arrays_zip(codons_of(F.col("seq_a")).alias("a"), codons_of(F.col("seq_b")).alias("b"))).alias("c")).select("pair_id", "n_bp", F.col("c.a").alias("a"), F.col("c.b").alias("b"))
+SUMS = ("s", "sd_ts", "sd_tv", "nd_ts", "nd_tv", "f4", "d4", "ts4", "ts", "tv")
+
+
+def pair_sums(pairs: DataFrame, kappa: float = 1.0) -> DataFrame:
+    """pair_id, n_bp, numbers of codons (all, with a gap, used) and sums of SUMS over used ones. Pairs of unequal length are left out. Codons
+    are counted by kind of pair where sequences lie: no codon becomes a row."""
+    weights, known = np.zeros((4096, len(SUMS))), np.zeros(4096, bool)
+    at = {c: i for i, c in enumerate(CODONS)}
+    for r in pair_rows(kappa):
+        known[at[r[0]] * 64 + at[r[1]]] = True
+        weights[at[r[0]] * 64 + at[r[1]]] = r[2:]
+    letter = np.full(256, 4, np.uint8)
+    for i, c in enumerate((b"A", b"C", b"G", b"TU")):
+        letter[list(c)] = i
+
+    def codes(seq: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a sequence's codons, and which of them are of four letters; a tail of one or two is dropped."""
+        x = letter[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]  # a byte for each code point
+        x = x[: len(x) // 3 * 3].reshape(-1, 3)
+        return (x[:, 0].astype(np.int64) * 4 + x[:, 1]) * 4 + x[:, 2], (x < 4).all(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, sums = np.zeros((batch.num_rows, 3), np.int64), np.zeros((batch.num_rows, len(SUMS)))
+            for i, (x, y) in enumerate(zip(batch.column("_x"), batch.column("_y"), strict=True)):
+                (a, good_a), (b, good_b) = codes(x.as_py()), codes(y.as_py())
+                n = min(len(a), len(b))
+                good = good_a[:n] & good_b[:n]
+                seen = np.bincount(a[:n][good] * 64 + b[:n][good], minlength=4096)
+                counts[i] = len(a), len(a) - good.sum(), seen[known].sum()
+                sums[i] = seen @ weights
+            yield pa.record_batch([batch.column("pair_id"), batch.column("n_bp"), *[pa.array(c) for c in counts.T], *[pa.array(c) for c in sums.T]], ["pair_id", "n_bp", "_all", "_gap", "_used", *SUMS])
+
+    same = pairs.filter(F.length("seq_a") == F.length("seq_b")).select("pair_id", F.length("seq_a").alias("n_bp"), F.upper("seq_a").alias("_x"), F.upper("seq_b").alias("_y"))
+    kind = dict(same.dtypes)["pair_id"]
+    return same.mapInArrow(run, f"pair_id {kind}, n_bp int, _all long, _gap long, _used long, " + ", ".join(f"{c} double" for c in SUMS))
 
 
 def estimate_kappa(pairs: DataFrame) -> float:
     """From transitions and transversions over all codons; 2 where it is not defined."""
-    t = F.broadcast(pair_table(pairs.sparkSession))
-    r = aligned(pairs).join(t, ["a", "b"]).agg(F.count(F.lit(1)), F.sum("ts"), F.sum("tv")).first()
+    r = pair_sums(pairs).agg(F.coalesce(F.sum("_used"), F.lit(0)), F.sum("ts"), F.sum("tv")).first()
     sites = 3 * r[0]
     if sites < 10:
         return 2.0
@@ -120,10 +145,8 @@ def estimate_kappa(pairs: DataFrame) -> float:
 
 def pair_statistics(pairs: DataFrame, method: str = "NG86", kappa: float = 1.0) -> DataFrame:
     """pair_id and its codon counts, sites, differences, distances, omega and 4-fold distance."""
-    t = F.broadcast(pair_table(pairs.sparkSession, kappa))
-    ok = F.col("a").rlike("^[ACGT]{3}$") & F.col("b").rlike("^[ACGT]{3}$")
-    sums = ["s", "sd_ts", "sd_tv", "nd_ts", "nd_tv"]
-    g = aligned(pairs).join(t, ["a", "b"], "left").groupBy("pair_id", "n_bp").agg(F.count("a").alias("n_codons_total"), F.count(F.when(F.col("a").isNotNull() & ~ok, 1)).alias("n_codons_gap"), F.count("s").alias("n_codons_used"), *[F.round(F.coalesce(F.sum(c), F.lit(0.0)), 9).alias(c) for c in sums], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("f4", "d4", "ts4")])
+    sums, whole = ["s", "sd_ts", "sd_tv", "nd_ts", "nd_tv"], ["f4", "d4", "ts4"]
+    g = pair_sums(pairs, kappa).groupBy("pair_id", "n_bp").agg(F.sum("_all").alias("n_codons_total"), F.sum("_gap").alias("n_codons_gap"), F.sum("_used").alias("n_codons_used"), *[F.round(F.sum(c), 9).alias(c) for c in sums], *[F.sum(c).cast("long").alias(c) for c in whole])
     sites, other = F.col("s"), 3.0 * F.col("n_codons_used") - F.col("s")
     sd, nd = F.col("sd_ts") + F.col("sd_tv"), F.col("nd_ts") + F.col("nd_tv")
     share = lambda x, n: F.when(n > 0, x / n)

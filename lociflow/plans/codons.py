@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,15 @@ _TO = "acgtacgtacgtacgtacgtac-tac"
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
     """Sequences from documents: their letters a-z as nucleotides, one of them as a gap."""
-    return ad.table(spark, d, "documents").select("doc_id", F.upper(F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", ""), _FROM, _TO)).alias("seq"))
+    code, other = bytes.maketrans(_FROM.encode(), _TO.upper().encode()), bytes(x for x in range(256) if x not in _FROM.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [(x.as_py() or "").encode("ascii", "replace").translate(code, other).decode("ascii") for x in batch.column("text")]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(seqs, pa.string())], ["doc_id", "seq"])
+
+    rows = ad.table(spark, d, "documents").select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, seq string")
 
 
 def cds_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -360,3 +360,17 @@ def test_ld_of_sites_of_little_variance(spark):
     assert len(tied) > 50 and all(top[k] == "A" for k in tied)
     span = relations.ld_span(dos, 200).first()
     assert (span["lo"], span["hi"]) == (min(p for _, p, _ in want), max(q for _, _, q in want))
+
+
+def test_codon_pairs_make_no_rows(spark, capsys):
+    """Codons are counted where sequences lie; letters outside ASCII, lower case, U, stops, gaps and tails as before; repeated ids add up."""
+    rows = [(1, "ATGuuuTAA--GCé", "ATGTTCTAAA-GCA"), (1, "AAACCCGGGTTTAA", "AAGCCAGGATTCAA"), (2, "AC", "GT"), (3, "AAA", "AA"), (4, None, "AAA")]
+    df = spark.createDataFrame(rows, "pair_id long, seq_a string, seq_b string")
+    got = codons.pair_statistics(df)
+    r = {x["pair_id"]: x for x in got.collect()}
+    assert set(r) == {1, 2}
+    assert (r[1]["n_bp"], r[1]["n_codons_total"], r[1]["n_codons_gap"], r[1]["n_codons_stop"], r[1]["n_codons_used"]) == (14, 8, 1, 1, 6)
+    assert (r[2]["n_codons_total"], r[2]["S"], r[2]["pS"]) == (0, 0.0, None)
+    assert r[1]["n_4d_sites"] == 2 and r[1]["n_4d_diffs"] == 2 and r[1]["sd"] == 5
+    got.explain()
+    assert "Generate" not in capsys.readouterr().out
