@@ -25,10 +25,15 @@ def gene_records(hits: DataFrame) -> DataFrame:
     return at.withColumn("_r", run).join(F.broadcast(before), "_p").select("query", (F.col("_b") + F.col("_r") - F.col("n_hits")).alias("first_hit"), "n_hits")
 
 
-def write_index(hits: DataFrame, path: str, files: int = 16) -> None:
-    """Hits in `files` ranges of gene names, sorted by gene, bitscore and identity (O02) with bloom filters of the names, and a manifest
+#: Hits of a file of an index: what one task sorts.
+HITS = 2_000_000
+
+
+def write_index(hits: DataFrame, path: str, files: int = 16, most: int = HITS) -> None:
+    """Hits in ranges of gene names (`files`, or more so that one holds about `most` hits), sorted by gene, bitscore and identity (O02) with bloom filters of the names, and a manifest
     of the files' first and last names. A gene with very many hits may lie in one range alone."""
     data = f"{path.rstrip('/')}/data"
+    files = max(files, -(-hits.count() // most))
     ranged = hits.repartitionByRange(files, "query").sortWithinPartitions("query", F.desc("bitscore"), F.desc("identity"))
     ranged.write.mode("overwrite").option("parquet.bloom.filter.enabled#query", "true").option("parquet.bloom.filter.expected.ndv#query", "100000").parquet(data)
     stored = hits.sparkSession.read.parquet(data)

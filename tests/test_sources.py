@@ -131,3 +131,12 @@ def test_wide_round_trip(spark, tmp_path):
     assert [r[0].split("\t")[0] for r in text] == ["at", "9", "10"]
     writers.write_wide(df.limit(0), str(tmp_path / "none"), "part", "at", "who", "much")
     assert not list((tmp_path / "none").glob("part=*"))
+
+
+def test_index_grows_by_files(spark, tmp_path):
+    """A file of an index holds about as many hits as asked, however many hits there are."""
+    hits = spark.range(4000).select(F.format_string("g%04d", (F.col("id") / 2).cast("int")).alias("query"), F.concat(F.lit("t"), "id").alias("target"), F.lit(1.0).alias("bitscore"), F.lit(0.5).alias("identity"), F.lit("diamond").alias("source_type"), F.col("id").cast("string").alias("hit_id"))
+    path = str(tmp_path / "index")
+    homologs.write_index(hits, path, 4, 200)
+    sizes = [r["n_hits"] for r in spark.read.parquet(path + "/manifest").collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 20 and max(sizes) < 400
