@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,26 +184,52 @@ def karyotypes(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(expr.sample_id(f[0]).alias("sample_id"), expr.karyotype_state(F.get(f, F.lit(1))).alias("state")).filter("state is not null")
 
 
+#: Lines of a sequence that are joined to one piece at most.
+LINES = 10_000
+
+
+def _records(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Lines of splits in order to pieces of records: split, number of the record's header within it (0: a record begun before), place of the
+    piece, and a header or the joined letters of at most `most` lines without white space."""
+    key, n, at = None, 0, 0
+    for batch in batches:
+        head = pc.starts_with(batch.column("value"), ">").to_numpy(zero_copy_only=False)
+        lines, bare = batch.column("value"), pc.replace_substring_regex(batch.column("value"), r"[ \t\n\x0b\f\r]", "").to_pylist()
+        files, starts = batch.column("_file").dictionary_encode(), batch.column("_at").to_numpy()
+        code = files.indices.to_numpy()
+        new = np.ones(len(head), bool)
+        new[1:] = (code[1:] != code[:-1]) | (starts[1:] != starts[:-1])
+        new[1:] |= head[:-1]
+        cuts = [*np.flatnonzero(new | head | (np.arange(len(head)) % most == 0)).tolist(), len(head)]
+        out: list[tuple] = []
+        for i, j in zip(cuts, cuts[1:]):
+            here = (files.dictionary[int(code[i])].as_py(), int(starts[i]))
+            if here != key:
+                key, n, at = here, 0, 0
+            n += int(head[i])
+            out.append((*key, n, at, lines[i].as_py() if head[i] else None, None if head[i] else "".join(bare[i:j])))
+            at += 1
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["_file", "_at", "_r", "_o", "_n", "_s"])
+
+
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Ord, name (to the first blank), seq (white space removed). A record begins at a line that starts with >; others may hold it. Its lines
-    may lie in several splits: headers are counted by blocks of lines and the counts carried. ord rises with the files' paths and the
-    records' places; lines before a file's first header are left out. A sequence must fit a row."""
-    t = lines(spark, path).withColumn("_h", F.col("value").startswith(">").cast("int")).withColumn("_k", F.floor(F.col("line") / LINES))
-    sums = t.groupBy("_file", "_k").agg(F.sum("_h").alias("_s"))
-    before = sums.select("_file", "_k", F.coalesce(F.sum("_s").over(Window.partitionBy("_file").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    may lie in several splits: they are joined to pieces as they are read, headers are counted by splits and the counts carried (a row each).
+    ord rises with the files' paths and the records' places; lines before a file's first header are left out. A sequence must fit a row."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    sums = t.groupBy("_file", "_at").agg(F.sum(F.col("value").startswith(">").cast("int")).alias("_s"))
+    w = Window.partitionBy("_file")
+    before = sums.select("_file", "_at", F.coalesce(F.sum("_s").over(w.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     files = sums.groupBy("_file").agg(F.sum("_s").alias("_s")).select("_file", F.coalesce(F.sum("_s").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"))  # a row for each file
-    own = F.sum("_h").over(Window.partitionBy("_file", "_k").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = t.withColumn("_r", own).join(before, ["_file", "_k"]).withColumn("_r", F.col("_r") + F.col("_b")).filter("_r > 0").join(F.broadcast(files), "_file")
-    head = F.max(F.when(F.col("_h") == 1, F.col("value")))
-    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("_h") == 0, F.struct("line", F.regexp_replace("value", r"\s", "").alias("s"))))), lambda x: x["s"])
-    got = numbered.groupBy((F.col("_f") + F.col("_r") - 1).alias("ord")).agg(head.alias("_n"), parts.alias("_p"))
+    most = LINES
+    pieces = t.mapInArrow(lambda b: _records(b, most), "_file string, _at long, _r long, _o long, _n string, _s string")
+    numbered = pieces.join(F.broadcast(before), ["_file", "_at"]).withColumn("_r", F.col("_r") + F.col("_b")).filter("_r > 0").join(F.broadcast(files), "_file")
+    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct("_at", "_o", "_s")))), lambda x: x["_s"])
+    got = numbered.select((F.col("_f") + F.col("_r") - 1).alias("ord"), "_at", "_o", "_n", "_s").groupBy("ord").agg(F.max("_n").alias("_n"), parts.alias("_p"))
     return got.select("ord", F.regexp_extract(F.expr("substring(_n, 2)"), r"^(\S*)", 1).alias("name"), F.array_join("_p", "").alias("seq"))
 
 
-#: Lines of a block in which the headers of records are counted.
-LINES = 10_000
-
-
 def fasta_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Neighbouring records as pairs; unequal lengths and a last odd record are left out. The id loses _A, _B, _1 or _2."""
     t = fasta(spark, path).withColumnRenamed("ord", "_k")

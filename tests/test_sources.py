@@ -140,3 +140,13 @@ def test_index_grows_by_files(spark, tmp_path):
     homologs.write_index(hits, path, 4, 200)
     sizes = [r["n_hits"] for r in spark.read.parquet(path + "/manifest").collect()]
     assert sum(sizes) == 4000 and len(sizes) == 20 and max(sizes) < 400
+
+
+def test_fasta_sorts_no_lines(spark, tmp_path, capsys):
+    """Lines are joined as they are read: only pieces of records are shuffled, no window sees lines."""
+    writers.write_fasta(spark.createDataFrame([("a", "ACGT" * 40)], "name string, seq string"), str(tmp_path / "f"))
+    t = readers.fasta(spark, str(tmp_path / "f"))
+    t.explain()
+    plan = capsys.readouterr().out
+    assert "row_number" not in plan and plan.count("PythonMapInArrow") + plan.count("MapInArrow") >= 1
+    assert not [x for x in plan.splitlines() if "Window" in x and "value" in x]
