@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociflow.functions import expr
-from lociflow.operators.windows import overlap_join, site_windows
+from lociflow.operators.ranks import cut
+from lociflow.operators.windows import numbered, overlap_join, site_windows
 
 FLOOR = 1e-10
 #: Fixed colours of up to twelve labels.
@@ -46,32 +47,44 @@ def em_proportions(g: np.ndarray, f: np.ndarray, q: np.ndarray, iterations: int
     return q, trace
 
 
-def local_q(gl: DataFrame, f: DataFrame, q0: DataFrame, width: int = 100, step: int = 20, iterations: int = 20, tol: float = 1e-4, min_sites: int = 10, default_f: float = 0.25) -> DataFrame:
+def local_q(gl: DataFrame, f: DataFrame, q0: DataFrame, width: int = 100, step: int = 20, iterations: int = 20, tol: float = 1e-4, min_sites: int = 10, default_f: float = 0.25, run: int = 50) -> DataFrame:
     """T01 over windows of `width` sites: chrom, window_id, start, end, n_sites, sample_idx, q (array). f: chrom, pos, f (array) joined by
-    site; sites without frequencies get default_f. q0: sample_idx, q (array); samples without get equal shares. A window's sites meet
-    in one task: width x samples numbers."""
+    site; sites without frequencies get default_f. q0: sample_idx, q (array); samples without get equal shares. Windows are taken by runs of
+    `run`, whose sites meet in one task: (run * step + width) x samples numbers; sites are read once and kept as a table."""
     g3 = F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", *[F.greatest(c, F.lit(FLOOR)).alias(c) for c in ("gl0", "gl1", "gl2")]))), lambda x: F.array(x["gl0"], x["gl1"], x["gl2"]))
-    packed = gl.groupBy("chrom", "pos").agg(F.flatten(g3).alias("g"))
+    packed = cut(gl.groupBy("chrom", "pos").agg(F.flatten(g3).alias("g"), F.collect_set("sample_idx").alias("s")), "sites")
     got = q0.select("sample_idx", "q").toArrow()  # a row for each sample
     start = dict(zip(got.column("sample_idx").to_pylist(), got.column("q").to_pylist(), strict=True))
     k = len(next(iter(start.values()))) if start else 2
-    ids = sorted(gl.select("sample_idx").distinct().toArrow().column(0).to_pylist())
+    ids = sorted(packed.select(F.explode("s")).distinct().toArrow().column(0).to_pylist())
     first = np.array([start.get(i, [1 / k] * k) for i in ids], float)
     default = F.array(*[F.lit(default_f)] * k)
-    sites = site_windows(packed.join(f.select("chrom", "pos", "f"), ["chrom", "pos"], "left").withColumn("f", F.coalesce("f", default)), width, step, ["pos"])
+    last = F.greatest(F.lit(0), F.floor((F.col("_n") - width) / step))
+    lo, hi = F.greatest(F.lit(0), F.ceil((F.col("_i") - (width - 1)) / step)), F.least(last, F.floor(F.col("_i") / step))
+    met = packed.select("chrom", "pos", "g").join(f.select("chrom", "pos", "f"), ["chrom", "pos"], "left").withColumn("f", F.coalesce("f", default))
+    at = numbered(packed.select("chrom", "pos"), ["pos"]).filter(lo <= hi).select("chrom", "pos", "_i", last.alias("_last"), F.explode(F.sequence(F.floor(lo / run).cast("long"), F.floor(hi / run).cast("long"))).alias("_run"))
+    sites = met.join(at, ["chrom", "pos"])
 
     def fit(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by("pos")
-        n = t.num_rows
-        if n < min_sites:
+        t = pa.Table.from_batches(list(batches)).sort_by("_i")
+        i, pos = t.column("_i").to_numpy(), t.column("pos").to_numpy()
+        g, fr = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(i), -1) for c in ("g", "f"))
+        chrom, one, m, found = key[0].as_py(), key[1].as_py(), len(ids), []
+        for w in range(one * run, min((one + 1) * run - 1, t.column("_last")[0].as_py()) + 1):
+            own = slice(*np.searchsorted(i, [w * step, w * step + width]))
+            n = own.stop - own.start
+            if n < min_sites:
+                continue
+            q, trace = em_proportions(g[own].reshape(n, m, 3), fr[own], first, iterations, tol)
+            found.append((w + 1, pos[own.start], pos[own.stop - 1], n, q, len(trace)))
+        if not found:
             return
-        pos, g, fr = (t.column(c).combine_chunks() for c in ("pos", "g", "f"))
-        q, trace = em_proportions(g.flatten().to_numpy().reshape(n, len(ids), 3), fr.flatten().to_numpy().reshape(n, k), first, iterations, tol)
-        m = len(ids)
-        rows = {"chrom": pa.array([key[0].as_py()] * m, pa.string()), "window_id": pa.array([key[1].as_py()] * m, pa.int64()), "start": pa.array([pos[0].as_py()] * m, pa.int64()), "end": pa.array([pos[n - 1].as_py()] * m, pa.int64()), "n_sites": pa.array([n] * m, pa.int32()), "sample_idx": pa.array(ids, pa.int32()), "q": pa.ListArray.from_arrays(pa.array(np.arange(0, m * k + 1, k), pa.int32()), pa.array(q.ravel())), "iterations": pa.array([len(trace)] * m, pa.int32())}
+        each = lambda c, kind: pa.array(np.repeat([x[c] for x in found], m), kind)
+        q = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) * m * k + 1, k), pa.int32()), pa.array(np.concatenate([x[4] for x in found]).ravel()))
+        rows = {"chrom": pa.repeat(pa.scalar(chrom, pa.string()), len(found) * m), "window_id": each(0, pa.int64()), "start": each(1, pa.int64()), "end": each(2, pa.int64()), "n_sites": each(3, pa.int32()), "sample_idx": pa.array(ids * len(found), pa.int32()), "q": q, "iterations": each(5, pa.int32())}
         yield pa.record_batch(list(rows.values()), list(rows))
 
-    return sites.select("chrom", "window_id", "pos", "g", "f").groupBy("chrom", "window_id").applyInArrow(fit, "chrom string, window_id long, start long, end long, n_sites int, sample_idx int, q array<double>, iterations int")
+    return sites.select("chrom", "_run", "_i", "_last", "pos", "g", "f").groupBy("chrom", "_run").applyInArrow(fit, "chrom string, window_id long, start long, end long, n_sites int, sample_idx int, q array<double>, iterations int")
 
 
 def local_q_summary(samples: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def _composition(spark: SparkSession, d: str) -> DataFrame:
 
 def _local_q(spark: SparkSession, d: str) -> DataFrame:
     gl = ad.gl(spark, d)
-    return an.local_q(gl, ad.f_matrix(gl), ad.q_matrix(spark), 100, 20)
+    return an.local_q(gl, ad.f_matrix(ad.sites(spark, d)), ad.q_matrix(spark), 100, 20)
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:

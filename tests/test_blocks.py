@@ -97,3 +97,13 @@ def test_local_ancestry_of_a_whole_table(spark, sf):
                 assert np.allclose(r["q"], want[s], atol=1e-9) and r["n_sites"] == len(pos[own]) and r["start"] == pos[own][0] and r["end"] == pos[own][-1]
                 n += 1
     assert n == len(got) > 0
+
+
+def test_local_ancestry_by_runs_of_windows(spark, sf):
+    """Windows don't depend on the runs in which they are taken, and sites are not repeated for each window."""
+    from lociflow.operators import ancestry
+
+    gl = ad.gl(spark, sf)
+    f, q0 = ad.f_matrix(gl), ad.q_matrix(spark)
+    one, many = (sorted(tuple(map(str, r)) for r in ancestry.local_q(gl, f, q0, 12, 6, run=n).collect()) for n in (1, 7))
+    assert one and one == many
